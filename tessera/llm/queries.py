@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules
+from tessera.llm import pii, quality_rules, secret_scan
 from tessera.llm.common import table
 
+#: The pseudonym key of the driver's queries; jobs set tessera.pii.key to one of their own.
+KEY = "tessera-demo-key"
 QUERIES = {}
 ORACLES = {}
 
@@ -57,3 +59,53 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+
+@query
+def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.STRONG],
+        F.sha2(secret_scan.described(tuple(secret_scan.STRONG)), 256).alias("base_sha256"),
+        secret_scan.described(secret_scan.KINDS).alias("spans"),
+    )
+
+
+def _secret_sql() -> str:
+    kinds = secret_scan.STRONG | secret_scan.WEAK
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    parts = " UNION ALL ".join(
+        f"SELECT rid, {i} AS k, string_split_regex(t, {quoted(p)}) AS s, regexp_extract_all(t, {quoted(p)}, 0) AS m, "
+        f"regexp_extract_all(t, {quoted(p)}, {group}) AS g, {least} AS least FROM docs WHERE regexp_matches(t, {quoted(p)})"
+        for i, (p, group, least) in enumerate(kinds.values())
+    )
+    names = ", ".join(f"'{k}'" for k in kinds)
+    near = f"x.a < y.b + {secret_scan.SCOPE} AND y.a < x.b + {secret_scan.SCOPE}"
+    some = lambda roles: f"EXISTS (SELECT 1 FROM apart y WHERE y.rid = x.rid AND y.k IN ({roles}) AND {near})"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS ({parts}),
+placed AS (
+  SELECT rid, k, list_sum(list_transform(s[1:u.i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:u.i - 1], lambda x: length(x))), 0) AS a, length(m[u.i]) AS n
+  FROM parts, unnest(range(1, len(m) + 1)) AS u(i) WHERE length(g[u.i]) >= least),
+found AS (SELECT rid, k, a::BIGINT AS a, (a + n)::BIGINT AS b FROM placed),
+apart AS (SELECT * FROM found x WHERE k < 3 OR NOT EXISTS (SELECT 1 FROM found y WHERE y.rid = x.rid AND y.k < 3 AND x.a < y.b AND y.a < x.b)),
+kept AS (SELECT * FROM apart x WHERE k < 3 OR (k = 3 AND {some("0, 2, 4")}) OR (k = 4 AND {some("1, 3")}) OR (k = 5 AND {some("1, 3")} AND {some("0, 2, 4")})),
+said AS (
+  SELECT rid, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+         string_agg([{names}][k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (WHERE k < 3) AS base,
+         string_agg([{names}][k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans
+  FROM kept GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN said USING (rid)"""
+
+
+ORACLES["op2_secret_links"] = _secret_sql()
+
+
+@query
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("tessera.pii.key", KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key, ("doc_id", "text"), counts=True)
