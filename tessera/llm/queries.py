@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, pii, quality_rules, secret_scan, token_counts
+from tessera.llm import chat_format, pii, quality_rules, secret_scan, token_counts, warc
 from tessera.llm.common import table
 
 #: The pseudonym key of the driver's queries; jobs set tessera.pii.key to one of their own.
@@ -146,3 +146,20 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length(role) + length(text) + n_escapes + length('<|turn|><|text|><|end|>'))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+@query
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op4_warc_round_trip"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+"""
