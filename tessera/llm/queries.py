@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, pii, quality_rules, secret_scan, token_counts, warc
+from tessera.llm import chat_format, pii, quality_rules, secret_scan, suffix_dedup, token_counts, warc
 from tessera.llm.common import table
 
 #: The pseudonym key of the driver's queries; jobs set tessera.pii.key to one of their own.
@@ -163,3 +163,28 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM f
 """
+
+
+@query
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_repeated_strings"] = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, length(h) // 2 AS n_bytes FROM d),
+w AS (SELECT rid, o, u.i AS i, substr(h, 2 * u.i + 1, 100) AS k FROM n, unnest(range(0, n_bytes - 49)) AS u(i)),
+g AS (SELECT k, min(o) AS m FROM w GROUP BY k),
+c AS (SELECT w.rid, w.i FROM w JOIN g USING (k) WHERE m < o),
+f AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM c),
+s AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM f),
+r AS (SELECT rid, min(i) AS a, max(i) + 50 AS b FROM s GROUP BY rid, run),
+p AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM r),
+k AS (
+  SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM p JOIN n USING (rid) GROUP BY rid)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN k USING (rid)
+"""
