@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, pii, quality_rules, secret_scan, suffix_dedup, token_counts, warc
+from tessera.llm import chat_format, near_dedup, pii, quality_rules, secret_scan, suffix_dedup, token_counts, warc
 from tessera.llm.common import table
 
 #: The pseudonym key of the driver's queries; jobs set tessera.pii.key to one of their own.
@@ -188,3 +188,8 @@ SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_r
        sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM n LEFT JOIN k USING (rid)
 """
+
+
+@query
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
