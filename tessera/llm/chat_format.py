@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +97,13 @@ def loaded(path: str):
     return _LOADED[path]
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 64) -> Iterator[pd.DataFrame]:
+    """Batches in parts of a few conversations, as tokens take many times their texts' memory."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.iloc[a : a + rows]
+
+
 def conversations(rows: DataFrame) -> DataFrame:
     """One row for each conversation: its turns in order."""
     r = rows.select("conv_id", "turn", F.coalesce("role", F.lit("none")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -112,16 +120,16 @@ def format_chats(rows: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = loaded(tokenizer)
-        for batch in batches:
+        for batch in _slices(batches):
             texts, spans = zip(*(render([(t["role"], t["text"]) for t in turns]) for turns in batch["turns"])) if len(batch) else ((), ())
             encoded = tok.encode_batch(list(texts), add_special_tokens=False)
             yield pd.DataFrame(
                 {
                     "conv_id": batch["conv_id"].array,
                     "formatted": texts,
-                    "ids": [e.ids for e in encoded],
-                    "starts": [[a for a, _ in e.offsets] for e in encoded],
-                    "ends": [[b for _, b in e.offsets] for e in encoded],
+                    "ids": [np.array(e.ids, np.int32) for e in encoded],
+                    "starts": [np.array([a for a, _ in e.offsets], np.int32) for e in encoded],
+                    "ends": [np.array([b for _, b in e.offsets], np.int32) for e in encoded],
                     "loss_mask": [masked(e.offsets, s) for e, s in zip(encoded, spans)],
                 }
             )
@@ -138,7 +146,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for text, starts, ends, mask in zip(batch["formatted"], batch["starts"], batch["ends"], batch["loss_mask"]):
                 turns, learnt = parse(text), learnt_text(text, list(zip(map(int, starts), map(int, ends))), list(mask))
