@@ -19,7 +19,6 @@ labels the posterior is even; tables without rows give an empty result; other co
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -171,6 +170,3 @@ def mix(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_id"
 def expected_totals(mixed: DataFrame) -> DataFrame:
     """Expected tokens of each domain under the rates."""
     return mixed.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col("rate")).alias(d) for d in DOMAINS])
-
-
-assert math.isclose(sum(TARGETS.values()), 1.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, mixing, near_dedup, pii, quality_rules, secret_scan, suffix_dedup, token_counts, warc
+from tessera.llm import chat_format, decontaminate, mixing, near_dedup, pii, quality_rules, secret_scan, suffix_dedup, token_counts, warc
 from tessera.llm.common import table
 
 #: The pseudonym key of the driver's queries; jobs set tessera.pii.key to one of their own.
@@ -198,3 +198,8 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
