@@ -1,23 +1,56 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, decontamination, pseudonyms, mixing."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, pseudonyms, mixing rates.
+
+Every stage takes documents and returns documents: what it rejects is gone, what it rewrites is rewritten. The
+last one adds the mixing columns and keeps every document; a rate of 0 says that the mix has no use for it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality_rules
-from tessera.llm.common import DOC_COLUMNS
+from tessera.llm import decontaminate, mixing, near_dedup, pii, quality_rules
+from tessera.llm.common import DOC_COLUMNS, table
+from tessera.llm.queries import KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that policy v1 keeps."""
     return quality_rules.apply_policy(docs, "v1", DOC_COLUMNS)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the one with the smallest doc_id."""
+    return near_dedup.one_of_each(docs, DOC_COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no item of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), DOC_COLUMNS)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by keyed pseudonyms; n_chars stays that of the source."""
+    return pii.pseudonymise(docs, spark.conf.get("tessera.pii.key", KEY), DOC_COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with tokens, posteriors and rates."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), DOC_COLUMNS)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pseudonyms", pseudonyms),
+    ("mixing", mixture),
+]
+#: Random matrices and components are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
