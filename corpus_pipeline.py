@@ -7,9 +7,10 @@ last one adds the mixing columns and keeps every document; a rate of 0 says that
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, near_dedup, pii, quality_rules
-from tessera.llm.common import DOC_COLUMNS, table
+from tessera.llm.common import DOC_COLUMNS, stored, table
 from tessera.llm.queries import KEY
 
 
@@ -29,8 +30,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by keyed pseudonyms; n_chars stays that of the source."""
-    return pii.pseudonymise(docs, spark.conf.get("tessera.pii.key", KEY), DOC_COLUMNS)
+    """All documents, personal data replaced by keyed pseudonyms."""
+    hidden = pii.pseudonymise(docs, spark.conf.get("tessera.pii.key", KEY), DOC_COLUMNS)
+    return hidden.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, each but the last written to the shared folder, as the next ones read it many times."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
