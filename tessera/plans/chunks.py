@@ -1 +1,113 @@
-"""Placeholder."""
+"""Named chunking queries. ``documents`` have no headings, so they run on a derived markdown: every eighth non-blank
+line opens a numbered section that is titled by the line's first five words."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import chunking as C
+from tessera.plans.catalogue import query, table
+
+
+def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    five = lambda x: F.array_join(F.slice(F.filter(F.split(x, " "), lambda w: w != ""), 1, 5), " ")
+    opened = lambda x, i: F.when(i % 8 == 0, F.concat(F.lit("## "), (F.floor(i / 8) + 1).cast("string"), F.lit(" "), five(x), F.lit("\n\n"), x)).otherwise(x)
+    return d.select(F.col("doc_id").alias("paper_id"), F.array_join(F.transform(lines, opened), "\n").alias("markdown"), "source", "text")
+
+
+POOL = r"""pool AS (
+  SELECT doc_id AS paper_id, source, text, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''),
+    lambda x, i: CASE WHEN (i - 1) % 8 = 0 THEN '## ' || ((i - 1) // 8 + 1) || ' ' || array_to_string(list_filter(string_split(x, ' '), lambda w: w <> '')[1:5], ' ') || chr(10) || chr(10) || x ELSE x END), chr(10)) AS markdown
+  FROM documents)"""
+STRIP = r"'^[\s\x0b]+|[\s\x0b]+$', '', 'g'"
+SECTIONS = rf"""{POOL},
+parts AS (SELECT paper_id, list_filter(string_split_regex(markdown, '(?m)^##[ \t]+'), lambda p: regexp_replace(p, {STRIP}) <> '') AS ps FROM pool),
+cut AS (SELECT paper_id, u.i - 1 AS section_index, ps[u.i] AS part FROM parts, unnest(range(1, len(ps) + 1)) AS u(i)),
+heads AS (
+  SELECT paper_id, section_index::INTEGER AS section_index, regexp_replace(string_split(part, chr(10))[1], {STRIP}) AS heading,
+         regexp_replace(substr(part, length(string_split(part, chr(10))[1]) + 2), {STRIP}) AS body FROM cut),
+sections AS (
+  SELECT *, nullif(regexp_extract(heading, '^\s*(\d+(?:\.\d+)*)\.?\s+(.*\S)\s*$', 1), '') AS number,
+         CASE WHEN regexp_matches(heading, '^\s*(\d+(?:\.\d+)*)\.?\s+(.*\S)\s*$') THEN regexp_extract(heading, '^\s*(\d+(?:\.\d+)*)\.?\s+(.*\S)\s*$', 2) ELSE heading END AS title
+  FROM heads)"""
+
+
+@query(r"SELECT doc_id, (floor(len(list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) * 1.33::DOUBLE) + 1)::INTEGER AS approx_tokens FROM documents")
+def approx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.approx_tokens(F.col("text")).alias("approx_tokens"))
+
+
+@query(f"WITH {SECTIONS} SELECT paper_id, section_index, number, title, md5(body) AS body_md5 FROM sections")
+def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.split_sections(pool(spark, sf_dir)).select("paper_id", "section_index", "number", "title", F.md5("body").alias("body_md5"))
+
+
+@query(f"""WITH {SECTIONS}, t AS (SELECT paper_id, heading AS paper_title FROM sections WHERE section_index = 0)
+SELECT paper_id, section_index, paper_title || CASE WHEN number IS NOT NULL THEN ' > ' || number || ' ' || title WHEN section_index > 0 THEN ' > ' || title ELSE '' END AS breadcrumb
+FROM sections JOIN t USING (paper_id)""")
+def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.breadcrumbs(C.split_sections(pool(spark, sf_dir))).select("paper_id", "section_index", "breadcrumb")
+
+
+KEPT = rf"""{SECTIONS},
+said AS (SELECT *, list_filter(string_split_regex(body, '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS ws, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^\s*\|')) AS rs FROM sections),
+judged AS (
+  SELECT *, (floor(len(ws) * 1.33::DOUBLE) + 1)::INTEGER AS n,
+    len(rs) < 2 AND (regexp_matches(body, '(?i)^(figure|table)\s+\d') OR regexp_matches(body, '(?i)(figure|table)\s+\d+\s*\|')
+      OR (len(ws) > 0 AND len(list_filter(ws, lambda w: regexp_matches(w, '^[\d.,%()\-]+$')))::DOUBLE / greatest(len(ws), 1) > 0.4)) AS noise
+  FROM said),
+kept AS (SELECT * FROM judged WHERE body <> '' AND n >= 20 AND (number IS NOT NULL OR NOT noise)
+  AND NOT regexp_matches(title, '(?i)^(references|bibliography|contents|table of contents|acknowledge?ments?|contributors?|core contributors?|tech leads?|advisors?|appendix\s*$|nvidia\s*$|.*\bteam\s*$)'))"""
+
+
+@query(f"WITH {KEPT} SELECT paper_id, section_index FROM kept")
+def skip_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.indexable(C.split_sections(pool(spark, sf_dir))).select("paper_id", "section_index")
+
+
+@query(f"WITH {KEPT} SELECT paper_id, section_index, noise FROM judged")
+def caption_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.split_sections(pool(spark, sf_dir)).select("paper_id", "section_index", C.is_caption_noise(F.col("body")).alias("noise"))
+
+
+@query(f"WITH {KEPT} SELECT paper_id, section_index, md5(concat_ws('|', paper_id, section_index, coalesce(number, ''), title, 0)) AS chunk_id FROM kept")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = C.indexable(C.split_sections(pool(spark, sf_dir)))
+    return s.select("paper_id", "section_index", C.chunk_id(F.col("paper_id").cast("string"), F.col("section_index"), F.col("number"), F.col("title"), F.lit(0)).alias("chunk_id"))
+
+
+@query(rf"""WITH {KEPT}, placed AS (
+  SELECT paper_id, number, title, body, section_index, instr(markdown, '## ' || heading || chr(10) || chr(10) || body) + length('## ' || heading || chr(10) || chr(10)) - 1 AS a
+  FROM kept JOIN pool USING (paper_id) WHERE section_index > 0)
+SELECT paper_id, number, title, a::INTEGER AS "start", (a + length(body))::INTEGER AS "end", md5(body) AS body_md5 FROM placed""")
+def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = C.section_spans(pool(spark, sf_dir), min_tokens=20)
+    return s.select("paper_id", "number", "title", "start", "end", F.md5("body").alias("body_md5"))
+
+
+@query(f"WITH {SECTIONS} SELECT paper_id, section_index, CASE WHEN number IS NOT NULL THEN len(string_split(number, '.')) ELSE 0 END::INTEGER AS depth FROM sections")
+def outline_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.outline_depth(C.split_sections(pool(spark, sf_dir))).select("paper_id", "section_index", "depth")
+
+
+@query()
+def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: packing is a fold over blocks; unit tests hold it against hand-computed cases."""
+    return C.chunks(pool(spark, sf_dir).select(F.col("paper_id").cast("string").alias("paper_id"), "markdown"), max_tokens=120, overlap_tokens=25)
+
+
+@query("""WITH d AS (SELECT doc_id::VARCHAR AS p, hex(encode(doc_id::VARCHAR)) || '00' || upper(sha256(text)) AS h FROM documents)
+SELECT sha256(unhex(string_agg(h, '' ORDER BY p)))[1:16] AS fingerprint FROM d""")
+def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.col("text").alias("markdown"))
+    return C.fingerprint(d)
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '\\s+', ' ', 'g')) AS html FROM pages")
+def strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.trim(F.regexp_replace(T.without_comments(F.col("html")), r"\s+", " ")).alias("html"))
