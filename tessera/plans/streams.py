@@ -1 +1,34 @@
-"""Placeholder."""
+"""Named stream queries: batch twins of the streaming plans, over ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.plans.catalogue import query, table
+from tessera.streaming import streams as S
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.tumbling(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("""SELECT w AS window_start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY w""")
+def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sliding(table(spark, sf_dir, "events"))
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sessions(table(spark, sf_dir, "events"))
+
+
+@query(r"""WITH d AS (SELECT conv_id AS stream_id, turn, CASE WHEN turn % 2 = 0 THEN '<think>' || text || '</think>' ELSE text END AS delta FROM conversations)
+SELECT stream_id, regexp_replace(string_agg(delta, '' ORDER BY turn, delta), '<think>.*?(</think>|\z)', '', 'gs') AS text FROM d GROUP BY stream_id""")
+def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    d = c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think>"))).otherwise(F.col("text")).alias("delta"))
+    return S.visible_text_batch(d)
