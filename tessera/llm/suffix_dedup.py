@@ -153,13 +153,29 @@ def _runs(sorted_keys: np.ndarray, values: np.ndarray):
             yield int(sorted_keys[a]), values[a:b]
 
 
-def _by_document(doc: np.ndarray, data: np.ndarray, who: np.ndarray) -> pd.DataFrame:
-    order = np.argsort(doc, kind="stable")
-    rows = [(who[d, 0], who[d, 1], data[piece].tobytes()) for d, piece in _runs(doc[order], order)]
-    return pd.DataFrame(rows, columns=["ord", "tid", "data"]).astype({"ord": "int64", "tid": "int64"})
+def _to_owners(doc: np.ndarray, data: np.ndarray, who: np.ndarray, groups: int) -> pd.DataFrame:
+    """Entries on their way back to their documents: a row for each group of documents, not for each document."""
+    group = who[doc, 1] % groups
+    order = np.lexsort((doc, group))
+    rows = [_packed(g, True, doc[piece], who[:, 0], who[:, 1], data[piece]) for g, piece in _runs(group[order], order)]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
 
 
-def _repeated_anchors(rows: pd.DataFrame) -> pd.DataFrame:
+def _by_document(dtype):
+    """One group of documents: for each, all entries that came back."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        doc, data, who = _unpacked(rows, dtype)
+        keys, own = np.unique(who, axis=0, return_inverse=True)
+        doc = own.ravel()[doc]
+        order = np.argsort(doc, kind="stable")
+        out = [(keys[d, 0], keys[d, 1], data[piece].tobytes()) for d, piece in _runs(doc[order], order)]
+        return pd.DataFrame(out, columns=["ord", "tid", "data"]).astype({"ord": "int64", "tid": "int64"})
+
+    return run
+
+
+def _repeated_anchors(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Step 1, one bucket: for each document, its anchor hashes that another document has."""
     doc, h, who = _unpacked(rows[~rows["settled"]], np.uint32)
     order = np.argsort(h, kind="stable")
@@ -170,7 +186,7 @@ def _repeated_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     np.logical_or.at(shared, group, ds != ds[np.flatnonzero(new)][group])
     open_ = order[shared[group]]
     seen = _unpacked(rows[rows["settled"]], np.uint32)
-    return pd.concat([_by_document(doc[open_], h[open_], who), _by_document(*seen)], ignore_index=True)
+    return pd.concat([_to_owners(doc[open_], h[open_], who, buckets), _to_owners(*seen, buckets)], ignore_index=True)
 
 
 ENTRY = np.dtype([("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (CONTEXT,))])
@@ -187,7 +203,7 @@ def _emit_contexts(buckets: int):
                 ids, tids = part["ord"].to_numpy(np.int64), part["tid"].to_numpy(np.int64)
                 at, h = anchors(data, starts, ends)
                 doc = np.searchsorted(ends, at, "right")
-                wanted = [np.frombuffer(b"".join(x), np.uint32) for x in part["data"]]
+                wanted = [np.frombuffer(x, np.uint32) for x in part["data"]]
                 mine = np.repeat(np.arange(len(wanted), dtype=np.uint64), [len(x) for x in wanted]) << np.uint64(32) | np.concatenate([*wanted, np.empty(0, np.uint32)]).astype(np.uint64)
                 hit = np.isin(doc.astype(np.uint64) << np.uint64(32) | h.astype(np.uint32).astype(np.uint64), mine)
                 at, h, doc = at[hit], h[hit], doc[hit]
@@ -254,10 +270,10 @@ def refined(bytes_: np.ndarray) -> np.ndarray:
     return _ranks(b32[:, : -(LENGTH - 32)], b32[:, LENGTH - 32 :])
 
 
-def _smaller_elsewhere(rows: pd.DataFrame) -> pd.DataFrame:
+def _smaller_elsewhere(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Step 3, one bucket: for each document, the spans that a smaller one has too."""
     doc, entry, who = _unpacked(rows[~rows["settled"]], ENTRY)
-    found = [_by_document(*_unpacked(rows[rows["settled"]], SPAN))]
+    found = [_to_owners(*_unpacked(rows[rows["settled"]], SPAN), buckets)]
     if len(doc):
         ids = who[doc, 0]
         same = _classes(entry)
@@ -288,7 +304,7 @@ def _smaller_elsewhere(rows: pd.DataFrame) -> pd.DataFrame:
         _, b = np.nonzero(edge == -1)
         spans = np.zeros(len(i), SPAN)
         spans["start"], spans["stop"] = entry["pos"][i] - SIDE + a, entry["pos"][i] - SIDE + b - 1 + LENGTH
-        found.append(_by_document(doc[i], spans, who))
+        found.append(_to_owners(doc[i], spans, who, buckets))
     return pd.concat(found, ignore_index=True)
 
 
@@ -297,7 +313,7 @@ def _applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for text, data in zip(batch["text"], batch["data"]):
             raw = text.encode()
-            spans = np.sort(np.frombuffer(b"".join(data), SPAN), order="start")
+            spans = np.sort(np.frombuffer(data, SPAN), order="start")
             stop = np.maximum.accumulate(spans["stop"])
             new = np.r_[True, spans["start"][1:] > stop[:-1]] if len(spans) else np.empty(0, bool)
             starts, stops = spans["start"][new], stop[np.r_[new[1:], True]] if len(spans) else stop
@@ -331,12 +347,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
     long_enough = own.filter(F.col("n_bytes") >= LENGTH)
     hashes = long_enough.select("ord", "tid", "text").mapInPandas(_emit_anchors(buckets), ROWS)
-    repeated = hashes.groupBy("bucket").applyInPandas(_repeated_anchors, FOUND)
-    repeated = stored(repeated.groupBy("ord", "tid").agg(F.collect_list("data").alias("data")), "suffix-anchors")
+    repeated = hashes.groupBy("bucket").applyInPandas(lambda rows: _repeated_anchors(rows, buckets), ROWS)
+    repeated = stored(repeated.groupBy("bucket").applyInPandas(_by_document(np.uint32), FOUND), "suffix-anchors")
 
     contexts = long_enough.select("ord", "tid", "text").join(repeated, ["ord", "tid"]).mapInPandas(_emit_contexts(buckets), ROWS)
-    spans = contexts.groupBy("bucket").applyInPandas(_smaller_elsewhere, FOUND)
-    spans = stored(spans.groupBy("ord", "tid").agg(F.collect_list("data").alias("data")), "suffix-spans")
+    spans = contexts.groupBy("bucket").applyInPandas(lambda rows: _smaller_elsewhere(rows, buckets), ROWS)
+    spans = stored(spans.groupBy("bucket").applyInPandas(_by_document(SPAN), FOUND), "suffix-spans")
 
     touched = own.join(spans, ["ord", "tid"])
     cut = touched.select("ord", "n_bytes", "text", "data").mapInPandas(_applied, "ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
