@@ -7,9 +7,9 @@ Bands of registers give buckets; links are verified by the exact Jaccard of the
 and the classes are the components of the verified links.
 
 A bucket is never expanded into pairs. Its members are compared with a hub, and what is then connected is done
-with; only members of one bucket that are still in different components are compared further, first with the
-best connected hubs, then all such pairs. Copies are settled by a digest and take no part. So every pair of a
-bucket is verified or already connected.
+with. Of the members that are still in different components, those pairs are compared that the triangle
+inequality of the distances to the hub leaves open. Copies are settled by a digest and take no part. So every pair
+of a bucket is verified, connected, or known to be too far apart.
 
 Defined results: words are split at white space and lower-cased; a text of one to four words is one shingle;
 texts without words are copies of each other; a null text is an empty one; a class is named by its smallest
@@ -30,13 +30,11 @@ from pyspark.sql import types as T
 from tessera.llm.common import stored
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of 16-byte digests up to which a table is broadcast.
 BROADCAST_ROWS = 300_000
-#: All remaining pairs are compared once there are at most so many for each member of an open bucket.
-PAIRS_EACH = 8
 _U = np.uint64
 
 
@@ -155,13 +153,17 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard of SIMILAR or more."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with ``shared`` and ``total``: sizes of intersection and union."""
     one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t")).filter(F.col("s") >= SIMILAR * (F.col("t") - F.col("s")) - 1e-9).select("a", "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("t"))
+    return both.select("a", "b", "shared", (F.col("t") - F.col("shared")).alias("total"))
+
+
+def _alike() -> Column:
+    return F.col("shared") >= SIMILAR * F.col("total") - 1e-9
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -201,51 +203,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = stored(members.select("key").distinct(), "near-wanted")
     sets = stored(own.join(_few(wanted), "key", "left_semi").mapInPandas(_sets, "key binary, shingles array<bigint>").dropDuplicates(["key"]), "near-sets")
 
-    # Each member with its most frequent hub; then with its other hubs, where that has not joined them.
-    pairs = stored(members.filter("key != hub").groupBy(F.col("hub").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("n")), "near-pairs")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    links = stored(_verified(best, sets), "near-links")
-    comps = components(links)
-    tested = pairs.select("a", "b")
-    rest = _named(_named(pairs.join(best, ["a", "b"], "left_anti"), comps, "a", "ca"), comps, "b", "cb").filter("ca != cb")
-    links = stored(links.unionByName(_verified(rest, sets)), "near-links")
+    # Each member with the hub of each of its buckets.
+    pairs = members.filter("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    hubs = stored(_compared(pairs, sets), "near-hubs")
+    links = stored(hubs.filter(_alike()).select("a", "b"), "near-links")
     comps = components(links)
 
-    while True:
-        m = _named(members.select("bucket", "key", "n"), comps, "key", "comp")
-        parts = m.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-        opened = parts.groupBy("bucket").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        opened = stored(opened, "near-open")
-        size = opened.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()
-        if not size[0]:
-            break
-        m = stored(m.join(opened.select("bucket"), "bucket"), "near-open-members")
-        last = size[1] <= PAIRS_EACH * size[0]
-        if last:
-            x = m
-        else:
-            # A text with many verified links is near the middle of its class.
-            degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("d"))
-            used = tested.select(F.col("a").alias("key")).distinct()
-            able = m.join(used, "key", "left_anti").join(degree, "key", "left")
-            x = able.groupBy("bucket").agg(F.max_by(F.struct("key", "n", "comp"), F.struct(F.coalesce("d", F.lit(0)), "key")).alias("h")).select("bucket", "h.*")
-        y = m.select("bucket", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        close = (F.col("n") >= SIMILAR * F.col("nb") - 1e-9) & (F.col("nb") >= SIMILAR * F.col("n") - 1e-9)
-        order = (F.col("key") < F.col("b")) if last else F.col("key") != F.col("b")
-        more = x.join(y, "bucket").filter((F.col("comp") != F.col("cb")) & order & close).select(F.col("key").alias("a"), "b").distinct()
-        flipped = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        more = stored(more.join(tested, ["a", "b"], "left_anti").join(flipped, ["a", "b"], "left_anti"), "near-more")
-        if not last and more.isEmpty():
-            # No hub is left to try: an empty round is recorded, so that the next one takes others.
-            tested = stored(tested.unionByName(x.select(F.col("key").alias("a"), F.col("key").alias("b"))), "near-tested")
-            if x.isEmpty():
-                break
-            continue
-        links = stored(links.unionByName(_verified(more, sets)), "near-links")
+    # The other pairs of a bucket, where they are not in one component yet. Jaccard distance is a metric: where the
+    # distances to the hub differ by more than 1 - SIMILAR, the pair can't be alike, and needs no look.
+    far = F.when(F.col("key") == F.col("hub"), 0.0).otherwise(1.0 - F.col("shared") / F.col("total"))
+    m = members.join(hubs.select(F.col("a").alias("hub"), F.col("b").alias("key"), "shared", "total"), ["hub", "key"], "left").select("bucket", "key", "n", far.alias("far"))
+    m = _named(m, comps, "key", "comp")
+    opened = m.groupBy("bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p != q").select("bucket")
+    m = stored(m.join(opened, "bucket"), "near-open")
+    y = m.select("bucket", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("far").alias("fb"))
+    near = F.abs(F.col("far") - F.col("fb")) <= 1.0 - SIMILAR + 1e-9
+    near &= (F.col("n") >= SIMILAR * F.col("nb") - 1e-9) & (F.col("nb") >= SIMILAR * F.col("n") - 1e-9)
+    more = m.join(y, "bucket").filter((F.col("comp") != F.col("cb")) & (F.col("key") < F.col("b")) & near).select(F.col("key").alias("a"), "b").distinct()
+    known = hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = stored(more.join(known, ["a", "b"], "left_anti"), "near-more")
+    if not more.isEmpty():
+        links = stored(links.unionByName(_compared(more, sets).filter(_alike()).select("a", "b")), "near-links")
         comps = components(links)
-        if last:
-            break
-        tested = stored(tested.unionByName(more).unionByName(x.select(F.col("key").alias("a"), F.col("key").alias("b"))), "near-tested")
 
     # Class names: the smallest doc_id of all copies of all members.
     grouped = _named(wanted, comps, "key", "comp")
