@@ -3,7 +3,8 @@
 The passages of all documents make a TF-IDF matrix over the benchmark's terms. A randomised SVD of it is found in
 one pass: each task multiplies its passages' part of A'A with the same random test matrix, the small products are
 summed, and the right singular vectors follow from the sum (Nystroem's form). Items and passages are compared by
-the cosine of their projections, among passages that hold enough of an item's TF-IDF energy at all. Candidates are
+the cosine of their projections, where the document has enough of the item's words at all (without which it can't
+have them in order) and the passage enough of its TF-IDF energy. Candidates are
 then read word by word: the longest common subsequence with the item, and its rarest terms (its answer, where the
 benchmark has such a column), must be there, so reworded copies are found and shared topics are not.
 
@@ -53,6 +54,16 @@ class Index:
     vectors: np.ndarray  # terms x rank
     parts: list[tuple]  # (item number, word ids, ids of the answer)
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # blocks -> part numbers, unit projections, energies
+    flat: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # words of all parts and where each begins; the same of answers
+
+    def possible(self, ids: np.ndarray) -> np.ndarray:
+        """Parts of which a text holds enough words, in any order, to have them in order: a bound that loses nothing."""
+        there = np.zeros(len(self.vocabulary) + 1, bool)
+        there[ids] = True
+        there[-1] = False
+        words, begin, told, start = self.flat
+        share = lambda x, at: np.add.reduceat(there[x].astype(np.int32), at) / np.diff(np.r_[at, len(x)])
+        return (share(words, begin) >= COMMON) & (share(told, start) >= ANSWER)
 
 
 def _ids(text: str, vocabulary: dict[str, int]) -> np.ndarray:
@@ -175,7 +186,10 @@ def build(docs: DataFrame, items: list[tuple]) -> Index | None:
         grouped.setdefault(-(-len(ids) // BLOCK) + 1, []).append((len(parts), q / max(np.linalg.norm(q), 1e-12), (idf[ids] ** 2).sum()))
         parts.append((number, ids, frozenset(int(x) for x in told)))
     by_length = {n: (np.array([x[0] for x in v]), np.array([x[1] for x in v], np.float32), np.array([x[2] for x in v])) for n, v in grouped.items()}
-    return Index(vocabulary, idf, vectors, parts, by_length)
+    begins = lambda xs: np.cumsum([0, *map(len, xs)])[:-1]
+    items, answers = [p[1] for p in parts], [sorted(p[2]) for p in parts]
+    flat = (np.concatenate(items), begins(items), np.concatenate(answers).astype(np.int64), begins(answers))
+    return Index(vocabulary, idf, vectors, parts, by_length, flat)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -198,6 +212,9 @@ def search(text: str, index: Index) -> list[tuple]:
     known = ids >= 0
     if known.sum() < LEAST * COMMON:
         return []
+    possible = index.possible(ids)
+    if not possible.any():
+        return []
     blocks = -(-len(ids) // BLOCK)
     at = np.flatnonzero(known)
     projected, energy = np.zeros((blocks, index.vectors.shape[1]), np.float32), np.zeros(blocks)
@@ -208,6 +225,10 @@ def search(text: str, index: Index) -> list[tuple]:
     energies = np.r_[0, np.cumsum(energy)]
     best: dict[int, tuple[float, float]] = {}
     for n, (numbers, vectors, needed) in index.by_length.items():
+        some = possible[numbers]
+        if not some.any():
+            continue
+        numbers, vectors, needed = numbers[some], vectors[some], needed[some]
         first = np.arange(max(1, blocks - n + 1))
         last = np.minimum(first + n, blocks)
         held = energies[last] - energies[first]
