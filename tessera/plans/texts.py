@@ -102,3 +102,11 @@ def arxiv_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT page_id, regexp_matches(url, '^(?i:https?)://[^\x00-\x20\x7f/@?#]+([/?#][^\x00-\x1f\x7f]*)?$') AS safe, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title FROM pages""")
 def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.is_safe_url(F.col("url")).alias("safe"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"))
+
+
+@query()
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: a tree walk; unit tests hold it against written cases."""
+    from tessera.sources.html import render
+
+    return render(table(spark, sf_dir, "pages"))
