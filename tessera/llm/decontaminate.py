@@ -128,7 +128,8 @@ def _products(shared):
                 new = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0])
                 z[term[order][new]] += np.add.reduceat(y[row[order]] * weight[order][:, None], new, axis=0)
         at = np.flatnonzero(np.abs(z).sum(1))
-        yield pd.DataFrame({"term": at, "z": list(z[at])})
+        if len(at):
+            yield pd.DataFrame({"term": at, "z": pd.Series(list(z[at]), dtype=object)})
 
     return run
 
@@ -158,7 +159,7 @@ def build(docs: DataFrame, items: list[tuple]) -> Index | None:
         return None
     if len(vocabulary) > TERMS:
         raise ValueError(f"{len(vocabulary)} terms in a block of items; the bound is {TERMS}: use smaller blocks")
-    texts = docs.select("text")
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = texts.mapInPandas(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = np.zeros(len(vocabulary) + 1)
     for r in counts.collect():
@@ -272,8 +273,8 @@ def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[list, obje
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``item_id``, ``common`` and ``cosine``: a row for each document and item it leaks."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = "doc_id long, item_id long, common double, cosine double"
+    d = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = "doc_id string, item_id long, common double, cosine double"
     found = None
     for names, shared in _indexes(d, benchmark):
 
@@ -281,11 +282,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             for batch in batches:
                 hits = [(doc, names[n], round(share, 6), round(cosine, 4)) for doc, text in zip(batch["doc_id"], batch["text"]) for n, share, cosine in search(text, shared.value)]
                 out = pd.DataFrame(hits, columns=["doc_id", "item_id", "common", "cosine"])
-                yield out.astype({"doc_id": "Int64", "item_id": "Int64", "common": float, "cosine": float})
+                yield out.astype({"doc_id": object, "item_id": "Int64", "common": float, "cosine": float})
 
         pairs = stored(d.mapInPandas(run, schema), "leaks")
         found = pairs if found is None else found.unionByName(pairs)
-    return found if found is not None else docs.sparkSession.createDataFrame([], schema)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...]) -> DataFrame:
