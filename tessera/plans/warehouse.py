@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.plans.catalogue import query, table
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+REVENUE = "l_extendedprice * (1 - l_discount)"
 
 
 @query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial sums by customer's nation; only the fixed table of nations is broadcast by hand."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", REVENUE.alias("r"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(REVENUE).alias("r"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     per_order = lines.groupBy("l_orderkey").agg(F.sum("r").alias("r"))
