@@ -2,11 +2,13 @@
 
 The passages of all documents make a TF-IDF matrix over the benchmark's terms. A randomised SVD of it is found in
 one pass: each task multiplies its passages' part of A'A with the same random test matrix, the small products are
-summed, and the right singular vectors follow from the sum (Nystroem's form). Items and passages are compared by
-the cosine of their projections, where the document has enough of the item's words at all (without which it can't
-have them in order) and the passage enough of its TF-IDF energy. Candidates are
+summed, and the right singular vectors follow from the sum (Nystroem's form). Candidates are all passages that hold
+enough of an item's words in any order, without which they can't hold them in order: first the document as a whole
+is asked, then each passage of it. Candidates are
 then read word by word: the longest common subsequence with the item, and its rarest terms (its answer, where the
-benchmark has such a column), must be there, so reworded copies are found and shared topics are not.
+benchmark has such a column), must be there, so reworded copies are found and shared topics are not. Of passages that
+share as much with an item, the one with the best cosine of the projections stands for the leak; no passage is
+dropped for its cosine.
 
 Items are taken in blocks of ``ITEMS``; what is broadcast is a block's vocabulary and vectors, at most
 ``TERMS`` terms. Statistics, singular vectors and search cover all passages of all documents, whole.
@@ -34,8 +36,6 @@ from tessera.llm.common import stored
 PASSAGE, BLOCK, PART = 64, 16, 64
 RANK, OVERSAMPLE, SEED = 64, 16, 7
 ITEMS, TERMS, LEAST = 1000, 200_000, 5
-#: Candidates: cosine in the latent space, and TF-IDF energy against the item's.
-COSINE, ENERGY = 0.35, 0.4
 #: Leaks: share of the item's words in order, and share of its rarest terms or of its answer.
 COMMON, RAREST, ANSWER = 0.6, 8, 0.5
 WORD = re.compile(r"\w+")
@@ -50,10 +50,8 @@ class Index:
     """One block of items; everything a task needs to search."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
     vectors: np.ndarray  # terms x rank
-    parts: list[tuple]  # (item number, word ids, ids of the answer)
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # blocks -> part numbers, unit projections, energies
+    parts: list[tuple]  # (item number, word ids, unit projection, distinct ids of words and answer, how often the words have each, 1 for those of the answer)
     flat: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # words of all parts and where each begins; the same of answers
 
     def possible(self, ids: np.ndarray) -> np.ndarray:
@@ -175,22 +173,21 @@ def build(docs: DataFrame, items: list[tuple]) -> Index | None:
     vectors = singular_vectors(z, _random(len(vocabulary)).astype(float)) if np.abs(z).sum() else np.eye(len(vocabulary), min(RANK, len(vocabulary)))
     vectors = (idf[:, None] * vectors).astype(np.float32)
 
-    parts, grouped = [], {}
+    parts, answers = [], []
     for number, w, answer in split:
         ids = np.array([vocabulary[x] for x in w], np.int32)
-        if answer:
-            told = [vocabulary[x] for x in answer]
-        else:
-            own = np.unique(ids)
-            told = own[np.argsort(-idf[own], kind="stable")[:RAREST]]
+        own, often = np.unique(ids, return_counts=True)
+        told = np.unique([vocabulary[x] for x in answer]) if answer else own[np.argsort(-idf[own], kind="stable")[:RAREST]]
+        terms = np.union1d(own, told)
+        counts = np.zeros(len(terms), np.int64)
+        counts[np.searchsorted(terms, own)] = often
         q = vectors[ids].sum(0)
-        grouped.setdefault(-(-len(ids) // BLOCK) + 1, []).append((len(parts), q / max(np.linalg.norm(q), 1e-12), (idf[ids] ** 2).sum()))
-        parts.append((number, ids, frozenset(int(x) for x in told)))
-    by_length = {n: (np.array([x[0] for x in v]), np.array([x[1] for x in v], np.float32), np.array([x[2] for x in v])) for n, v in grouped.items()}
+        parts.append((number, ids, q / max(np.linalg.norm(q), 1e-12), terms, counts, np.isin(terms, told).astype(np.int64)))
+        answers.append(told)
     begins = lambda xs: np.cumsum([0, *map(len, xs)])[:-1]
-    items, answers = [p[1] for p in parts], [sorted(p[2]) for p in parts]
+    items = [p[1] for p in parts]
     flat = (np.concatenate(items), begins(items), np.concatenate(answers).astype(np.int64), begins(answers))
-    return Index(vocabulary, idf, vectors, parts, by_length, flat)
+    return Index(vocabulary, vectors, parts, flat)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -213,41 +210,29 @@ def search(text: str, index: Index) -> list[tuple]:
     known = ids >= 0
     if known.sum() < LEAST * COMMON:
         return []
-    possible = index.possible(ids)
-    if not possible.any():
-        return []
     blocks = -(-len(ids) // BLOCK)
-    at = np.flatnonzero(known)
-    projected, energy = np.zeros((blocks, index.vectors.shape[1]), np.float32), np.zeros(blocks)
-    cut = np.flatnonzero(np.r_[True, np.diff(at // BLOCK) > 0])
-    projected[at[cut] // BLOCK] = np.add.reduceat(index.vectors[ids[at]], cut, axis=0)
-    energy[at[cut] // BLOCK] = np.add.reduceat(index.idf[ids[at]] ** 2, cut)
-    sums = np.concatenate([np.zeros((1, projected.shape[1])), np.cumsum(projected, axis=0, dtype=np.float64)])
-    energies = np.r_[0, np.cumsum(energy)]
+    slot = np.full(len(index.vocabulary) + 1, -1, np.int32)
     best: dict[int, tuple[float, float]] = {}
-    for n, (numbers, vectors, needed) in index.by_length.items():
-        some = possible[numbers]
-        if not some.any():
-            continue
-        numbers, vectors, needed = numbers[some], vectors[some], needed[some]
+    for part in np.flatnonzero(index.possible(ids)).tolist():
+        number, item, unit, terms, counts, told = index.parts[part]
+        n = -(-len(item) // BLOCK) + 1
         first = np.arange(max(1, blocks - n + 1))
         last = np.minimum(first + n, blocks)
-        held = energies[last] - energies[first]
-        some = np.flatnonzero(held >= ENERGY * needed.min())
-        if not len(some):
-            continue
-        p = (sums[last[some]] - sums[first[some]]).astype(np.float32)
-        p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-        near = p @ vectors.T
-        for i, j in np.argwhere((near >= COSINE) & (held[some][:, None] >= ENERGY * needed)):
-            number, item, answer = index.parts[numbers[j]]
-            window = ids[first[some[i]] * BLOCK : last[some[i]] * BLOCK]
-            present = set(window.tolist())
-            if len(answer & present) < ANSWER * len(answer) or sum(x in present for x in item.tolist()) < COMMON * len(item):
-                continue
+        slot[terms] = np.arange(len(terms))
+        place = slot[ids]
+        slot[terms] = -1
+        at = np.flatnonzero(place >= 0)
+        there = np.zeros((len(terms), blocks + 1), np.int32)
+        there[place[at], at // BLOCK + 1] = 1
+        there = np.cumsum(there, axis=1)
+        present = there[:, last] > there[:, first]
+        for i in np.flatnonzero((counts @ present / len(item) >= COMMON) & (told @ present / told.sum() >= ANSWER)).tolist():
+            window = ids[first[i] * BLOCK : last[i] * BLOCK]
             share = common_subsequence(item, window) / len(item)
-            if share >= COMMON and (share, float(near[i, j])) > best.get(number, (0.0, 0.0)):
-                best[number] = (share, float(near[i, j]))
+            if share >= COMMON and share >= best.get(number, (0.0, 0.0))[0]:
+                p = index.vectors[window[window >= 0]].sum(0)
+                found = (share, float(p @ unit / max(np.linalg.norm(p), 1e-12)))
+                best[number] = max(found, best.get(number, found))
     return [(number, *x) for number, x in best.items()]
 
 

@@ -217,3 +217,46 @@ def test_mixing_meets_its_targets_and_shuns_toxic_documents(spark):
     assert rates[1] < 0.5 * rates[0]
     odd = frame(spark, [(1, None), (None, "a b")])
     assert mixing.mix(odd, labels.limit(0)).count() == 2
+
+
+def test_every_planted_item_is_found(spark):
+    """Recall against brute force: each item stands word for word, and with three tenths of its words gone, in real documents."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    items = [(r["item_id"], r["text"], None) for r in bench.orderBy("item_id").collect()]
+    index = decontaminate.build(docs, items)
+    short = docs.filter(F.size(F.split("text", " ")).between(40, 400)).orderBy(F.xxhash64("doc_id")).limit(30).collect()
+    random.seed(11)
+
+    def planted(host, words):
+        at = random.randrange(len(host) + 1)
+        return [*host[:at], *words, *host[at:]]
+
+    lost = [
+        (n, r["doc_id"])
+        for n, text, _ in items
+        for r in short
+        if n not in {x[0] for x in decontaminate.search(" ".join(planted(decontaminate.words(r["text"]), decontaminate.words(text))), index)}
+    ]
+    assert not lost
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    names = {i: w for w, i in index.vocabulary.items()}
+    for r in short[:6]:
+        for n, text, _ in items:
+            doc = planted(decontaminate.words(r["text"]), [w for w in decontaminate.words(text) if random.random() < 0.7])
+            want = False
+            for number, ids, _, terms, _, told in index.parts:
+                item, rare = [names[i] for i in ids.tolist()], {names[i] for i in terms[told == 1].tolist()}
+                wide = (-(-len(item) // 16) + 1) * 16
+                for k in range(0, max(1, len(doc) - wide + 16), 16) if number == n else ():
+                    window = doc[k : k + wide]
+                    want |= 2 * len(rare & set(window)) >= len(rare) and length(item, window) >= 0.6 * len(item)
+            assert (n in {x[0] for x in decontaminate.search(" ".join(doc), index)}) == want, (n, r["doc_id"])
