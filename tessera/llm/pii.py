@@ -10,7 +10,11 @@ Everything is column expressions inside a row: no shuffle, no Python.
 
 Defined results: a null text stays null and has no findings; an empty one stays empty; ids may be null or
 repeated; an empty table gives an empty result; matches that don't validate (a wrong check digit, a month
-13) stay as they are. Other columns of the input are not read.
+13) stay as they are. Other columns of the input are not read. Cards are looked for in what the other kinds leave
+(their failed matches too): 13 to 19 digits from the start of one digit group to the end of one, groups parted by
+single blanks or hyphens. Every such run is tested, those of a usual card's shape first, then the rest, the longest
+at each place first. Phones are ten digits written 3-3-4, with or without a country code, and + with 8 to 15 digits
+without separators (E.164); other national groupings are not matched.
 """
 
 from __future__ import annotations
@@ -27,11 +31,18 @@ PATTERNS = {
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
     "date": r"(?<![A-Za-z0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9/-])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+[1-9][0-9]{0,2}[\x20.-]?)?(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![A-Za-z0-9-])",
-    "card": r"(?<![A-Za-z0-9.])[0-9](?:[\x20-]?[0-9]){12,18}(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9+])(?:(?:\+[1-9][0-9]{0,2}[\x20.-]?)?(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}|\+[1-9][0-9]{7,14})(?![A-Za-z0-9-])",
 }
-KINDS = tuple(PATTERNS)
+KINDS = (*PATTERNS, "card")
 ANY = "|".join(PATTERNS.values())
+#: Where cards may be: digits, blanks and hyphens, and the word that ends them; character classes only, so that the matcher doesn't recurse.
+AREA = r"(?<![A-Za-z0-9.])[0-9][0-9\x20-]{12,}+(?:[A-Za-z][A-Za-z0-9]*+)?+"
+GROUP = r"(?<=[\x20-])(?=[0-9])"
+CARDS = tuple(rf"^[0-9](?:[\x20-]?[0-9]){{{n - 1}}}(?![A-Za-z0-9])" for n in range(19, 12, -1))
+#: How cards are written: without separators, 4-4-4-4, 4-6-5 and 4-6-4.
+USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})$"
+#: Country codes of one and of two digits; all others have three.
+ONE, TWO = "^[17]", "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: A text without these holds none of the above.
 HINT = r"[0-9]|@"
 ROUNDS = 8
@@ -104,19 +115,20 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     """Area and exchange codes start with 2 to 9, as they must; the country code stays."""
-    national = lambda d: F.substring(d, F.char_length(d) - 9, F.lit(10))
+    country = lambda d: F.when(~m.startswith("+"), 0).when(d.rlike(ONE), 1).when(d.rlike(TWO), 2).otherwise(3)
 
-    def as_phone(d: Column) -> Column:
-        n = national(d)
+    def as_phone(x: Column) -> Column:
+        n = x["national"]
         area, rest = _long(F.substring(n, 1, 3)) - 200, _long(F.substring(n, 4, 7)) - 2_000_000
         plan = let(
             feistel(area, 800, rest, 8_000_000, key, F.lit("phone")),
             lambda p: F.concat((p["a"] + 200).cast("string"), (p["b"] + 2_000_000).cast("string")),
         )
-        new = F.when(n.rlike("^[2-9][0-9]{2}[2-9]"), plan).otherwise(permute_digits(n, key, F.lit("digits")))
-        return _refill(m, F.concat(F.substring(d, F.lit(1), F.char_length(d) - 10), new))
+        new = F.when(n.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), plan).otherwise(permute_digits(n, key, F.lit("digits")))
+        return _refill(m, F.concat(x["country"], new))
 
-    return let(_only_digits(m), as_phone)
+    parts = lambda d: let(country(d), lambda k: F.struct(F.substring(d, F.lit(1), k).alias("country"), F.substring(d, k + 1, F.char_length(d)).alias("national")))
+    return let(let(_only_digits(m), parts), as_phone)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -185,7 +197,8 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(name, 1, 12), F.lit("@"), F.lit("mail-"), F.substring(name, 13, 6), F.lit(".example"))
 
 
-MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
+SEGMENT = "struct<kind:string,value:string,pseudonym:string>"
 
 
 def _finding(m: Column, key: str) -> Column:
@@ -196,26 +209,82 @@ def _finding(m: Column, key: str) -> Column:
         "ip": m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"),
         "date": m.rlike("^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})$"),
         "ssn": m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
-        "phone": m.rlike(f"^(?:{PATTERNS['phone'].split(')', 1)[1].rsplit('(?!', 1)[0]})$"),
     }
-    kind, new = F.lit("card"), _card(m, key)
+    kind, new = F.lit("phone"), _phone(m, key)
     for k in reversed(shape):
         kind, new = F.when(shape[k], F.lit(k)).otherwise(kind), F.when(shape[k], MAKERS[k](m, key)).otherwise(new)
-    return F.struct(kind.alias("kind"), m.alias("value"), new.alias("pseudonym"))
+    return F.struct(kind.alias("kind"), m.alias("value"), new.alias("pseudonym")).cast(SEGMENT)
 
 
-def findings(text: Column, key: str) -> Column:
-    """All matches of a text, in order, as structs of kind, value and pseudonym."""
-    return F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _finding(m, key))
+def _plain(text: Column) -> Column:
+    return F.struct(F.lit(None).alias("kind"), text.alias("value"), F.lit(None).alias("pseudonym")).cast(SEGMENT)
 
 
-def rewritten(text: Column, found: Column) -> Column:
-    pieces = F.split(text, ANY, -1)
-    glue = let(
-        pieces,
-        lambda s: F.concat(F.array_join(F.transform(found, lambda f, i: F.concat(s[i], F.coalesce(f["pseudonym"], f["value"]))), ""), s[F.size(found)]),
+def _others(text: Column, key: str) -> Column:
+    """The text in segments: valid matches, and what is between them, failed matches included."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _finding(m, key))
+
+    def step(acc: Column, x: Column) -> Column:
+        valid = F.struct(F.concat(acc["out"], F.array(_plain(acc["text"]), x["found"])).alias("out"), x["after"].alias("text"))
+        return F.when(x["found"]["pseudonym"].isNotNull(), valid).otherwise(F.struct(acc["out"].alias("out"), F.concat(acc["text"], x["found"]["value"], x["after"]).alias("text")))
+
+    def join(s: Column) -> Column:
+        start = F.struct(F.array().cast(f"array<{SEGMENT}>").alias("out"), s[0].alias("text"))
+        both = F.transform(found, lambda f, i: F.struct(f.alias("found"), s[i + 1].alias("after")))
+        return F.aggregate(both, start, step, lambda acc: F.concat(acc["out"], F.array(_plain(acc["text"]))))
+
+    return let(F.split(text, ANY, -1), join)
+
+
+def _in_area(area: Column, key: str, usual: bool) -> Column:
+    """The segments of an area: from left to right, at each digit group the longest valid card."""
+
+    def card(groups: Column, i: Column) -> Column:
+        def valid(x: Column) -> Column:
+            return F.struct(F.lit("card").alias("kind"), x.alias("value"), _card(x, key).alias("pseudonym")).cast(SEGMENT)
+
+        runs = let(F.array_join(F.slice(groups, i + 1, 19), ""), lambda j: F.array(*[F.regexp_extract(j, c, 0) for c in CARDS]))
+        runs = F.filter(runs, lambda x: (x != "") & (x.rlike(USUAL) if usual else F.lit(True)) & F.call_function("luhn_check", _only_digits(x)))
+        return F.get(F.filter(F.transform(runs, valid), lambda x: x["pseudonym"].isNotNull()), F.lit(0))
+
+    def scan(groups: Column) -> Column:
+        # ``next`` is the first group that isn't in a segment yet, ``text`` what stands before it.
+        def step(acc: Column, i: Column) -> Column:
+            def taken(c: Column) -> Column:
+                n = F.size(F.split(c["value"], r"[\x20-]"))
+                before = _plain(F.concat(acc["text"], F.array_join(F.slice(groups, acc["next"] + 1, i - acc["next"]), "")))
+                rest = F.substring(F.array_join(F.slice(groups, i + 1, n), ""), F.char_length(c["value"]) + 1, F.char_length(area))
+                new = F.struct(F.concat(acc["out"], F.array(before, c)).alias("out"), (i + n).alias("next"), rest.alias("text"))
+                return F.when(c["value"].isNotNull(), new).otherwise(acc)
+
+            return F.when(i < acc["next"], acc).otherwise(let(card(groups, i), taken))
+
+        start = F.struct(F.array().cast(f"array<{SEGMENT}>").alias("out"), F.lit(0).alias("next"), F.lit("").alias("text"))
+        end = lambda acc: F.concat(acc["out"], F.array(_plain(F.concat(acc["text"], F.array_join(F.slice(groups, acc["next"] + 1, F.size(groups)), "")))))
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, end)
+
+    return let(F.split(area, GROUP, -1), scan)
+
+
+def _cards(text: Column, key: str, usual: bool) -> Column:
+    areas = F.regexp_extract_all(text, F.lit(AREA), F.lit(0))
+    return let(
+        F.split(text, AREA, -1),
+        lambda s: F.concat(F.flatten(F.transform(areas, lambda a, i: F.concat(F.array(_plain(s[i])), _in_area(a, key, usual)))), F.array(_plain(s[F.size(s) - 1]))),
     )
-    return F.when(F.size(found) > 0, glue).otherwise(text)
+
+
+def segments(text: Column, key: str) -> Column:
+    """The whole text, in order, as structs of kind, value and pseudonym; the first and last are null for what stays."""
+
+    def within(usual: bool):
+        return lambda x: F.when(x["kind"].isNull() & x["value"].rlike(AREA), _cards(x["value"], key, usual)).otherwise(F.array(x))
+
+    return F.flatten(F.transform(F.flatten(F.transform(_others(text, key), within(True))), within(False)))
+
+
+def rewritten(text: Column, found: Column) -> Column:
+    return F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda f: F.coalesce(f["pseudonym"], f["value"])), "")).otherwise(text)
 
 
 def pseudonymise(docs: DataFrame, key: str, columns: tuple[str, ...], counts: bool = False, text_col: str = "text") -> DataFrame:
@@ -223,7 +292,7 @@ def pseudonymise(docs: DataFrame, key: str, columns: tuple[str, ...], counts: bo
     names = [f"__c{i}" for i in range(len(columns))]
     d = docs.select(*[docs[c].alias(n) for c, n in zip(columns, names)], docs[text_col].alias("__t"))
     t = F.col("__t")
-    d = d.withColumn("__f", F.when(t.rlike(HINT), findings(t, key)).otherwise(F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")))
+    d = d.withColumn("__f", F.when(t.rlike(HINT), segments(t, key)).otherwise(F.array().cast(f"array<{SEGMENT}>")))
     out = [rewritten(t, F.col("__f")).alias(c) if c == text_col else F.col(n).alias(c) for c, n in zip(columns, names)]
     if counts:
         replaced = lambda k: F.filter("__f", lambda f: (f["kind"] == k) & f["pseudonym"].isNotNull())

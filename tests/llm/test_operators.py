@@ -260,3 +260,25 @@ def test_every_planted_item_is_found(spark):
                     window = doc[k : k + wide]
                     want |= 2 * len(rare & set(window)) >= len(rare) and length(item, window) >= 0.6 * len(item)
             assert (n in {x[0] for x in decontaminate.search(" ".join(doc), index)}) == want, (n, r["doc_id"])
+
+
+def test_cards_beside_other_numbers_and_compact_phones(spark):
+    a, b = "4111111111111111", "4111 1111 1111 1111"
+    texts = [f"{a} 12/27", f"{b} 123", f"no 7 {a}", f"7 {b} 12 {a} 99.", f"REF AB12 {b} x", f"{a} {b}", f"1 2 3 {a}x {a}", "3782-822463-10005 1234 12"]
+    other = ["7 123-45-6789 1234", "12 1984-02-29 55555", "+14155550123", "+1 (415) 555-0123", "call +4930123456 or +493012345 now", "4111111111111112 12"]
+    long = " ".join(str(i) for i in range(3000, 13000))
+    got = [r["text"] for r in pii.pseudonymise(frame(spark, list(enumerate([*texts, *other, long]))), "k", ("doc_id", "text")).orderBy("doc_id").collect()]
+    card = got[0].split()[0]
+    assert luhn(card) and card != a
+    spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    want = [x.replace(a + "x", "\0").replace(a, card).replace(b, spaced).replace("\0", a + "x") for x in texts[:-1]]
+    assert got[: len(want)] == want
+    amex = re.match(r"(\d{4}-\d{6}-\d{5}) 1234 12$", got[7])[1]
+    assert luhn(amex.replace("-", "")) and amex != "3782-822463-10005"
+    ssn, date, compact, written, calls, wrong = got[8:14]
+    assert re.fullmatch(r"7 \d{3}-\d\d-\d{4} 1234", ssn) and "123-45-6789" not in ssn
+    assert re.fullmatch(r"12 \d{4}-\d\d-\d\d 55555", date) and "1984-02-29" not in date
+    assert re.fullmatch(r"\+1[2-9]\d\d[2-9]\d{6}", compact) and compact != "+14155550123" and re.sub(r"\D", "", written) == compact[1:]
+    assert re.fullmatch(r"call \+49\d{8} or \+49\d{7} now", calls) and "30123456" not in calls
+    assert wrong == "4111111111111112 12"
+    assert [len(x) for x in got[14].split()] == [len(x) for x in long.split()]
