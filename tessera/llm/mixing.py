@@ -32,8 +32,8 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
 SAMPLE, BUCKETS, FEATURES = 20_000, 1 << 18, 256
 STEPS, TOLERANCE = 40, 1e-7
-#: Standard errors, and times, by which a bucket must be more frequent in a domain than elsewhere.
-SIGNIFICANT, RATIO = 8.0, 4.0
+#: Times by which a bucket must be more frequent in a domain than elsewhere; the best ``FEATURES`` of those are taken, at any number of labels.
+RATIO = 4.0
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             gap = F.col(f"c{k}") / float(inside) - (total - F.col(f"c{k}")) / float(outside)
             often = F.col(f"c{k}") / float(inside) >= RATIO * (total - F.col(f"c{k}")) / float(outside)
             score = F.greatest(score, often.cast("int") * gap / F.sqrt(mean * (1 - mean) * float(1 / inside + 1 / outside) + 1e-12))
-    best = table.withColumn("score", score).filter(F.col("score") >= SIGNIFICANT).orderBy(F.desc("score"), "bucket").limit(FEATURES).collect()
+    best = table.withColumn("score", score).filter(F.col("score") > 0).orderBy(F.desc("score"), "bucket").limit(FEATURES).collect()
     prior = np.log((n + 1) / (n.sum() + len(n)))
     p = np.array([[r[f"c{k}"] for k in range(len(DOMAINS))] for r in best], float).reshape(len(best), len(DOMAINS))
     p = (p + 0.5) / (n + 1)

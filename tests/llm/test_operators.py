@@ -282,3 +282,12 @@ def test_cards_beside_other_numbers_and_compact_phones(spark):
     assert re.fullmatch(r"call \+49\d{8} or \+49\d{7} now", calls) and "30123456" not in calls
     assert wrong == "4111111111111112 12"
     assert [len(x) for x in got[14].split()] == [len(x) for x in long.split()]
+
+
+def test_mixing_learns_from_few_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    mixed = mixing.mix(docs, labels).cache()
+    totals, all_ = mixing.expected_totals(mixed).first(), mixed.agg(F.sum("n_tokens")).first()[0]
+    assert abs(totals["good"] / all_ - mixing.TARGETS["good"]) < 0.02 and totals["toxic"] / all_ < 0.02
+    rates = {r["toxic"]: r["rate"] for r in mixed.join(labels, "doc_id").groupBy("toxic").agg(F.avg("rate").alias("rate")).collect()}
+    assert rates[1] < 0.5 * rates[0]
