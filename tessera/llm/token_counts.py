@@ -182,9 +182,24 @@ class PrefixCounter:
         return before + self.count(text[start:n])
 
     def fits(self, text: str, stored: tuple[list[int], list[int]], limit: int) -> int:
-        """The end of the last piece up to which the text takes at most ``limit`` tokens."""
-        k = bisect_right(stored[1], limit)
-        return stored[0][k - 1] if k else 0
+        """Code points up to which the text takes at most ``limit`` tokens, by the counts inside the piece where the budget ends."""
+        ends, counts = stored
+        k = bisect_right(counts, limit)
+        start, before = (ends[k - 1], counts[k - 1]) if k else (0, 0)
+        if k == len(ends):
+            return start
+        piece = text[start : ends[k]]
+        if self.special and self.special.fullmatch(piece):
+            return start
+        inside, at, best = self.prefixes(piece.encode()), 0, 0
+        for n, c in enumerate(piece, 1):
+            at += len(c.encode())
+            if before + inside[at] <= limit:
+                best = n
+        # What is cut may be split anew, so it is counted as a text of its own.
+        while best and self.at_prefix(text, stored, start + best) > limit:
+            best -= 1
+        return start + best
 
 
 def byte_letters() -> dict[int, str]:
@@ -207,7 +222,7 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", store: bool = False) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` and ``fits_chars``: code points up to the last piece that ends within ``limit``.
+    """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` and ``fits_chars``: code points of a prefix within ``limit``, cut inside a piece too.
 
     With ``store`` also ``ends`` and ``counts``, the prefix table. A narrow pass: batches of texts go to Python, numbers come back.
     """

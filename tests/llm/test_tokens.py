@@ -40,3 +40,11 @@ def test_query_shape(spark):
     df = spark.createDataFrame([(1, None, 9), (2, "hello world", 9), (None, "x " * 3000, 9)], "doc_id long, text string, n_tokens int")
     got = {r["doc_id"]: r for r in token_counts.token_counts(df, PATH).collect()}
     assert got[1]["n_tokens"] == 0 and got[2]["n_tokens"] == 2 and got[None]["over_limit"] and got[None]["fits_chars"] < 6000
+
+
+def test_a_long_piece_is_cut_inside(counter):
+    library = Tokenizer.from_file(PATH)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for text in ("日本語漢字仮名" * 30, "#*~^" * 60, "zqxj" * 60, "some words, then " + "zqxj" * 60):
+        n = counter.fits(text, counter.table(text), 50)
+        assert n == max(k for k in range(len(text)) if size(text[:k]) <= 50)
