@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRIP = r"^\s+|\s+$"
-SENTENCE_END = r"(?<=[.!?])\s+"
+#: White space as text functions mean it: ASCII's, the four separators, and Unicode's.
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+STRIP = rf"^[{WHITE}]+|[{WHITE}]+$"
+SENTENCE_END = rf"(?<=[.!?])[{WHITE}]+"
 COMMENT = r"(?s)<!--.*?-->"
 ARXIV_ID = r"^\d{4}\.\d{4,5}$"
+#: Fixed value: a citation mark, one bracket for one or several refs.
+MARK = r"[\[【](r\d+(?:\s*,\s*r\d+)*)[\]】]"
+#: A port that exists, and a web address with a host and without credentials.
+PORT = r"0*(?:[0-9]{1,4}|[0-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])"
+SAFE_URL = rf"^ *(?i:https?)://(?:\[[0-9A-Fa-f:.]+\]|[^/?#@:\[\]]+)(?::(?:{PORT})?)?(?:[/?#].*)?$"
+PUNCTUATION = r"[!-/:-@\[-`{-~]+$"
 
 
 def tokens(text: Column) -> Column:
@@ -17,7 +25,7 @@ def tokens(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"[ \t\n\x0b\f\r]+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, f"[{WHITE}]+"), lambda w: w != ""))
 
 
 def approx_tokens(text: Column) -> Column:
@@ -49,20 +57,20 @@ def slug(name: Column, most: int = 80) -> Column:
 
 def citation_refs(text: Column) -> Column:
     """Distinct refs of [r1, r2] and 【r1】 marks, in order."""
-    marks = F.regexp_extract_all(text, F.lit(r"[\[【]\s*(r\d+(?:\s*,\s*r\d+)*)\s*[\]】]"), F.lit(1))
+    marks = F.regexp_extract_all(text, F.lit(MARK), F.lit(1))
     return F.array_distinct(F.flatten(F.transform(marks, lambda m: F.split(m, r"\s*,\s*"))))
 
 
 def arxiv_id(value: Column) -> Column:
-    """The bare identifier of an id, a URL or a file name; null where there is none."""
-    bare = F.regexp_replace(F.trim(value), r"(?i)^(https?://)?(www\.)?arxiv\.org/(abs|pdf|html)/", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)\.pdf$", ""), r"v\d+$", "")
+    """The bare identifier of an id, or of the address of an abstract or a PDF; null where there is none."""
+    bare = F.regexp_replace(F.regexp_replace(value, STRIP, ""), r"^https?://arxiv\.org/(abs|pdf)/", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"\.pdf$", ""), r"v\d+$", "")
     return F.when(bare.rlike(ARXIV_ID), bare)
 
 
 def is_safe_url(url: Column) -> Column:
-    """http or https, a host, no credentials, no control characters."""
-    return url.rlike(r"^(?i:https?)://[^\x00-\x20\x7f/@?#]+([/?#][^\x00-\x1f\x7f]*)?$")
+    """http or https, a host, a port that exists if any, no credentials, no control characters."""
+    return url.rlike(SAFE_URL) & ~url.rlike(r"[\x00-\x1f]")
 
 
 def first_json_object(text: Column) -> Column:
@@ -76,18 +84,19 @@ def first_json_array(text: Column) -> Column:
 
 
 def sanitised_error(text: Column, most: int = 300) -> Column:
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), r"\s+", " "))
-    return F.when(F.char_length(plain) > most, F.concat(F.substring(plain, 1, most), F.lit("…"))).otherwise(plain)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), f"[{WHITE}]+", " "))
+    return F.when(F.char_length(plain) > most, F.concat(F.rtrim(F.substring(plain, 1, most)), F.lit("…"))).otherwise(plain)
 
 
 def mode(answer: Column) -> Column:
     """COMPARE where the first word says so, else ASK."""
-    first = F.upper(F.regexp_replace(F.regexp_extract(answer, r"^\s*(\S+)", 1), r"[^\w]+$", ""))
+    first = F.regexp_replace(F.upper(F.regexp_extract(answer, rf"^[{WHITE}]*([^{WHITE}]+)", 1)), PUNCTUATION, "")
     return F.when(first == "COMPARE", "COMPARE").otherwise("ASK")
 
 
 def bibtex_escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([&%$#_{}])", r"\\$1")
+    """Characters that would break an entry's braces or fields."""
+    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\textbackslash "), "([{}&%])", r"\\$1")
 
 
 def year_of(arxiv: Column) -> Column:
@@ -95,14 +104,10 @@ def year_of(arxiv: Column) -> Column:
 
 
 def extension(url: Column, content_type: Column) -> Column:
-    """From the URL's suffix, else from the content type, else png."""
-    suffix = F.lower(F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"\.(png|jpe?g|gif|svg|webp)$", 1))
-    kinds = {"image/png": "png", "image/jpeg": "jpg", "image/gif": "gif", "image/svg+xml": "svg", "image/webp": "webp"}
-    bare = F.trim(F.regexp_replace(F.lower(content_type), ";.*$", ""))
-    known = F.lit("png")
-    for kind, ext in kinds.items():
-        known = F.when(bare == kind, ext).otherwise(known)
-    return F.when(suffix != "", suffix).otherwise(known)
+    """The URL's suffix if it is one of an image, else the content type's, else .img."""
+    suffix = F.lower(F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"(?i)[^/](\.(?:png|jpe?g|gif|svg|webp))$", 1))
+    known = F.create_map(*[F.lit(x) for pair in IMAGE_TYPES.items() for x in pair])
+    return F.when(suffix != "", suffix).otherwise(F.coalesce(known[F.regexp_extract(F.lower(F.coalesce(content_type, F.lit(""))), "^([^;]*)", 1)], F.lit(".img")))
 
 
 def hashed_int(*key: Column) -> Column:
@@ -114,6 +119,8 @@ def label_of(score: Column, contradiction: float = 0.05, entailment: float = 0.3
     return F.when(score <= contradiction, "contradiction").when(score >= entailment, "entailment").otherwise("neutral")
 
 
+#: Extensions of image types, and words that no answer is told by.
+IMAGE_TYPES = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg"}
 STOPWORDS = ("a", "an", "the")
 
 

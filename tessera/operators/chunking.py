@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
 # The corpus conventions that sections are told by.
-SKIP_TITLES = r"(?i)^(references|bibliography|contents|table of contents|acknowledge?ments?|contributors?|core contributors?|tech leads?|advisors?|appendix\s*$|nvidia\s*$|.*\bteam\s*$)"
+SKIP_TITLES = r"(?i)^(references|bibliography|contents|table of contents|acknowledge?ments?|contributors?|core contributors?|tech leads?|advisors?|appendix\s*$|.*\bteam\s*$)"
 CAPTION = r"(?i)^(figure|table)\s+\d"
 CAPTION_INLINE = r"(?i)(figure|table)\s+\d+\s*\|"
 NUMERIC_TOKEN = r"^[\d.,%()\-]+$"
@@ -18,6 +21,9 @@ CITED = r"(?i)(?:arxiv[:.\s]\s*|arxiv\.org/abs/)(\d{4}\.\d{4,5})"
 IMAGE_HASH = r"!\[[^\]]*\]\([^)]*_([0-9a-f]{16,64})\.\w+\)"
 
 HEADING = r"(?m)^##[ \t]+"
+#: Headings that are nothing but the name of who publishes the paper.
+PUBLISHERS = ("nvidia",)
+MAX_TOKENS, OVERLAP_TOKENS, MIN_TOKENS, NOISE_RATIO = 512, 64, 24, 0.4
 
 
 def stripped(x: Column) -> Column:
@@ -50,7 +56,7 @@ def section_spans(pool: DataFrame, min_tokens: int = 0) -> DataFrame:
     s = s.withColumn("stop", F.sum(F.char_length("part") + F.char_length("mark")).over(w))
     line = F.substring_index("part", "\n", 1)
     rest = F.substring("part", F.char_length(line) + 1, F.char_length("part"))
-    lead = F.char_length(F.regexp_extract(rest, r"^\s*", 0))
+    lead = F.char_length(F.regexp_extract(rest, f"^[{T.WHITE}]*", 0))
     begin = (F.col("stop") - F.char_length("part") + F.char_length(line) + lead).cast("int")
     body = stripped(rest)
     number, title = numbering(stripped(line))
@@ -74,90 +80,102 @@ def breadcrumbs(sections: DataFrame) -> DataFrame:
     latest = seen.groupBy("paper_id", "section_index", "level").agg(F.max_by("named", "at").alias("named"))
     path = latest.groupBy("paper_id", "section_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("level", "named"))), lambda x: x["named"]).alias("path"))
     j = s.join(path, ["paper_id", "section_index"], "left")
-    own = F.when(F.col("number").isNull() & (F.col("section_index") > 0), F.array("title")).otherwise(F.array().cast("array<string>"))
+    own = F.when(F.col("number").isNull(), F.array("title")).otherwise(F.array().cast("array<string>"))
     crumbs = F.concat(F.array(F.coalesce("paper_title", F.lit(""))), F.coalesce("path", F.array().cast("array<string>")), own)
     return j.withColumn("breadcrumb", F.array_join(crumbs, " > ")).drop("path")
 
 
-def is_caption_noise(body: Column, ratio: float = 0.4) -> Column:
+def is_caption_noise(body: Column, ratio: float = NOISE_RATIO) -> Column:
     """Figure fragments: captions and dumps of plot numbers; a table of two rows or more never is."""
     lines = F.split(body, "\n")
     rows = F.size(F.filter(lines, lambda x: x.rlike(TABLE_ROW)))
-    words = F.filter(F.split(body, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(body, f"[{T.WHITE}]+"), lambda w: w != "")
     numeric = F.size(F.filter(words, lambda w: w.rlike(NUMERIC_TOKEN)))
     dump = (F.size(words) > 0) & (numeric / F.greatest(F.size(words), F.lit(1)) > ratio)
     return (rows < 2) & (body.rlike(CAPTION) | body.rlike(CAPTION_INLINE) | dump)
 
 
-def indexable(sections: DataFrame, min_tokens: int = 20, noise_ratio: float = 0.4, extra_skip: str | None = None) -> DataFrame:
+def skipped_title(title: Column, extra_skip: tuple[str, ...] = (), publishers: tuple[str, ...] = PUBLISHERS) -> Column:
+    """Titles that start like one never indexed; extra patterns match from the start, in either case."""
+    patterns = [SKIP_TITLES, *[rf"(?i)^{re.escape(p)}\s*$" for p in publishers], *[f"(?i)^(?:{p})" for p in extra_skip]]
+    return reduce(Column.__or__, [stripped(title).rlike(p) for p in patterns])
+
+
+def indexable(sections: DataFrame, min_tokens: int = MIN_TOKENS, noise_ratio: float = NOISE_RATIO, extra_skip: tuple[str, ...] = ()) -> DataFrame:
     """The sections worth indexing: not skipped by title, long enough, and no figure fragments."""
-    skip = stripped(F.col("title")).rlike(SKIP_TITLES)
-    if extra_skip:
-        skip = skip | F.col("title").rlike(extra_skip)
+    skip = skipped_title(F.col("title"), extra_skip)
     short = (F.col("body") == "") | (T.approx_tokens(F.col("body")) < min_tokens)
     return sections.filter(~skip & ~short & (F.col("number").isNotNull() | ~is_caption_noise(F.col("body"), noise_ratio)))
 
 
 def blocks(body: Column) -> Column:
-    """Paragraphs at blank lines; rows of a table stay together, over blank lines too."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"), F.lit(False).alias("table"))
-
-    def step(s: Column, line: Column) -> Column:
-        row, blank = line.rlike(TABLE_ROW), F.trim(line) == ""
-        flushed = F.when(s["cur"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"])))
-        join = F.when(s["cur"] == "", line).otherwise(F.concat(s["cur"], F.lit("\n"), line))
-        new = lambda done, cur, table: F.struct(done.alias("done"), cur.alias("cur"), F.lit(table).alias("table"))
-        return (
-            F.when(blank & s["table"], s)
-            .when(blank, new(flushed, F.lit(""), False))
-            .when(row & s["table"], new(s["done"], join, True))
-            .when(row, new(flushed, line, True))
-            .when(s["table"], new(flushed, line, False))
-            .otherwise(new(s["done"], join, False))
-        )
-
-    out = F.aggregate(F.split(body, "\n"), state, step, lambda s: F.concat(s["done"], F.array(s["cur"])))
-    return F.filter(F.transform(out, stripped), lambda b: b != "")
+    """Paragraphs at blank lines; rows of a table stay together, over blank lines too.
+
+    A block opens at a line that is not blank where rows and other lines meet, or after a blank line between others.
+    """
+    lines = F.split(body, "\n")
+    kinds = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.rlike(TABLE_ROW).alias("row"), (stripped(x) == "").alias("blank")))
+
+    def opened(said: Column) -> Column:
+        before = lambda k: said[F.greatest(k - 1, F.lit(0))]
+        new = lambda e, k: (k == 0) | (e["row"] != before(k)["row"]) | (~e["row"] & (e["i"] > before(k)["i"] + 1))
+        return F.filter(F.transform(said, lambda e, k: F.when(new(e, k), e["i"])), lambda i: i.isNotNull())
+
+    def cut(z: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get(z["at"], k + 1), F.size(z["lines"]))
+        return F.transform(z["at"], lambda i, k: stripped(F.array_join(F.slice(z["lines"], i + 1, stop(k) - i), "\n")))
+
+    at = _let(F.filter(kinds, lambda e: ~e["blank"]), opened)
+    return F.filter(_let(F.struct(lines.alias("lines"), at.alias("at")), cut), lambda b: b != "")
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
 
 
 def pack(parts: Column, max_tokens: int, overlap_tokens: int) -> Column:
-    """Greedy packing; a new chunk starts with the trailing blocks of the last that fit the overlap. A long block stays whole."""
-    sized = F.transform(parts, lambda b: F.struct(b.alias("b"), T.approx_tokens(b).alias("n")))
-    empty = F.array().cast("array<struct<b:string,n:int>>")
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x["n"])
-    text = lambda xs: F.array_join(F.transform(xs, lambda x: x["b"]), "\n\n")
+    """Greedy packing; a new chunk starts with the trailing blocks of the last that fit the overlap. A long block stays whole.
+
+    Sums up to each block are taken once; the fold over blocks keeps where the open chunk starts, and the ranges that are done.
+    """
+    sizes = F.transform(parts, T.approx_tokens)
+    sums = F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    ranges = "array<struct<a:int,b:int>>"
+
+    def packed(z: Column) -> Column:
+        upto = z["sums"]
 
-    def carry(cur: Column) -> Column:
-        start = F.struct(empty.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open"))
-        step = lambda s, x: F.when(
-            s["open"] & (s["n"] + x["n"] <= overlap_tokens), F.struct(F.concat(F.array(x), s["kept"]).alias("kept"), (s["n"] + x["n"]).alias("n"), F.lit(True).alias("open"))
-        ).otherwise(F.struct(s["kept"].alias("kept"), s["n"].alias("n"), F.lit(False).alias("open")))
-        return F.aggregate(F.reverse(cur), start, step, lambda s: s["kept"])
+        def step(s: Column, i: Column) -> Column:
+            full = (s["a"] < i) & (upto[i + 1] - upto[s["a"]] > max_tokens)
+            kept = F.size(F.filter(F.slice(upto, s["a"] + 1, i - s["a"]), lambda before: upto[i] - before <= overlap_tokens))
+            return F.when(
+                full, F.struct(F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), i.alias("b")))).alias("done"), (i - kept).alias("a"))
+            ).otherwise(s)
 
-    def step(s: Column, x: Column) -> Column:
-        full = (F.size(s["cur"]) > 0) & (total(s["cur"]) + x["n"] > max_tokens)
-        return F.when(
-            full, F.struct(F.concat(s["done"], F.array(text(s["cur"]))).alias("done"), F.concat(carry(s["cur"]), F.array(x)).alias("cur"))
-        ).otherwise(F.struct(s["done"].alias("done"), F.concat(s["cur"], F.array(x)).alias("cur")))
+        n = F.size(z["parts"])
+        start = F.struct(F.array().cast(ranges).alias("done"), F.lit(0).alias("a"))
+        done = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), n.alias("b")))))
+        return F.transform(done, lambda r: F.array_join(F.slice(z["parts"], r["a"] + 1, r["b"] - r["a"]), "\n\n"))
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), empty.alias("cur"))
-    return F.aggregate(sized, start, step, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(text(s["cur"])))).otherwise(s["done"]))
+    return F.when(F.size(parts) > 0, _let(F.struct(parts.alias("parts"), sums.alias("sums")), packed)).otherwise(F.array().cast("array<string>"))
 
 
 def chunk_id(paper: Column, index: Column, number: Column, title: Column, part: Column) -> Column:
     return F.md5(F.concat_ws("|", paper, index.cast("string"), F.coalesce(number, F.lit("")), title, part.cast("string")))
 
 
-def chunks(pool: DataFrame, max_tokens: int = 400, overlap_tokens: int = 60, min_tokens: int = 20, noise_ratio: float = 0.4) -> DataFrame:
+def chunks(
+    pool: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, min_tokens: int = MIN_TOKENS, noise_ratio: float = NOISE_RATIO, extra_skip: tuple[str, ...] = ()
+) -> DataFrame:
     """The chunk table: breadcrumb and body, with identity and position."""
-    s = indexable(breadcrumbs(split_sections(pool)), min_tokens, noise_ratio)
+    s = indexable(breadcrumbs(split_sections(pool)), min_tokens, noise_ratio, extra_skip)
     s = s.withColumn("subs", pack(blocks(F.col("body")), max_tokens, overlap_tokens)).withColumn("n_parts", F.size("subs"))
     c = s.select("*", F.posexplode("subs").alias("part", "sub")).drop("subs")
     return c.select(
         chunk_id(F.col("paper_id"), F.col("section_index"), F.col("number"), F.col("title"), F.col("part")).alias("chunk_id"),
         F.concat_ws("\n\n", "breadcrumb", "sub").alias("text"), F.col("sub").alias("body"), "paper_id", F.coalesce("paper_title", F.lit("")).alias("paper_title"),
         F.coalesce("number", F.lit("")).alias("section_number"), F.col("title").alias("section_title"), "section_index", "breadcrumb", "part", "n_parts",
-        T.approx_tokens(F.col("sub")).alias("approx_tokens"),
+        T.approx_tokens(F.concat_ws("\n\n", "breadcrumb", "sub")).alias("approx_tokens"),
     )
 
 

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import hashed_int
+from tessera.operators.retrieval import cutoff, score_lists
 
 #: Normal quantiles of a two-sided 5 % test and of 80 % power.
 Z_ALPHA, Z_POWER = 1.959964, 0.841621
 MIN_CLUSTERS, SATURATION, COMPARATIVE_FLOOR = 25, 0.98, 8
 
 
-def query_scores(ranked: DataFrame, gold: DataFrame, queries: DataFrame, k: int, candidates: int) -> DataFrame:
+def query_scores(ranked: DataFrame, gold: DataFrame, queries: DataFrame, k: int, candidates: int, sizes: DataFrame | None = None) -> DataFrame:
     """One row for each query: goldable, in_pool, rr (of the first relevant rank up to k, else 0).
 
     ranked: (qid, chunk_id, rank); gold: (qid, chunk_id); queries: (qid, cluster). Queries without gold stay, as not goldable.
+    With ``sizes`` (qid, n_gold), ``gold`` need only hold what is ranked.
     """
-    sizes = gold.groupBy("qid").agg(F.count(F.lit(1)).alias("n_gold"))
+    sizes = gold.groupBy("qid").agg(F.count(F.lit(1)).alias("n_gold")) if sizes is None else sizes
     hits = ranked.filter(F.col("rank") <= candidates).join(gold, ["qid", "chunk_id"], "left_semi").groupBy("qid").agg(F.min("rank").alias("best"))
     q = queries.join(sizes, "qid", "left").join(hits, "qid", "left")
     return q.select(
@@ -37,6 +39,17 @@ def summary(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def elbow_metrics(ranked: DataFrame, gold: DataFrame, max_k: int, **knobs) -> DataFrame:
+    """mean_returned, recall, precision of the adaptive cutoff on the best ``max_k``, over queries with gold in the pool."""
+    marked = ranked.join(gold.select("qid", "chunk_id").distinct().withColumn("hit", F.lit(True)), ["qid", "chunk_id"], "left")
+    top = marked.filter(F.col("rank") <= max_k).select("qid", "chunk_id", "rank", "score", "hit")
+    pooled = marked.filter("hit").select("qid").distinct()
+    cuts = score_lists(top.join(pooled, "qid", "left_semi")).select("qid", cutoff(F.col("scores"), max_k=max_k, **knobs)["cutoff"].alias("cutoff"))
+    per = cuts.join(top, "qid").groupBy("qid", "cutoff").agg(F.coalesce(F.bool_or(F.col("hit") & (F.col("rank") <= F.col("cutoff"))), F.lit(False)).alias("hit"))
+    mean = lambda c, name: F.coalesce(F.avg(c), F.lit(0.0)).alias(name)
+    return per.agg(mean("cutoff", "mean_returned"), mean(F.col("hit").cast("int"), "recall"), mean(F.when(F.col("hit"), 1.0 / F.col("cutoff")).otherwise(0.0), "precision"))
+
+
 def comparative_scores(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """For gold (qid, paper_id, chunk_id): in_pool only if every paper's gold is there; rr of the worst paper."""
     best = gold.join(ranked, ["qid", "chunk_id"], "left").groupBy("qid", "paper_id").agg(F.min("rank").alias("best"))
@@ -53,7 +66,9 @@ def clusters(samples: DataFrame, value: Column, by: tuple[str, ...] = ()) -> Dat
 
 
 def bootstrap(cl: DataFrame, n_boot: int = 2000, seed: str = "7", by: tuple[str, ...] = ()) -> DataFrame:
-    """point, ci_lo, ci_hi, se, n_clusters: clusters drawn with replacement, pooled mean of each draw.
+    """point, ci_lo, ci_hi, se, n_clusters, n_eligible: clusters drawn with replacement, pooled mean of each draw.
+
+    Without clusters all of them are 0.
 
     Draw d of resample b is the hash of (seed, b, d): the same in any engine and any plan.
     """
@@ -65,7 +80,8 @@ def bootstrap(cl: DataFrame, n_boot: int = 2000, seed: str = "7", by: tuple[str,
     means = picked.join(cl.select(*by, F.col("idx").cast("long").alias("idx"), "s", "n"), [*by, "idx"]).groupBy(*by, "b").agg((F.sum("s") / F.sum("n")).alias("m"))
     spread = means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("ci_lo"), F.expr("percentile(m, 0.975)").alias("ci_hi"), F.stddev_samp("m").alias("se"))
     j = totals.join(spread, list(by)) if by else totals.join(spread)
-    return j.select(*by, "point", "ci_lo", "ci_hi", "se", F.col("g").alias("n_clusters"), "n_eligible")
+    known = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("point", "ci_lo", "ci_hi", "se")]
+    return j.select(*by, *known, F.col("g").alias("n_clusters"), F.coalesce("n_eligible", F.lit(0).cast("long")).alias("n_eligible"))
 
 
 def mdd(se: Column) -> Column:

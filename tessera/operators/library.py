@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import kebab
+from tessera.functions.text import bibtex_escape, kebab, year_of
 
 
 def tag_counts(manifest: DataFrame) -> DataFrame:
@@ -109,13 +109,20 @@ def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def bibtex(papers: DataFrame) -> DataFrame:
-    """paper_id, entry: one BibTeX entry for each paper (paper_id, title, arxiv_id)."""
-    from tessera.functions.text import bibtex_escape, year_of
-
-    year = F.coalesce(F.concat(F.lit("  year = {"), year_of(F.col("arxiv_id")).cast("string"), F.lit("},\n")), F.lit(""))
-    entry = F.concat(F.lit("@misc{"), F.col("paper_id"), F.lit(",\n  title = {"), bibtex_escape(F.col("title")), F.lit("},\n"), year, F.lit("  eprint = {"), F.col("arxiv_id"), F.lit("},\n  archivePrefix = {arXiv}\n}"))
-    return first_seen(papers, "paper_id", "arxiv_id").select("paper_id", entry.alias("entry"))
+def bibtex(cited: DataFrame) -> DataFrame:
+    """paper_id, entry, pos: one BibTeX entry for each paper, in order of its first citation (paper_id, title, arxiv_id, pos).
+
+    A paper without an arXiv id has none of the lines that come from it.
+    """
+    known = F.col("arxiv_id").isNotNull() & (F.col("arxiv_id") != "")
+    fields = [
+        F.concat(F.lit("  title = {"), bibtex_escape(F.col("title")), F.lit("}")),
+        F.when(known, F.concat(F.lit("  eprint = {"), F.col("arxiv_id"), F.lit("}"))),
+        F.when(known, F.lit("  archivePrefix = {arXiv}")),
+        F.concat(F.lit("  year = {"), year_of(F.col("arxiv_id")).cast("string"), F.lit("}")),
+    ]
+    entry = F.concat(F.lit("@misc{"), F.col("paper_id"), F.lit(",\n"), F.array_join(F.array_compact(F.array(*fields)), ",\n"), F.lit(",\n}"))
+    return first_seen(cited, "paper_id", "pos").select("paper_id", entry.alias("entry"), "pos")
 
 
 def markdown_notes(joined: DataFrame) -> DataFrame:

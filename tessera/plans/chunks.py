@@ -3,6 +3,8 @@ line opens a numbered section that is titled by the line's first five words."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,10 @@ POOL = r"""pool AS (
   SELECT doc_id AS paper_id, source, text, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''),
     lambda x, i: CASE WHEN (i - 1) % 8 = 0 THEN '## ' || ((i - 1) // 8 + 1) || ' ' || array_to_string(list_filter(string_split(x, ' '), lambda w: w <> '')[1:5], ' ') || chr(10) || chr(10) || x ELSE x END), chr(10)) AS markdown
   FROM documents)"""
-STRIP = r"'^[\s\x0b]+|[\s\x0b]+$', '', 'g'"
+#: White space, patterns and bounds as the operators have them, in the other engine's spelling.
+WHITE = re.sub(r"\\(x[0-9a-f]{2}|u[0-9a-f]{4})", lambda m: f"\\x{{{m[1][1:]}}}", f"[{T.WHITE}]")
+STRIP = f"'^{WHITE}+|{WHITE}+$', '', 'g'"
+SKIPPED = "|".join(f"(?:{p})" for p in (C.SKIP_TITLES, *(rf"(?i)^{p}\s*$" for p in C.PUBLISHERS)))
 SECTIONS = rf"""{POOL},
 parts AS (SELECT paper_id, list_filter(string_split_regex(markdown, '(?m)^##[ \t]+'), lambda p: regexp_replace(p, {STRIP}) <> '') AS ps FROM pool),
 cut AS (SELECT paper_id, u.i - 1 AS section_index, ps[u.i] AS part FROM parts, unnest(range(1, len(ps) + 1)) AS u(i)),
@@ -31,12 +36,12 @@ heads AS (
   SELECT paper_id, section_index::INTEGER AS section_index, regexp_replace(string_split(part, chr(10))[1], {STRIP}) AS heading,
          regexp_replace(substr(part, length(string_split(part, chr(10))[1]) + 2), {STRIP}) AS body FROM cut),
 sections AS (
-  SELECT *, nullif(regexp_extract(heading, '^\s*(\d+(?:\.\d+)*)\.?\s+(.*\S)\s*$', 1), '') AS number,
-         CASE WHEN regexp_matches(heading, '^\s*(\d+(?:\.\d+)*)\.?\s+(.*\S)\s*$') THEN regexp_extract(heading, '^\s*(\d+(?:\.\d+)*)\.?\s+(.*\S)\s*$', 2) ELSE heading END AS title
+  SELECT *, nullif(regexp_extract(heading, '{C.NUMBERED}', 1), '') AS number,
+         CASE WHEN regexp_matches(heading, '{C.NUMBERED}') THEN regexp_extract(heading, '{C.NUMBERED}', 2) ELSE heading END AS title
   FROM heads)"""
 
 
-@query(r"SELECT doc_id, (floor(len(list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) * 1.33::DOUBLE) + 1)::INTEGER AS approx_tokens FROM documents")
+@query(rf"SELECT doc_id, (floor(len(list_filter(string_split_regex(text, '{WHITE}+'), lambda w: w <> '')) * 1.33::DOUBLE) + 1)::INTEGER AS approx_tokens FROM documents")
 def approx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.approx_tokens(F.col("text")).alias("approx_tokens"))
 
@@ -47,21 +52,21 @@ def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SECTIONS}, t AS (SELECT paper_id, heading AS paper_title FROM sections WHERE section_index = 0)
-SELECT paper_id, section_index, paper_title || CASE WHEN number IS NOT NULL THEN ' > ' || number || ' ' || title WHEN section_index > 0 THEN ' > ' || title ELSE '' END AS breadcrumb
+SELECT paper_id, section_index, paper_title || CASE WHEN number IS NOT NULL THEN ' > ' || number || ' ' || title ELSE ' > ' || title END AS breadcrumb
 FROM sections JOIN t USING (paper_id)""")
 def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.breadcrumbs(C.split_sections(pool(spark, sf_dir))).select("paper_id", "section_index", "breadcrumb")
 
 
 KEPT = rf"""{SECTIONS},
-said AS (SELECT *, list_filter(string_split_regex(body, '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS ws, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^\s*\|')) AS rs FROM sections),
+said AS (SELECT *, list_filter(string_split_regex(body, '{WHITE}+'), lambda w: w <> '') AS ws, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{C.TABLE_ROW}')) AS rs FROM sections),
 judged AS (
   SELECT *, (floor(len(ws) * 1.33::DOUBLE) + 1)::INTEGER AS n,
-    len(rs) < 2 AND (regexp_matches(body, '(?i)^(figure|table)\s+\d') OR regexp_matches(body, '(?i)(figure|table)\s+\d+\s*\|')
-      OR (len(ws) > 0 AND len(list_filter(ws, lambda w: regexp_matches(w, '^[\d.,%()\-]+$')))::DOUBLE / greatest(len(ws), 1) > 0.4)) AS noise
+    len(rs) < 2 AND (regexp_matches(body, '{C.CAPTION}') OR regexp_matches(body, '{C.CAPTION_INLINE}')
+      OR (len(ws) > 0 AND len(list_filter(ws, lambda w: regexp_matches(w, '{C.NUMERIC_TOKEN}')))::DOUBLE / greatest(len(ws), 1) > {C.NOISE_RATIO})) AS noise
   FROM said),
-kept AS (SELECT * FROM judged WHERE body <> '' AND n >= 20 AND (number IS NOT NULL OR NOT noise)
-  AND NOT regexp_matches(title, '(?i)^(references|bibliography|contents|table of contents|acknowledge?ments?|contributors?|core contributors?|tech leads?|advisors?|appendix\s*$|nvidia\s*$|.*\bteam\s*$)'))"""
+kept AS (SELECT * FROM judged WHERE body <> '' AND n >= {C.MIN_TOKENS} AND (number IS NOT NULL OR NOT noise)
+  AND NOT regexp_matches(title, '{SKIPPED}'))"""
 
 
 @query(f"WITH {KEPT} SELECT paper_id, section_index FROM kept")
@@ -85,7 +90,7 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM kept JOIN pool USING (paper_id) WHERE section_index > 0)
 SELECT paper_id, number, title, a::INTEGER AS "start", (a + length(body))::INTEGER AS "end", md5(body) AS body_md5 FROM placed""")
 def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = C.section_spans(pool(spark, sf_dir), min_tokens=20)
+    s = C.section_spans(pool(spark, sf_dir), C.MIN_TOKENS)
     return s.select("paper_id", "number", "title", "start", "end", F.md5("body").alias("body_md5"))
 
 

@@ -10,17 +10,26 @@ from tessera.operators import retrieval as R
 from tessera.plans.catalogue import query, table
 from tessera.plans.retrieval import DOT, LEXICAL, _items, _lexical, _vectors, elbow_ctes
 
-K, DEPTH = 10, 40
+K, DEPTH, OPENING = 10, 40, 5
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rankings without the query itself, gold, and queries with their label as cluster."""
+def _dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rankings without the query itself, (qid, n_gold), queries with their label as cluster, and labels of all vectors.
+
+    Relevant are the other vectors of the query's label: they are counted by label, and told on the ranked rows.
+    """
     queries, chunks = _vectors(spark, sf_dir)
     labels = chunks.select("chunk_id", "label")
+    sizes = labels.groupBy(F.col("label").alias("cluster")).agg((F.count(F.lit(1)) - 1).alias("n_gold"))
     q = queries.join(labels, queries["qid"] == labels["chunk_id"]).select("qid", "q", F.col("label").alias("cluster"))
     ranked = R.top(R.dense_topk(q.select("qid", "q"), chunks, DEPTH + 1).filter("chunk_id != qid").drop("rank"), DEPTH)
-    gold = q.join(labels, F.col("cluster") == F.col("label")).filter("chunk_id != qid").select("qid", "chunk_id")
-    return ranked, gold, q.select("qid", "cluster")
+    known = q.join(sizes, "cluster", "left").select("qid", "cluster", "n_gold")
+    return ranked.withColumnRenamed("label", "found"), known.select("qid", "n_gold").filter("n_gold > 0"), q.select("qid", "cluster"), q.select("qid", "cluster")
+
+
+def _relevant(ranked: DataFrame, labels: DataFrame) -> DataFrame:
+    """qid, chunk_id of the ranked rows that are relevant."""
+    return ranked.join(R.sized_broadcast(labels), "qid").filter(F.col("found") == F.col("cluster")).select("qid", "chunk_id")
 
 
 DENSE = f"""scored AS (SELECT a.vec_id AS qid, a.label AS cluster, b.vec_id AS chunk_id, b.label, {DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
@@ -42,9 +51,22 @@ scores AS (
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item word for word: the items are a checked, broadcast block."""
-    items = _items(spark, sf_dir).select("qid", F.col("text").alias("passage"))
-    return _lexical(spark, sf_dir).join(R.sized_broadcast(items), F.col("text").contains(F.col("passage"))).select("qid", "chunk_id", "source")
+    """Documents that hold an item word for word: looked up by the item's first five words, then compared whole.
+
+    The words of a text are the runs between blanks and line ends; items begin and end with whole words.
+    """
+    runs = lambda text: F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
+    items = _items(spark, sf_dir).select("qid", F.col("text").alias("passage"), F.xxhash64(F.slice(runs("text"), 1, OPENING)).alias("opening"))
+    words = _lexical(spark, sf_dir).select("chunk_id", "text", "source", runs("text").alias("w"))
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - OPENING + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("w"), i, OPENING)))
+    found = words.select("chunk_id", "source", F.explode(F.array_distinct(starts)).alias("opening")).join(R.sized_broadcast(items), "opening").select("qid", "passage", "chunk_id", "source")
+    texts = _lexical(spark, sf_dir).select("chunk_id", "text")
+    return found.join(texts, "chunk_id").filter(F.col("text").contains(F.col("passage"))).select("qid", "chunk_id", "source").distinct()
+
+
+def _dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked, sizes, queries, labels = _dense(spark, sf_dir)
+    return E.query_scores(ranked, _relevant(ranked, labels), queries, K, DEPTH, sizes)
 
 
 def _lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +77,12 @@ def _lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DENSE} SELECT qid, cluster, goldable, in_pool, rr FROM scores")
 def query_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.query_scores(*_dense(spark, sf_dir), K, DEPTH)
+    return _dense_scores(spark, sf_dir)
 
 
 @query(f"WITH {DENSE} SELECT {SUMMARY} FROM scores")
 def success_at_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.summary(E.query_scores(*_dense(spark, sf_dir), K, DEPTH))
+    return E.summary(_dense_scores(spark, sf_dir))
 
 
 @query(f"WITH {LEX} SELECT {SUMMARY} FROM scores")
@@ -76,16 +98,13 @@ def comparative_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.comparative_scores(ranked, _gold(spark, sf_dir).withColumnRenamed("source", "paper_id"), K)
 
 
-@query(f"""WITH {DENSE}, top10 AS (SELECT * FROM ranked WHERE rank <= {DEPTH}), {elbow_ctes("top10")},
+@query(f"""WITH {DENSE}, top10 AS (SELECT * FROM ranked WHERE rank <= {K} AND qid IN (SELECT qid FROM scores WHERE in_pool)), {elbow_ctes("top10", max_k=K)},
 per AS (SELECT e.qid, cutoff, count(*) FILTER (WHERE r.rank <= cutoff AND r.cluster = r.label) AS n FROM elbow e JOIN top10 r USING (qid) GROUP BY ALL)
-SELECT avg(cutoff) AS mean_returned, avg((n > 0)::INTEGER) AS recall, avg(CASE WHEN n > 0 THEN 1.0::DOUBLE / cutoff ELSE 0 END) AS precision FROM per""")
+SELECT coalesce(avg(cutoff), 0) AS mean_returned, coalesce(avg((n > 0)::INTEGER), 0) AS recall, coalesce(avg(CASE WHEN n > 0 THEN 1.0::DOUBLE / cutoff ELSE 0 END), 0) AS precision FROM per""")
 def elbow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the adaptive cutoff returns: how many, and whether a relevant one is among them."""
-    ranked, gold, _ = _dense(spark, sf_dir)
-    cuts = R.score_lists(ranked).select("qid", R.cutoff(F.col("scores"))["cutoff"].alias("cutoff"))
-    marked = ranked.join(gold.withColumn("hit", F.lit(True)), ["qid", "chunk_id"], "left").join(cuts, "qid")
-    per = marked.groupBy("qid", "cutoff").agg(F.count_if((F.col("rank") <= F.col("cutoff")) & F.col("hit")).alias("n"))
-    return per.agg(F.avg("cutoff").alias("mean_returned"), F.avg((F.col("n") > 0).cast("int")).alias("recall"), F.avg(F.when(F.col("n") > 0, 1.0 / F.col("cutoff")).otherwise(0.0)).alias("precision"))
+    """What the adaptive cutoff returns of the best ``K``: how many, and whether a relevant one is among them; over queries with one in the pool."""
+    ranked, _, _, labels = _dense(spark, sf_dir)
+    return E.elbow_metrics(ranked, _relevant(ranked, labels), K)
 
 
 ARMS = ((5, 3), (10, 5), (20, 10), (40, 10))
@@ -97,13 +116,12 @@ s AS (SELECT arm, s.qid, goldable, best IS NOT NULL AS in_pool, CASE WHEN best <
 SELECT arm, {SUMMARY} FROM s GROUP BY arm""")
 def arm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All arms of a grid from one deep snapshot: slices of the same rankings, grouped by arm."""
-    ranked, gold, queries = _dense(spark, sf_dir)
+    ranked, sizes, queries, labels = _dense(spark, sf_dir)
     arms = F.broadcast(spark.createDataFrame([(f"c{c}_k{k}", c, k) for c, k in ARMS], "arm string, c int, k int"))
-    relevant = ranked.join(gold, ["qid", "chunk_id"], "left_semi").join(arms, F.col("rank") <= F.col("c"))
+    relevant = ranked.join(_relevant(ranked, labels), ["qid", "chunk_id"], "left_semi").join(arms, F.col("rank") <= F.col("c"))
     hit = relevant.groupBy("arm", "qid").agg(F.min("rank").alias("best"))
-    goldable = gold.select("qid").distinct().withColumn("g", F.lit(True))
-    s = queries.join(arms).join(goldable, "qid", "left").join(hit, ["arm", "qid"], "left")
-    s = s.select("arm", "qid", F.coalesce("g", F.lit(False)).alias("goldable"), F.col("best").isNotNull().alias("in_pool"), F.when(F.col("best") <= F.col("k"), 1.0 / F.col("best")).otherwise(0.0).alias("rr"))
+    s = queries.join(arms).join(sizes, "qid", "left").join(hit, ["arm", "qid"], "left")
+    s = s.select("arm", "qid", F.col("n_gold").isNotNull().alias("goldable"), F.col("best").isNotNull().alias("in_pool"), F.when(F.col("best") <= F.col("k"), 1.0 / F.col("best")).otherwise(0.0).alias("rr"))
     return E.summary(s, ("arm",))
 
 
@@ -114,7 +132,7 @@ pick AS (SELECT b, ('0x' || substr(md5('7|' || b || '|' || d), 1, 8))::BIGINT %
 m AS (SELECT b, sum(s) / sum(n) AS m FROM pick JOIN cl USING (idx) GROUP BY b)"""
 
 
-BOOT = "round(quantile_cont(m, 0.025), 9) AS ci_lo, round(quantile_cont(m, 0.975), 9) AS ci_hi, round(stddev_samp(m), 9) AS se"
+BOOT = "coalesce(round(quantile_cont(m, 0.025), 9), 0) AS ci_lo, coalesce(round(quantile_cont(m, 0.975), 9), 0) AS ci_hi, coalesce(round(stddev_samp(m), 9), 0) AS se"
 
 
 def _boot(df: DataFrame) -> DataFrame:
@@ -122,7 +140,7 @@ def _boot(df: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH {LEX}, samples AS (SELECT cluster, in_pool::INTEGER::DOUBLE AS value FROM scores WHERE goldable), {bootstrap_ctes("samples")}
-SELECT (SELECT round(sum(s) / sum(n), 9) FROM cl) AS point, {BOOT}, (SELECT g FROM g) AS n_clusters, (SELECT sum(n)::BIGINT FROM cl) AS n_eligible FROM m""")
+SELECT (SELECT coalesce(round(sum(s) / sum(n), 9), 0) FROM cl) AS point, {BOOT}, (SELECT g FROM g) AS n_clusters, (SELECT coalesce(sum(n), 0)::BIGINT FROM cl) AS n_eligible FROM m""")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _lexical_scores(spark, sf_dir).filter("goldable")
     return _boot(E.bootstrap(E.clusters(s, F.col("in_pool").cast("double"))))

@@ -125,10 +125,15 @@ def db_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_papers"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n_chars"), F.count_if(F.col("n_chars") < 100).alias("pending"))
 
 
-@query("""SELECT s_nationkey::VARCHAR AS paper_id, '@misc{' || s_nationkey || ',' || chr(10) || '  title = {' || regexp_replace(n_name || ' & {co}', '([&%$#_{}])', '\\\\\\1', 'g') || '},' || chr(10) || '  year = {2024},' || chr(10)
- || '  eprint = {2401.' || printf('%05d', s_nationkey) || '},' || chr(10) || '  archivePrefix = {arXiv}' || chr(10) || '}' AS entry FROM (SELECT DISTINCT s_nationkey FROM supplier) JOIN nation ON s_nationkey = n_nationkey""")
+@query(r"""WITH c AS (SELECT s_suppkey AS pos, s_nationkey::VARCHAR AS paper_id, n_name || ' & {co} 50% \x_#' AS title,
+  CASE s_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '2401.' || printf('%05d', s_nationkey) ELSE 'hep-th/990100' || s_nationkey END AS arxiv_id FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+f AS (SELECT paper_id, any_value(arxiv_id) AS a, min(pos) AS pos, any_value(replace(replace(replace(replace(replace(title, '\', '\textbackslash '), '{', '\{'), '}', '\}'), '&', '\&'), '%', '\%')) AS t FROM c GROUP BY paper_id)
+SELECT paper_id, pos, '@misc{' || paper_id || ',' || chr(10) || '  title = {' || t || '}' || CASE WHEN a IS NULL THEN '' ELSE ',' || chr(10) || '  eprint = {' || a || '},' || chr(10) || '  archivePrefix = {arXiv}' END
+  || CASE WHEN regexp_matches(a, '^\d{4}\.\d{4,5}$') THEN ',' || chr(10) || '  year = {20' || a[1:2] || '}' ELSE '' END || ',' || chr(10) || '}' AS entry FROM f""")
 def bibtex_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cited papers, once each, though many suppliers name their nation."""
+    """Cited papers, once each, though many suppliers name their nation; some have no id, some an old one."""
     j = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    papers = j.select(F.col("s_nationkey").cast("string").alias("paper_id"), F.concat("n_name", F.lit(" & {co}")).alias("title"), F.concat(F.lit("2401."), F.lpad(F.col("s_nationkey").cast("string"), 5, "0")).alias("arxiv_id"))
-    return L.bibtex(papers)
+    key = F.col("s_nationkey").cast("string")
+    known = F.when(F.col("s_nationkey") % 3 == 1, F.concat(F.lit("2401."), F.lpad(key, 5, "0"))).when(F.col("s_nationkey") % 3 == 2, F.concat(F.lit("hep-th/990100"), key))
+    cited = j.select(key.alias("paper_id"), F.concat("n_name", F.lit(" & {co} 50% \\x_#")).alias("title"), known.alias("arxiv_id"), F.col("s_suppkey").alias("pos"))
+    return L.bibtex(cited)
