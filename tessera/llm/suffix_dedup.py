@@ -37,6 +37,8 @@ SIDE = LENGTH - GRAM
 CONTEXT = GRAM + 2 * SIDE
 #: Text bytes for each bucket: bounds what a task of steps 1 and 3 holds.
 BUCKET_BYTES = 48 << 20
+#: Bytes of text whose grams are hashed at a time (40 bytes of arrays for each), and characters whose anchors are held at a time.
+LOT, SLICE = 1 << 20, 4 << 20
 #: Rows of the table of copied texts up to which it is broadcast (30 bytes a row).
 BROADCAST_ROWS = 200_000
 LAST = (1 << 63) - 1
@@ -82,15 +84,33 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return at, h[at]
 
 
-def _joined(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = [t.encode() for t in texts]
-    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+def _lots(texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts' bytes in lots of about LOT bytes: data, where each piece starts and ends, its row, its offset there.
 
-
-def _slices(batch: pd.DataFrame, most: int = 8 << 20) -> Iterator[pd.DataFrame]:
-    """Rows of a batch in groups of about ``most`` characters, so that arrays over them stay small."""
-    group = batch["text"].str.len().cumsum() // most
+    A long row is cut into pieces that overlap by LENGTH - 1 bytes, so that each string of LENGTH bytes is in one piece.
+    """
+    pieces, size = [], 0
+
+    def lot():
+        ends = np.cumsum([len(p) for _, _, p in pieces], dtype=np.int64)
+        data = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
+        return data, np.r_[0, ends[:-1]].astype(np.int64), ends, np.array([r for r, _, _ in pieces], np.int64), np.array([a for _, a, _ in pieces], np.int64)
+
+    for row, text in enumerate(texts):
+        raw = text.encode()
+        for a in range(0, max(1, len(raw) - LENGTH + 1), LOT):
+            pieces.append((row, a, raw[a : a + LOT + LENGTH - 1]))
+            size += len(pieces[-1][2])
+            if size >= LOT:
+                yield lot()
+                pieces, size = [], 0
+    if pieces:
+        yield lot()
+
+
+def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in groups of about SLICE characters, so that what is held of them stays small."""
+    group = batch["text"].str.len().cumsum() // SLICE
     yield from (g for _, g in batch.groupby(group.to_numpy(), sort=False))
 
 
@@ -119,10 +139,12 @@ def _emit_anchors(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in _slices(batch):
-                data, starts, ends = _joined(part["text"])
                 ids, tids = part["ord"].to_numpy(np.int64), part["tid"].to_numpy(np.int64)
-                at, h = anchors(data, starts, ends)
-                doc = np.searchsorted(ends, at, "right")
+                found = []
+                for data, starts, ends, row, _ in _lots(part["text"]):
+                    at, h = anchors(data, starts, ends)
+                    found.append((row[np.searchsorted(ends, at, "right")], h))
+                doc, h = (np.concatenate(x) for x in zip(*found))
                 bucket, short = _bucket(h, buckets), h.astype(np.uint32)
                 order = np.lexsort((doc, h))
                 hs, ds = h[order], doc[order]
@@ -193,28 +215,37 @@ ENTRY = np.dtype([("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1
 SPAN = np.dtype([("start", "<i4"), ("stop", "<i4")])
 
 
+def _around(lot: tuple, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and context of the anchors of one lot that are among ``mine`` (row, short hash)."""
+    data, starts, ends, row, base = lot
+    at, h = anchors(data, starts, ends)
+    piece = np.searchsorted(ends, at, "right")
+    hit = np.isin(row[piece].astype(np.uint64) << np.uint64(32) | h.astype(np.uint32).astype(np.uint64), mine)
+    at, h, piece = at[hit], h[hit], piece[hit]
+    entry = np.zeros(len(at), ENTRY)
+    entry["pos"] = at - starts[piece] + base[piece]
+    entry["left"] = np.minimum(SIDE, at - starts[piece])
+    entry["right"] = np.minimum(SIDE, ends[piece] - at - GRAM)
+    if len(at):
+        padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
+        place = np.arange(CONTEXT) - SIDE
+        inside = (place >= -entry["left"][:, None].astype(np.int8)) & (place < GRAM + entry["right"][:, None].astype(np.int8))
+        entry["bytes"] = np.where(inside, np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[at], 0)
+    return row[piece], h, entry
+
+
 def _emit_contexts(buckets: int):
     """Step 2: the bytes around each repeated anchor, once for each context and slice, and what that settles already."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in _slices(batch):
-                data, starts, ends = _joined(part["text"])
                 ids, tids = part["ord"].to_numpy(np.int64), part["tid"].to_numpy(np.int64)
-                at, h = anchors(data, starts, ends)
-                doc = np.searchsorted(ends, at, "right")
                 wanted = [np.frombuffer(x, np.uint32) for x in part["data"]]
                 mine = np.repeat(np.arange(len(wanted), dtype=np.uint64), [len(x) for x in wanted]) << np.uint64(32) | np.concatenate([*wanted, np.empty(0, np.uint32)]).astype(np.uint64)
-                hit = np.isin(doc.astype(np.uint64) << np.uint64(32) | h.astype(np.uint32).astype(np.uint64), mine)
-                at, h, doc = at[hit], h[hit], doc[hit]
-                entry = np.zeros(len(at), ENTRY)
-                entry["pos"] = at - starts[doc]
-                entry["left"] = np.minimum(SIDE, at - starts[doc])
-                entry["right"] = np.minimum(SIDE, ends[doc] - at - GRAM)
-                padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
-                around = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[at] if len(at) else np.empty((0, CONTEXT), np.uint8)
-                place = np.arange(CONTEXT) - SIDE
-                entry["bytes"] = np.where((place >= -entry["left"][:, None].astype(int)) & (place < GRAM + entry["right"][:, None].astype(int)), around, 0)
+                found = [_around(lot, mine) for lot in _lots(part["text"])]
+                doc, h, entry = (np.concatenate(x) for x in zip(*found))
+                del found
                 same = _classes(entry)
                 order = np.lexsort((ids[doc], same))
                 ss = same[order]
@@ -289,7 +320,7 @@ def _smaller_elsewhere(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
         least = np.repeat(first[:, None], SIDE + 1, axis=1)
         place = np.arange(SIDE + 1)
         valid = (place >= SIDE - contexts["left"][:, None].astype(int)) & (place <= contexts["right"][:, None].astype(int))
-        for lot in np.array_split(many[np.argsort(gram[many], kind="stable")], 1 + len(many) // 200_000) if len(many) else ():
+        for lot in np.array_split(many[np.argsort(gram[many], kind="stable")], 1 + len(many) // 25_000) if len(many) else ():
             # Lots are cut between anchors only in that both neighbours get the anchor at the cut.
             lot = many[np.isin(gram[many], np.unique(gram[lot]))]
             key = refined(contexts["bytes"][lot])
