@@ -3,12 +3,16 @@
 A text's tokens are the tokens of its pieces, cut off by the tokenizer's own pattern; inside a piece a
 dynamic programme over its bytes gives the count at every prefix: the last token of a prefix is the one
 suffix whose left neighbour stays apart from it, and the count is one more than at that token's start.
-Pieces repeat, so each worker keeps the counts of those it has met (a bounded cache of pure values). With
-the pieces' ends and running counts stored, truncation and budget questions need no new encoding.
+Pieces repeat, so each worker keeps the counts of those it has met (a bounded cache of pure values).
+
+What is stored for a text is the count of each of its prefixes, every code point's, as a text of its own: the
+differences from one prefix to the next, a byte for each code point (four where a difference needs it). Token
+counts, truncation and budgets are sums and look-ups in it; nothing is encoded again.
 
 Defined results: a null text is an empty one (0 bytes, 0 tokens); a special string inside a text is one
-token, as the library has it by default; ids may be null or repeated; an empty table gives an empty result;
-of the input only the two named columns are read. Texts are never cut, whatever their length.
+token, as the library has it by default; a prefix that ends inside one is plain text; ids may be null or repeated;
+an empty table gives an empty result; of the input only the two named columns are read. Texts are never cut,
+whatever their length.
 """
 
 from __future__ import annotations
@@ -17,10 +21,9 @@ import json
 import re
 import sys
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +36,22 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: The last code point of the short classes, and a search for any beyond them.
 LATIN = 0x24F
 BEYOND = re.compile(f"[^\\x00-{chr(LATIN)}]").search
+#: Two white characters: the first ends another piece when the text ends behind the second.
+PAIR = re.compile(f"[{WHITE}]{{2}}")
+WHITES = re.compile(f"[{WHITE}]+")
+#: Of the pattern's contractions, those that are no piece without their last letter.
+LONG = ("'re", "'ve", "'ll")
 #: Entries of a worker's caches; a full one is emptied.
 CACHE = 600_000
 
 
 class _Pieces(dict):
-    """Counts of whole pieces, found when they are first asked for; emptied when full."""
+    """What is known of pieces, found when it is first asked for; emptied when full."""
 
     def __init__(self, find):
         self.find = find
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: str):
         if len(self) >= CACHE:
             self.clear()
         n = self[piece] = self.find(piece)
@@ -93,6 +101,7 @@ class PrefixCounter:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.whole = _Pieces(lambda piece: self.prefixes(piece.encode())[-1])
+        self.steps = _Pieces(self._steps)
         self.apart: dict[int, bool] = {}
 
     def stays(self, left: int, right: int) -> bool:
@@ -159,47 +168,69 @@ class PrefixCounter:
         """The last entry of ``table``, without the table."""
         return sum(1 if special else sum(map(self.whole.__getitem__, self.pieces(part))) for part, special in self._segments(text))
 
-    def table(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends of the pieces, in code points, and the tokens up to each: every sum is the one before and a piece's own count."""
-        pieces, tokens = [], []
+    def _steps(self, piece: str) -> bytes:
+        """From each prefix of a piece to the next, how many tokens more or less; empty where a byte can't hold one."""
+        counts = self.prefixes(piece.encode())
+        if not piece.isascii():
+            at = np.cumsum([0, *(len(c.encode()) for c in piece)])
+            counts = [counts[i] for i in at.tolist()]
+        if piece in LONG:
+            counts[2] = self.whole["'"] + self.whole[piece[1]]
+        steps = np.diff(counts)
+        return steps.astype(np.int8).tobytes() if len(steps) and np.abs(steps).max() < 128 else b""
+
+    def _wide(self, piece: str) -> np.ndarray:
+        counts = self.prefixes(piece.encode())
+        return np.diff([counts[i] for i in np.cumsum([0, *(len(c.encode()) for c in piece)]).tolist()])
+
+    def table(self, text: str) -> bytes:
+        """The steps from each prefix of the text to the next: int8, or int32 where there are four bytes for each code point."""
+        out, fixes, at = [], [], 0
+        last = ""  # the last piece before a special string
         for part, special in self._segments(text):
-            found = [part] if special else self.pieces(part)
-            pieces += found
-            tokens += [1] if special else map(self.whole.__getitem__, found)
-        return list(accumulate(map(len, pieces))), list(accumulate(tokens))
-
-    def at_prefix(self, text: str, stored: tuple[list[int], list[int]], n: int) -> int:
-        """Tokens of the first ``n`` code points as a text of their own: stored counts, and the last pieces anew.
-
-        White space before the cut joins differently when nothing follows it, and a special string that is cut is
-        plain text; both reach back over the white space and the piece before, no further.
-        """
-        ends, counts = stored
-        k = bisect_right(ends, n)
-        while k and (ends[k - 1] == n or text[ends[k - 1] - 1].isspace() or text[ends[k - 1] : ends[k - 1] + 1].isspace()):
-            k -= 1
-        start, before = (ends[k - 1], counts[k - 1]) if k else (0, 0)
-        return before + self.count(text[start:n])
-
-    def fits(self, text: str, stored: tuple[list[int], list[int]], limit: int) -> int:
-        """Code points up to which the text takes at most ``limit`` tokens, by the counts inside the piece where the budget ends."""
-        ends, counts = stored
-        k = bisect_right(counts, limit)
-        start, before = (ends[k - 1], counts[k - 1]) if k else (0, 0)
-        if k == len(ends):
-            return start
-        piece = text[start : ends[k]]
-        if self.special and self.special.fullmatch(piece):
-            return start
-        inside, at, best = self.prefixes(piece.encode()), 0, 0
-        for n, c in enumerate(piece, 1):
-            at += len(c.encode())
-            if before + inside[at] <= limit:
-                best = n
-        # What is cut may be split anew, so it is counted as a text of its own.
-        while best and self.at_prefix(text, stored, start + best) > limit:
-            best -= 1
-        return start + best
+            if special:
+                # Up to its last character it is plain text, which may join the piece before.
+                base = self.whole[last] if last else 0
+                counts = [0, *(self.count(last + part[:k]) - base for k in range(1, len(part))), 1]
+                out.append(np.diff(counts))
+                last = ""
+            else:
+                found = self.pieces(part)
+                steps = list(map(self.steps.__getitem__, found))
+                out += steps if all(steps) else [s or self._wide(p) for s, p in zip(steps, found)]
+                last = found[-1] if found else last
+                if PAIR.search(part):
+                    place = at
+                    for p, q in zip(found, found[1:]):
+                        place += len(p)
+                        if WHITES.match(q) and WHITES.fullmatch(p):
+                            # The prefix that ends behind this has all the white space in one piece.
+                            fixes.append((place, self.whole[p + q[0]] - self.whole[p] - self.whole[q[0]]))
+            at += len(part)
+        if not fixes and all(type(x) is bytes for x in out):
+            return b"".join(out)
+        steps = np.concatenate([np.frombuffer(x, np.int8).astype(np.int64) if type(x) is bytes else x for x in out]) if out else np.empty(0, np.int64)
+        for place, more in fixes:
+            steps[place] += more
+            if place + 1 < len(steps):
+                steps[place + 1] -= more
+        return steps.astype(np.int8 if np.abs(steps).max(initial=0) < 128 else np.int32).tobytes()
+
+
+def counts(table: bytes, length: int) -> np.ndarray:
+    """Tokens of every prefix of a text of ``length`` code points, from the empty one on, by its table."""
+    steps = np.frombuffer(table, np.int8 if len(table) == length else np.int32)
+    return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+
+
+def at_prefix(table: bytes, length: int, n: int) -> int:
+    """Tokens of the first ``n`` code points as a text of their own."""
+    return int(counts(table, length)[n])
+
+
+def fits(table: bytes, length: int, limit: int) -> int:
+    """The longest prefix, in code points, of at most ``limit`` tokens."""
+    return int(np.flatnonzero(counts(table, length) <= limit)[-1])
 
 
 def byte_letters() -> dict[int, str]:
@@ -221,28 +252,25 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", store: bool = False) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` and ``fits_chars``: code points of a prefix within ``limit``, cut inside a piece too.
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit``, ``fits_chars`` and ``prefixes``, the table that the others are read from.
 
-    With ``store`` also ``ends`` and ``counts``, the prefix table. A narrow pass: batches of texts go to Python, numbers come back.
+    ``fits_chars`` is the longest prefix within ``limit``. A narrow pass: batches of texts go to Python, tables come back.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    fields = [d.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens", "fits_chars")]]
-    if store:
-        fields += [T.StructField(n, T.ArrayType(T.LongType())) for n in ("ends", "counts")]
+    fields = [d.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens", "fits_chars")], T.StructField("prefixes", T.BinaryType())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = counter(tokenizer)
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                ends, counts = c.table(text)
-                total = counts[-1] if counts else 0
-                row = (len(text.encode()), total, len(text) if total <= limit else c.fits(text, (ends, counts), limit))
-                rows.append((*row, ends, counts) if store else row)
+                table, n = c.table(text), len(text)
+                total = int(np.frombuffer(table, np.int8 if len(table) == n else np.int32).sum(dtype=np.int64))
+                rows.append((len(text.encode()), total, n if total <= limit else fits(table, n, limit), table))
             out = pd.DataFrame(rows, columns=[f.name for f in fields[1:]])
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
     counted = d.mapInPandas(run, T.StructType(fields))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fits_chars", *(["ends", "counts"] if store else []))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fits_chars", "prefixes")

@@ -30,10 +30,11 @@ def test_counts_are_the_librarys(counter):
 
 def test_every_prefix(counter):
     library = Tokenizer.from_file(PATH)
-    for text in samples()[:120]:
+    odd = ["I'll we're you've 'll'r don't're x", "a \n\n b\t\t<|endoftext|>  <|endoftext|><|endo", "!!<|endoftext|>!! 're<|endoftext|>", "日本語　　x 😀 😀", "\x85\x85x  y \x1c\x1cz"]
+    for text in samples()[:120] + odd:
         stored = counter.table(text)
         for n in range(min(len(text), 60) + 1):
-            assert counter.at_prefix(text, stored, n) == len(library.encode(text[:n], add_special_tokens=False).ids)
+            assert token_counts.at_prefix(stored, len(text), n) == len(library.encode(text[:n], add_special_tokens=False).ids)
 
 
 def test_query_shape(spark):
@@ -46,5 +47,35 @@ def test_a_long_piece_is_cut_inside(counter):
     library = Tokenizer.from_file(PATH)
     size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     for text in ("日本語漢字仮名" * 30, "#*~^" * 60, "zqxj" * 60, "some words, then " + "zqxj" * 60):
-        n = counter.fits(text, counter.table(text), 50)
+        n = token_counts.fits(counter.table(text), len(text), 50)
         assert n == max(k for k in range(len(text)) if size(text[:k]) <= 50)
+    random.seed(4)
+    letters = "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000))
+    n = token_counts.fits(counter.table(letters), 6000, 1024)
+    assert size(letters[:n]) <= 1024 and all(size(letters[:k]) > 1024 for k in range(n + 1, n + 40)) and n > 1024
+
+
+def test_wide_steps(counter):
+    """A step of more than a byte makes the whole table wide."""
+    counter.steps["zqxj"] = b""
+    wide, length = counter.table("some zqxj zqxj"), 14
+    assert token_counts.at_prefix(wide, length, 14) == counter.count("some zqxj zqxj")
+    counter.steps.clear()
+
+
+def test_query_on_whole_documents(spark):
+    """n_bytes, n_tokens and over_limit of the query are the library's, on every document, and fits_chars fits."""
+    from tessera.llm import queries
+
+    library = Tokenizer.from_file(PATH)
+    texts = dict(duckdb.sql("SELECT doc_id, coalesce(text, '') FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    sizes = dict(zip(texts, (len(e.ids) for e in library.encode_batch(list(texts.values()), add_special_tokens=False))))
+    rows = queries.op10_token_counts(spark, "/root/testdata/sf0.01").collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in rows} == {d: (len(t.encode()), sizes[d], sizes[d] > 1024) for d, t in texts.items()}
+    for r in rows:
+        if r["over_limit"]:
+            assert len(library.encode(texts[r["doc_id"]][: r["fits_chars"]], add_special_tokens=False).ids) <= 1024
+
+
+def test_empty_table(spark):
+    assert token_counts.token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
