@@ -134,3 +134,87 @@ def answer_f1(predicted: Column, gold: Column) -> Column:
     p, g = answer_tokens(predicted), answer_tokens(gold)
     shared = F.size(F.array_intersect(p, g))
     return F.when(shared == 0, 0.0).otherwise(2.0 * shared / (F.size(p) + F.size(g)))
+
+
+def page_version(html: Column, arxiv: Column) -> Column:
+    """v1, v2, ... of the paper as its page names it; null where it doesn't."""
+    found = F.regexp_extract(html, r"arXiv:(\d{4}\.\d{4,5})(v\d+)", 2)
+    named = F.regexp_extract(html, r"arXiv:(\d{4}\.\d{4,5})(v\d+)", 1)
+    return F.when((found != "") & (named == arxiv), found)
+
+
+def tagging_excerpt(md: Column, lines: int = 24, most: int = 6000) -> Column:
+    """Title, the lines after the first heading that says abstract, and all headings: what a paper is tagged by."""
+    said = F.split(without_comments(md), "\n")
+    headings = F.transform(F.filter(said, lambda x: x.rlike(r"^##[ \t]")), lambda x: F.regexp_replace(x, r"^##[ \t]+", ""))
+    at = F.array_position(F.transform(said, lambda x: x.rlike(r"(?i)^##[ \t].*abstract")), True).cast("int")
+    abstract = F.when(at > 0, F.array_join(F.slice(said, at + 1, lines), "\n")).otherwise("")
+    return F.substring(F.concat_ws("\n", title(md), abstract, F.array_join(headings, "\n")), 1, most)
+
+
+def sentence_spans(text: Column) -> Column:
+    """The sentences with where they stand: an array of (sentence, start, end), in code points, end exclusive."""
+    marks = F.regexp_extract_all(text, F.lit(f"({SENTENCE_END})"), F.lit(1))
+    parts = F.split(text, SENTENCE_END)
+    sizes = F.transform(parts, lambda p, i: F.char_length(p) + F.coalesce(F.char_length(F.get(marks, i)), F.lit(0)))
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+
+    def placed(z: Column) -> Column:
+        lead = lambda p: F.char_length(p) - F.char_length(F.regexp_replace(p, f"^[{WHITE}]+", ""))
+        trimmed = lambda p: F.regexp_replace(p, STRIP, "")
+        each = F.transform(z["parts"], lambda p, i: F.struct(trimmed(p).alias("sentence"), (z["starts"][i] + lead(p)).alias("start"), (z["starts"][i] + lead(p) + F.char_length(trimmed(p))).alias("end")))
+        return F.filter(each, lambda s: s["sentence"] != "")
+
+    return F.transform(F.array(F.struct(parts.alias("parts"), starts.alias("starts"))), placed)[0]
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """just now, 5m ago, 3h ago, 2d ago, 7mo ago, 1y ago: months of 30 days, years of 12 such months."""
+    minutes = F.floor((now.cast("timestamp").cast("long") - then.cast("timestamp").cast("long")) / 60)
+    hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
+    months = F.floor(days / 30)
+    said = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    return (
+        F.when(minutes < 1, "just now").when(minutes < 60, said(minutes, "m")).when(hours < 24, said(hours, "h"))
+        .when(days < 30, said(days, "d")).when(months < 12, said(months, "mo")).otherwise(said(F.floor(months / 12), "y"))
+    )
+
+
+def usage_line(input_tokens: Column, output_tokens: Column, latency_ms: Column) -> Column:
+    """Tokens, where both numbers are known, and seconds, in small print; empty without a latency."""
+    total = input_tokens + output_tokens
+    tokens_said = F.when(total.isNotNull(), F.concat(F.format_number(total, 0), F.when(total == 1, " token").otherwise(" tokens")))
+    seconds = F.concat(F.format_string("%.1f", latency_ms / F.lit(1000.0)), F.lit("s"))
+    return F.when(latency_ms.isNull(), "").otherwise(F.concat(F.lit("_"), F.concat_ws(" · ", tokens_said, seconds), F.lit("_")))
+
+
+#: How much of a snippet is looked for, the longest first, and the least that is worth it.
+ANCHORS, SHORTEST = (220, 160, 110, 70, 40), 20
+
+
+def reanchored(text: Column, snippet: Column) -> Column:
+    """Where a snippet stands in a text whose white space may have changed since: (start, length), null where it doesn't.
+
+    The longest beginning of the snippet that is there counts; blanks match any white space.
+    """
+    plain = F.regexp_replace(F.regexp_replace(snippet, STRIP, ""), f"[{WHITE}]+", " ")
+    out = F.lit(None).cast("struct<start:int,length:int>")
+    for n in reversed(ANCHORS):
+        needle = F.substring(plain, 1, n)
+        pattern = F.concat(F.lit("(?s)("), F.regexp_replace(F.regexp_replace(needle, r"([.*+?^${}()|\[\]\\])", r"\\$1"), " +", rf"[{WHITE}]+".replace("\\", "\\\\")), F.lit(")"))
+        found = F.regexp_extract_all(text, pattern, F.lit(1))[0]
+        out = F.when((F.char_length(needle) >= SHORTEST) & F.regexp_like(text, pattern), F.struct((F.position(found, text) - 1).cast("int").alias("start"), F.char_length(found).alias("length"))).otherwise(out)
+    return out
+
+
+def heading_slug(heading: Column) -> Column:
+    """The anchor of a heading in rendered markdown: lower case, no marks, blanks as hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(heading, STRIP, "")), r"[^\p{L}\p{N}_ -]", ""), " ", "-")
+
+
+def first_numbers(reply: Column, n: Column) -> Column:
+    """The first JSON array of a model's reply as n numbers: what is no number is 0, so is what is missing; the rest goes."""
+    found = F.from_json(F.regexp_extract(reply, r"\[[^\]]*\]", 0), "array<string>")
+    numbers = F.transform(found, lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0)))
+    padded = F.concat(F.coalesce(numbers, F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), n))
+    return F.slice(padded, F.lit(1), n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
@@ -213,3 +214,26 @@ def fingerprint(pool: DataFrame) -> DataFrame:
     one = pool.select("paper_id", F.concat(F.hex(F.encode("paper_id", "utf-8")), F.lit("00"), F.upper(F.sha2("markdown", 256))).alias("h"))
     all_ = one.agg(F.sort_array(F.collect_list(F.struct("paper_id", "h"))).alias("x"))
     return all_.select(F.substring(F.sha2(F.unhex(F.array_join(F.transform("x", lambda r: r["h"]), "")), 256), 1, 16).alias("fingerprint"))
+
+
+def section_unit(number: Column, title: Column) -> Column:
+    """How a section is called: its number, where it has one, and its title."""
+    return F.concat_ws(" ", F.nullif(number, F.lit("")), title)
+
+
+def outline_text(sections: DataFrame) -> DataFrame:
+    """paper_id, outline: the paper's id and title, and its sections below, in order."""
+    rows = sections.select("paper_id", F.struct("section_index", "heading", section_unit(F.col("number"), F.col("title")).alias("unit")).alias("x"))
+    listed = rows.groupBy("paper_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    lines = F.array_join(F.transform("x", lambda r: F.concat(F.lit("  "), r["unit"])), "\n")
+    return listed.select("paper_id", F.concat(F.lit("Paper "), F.col("paper_id").cast("string"), F.lit(": "), F.col("x")[0]["heading"], F.lit("\n"), lines).alias("outline"))
+
+
+def items_fingerprint(items: DataFrame) -> DataFrame:
+    """One row: 16 hex digits that change with any query; a set of items is typed or generated, and small."""
+    return items.agg(F.sort_array(F.collect_list("query")).alias("q")).select(F.substring(F.sha2(F.array_join("q", "\0"), 256), 1, 16).alias("fingerprint"))
+
+
+def cell_signature(embedder: str, **knobs) -> str:
+    """What tells one chunking and embedding of a corpus from another."""
+    return hashlib.md5("|".join([embedder, *(f"{k}={knobs[k]}" for k in sorted(knobs))]).encode()).hexdigest()

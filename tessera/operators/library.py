@@ -140,3 +140,100 @@ def support(scored: DataFrame) -> DataFrame:
 
 def severity(label: Column) -> Column:
     return F.when(label == "contradiction", 2).when(label == "neutral", 1).otherwise(0)
+
+
+def with_titles(citations: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Citations with title and arxiv_id of their paper; one that the manifest hasn't got is called by its id."""
+    known = manifest.select("paper_id", F.col("title").alias("__t"), F.col("arxiv_id").alias("__a"))
+    j = citations.join(known, "paper_id", "left")
+    return j.withColumns({"title": F.coalesce("__t", "paper_id"), "arxiv_id": F.col("__a")}).drop("__t", "__a")
+
+
+def valid_groups(groups: DataFrame, sections: DataFrame) -> DataFrame:
+    """group_id of the match groups (group_id, paper_id, section_number, section_title) that can be compared.
+
+    Two papers at least, none twice, and every entry a section that exists.
+    """
+    known = sections.select("paper_id", F.coalesce("number", F.lit("")).alias("section_number"), F.col("title").alias("section_title")).distinct().withColumn("__known", F.lit(True))
+    g = groups.withColumn("section_number", F.coalesce("section_number", F.lit(""))).join(known, ["paper_id", "section_number", "section_title"], "left")
+    whole = g.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("paper_id").alias("papers"), F.count("__known").alias("there"))
+    return whole.filter((F.col("n") >= 2) & (F.col("papers") == F.col("n")) & (F.col("there") == F.col("n"))).select("group_id")
+
+
+def feedback(turns: DataFrame, chat_id: Column, turn: Column, vote: str | None, note: str = "") -> DataFrame:
+    """One turn's vote set, or cleared with None; other votes than up and down are an error."""
+    if vote not in (None, "up", "down"):
+        raise ValueError(f"a vote is up, down or None, not {vote!r}")
+    here = (F.col("chat_id") == chat_id) & (F.col("turn") == turn)
+    return turns.withColumns({
+        "vote": F.when(here, F.lit(vote).cast("string")).otherwise(F.col("vote")),
+        "note": F.when(here, F.lit(note if vote else None).cast("string")).otherwise(F.col("note")),
+    })
+
+
+def append_turns(turns: DataFrame, new: DataFrame) -> DataFrame:
+    """New (chat_id, seq, ...) rows behind the chats' turns, numbered on from each chat's last."""
+    last = turns.groupBy("chat_id").agg(F.max("turn").alias("__last"))
+    numbered = new.join(last, "chat_id", "left").withColumn("turn", (F.coalesce("__last", F.lit(-1)) + F.row_number().over(Window.partitionBy("chat_id").orderBy("seq"))).cast("long"))
+    return turns.unionByName(numbered.drop("__last", "seq"), allowMissingColumns=True)
+
+
+def sessions(turns: DataFrame, most: int = 60) -> DataFrame:
+    """chat_id, title, scope, n_turns, updated_at, the latest first: title and scope are those of the first turn."""
+    s = turns.groupBy("chat_id").agg(
+        F.substring(F.min_by("question", "turn"), 1, most).alias("title"), F.min_by("scope", "turn").alias("scope"), F.count(F.lit(1)).alias("n_turns"), F.max("created_at").alias("updated_at")
+    )
+    return s.orderBy(F.desc("updated_at"), "chat_id")
+
+
+def without_chat(turns: DataFrame, chat_ids: DataFrame) -> DataFrame:
+    return turns.join(chat_ids, "chat_id", "left_anti")
+
+
+def annotate(annotations: DataFrame, new: DataFrame) -> DataFrame:
+    """Notes created or changed: a changed one keeps when it was created, what it stands at, and its snippet."""
+    changed = annotations.select("id", F.col("created_at").alias("__c"), F.col("snippet").alias("__s"))
+    n = new.join(changed, "id", "left").withColumns({"created_at": F.coalesce("__c", "created_at"), "snippet": F.coalesce("__s", "snippet")}).drop("__c", "__s")
+    return upsert(annotations, n.select(*annotations.columns), "id")
+
+
+def grouped_sources(citations: DataFrame) -> DataFrame:
+    """kind, source, refs, pos: papers and web pages that are cited, each with its refs in order, first seen first."""
+    web = F.col("paper_id").isNull()
+    c = citations.select(F.when(web, "web").otherwise("paper").alias("kind"), F.coalesce("paper_id", "url").alias("source"), "ref", "pos")
+    g = c.groupBy("kind", "source").agg(F.min("pos").alias("pos"), F.sort_array(F.collect_list(F.struct("pos", "ref"))).alias("x"))
+    return g.select("kind", "source", "pos", F.array_join(F.transform("x", lambda r: r["ref"]), ",").alias("refs"))
+
+
+def merged_config(config: DataFrame, added: DataFrame) -> DataFrame:
+    """Papers added to a configuration: (name, arxiv_id, status), queued, or a duplicate, or invalid.
+
+    An id that is there under whatever name is a duplicate; of repeated additions the first counts.
+    """
+    from tessera.functions.text import arxiv_id
+
+    new = added.select("pos", F.col("raw"), arxiv_id(F.col("raw")).alias("arxiv_id"))
+    known = config.select("arxiv_id", F.col("name").alias("known")).dropDuplicates(["arxiv_id"])
+    first = F.row_number().over(Window.partitionBy("arxiv_id").orderBy("pos"))
+    j = new.join(known, "arxiv_id", "left").withColumn("__n", first)
+    status = F.when(F.col("arxiv_id").isNull(), "invalid").when(F.col("known").isNotNull() | (F.col("__n") > 1), "duplicate").otherwise("queued")
+    return j.select("pos", "raw", "arxiv_id", F.coalesce("known", "arxiv_id").alias("name"), status.alias("status"))
+
+
+def fallback(html: DataFrame, pdf: DataFrame) -> DataFrame:
+    """(paper_id, markdown, source, warnings): the page's text, else the PDF's, with a warning that says why; null where both fail."""
+    j = html.select("paper_id", F.col("markdown").alias("h"), F.col("error").alias("why")).join(pdf.select("paper_id", F.col("markdown").alias("p")), "paper_id", "full")
+    used = F.when(F.col("h").isNotNull(), "html").when(F.col("p").isNotNull(), "pdf")
+    warned = F.when(F.col("h").isNull(), F.array(F.concat(F.lit("html: "), F.coalesce("why", F.lit("not there"))))).otherwise(F.array().cast("array<string>"))
+    return j.select("paper_id", F.coalesce("h", "p").alias("markdown"), used.alias("source"), warned.alias("warnings"))
+
+
+def claims(marks: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Which verdict each citation mark shows: marks (ref, sentence, start) in order, verdicts (ref, sentence, pos, label).
+
+    The n-th place where a ref is cited in a sentence of the same wording takes the n-th verdict; marks of one place share it.
+    """
+    places = marks.select("ref", "sentence", "start").distinct()
+    n = places.withColumn("n", F.row_number().over(Window.partitionBy("ref", "sentence").orderBy("start")))
+    v = verdicts.withColumn("n", F.row_number().over(Window.partitionBy("ref", "sentence").orderBy("pos"))).drop("pos")
+    return n.join(v, ["ref", "sentence", "n"], "left").drop("n")

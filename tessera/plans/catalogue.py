@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tessera.plans import chunks, evaluation, library, retrieval, streams, texts, warehouse  # noqa: E402, F401
+from tessera.plans import arms, chunks, engine, evaluation, library, records, retrieval, streams, texts, warehouse  # noqa: E402, F401

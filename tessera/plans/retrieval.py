@@ -77,10 +77,11 @@ bm25 AS (
 LEXICAL = bm25_ctes("SELECT doc_id AS chunk_id, text, source FROM documents", "SELECT item_id AS qid, text FROM benchmark")
 
 
-@query(f"WITH {LEXICAL} SELECT term, df, round(idf, 9) AS idf FROM terms")
+@query(rf"""WITH t AS (SELECT list_distinct(regexp_extract_all(lower(text), '{WORDS}')) AS t FROM documents), dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(t) AS term FROM t) GROUP BY term),
+raw AS (SELECT term, df, ln((SELECT count(*) FROM t) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 9) AS idf FROM raw""")
 def bm25_build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _lexical(spark, sf_dir)
-    stats = R.term_stats(R.postings(chunks), R.corpus_stats(chunks))
+    stats = R.term_stats(R.vocabulary(_lexical(spark, sf_dir)))
     return stats.select("term", "df", F.round("idf", 9).alias("idf"))
 
 

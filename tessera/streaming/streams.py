@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OPEN, CLOSE = "<think>", "</think>"
+#: The tags that hide a model's thoughts, and what stands in their place.
+OPEN, CLOSE, PLACEHOLDER = "<think>", "</think>", "THINK_TAG"
+#: How long after its last piece a stream's state is kept.
+IDLE_MS = 3_600_000
 
 
 def event_time(events: DataFrame, column: str = "ts") -> DataFrame:
@@ -40,71 +44,110 @@ def without_repeats(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return event_time(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def ingest(source: DataFrame, checkpoint: str, index: Callable[[DataFrame], None], failed: Callable[[DataFrame, Exception], None]):
+def ingest(source: DataFrame, checkpoint: str, index: Callable[[DataFrame], None], failed: Callable[[DataFrame, Exception], None] | None = None):
     """Everything that has arrived, in micro-batches; a batch that fails goes to ``failed`` and the rest goes on.
 
-    The checkpoint makes each batch count once over restarts.
+    The checkpoint makes each batch count once over restarts. Without ``failed`` the first error stops the stream, and
+    its batch is tried again by the next start.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         try:
             index(batch)
         except Exception as e:
+            if failed is None:
+                raise
             failed(batch, e)
 
     return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: The order in which a turn's events are sent, those of one kind by seq.
+EVENTS = ("token", "trace", "citations", "usage", "meta", "compare_row", "error", "done")
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """(stream_id, seq, line): server-sent events, an ``event:`` and a ``data:`` line each; nothing follows a stream's first done."""
+    w = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.max((F.col("kind") == "done").cast("int")).over(w), F.lit(0))
+    live = events.withColumn("__ended", ended).filter((F.col("__ended") == 0) & F.col("kind").isin(*EVENTS))
+    return live.select("stream_id", "seq", F.concat(F.lit("event: "), "kind", F.lit("\ndata: "), F.coalesce("data", F.lit("{}")), F.lit("\n\n")).alias("line"))
+
+
+@dataclass
 class ThinkFilter:
-    """Drops what stands between think tags in a stream of text pieces; keeps back at most a tag's length less one."""
+    """Takes what stands between think tags out of a stream of text pieces, and keeps it as ``thoughts``.
 
-    def __init__(self, held: str = "", inside: bool = False):
-        self.held, self.inside = held, inside
+    What is shown has ``PLACEHOLDER`` where a whole span was. The end of a piece that may be the beginning of the awaited
+    tag is held back until the next piece decides. A span that never ends leaves no placeholder.
+    """
+
+    held: str = ""
+    inside: bool = False
+    thoughts: str = ""
 
     def feed(self, piece: str) -> str:
-        text, out = self.held + piece, []
-        self.held = ""
-        while text:
-            tag = CLOSE if self.inside else OPEN
-            at = text.find(tag)
-            if at >= 0:
-                if not self.inside:
-                    out.append(text[:at])
-                text, self.inside = text[at + len(tag) :], not self.inside
-                continue
-            keep = next((n for n in range(min(len(tag) - 1, len(text)), 0, -1) if tag.startswith(text[-n:])), 0)
-            if not self.inside:
-                out.append(text[: len(text) - keep])
-            self.held = text[len(text) - keep :]
-            break
-        return "".join(out)
-
-    def flush(self) -> str:
-        """At the end, a beginning of a tag that came to nothing is text."""
-        out = "" if self.inside else self.held
-        self.held = ""
-        return out
-
-
-def visible_text(deltas: DataFrame) -> DataFrame:
-    """Streaming: (stream_id, seq, delta, last) to (stream_id, seq, text), with one filter's state for each stream."""
+        shown, rest = "", self.held + piece
+        while True:
+            awaited = CLOSE if self.inside else OPEN
+            text, tag, after = rest.partition(awaited)
+            if not tag:
+                break
+            shown += PLACEHOLDER if self.inside else text
+            self.thoughts += text * self.inside
+            self.inside, rest = not self.inside, after
+        undecided = max(n for n in range(len(awaited)) if rest.endswith(awaited[:n]))
+        decided, self.held = rest[: len(rest) - undecided], rest[len(rest) - undecided :]
+        self.thoughts += decided * self.inside
+        return shown + decided * (not self.inside)
+
+    def finish(self) -> str:
+        """At the end, what was held back belongs where it stands."""
+        rest, self.held = self.held, ""
+        self.thoughts += rest * self.inside
+        return rest * (not self.inside)
+
+
+VISIBLE = "stream_id long, seq long, text string, thoughts string"
+
+
+def visible_text(deltas: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """Streaming: (stream_id, seq, delta, last, ts) to (stream_id, seq, text, thoughts), with a filter's state for each stream.
+
+    Pieces of a stream within a micro-batch are taken by seq. ``thoughts`` are those of the whole stream, on its last piece.
+    State goes with the last piece, or when the watermark says that a stream has been idle.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         f = ThinkFilter(*state.get) if state.exists else ThinkFilter()
-        for batch in batches:
-            b = batch.sort_values("seq")
-            text = [f.feed(d or "") + (f.flush() if last else "") for d, last in zip(b["delta"], b["last"])]
-            yield pd.DataFrame({"stream_id": key[0], "seq": b["seq"], "text": text})
-        state.update((f.held, f.inside))
-
-    return deltas.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, seq long, text string", "held string, inside boolean", "append", GroupStateTimeout.NoTimeout)
+        b = pd.concat(list(batches)).sort_values("seq")
+        ended, rows = False, []
+        for seq, delta, last in zip(b["seq"], b["delta"], b["last"]):
+            text = f.feed(delta or "")
+            if last:
+                text, ended = text + f.finish(), True
+            rows.append((key[0], seq, text, f.thoughts if last else None))
+        yield pd.DataFrame(rows, columns=["stream_id", "seq", "text", "thoughts"])
+        if ended:
+            state.remove()
+        else:
+            state.update((f.held, f.inside, f.thoughts))
+            state.setTimeoutTimestamp(int(b["ts"].max().timestamp() * 1000) + IDLE_MS)
+
+    timed = deltas.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", idle)
+    return timed.groupBy("stream_id").applyInPandasWithState(step, VISIBLE, "held string, inside boolean, thoughts string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def visible_text_batch(deltas: DataFrame) -> DataFrame:
-    """The same over finished streams: a stream's pieces are one answer, so one row."""
+    """The same over finished streams: a stream's pieces are one answer, so one row (stream_id, text, thoughts)."""
     rows = deltas.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("seq", "delta"))).alias("x"))
-    whole = F.array_join(F.transform("x", lambda r: r["delta"]), "")
-    return rows.select("stream_id", F.regexp_replace(whole, r"(?s)<think>.*?(</think>|\z)", "").alias("text"))
+    whole = rows.select("stream_id", F.array_join(F.transform("x", lambda r: r["delta"]), "").alias("t"))
+    shown = F.regexp_replace(F.regexp_replace("t", f"(?s){OPEN}.*?{CLOSE}", PLACEHOLDER), rf"(?s){OPEN}.*\z", "")
+    spans = F.regexp_extract_all("t", F.lit(rf"(?s){OPEN}(.*?)(?:{CLOSE}|\z)"), F.lit(1))
+    return whole.select("stream_id", shown.alias("text"), F.array_join(spans, "").alias("thoughts"))
 
 
 def tool_calls(deltas: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 
 from tessera.streaming import streams as S
@@ -5,10 +7,45 @@ from tessera.streaming import streams as S
 
 @pytest.mark.parametrize("size", [1, 2, 3, 50])
 def test_think_filter_is_the_same_for_any_cut(size):
-    text = "a<think>hidden < stuff</think>b<thi>c<think>x"
+    text = "a<think>hidden < stuff</think>b<thi>c</think><think></think><think>x</thin"
     f = S.ThinkFilter()
-    got = "".join(f.feed(text[i : i + size]) for i in range(0, len(text), size)) + f.flush()
-    assert got == "ab<thi>c"
+    got = "".join(f.feed(text[i : i + size]) for i in range(0, len(text), size)) + f.finish()
+    assert got == "aTHINK_TAGb<thi>c</think>THINK_TAG"
+    assert f.thoughts == "hidden < stuffx</thin"
+
+
+def test_visible_text_as_a_stream(spark, tmp_path):
+    """Pieces over several micro-batches, as the batch twin sees them at once; ended streams keep no state."""
+    text = {1: "one <think>no\n</think>two", 2: "<think>all", 3: "pl<ain"}
+    schema = "stream_id long, seq long, delta string, last boolean, ts timestamp"
+    rows = [(k, i, t[i], i == len(t) - 1, datetime.datetime(2030, 1, 1, 0, i)) for k, t in text.items() for i in range(len(t))]
+    ordered = sorted(rows, key=lambda r: r[1])
+    for n, part in enumerate((ordered[: len(rows) // 2], ordered[len(rows) // 2 :])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = S.visible_text(stream).writeStream.format("memory").queryName("shown").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    assert q.awaitTermination(120)
+    out = spark.sql("SELECT stream_id, concat_ws('', transform(sort_array(collect_list(struct(seq, text))), x -> x.text)) AS text, max(thoughts) AS thoughts FROM shown GROUP BY stream_id").collect()
+    twin = S.visible_text_batch(spark.createDataFrame(rows, schema)).collect()
+    assert {tuple(r) for r in out} == {tuple(r) for r in twin} and len(out) == 3
+
+
+def test_ingestion_isolates_what_fails(spark, tmp_path):
+    for n in range(3):
+        spark.createDataFrame([(n,)], "n int").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    stream = lambda: spark.readStream.schema("n int").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    taken, failed = [], []
+
+    def index(batch):
+        n = batch.first()["n"]
+        if n == 1:
+            raise ValueError("bad")
+        taken.append(n)
+
+    assert S.ingest(stream(), str(tmp_path / "a"), index, lambda b, e: failed.append((b.first()["n"], str(e)))).awaitTermination(120)
+    assert sorted(taken) == [0, 2] and failed == [(1, "bad")]
+    again = len(taken)
+    assert S.ingest(stream(), str(tmp_path / "a"), index).awaitTermination(120) and len(taken) == again
 
 
 def test_stream_equals_its_batch_twin(spark, tmp_path):
