@@ -137,10 +137,9 @@ def answer_f1(predicted: Column, gold: Column) -> Column:
 
 
 def page_version(html: Column, arxiv: Column) -> Column:
-    """v1, v2, ... of the paper as its page names it; null where it doesn't."""
-    found = F.regexp_extract(html, r"arXiv:(\d{4}\.\d{4,5})(v\d+)", 2)
-    named = F.regexp_extract(html, r"arXiv:(\d{4}\.\d{4,5})(v\d+)", 1)
-    return F.when((found != "") & (named == arxiv), found)
+    """The paper's id with the version that its page names, else the id alone."""
+    pattern = F.concat(F.lit("arXiv:"), F.replace(arxiv, F.lit("."), F.lit("\\.")), F.lit("(v[0-9]+)"))
+    return F.concat(arxiv, F.call_function("regexp_extract", html, pattern, F.lit(1)))
 
 
 def tagging_excerpt(md: Column, lines: int = 24, most: int = 6000) -> Column:
