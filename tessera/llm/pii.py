@@ -4,7 +4,8 @@ Numbers and dates that validate as what they look like are permuted within their
 Feistel network: a card number becomes another card number with a right check digit, a date another date.
 The permutation is one to one and depends only on the key and the value's digits, so equal values stay
 linked across documents, however they are punctuated. Mail addresses are not numbers; they get a keyed
-name of a fixed shape.
+name of a fixed shape, 72 bits of a keyed hash: equal addresses have equal names, different ones all but surely not.
+Keyed hashes are HMACs of SHA-256; the key is part of the plan, so who may read plans and event logs may read it.
 
 Everything is column expressions inside a row: no shuffle, no Python.
 
@@ -19,6 +20,8 @@ without separators (E.164); other national groupings are not matched.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +49,22 @@ ONE, TWO = "^[17]", "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 #: A text without these holds none of the above.
 HINT = r"[0-9]|@"
 ROUNDS = 8
-FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 229, 319  # 229 * 319 days: up to 2099-12-31
+FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 17, 4297  # 17 * 4297 days: up to 2099-12-31
+#: Turns after which a month-first date has long left the days up to 12: two dates in five are among them.
+WALK = 64
 
 
 def _long(x) -> Column:
     return x.cast("long") if isinstance(x, Column) else F.lit(x).cast("long")
 
 
+def keyed(message: Column, key: str) -> Column:
+    """HMAC of SHA-256, in hex."""
+    block = hashlib.sha256(key.encode()).digest().ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "utf-8")), 256))), 256)
+
+
 def feistel(a: Column, size_a, b: Column, size_b, key: str, tweak: Column) -> Column:
     """A keyed permutation of pairs (a, b), a < size_a and b < size_b, as a struct of the two.
 
@@ -61,7 +73,7 @@ def feistel(a: Column, size_a, b: Column, size_b, key: str, tweak: Column) -> Co
     size_a, size_b = _long(size_a), _long(size_b)
 
     def mix(half: Column, i: Column, size: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), half.cast("string")), 256)
+        digest = keyed(F.concat_ws("|", tweak, i.cast("string"), half.cast("string")), key)
         return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), size)
 
     def turn(s: Column, i: Column) -> Column:
@@ -145,13 +157,21 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """ISO dates, and dates with strokes read as day first, else as month first; from 1900 to 2099."""
+    """ISO dates, and dates with strokes read as day first, else as month first; from 1900 to 2099.
+
+    A date that can only be month first becomes one of that kind, by permuting it until it is; so no two dates are written alike.
+    """
     form = F.when(m.contains("-"), F.lit("yyyy-MM-dd")).when(F.try_to_date(m, "dd/MM/yyyy").isNotNull(), F.lit("dd/MM/yyyy")).otherwise(F.lit("MM/dd/yyyy"))
     day = F.coalesce(F.try_to_date(m, "yyyy-MM-dd"), F.try_to_date(m, "dd/MM/yyyy"), F.try_to_date(m, "MM/dd/yyyy"))
 
+    date = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+
+    def permuted(n: Column) -> Column:
+        return let(feistel(F.floor(n / DAYS_B), DAYS_A, n % DAYS_B, DAYS_B, key, F.lit("date")), lambda p: (p["a"] * DAYS_B + p["b"]).cast("int"))
+
     def as_date(n: Column) -> Column:
-        mixed = feistel(F.floor(n / DAYS_B), DAYS_A, n % DAYS_B, DAYS_B, key, F.lit("date"))
-        new = let(mixed, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAYS_B + p["b"]).cast("int")))
+        walked = lambda x: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, lambda at, _: F.when(F.dayofmonth(date(at)) <= 12, permuted(at)).otherwise(at))
+        new = let(permuted(n), lambda x: date(F.when(form == "MM/dd/yyyy", walked(x)).otherwise(x)))
         written = let(
             new,
             lambda d: F.when(form == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(form == "dd/MM/yyyy", F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")),
@@ -193,7 +213,7 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    name = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256)
+    name = keyed(F.concat_ws("|", F.lit("email"), F.lower(m)), key)
     return F.concat(F.lit("u"), F.substring(name, 1, 12), F.lit("@"), F.lit("mail-"), F.substring(name, 13, 6), F.lit(".example"))
 
 
