@@ -291,3 +291,131 @@ def test_mixing_learns_from_few_labels(spark):
     assert abs(totals["good"] / all_ - mixing.TARGETS["good"]) < 0.02 and totals["toxic"] / all_ < 0.02
     rates = {r["toxic"]: r["rate"] for r in mixed.join(labels, "doc_id").groupBy("toxic").agg(F.avg("rate").alias("rate")).collect()}
     assert rates[1] < 0.5 * rates[0]
+
+
+def test_mixing_rates_are_the_least_squares_ones(spark):
+    """Against the same projected gradient in plain numbers, run far longer: residuals, and rates that are held at 0."""
+    import numpy as np
+
+    random.seed(9)
+    p = np.array([np.random.default_rng(i).dirichlet((6, 1, 0.6)) for i in range(300)])
+    n = np.array([random.randrange(0, 900) for _ in range(300)], float)
+    rows = [(int(t), *map(float, x)) for t, x in zip(n, p)]
+    members = spark.createDataFrame(rows, "n_tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
+    steps = mixing.fit_rates(members, mixing.TARGETS)
+    assert len(steps) < mixing.STEPS
+    got = np.array([r["r"] for r in members.select(mixing.rate(steps).alias("r")).collect()])
+    goal = n.sum() * np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    weights = np.linalg.inv((p * n[:, None]).T @ p)
+    loss = lambda r: (lambda gap: float(gap @ weights @ gap))((n * r) @ p - goal) / n.sum()
+    best = np.ones(300)
+    for _ in range(20_000):
+        best = np.maximum(0, best - p @ (weights @ ((n * best) @ p - goal)))
+    assert got.min() >= 0 and loss(got) - loss(best) < 0.01 * loss(np.ones(300))
+    # Without anything that tells domains apart the rates stay even, and the fit ends.
+    same = spark.createDataFrame([(5, 1 / 3, 1 / 3, 1 / 3)] * 4, members.schema)
+    assert len(mixing.fit_rates(same, mixing.TARGETS)) < 5
+
+
+def test_dates_at_both_ends_and_month_first(spark):
+    """Permuted dates stay in range, no two dates are written alike, and equal ones stay equal in every form."""
+    import datetime
+
+    days = [datetime.date(1900, 1, 1), datetime.date(2099, 12, 31), *(datetime.date(1998, 1, 1) + datetime.timedelta(d) for d in range(800))]
+    forms = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y"]
+    texts = {(d, f): d.strftime(f) for d in days for f in forms if f != "%m/%d/%Y" or d.day > 12}
+    rows = list(enumerate(texts.values()))
+    new = {r["doc_id"]: r["text"] for r in pii.pseudonymise(frame(spark, rows), "k", ("doc_id", "text")).collect()}
+    out = dict(zip(texts, (new[i] for i, _ in rows)))
+    for f in forms:
+        got = [v for (_, g), v in out.items() if g == f]
+        assert len(set(got)) == len(got) and all(1900 <= datetime.datetime.strptime(v, f).year <= 2099 for v in got)
+    strokes = [v for (_, f), v in out.items() if f != "%Y-%m-%d"]
+    assert len(set(strokes)) == len(strokes)
+    assert all(datetime.datetime.strptime(out[d, forms[0]], forms[0]) == datetime.datetime.strptime(out[d, forms[1]], forms[1]) for d in days)
+    outside = [(1, "1899-12-31 2100-01-01 31/12/1899")]
+    assert pii.pseudonymise(frame(spark, outside), "k", ("text",)).first()["text"] == outside[0][1]
+
+
+def test_near_copies_of_one_text_grow_in_proportion(spark, monkeypatch):
+    """Two words changed in each of n copies: nearly all pairs are just too far apart, and few may be compared."""
+    seen, measured = [], near_dedup._measured
+
+    def counting(pairs, sets):
+        seen.append(pairs.count())
+        return measured(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "_measured", counting)
+    r, compared = random.Random(1), {}
+    for n in (300, 1200):
+        rows = []
+        for k in range(n):
+            w = [f"b{i}" for i in range(60)]
+            for p in r.sample(range(60), 2):
+                w[p] = f"u{k}_{p}"
+            rows.append((k, " ".join(w)))
+        seen.clear()
+        got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(frame(spark, rows)).collect()}
+        assert got == jaccard_classes(rows)
+        compared[n] = sum(seen)
+    assert compared[1200] < 6 * compared[300]
+
+
+def test_texts_with_repeated_lines_are_linked_by_their_sets(spark):
+    """One side repeats a line many times: the sets are alike though the weighted ones are not."""
+    random.seed(6)
+    rows = []
+    for k in range(40):
+        shared = [f"t{k}_{i}" for i in range(60)]
+        line = [f"r{k}_{i}" for i in range(5)]
+        rows += [(2 * k, " ".join(shared)), (2 * k + 1, " ".join(shared + line * 30))]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(frame(spark, rows)).collect()}
+    assert got == jaccard_classes(rows) and len(set(got.values())) == 40
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b = "one two three four five six seven", "something else altogether that stands on its own here"
+    rows = [(3, a), (7, a), (7, b), (None, a), (None, "a third text nobody else has got"), (9, b), (9, b), (4, None), (5, "")]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in near_dedup.one_of_each(frame(spark, rows), ("doc_id", "text")).collect())
+    assert got == [(False, 3, a), (False, 4, ""), (False, 7, b), (True, 0, "a third text nobody else has got")]
+    twice = frame(spark, [(3, a), (3, a), (3, b)])
+    assert sorted(r["text"] for r in near_dedup.one_of_each(twice, ("text", "doc_id")).collect()) == sorted([a, b])
+    assert near_dedup.one_of_each(frame(spark, rows).limit(0), ("doc_id", "text")).count() == 0
+
+
+def test_long_texts_are_taken_whole(spark):
+    """Texts of several slices: near copies, repeated strings and leaks at their far ends."""
+    random.seed(12)
+    long = " ".join(f"w{random.randrange(90000)}" for _ in range(420_000))
+    item = "the quorble fennish drask over a lumid pell while nine grond yavers sing about the old stavic tower near brell"
+    rows = [(1, long), (2, long[:-40] + " other end"), (3, "short " + long[-2000:] + " " + item), (4, long[len(long) // 2 :] + " " + item)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    removed = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup(frame(spark, rows)).collect()}
+    assert removed[1] == (0, 0) and removed[2] == (len(long) - 40, 1) and removed[4][0] >= len(long) - len(long) // 2
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.leaks(frame(spark, rows), bench).collect()} == {3, 4}
+
+
+def test_short_items_leak_word_for_word(spark):
+    docs = [(1, "we say Zork blat often"), (2, "blat zork"), (3, "zork and blat"), (4, None)]
+    bench = spark.createDataFrame([(1, "zork blat"), (2, ""), (3, None), (4, "often")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame(spark, docs), bench).collect()} == {(1, 1), (1, 4)}
+    assert {r["doc_id"] for r in decontaminate.clean(frame(spark, docs), bench, ("doc_id", "text")).collect()} == {2, 3, 4}
+
+
+def test_empty_tables(spark):
+    import public_tokenizers
+
+    none = frame(spark, [(1, "x")]).limit(0)
+    bench = spark.createDataFrame([(1, "some words of an item here")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert secret_scan.scan(none).count() == 0
+    assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(frame(spark, [(1, "x")]), bench.limit(0)).count() == 0
+    assert decontaminate.clean(none, bench, ("doc_id", "text")).count() == 0
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert pii.pseudonymise(none, "k", ("doc_id", "text")).count() == 0
+    assert quality_rules.ledger(none).count() == 0
+    chats = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.read_back(chat_format.format_chats(chats, public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
+    assert mixing.mix(none, labels).count() == 0
