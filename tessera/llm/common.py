@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Elements whose running sums are taken at a time.
+RUN = 256
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -36,20 +40,62 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: The paths that are written inside each open ``tidy``, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, what)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete stored tables that no later plan reads."""
-    for df in tables:
-        drop_path(df.sparkSession, df.stored_at)
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what is stored inside at its end, after an error too, but for the tables given to the function it yields.
+
+    Those are the caller's, and belong to the ``tidy`` around it, if there is one.
+    """
+    paths: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.stored_at)
+        return df
+
+    _OPEN.append(paths)
+    done = False
+    try:
+        yield keep
+        done = True
+    finally:
+        _OPEN.pop()
+        for path in paths:
+            if done and path in kept:
+                if _OPEN:
+                    _OPEN[-1].append(path)
+            else:
+                drop_path(spark, path)
+
+
+def running(xs: Column) -> Column:
+    """Sums of an array's numbers up to and with each of them; in blocks, so that no long array is copied for each element."""
+    n = F.size(xs)
+    empty = F.array().cast("array<long>")
+    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("long")) + x))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.aggregate(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)), empty, add)
+        return let(totals, lambda t: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.when(i > 0, F.get(t, i - 1)).otherwise(F.lit(0).cast("long"))))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int")), lambda i: F.aggregate(F.slice(xs, i * RUN + 1, RUN), empty, add))
+    return F.when(n > 0, let(blocks, joined)).otherwise(empty)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

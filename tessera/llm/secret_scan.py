@@ -8,16 +8,17 @@ Everything happens inside a row: no shuffle, no Python. Spans are in code points
 
 Defined results: a null text is an empty one (no spans); ids may be null or repeated, rows are independent;
 spans that start together are ordered by kind as listed; an empty table gives an empty result; other columns
-of the input are not read. A text's cost is its length, plus the product of its weak candidates and their
-complements; where a part of a credential has no complement kind at all, nothing is compared.
+of the input are not read. A text's cost is its length, plus the logarithm of a kind's spans for each weak candidate.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let
+from tessera.llm.common import let, running
 
 #: kind -> (pattern, group whose length is checked, least length of it); matches are leftmost, not overlapping.
 STRONG = {
@@ -40,18 +41,10 @@ def find(text: Column, pattern: str, group: int, least: int) -> Column:
     """Spans of the matches whose group is long enough, from the pieces between matches and the matches."""
 
     def placed(p: Column) -> Column:
-        at = F.aggregate(
-            F.sequence(F.lit(0), F.size(p["m"]) - 1),
-            F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("out")),
-            lambda acc, k: let(
-                acc["pos"] + F.char_length(p["s"][k]),
-                lambda start: F.struct(
-                    (start + F.char_length(p["m"][k])).alias("pos"),
-                    F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + F.char_length(p["m"][k])).alias("stop")))).alias("out"),
-                ),
-            ),
-        )["out"]
-        return F.filter(at, lambda x, k: F.char_length(p["g"][k]) >= least)
+        # A match ends where all pieces and matches up to it end.
+        ends = running(F.transform(p["m"], lambda m, k: (F.char_length(p["s"][k]) + F.char_length(m)).cast("long")))
+        span = lambda e, k: F.struct((e - F.char_length(p["m"][k])).cast("int").alias("start"), e.cast("int").alias("stop"))
+        return F.filter(F.transform(ends, span), lambda x, k: F.char_length(p["g"][k]) >= least)
 
     parts = F.struct(
         F.split(text, pattern, -1).alias("s"),
@@ -61,32 +54,43 @@ def find(text: Column, pattern: str, group: int, least: int) -> Column:
     return F.when(text.rlike(pattern), let(parts, placed)).otherwise(F.array().cast(SPANS))
 
 
-def _near(a: Column, b: Column) -> Column:
-    return (a["start"] < b["stop"] + SCOPE) & (b["start"] < a["stop"] + SCOPE)
+def _meets(x: Column, spans: Column, scope: int) -> Column:
+    """Whether any of the spans of one kind lies within ``scope`` of x (0: overlaps it).
+
+    They are sorted and don't overlap, so the first that ends late enough decides; it is found by halving.
+    """
+    halve = lambda s, _: let(
+        F.floor((s["lo"] + s["hi"]) / 2).cast("int"),
+        lambda mid: F.when(s["lo"] >= s["hi"], s)
+        .when(F.get(spans, mid)["stop"] + scope > x["start"], F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+        .otherwise(F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))),
+    )
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + F.lit(1.0))).cast("int"))
+    first = F.aggregate(turns, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda s: s["lo"])
+    return F.when(F.size(spans) > 0, F.coalesce(F.get(spans, first)["start"] < x["stop"] + scope, F.lit(False))).otherwise(F.lit(False))
 
 
-def _linked(spans: Column, *complements: Column) -> Column:
+def _linked(kind: str, *complements: tuple[str, ...]) -> Column:
     """The spans with a part of each complement within SCOPE."""
-    for c in complements:
-        spans = let(F.struct(spans.alias("a"), c.alias("b")), lambda z: F.filter(z["a"], lambda x: F.exists(z["b"], lambda y: _near(x, y))))
-    return spans
+    z = F.struct(F.col(kind).alias("a"), *[F.col(k).alias(k) for k in dict.fromkeys(k for c in complements for k in c)])
+    near = lambda s, x: reduce(Column.__and__, [reduce(Column.__or__, [_meets(x, s[k], SCOPE) for k in c]) for c in complements])
+    return F.when(F.size(kind) > 0, let(z, lambda s: F.filter(s["a"], lambda x: near(s, x)))).otherwise(F.col(kind))
+
+
+def _apart(kind: str) -> Column:
+    """The spans that no strong one overlaps."""
+    z = F.struct(F.col(kind).alias("a"), *[F.col(k).alias(k) for k in STRONG])
+    clear = lambda s, x: ~reduce(Column.__or__, [_meets(x, s[k], 0) for k in STRONG])
+    return F.when(F.size(kind) > 0, let(z, lambda s: F.filter(s["a"], lambda x: clear(s, x)))).otherwise(F.col(kind))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and, for each kind, the array of its reported spans."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     d = d.select("doc_id", *[find(F.col("t"), *rule).alias(kind) for kind, rule in (STRONG | WEAK).items()])
-    base = F.concat(*[F.col(k) for k in STRONG])
-    apart = lambda kind: F.filter(kind, lambda x: ~F.exists(base, lambda b: (x["start"] < b["stop"]) & (b["start"] < x["stop"])))
-    d = d.select("doc_id", *STRONG, *[apart(k).alias(k) for k in WEAK])
-    idents, secrets = F.concat("access", "ident"), F.concat("assign", "hex", "weak")
-    return d.select(
-        "doc_id",
-        *STRONG,
-        _linked(F.col("ident"), secrets).alias("ident"),
-        _linked(F.col("weak"), idents).alias("weak"),
-        _linked(F.col("endpoint"), idents, secrets).alias("endpoint"),
-    )
+    d = d.select("doc_id", *STRONG, *[_apart(k).alias(k) for k in WEAK])
+    idents, secrets = ("access", "ident"), ("assign", "hex", "weak")
+    return d.select("doc_id", *STRONG, _linked("ident", secrets).alias("ident"), _linked("weak", idents).alias("weak"), _linked("endpoint", idents, secrets).alias("endpoint"))
 
 
 def described(kinds: tuple[str, ...]) -> Column:
