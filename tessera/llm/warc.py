@@ -20,16 +20,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_path, scratch, stored
+from tessera.llm.common import drop_path, scratch, stored, tidy
 
 MAGIC = b"WARC/1.1\r\n"
 SEPARATOR = "\r\n\r\n"
 MIN_REVISIT = 100
+#: Fixed value: what says that a revisit's payload is the same as one that is there.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of a file, which a task reads whole, and of pages that are written together whatever their size.
+FILE_BYTES, SMALL = 128 << 20, 64 << 10
 #: Rows of the table of repeated payloads up to which it is broadcast (about 100 bytes a row); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 HEADER = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
@@ -51,25 +56,39 @@ def with_types(pages: DataFrame) -> DataFrame:
     return j.withColumn("first_id", F.when(F.col("page_id") == F.col("first_id"), None).otherwise(F.col("first_id")))
 
 
-def _record() -> Column:
+def _record(date: str) -> Column:
+    """One record. Its id is its own, whatever pages repeat; pages are told by fields of our own, which readers may skip."""
     revisit = F.col("first_id").isNotNull()
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest", F.monotonically_increasing_id().cast("string")))
+    uuid = F.concat_ws("-", *[F.substring(key, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     head = F.concat(
         F.lit(MAGIC.decode()),
         F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", ""),
+        F.lit("\r\nWARC-Record-ID: <urn:uuid:"), uuid, F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Page-ID: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
+        F.lit("\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", ""),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("first_id").cast("string"), F.lit(">"))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To-Page: "), F.col("first_id").cast("string"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(revisit, F.lit(0)).otherwise(F.octet_length("payload")).cast("string"),
         F.lit("\r\n\r\n"),
     )
     return F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 2000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """One record for each row, in files of bounded length under ``path``."""
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None) -> None:
+    """One record for each row, in files of about ``file_bytes`` at most, or of one record, under ``path``.
+
+    Pages are written by classes of their size, each twice the one before, with as many records in a file as a class
+    allows. Nearly always there is one class.
+    """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
-    with_types(p).select(_record().alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", records_per_file).text(path)
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.octet_length("payload") / F.lit(float(SMALL))))).cast("int")
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    typed = with_types(p).withColumn("class", F.when(F.octet_length("payload") > SMALL, size).otherwise(0))
+    classes = sorted(r["class"] for r in p.select(F.when(F.octet_length("payload") > SMALL, size).otherwise(0).alias("class")).distinct().collect()) or [0]
+    for c in classes:
+        records = typed.filter(F.col("class") == c) if len(classes) > 1 else typed
+        out = records.select(_record(date).alias("value")).write.mode("append").option("lineSep", SEPARATOR)
+        out.option("maxRecordsPerFile", max(1, file_bytes // (SMALL << c))).text(path)
 
 
 def candidates(data: bytes) -> Iterator[tuple]:
@@ -87,11 +106,11 @@ def candidates(data: bytes) -> Iterator[tuple]:
                 start = end + 4
                 stop = start + int(length)
                 if data[stop : stop + 4] == b"\r\n\r\n":
-                    urn = lambda k: (fields[k].decode("ascii", "replace").removeprefix("<urn:page:").removesuffix(">") or None) if k in fields else None
+                    page = lambda k: fields.get(k, b"").decode("ascii", "replace") or None
                     named = fields.get(b"warc-payload-digest", b"").decode("ascii", "replace").removeprefix("sha256:")
                     kind = fields.get(b"warc-type", b"").decode("ascii", "replace")
                     right = kind == "revisit" or hashlib.sha256(data[start:stop]).hexdigest() == named
-                    yield at, stop + 4, urn(b"warc-record-id"), kind, urn(b"warc-refers-to"), named, int(length), right
+                    yield at, stop + 4, page(b"warc-page-id"), kind, page(b"warc-refers-to-page"), named, int(length), right
         at = data.find(MAGIC, at + 1)
 
 
@@ -149,8 +168,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write archives to the shared folder, read them back, and say what they hold for each page."""
     spark = pages.sparkSession
     path = scratch(spark, "warc")
-    write_archives(pages, path)
-    records = read_archives(spark, path)
-    out = stored(resolved(records).withColumn("page_id", F.col("page_id").cast("long")).withColumn("refers_to", F.col("refers_to").cast("long")), "warc-out")
-    drop_path(spark, path)
-    return out
+    try:
+        with tidy(spark) as keep:
+            write_archives(pages, path)
+            records = read_archives(spark, path)
+            return keep(stored(resolved(records).withColumn("page_id", F.col("page_id").cast("long")).withColumn("refers_to", F.col("refers_to").cast("long")), "warc-out"))
+    finally:
+        drop_path(spark, path)
