@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,24 +62,24 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def masked(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[bool]:
-    """For each token, whether it overlaps a span; both lists are sorted and each span finds its tokens by binary search."""
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    mask = [False] * len(offsets)
-    for a, b in spans:
-        first, last = bisect_right(ends, a), bisect_left(starts, b)
-        mask[first:last] = [True] * (last - first)
+def masked(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """For each token, whether it overlaps a span; all are sorted, and each span finds its tokens by binary search."""
+    mask = np.zeros(len(starts), bool)
+    if spans:
+        begin, stop = np.array(spans).T
+        for a, b in zip(np.searchsorted(ends, begin, "right").tolist(), np.searchsorted(starts, stop, "left").tolist()):
+            mask[a:b] = True
     return mask
 
 
-def learnt_text(formatted: str, offsets: list[tuple[int, int]], mask: list[bool]) -> str:
-    """The characters under the mask, read from the tokens' offsets (several tokens may share a character)."""
-    out, at = [], 0
-    for (a, b), on in zip(offsets, mask):
-        if on and b > at:
-            out.append(formatted[max(a, at) : b])
-            at = b
-    return unescape("".join(out))
+def learnt_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
+    """The characters under the mask, read from the tokens' offsets: several tokens may share a character, and neighbours make one run."""
+    a, b = starts[mask], ends[mask]
+    if not len(a):
+        return ""
+    far = np.maximum.accumulate(b)
+    new = np.flatnonzero(np.r_[True, a[1:] > far[:-1]])
+    return unescape("".join(formatted[x:y] for x, y in zip(a[new].tolist(), far[np.r_[new[1:] - 1, len(a) - 1]].tolist())))
 
 
 _LOADED: dict = {}
@@ -123,14 +122,15 @@ def format_chats(rows: DataFrame, tokenizer: str) -> DataFrame:
         for batch in _slices(batches):
             texts, spans = zip(*(render([(t["role"], t["text"]) for t in turns]) for turns in batch["turns"])) if len(batch) else ((), ())
             encoded = tok.encode_batch(list(texts), add_special_tokens=False)
+            ends = [np.array(e.offsets, np.int32).reshape(-1, 2) for e in encoded]
             yield pd.DataFrame(
                 {
                     "conv_id": batch["conv_id"].array,
                     "formatted": texts,
                     "ids": [np.array(e.ids, np.int32) for e in encoded],
-                    "starts": [np.array([a for a, _ in e.offsets], np.int32) for e in encoded],
-                    "ends": [np.array([b for _, b in e.offsets], np.int32) for e in encoded],
-                    "loss_mask": [masked(e.offsets, s) for e, s in zip(encoded, spans)],
+                    "starts": [x[:, 0].copy() for x in ends],
+                    "ends": [x[:, 1].copy() for x in ends],
+                    "loss_mask": [masked(x[:, 0], x[:, 1], s) for x, s in zip(ends, spans)],
                 }
             )
 
@@ -149,9 +149,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
         for batch in _slices(batches):
             rows = []
             for text, starts, ends, mask in zip(batch["formatted"], batch["starts"], batch["ends"], batch["loss_mask"]):
-                turns, learnt = parse(text), learnt_text(text, list(zip(map(int, starts), map(int, ends))), list(mask))
+                turns, learnt = parse(text), learnt_text(text, starts, ends, mask)
                 told = "".join(f"{role}\n{said}\n" for role, said in turns)
-                rows.append((len(turns), digest(told), len(learnt), digest(learnt), len(text), len(mask), int(sum(mask))))
+                rows.append((len(turns), digest(told), len(learnt), digest(learnt), len(text), len(mask), int(mask.sum())))
             out = pd.DataFrame(rows, columns=[f.name for f in schema.fields[1:]])
             out.insert(0, "conv_id", batch["conv_id"].array)
             yield out
