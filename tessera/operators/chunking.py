@@ -209,11 +209,20 @@ def repeated_images(pool: DataFrame) -> DataFrame:
     return refs.withColumn("keep", F.row_number().over(w) == 1)
 
 
-def fingerprint(pool: DataFrame) -> DataFrame:
-    """One row: 16 hex digits that change with any id or text; what meets in one task is a digest for each paper, not its text."""
+def fingerprint(pool: DataFrame, buckets: int = 1) -> DataFrame:
+    """One row: 16 hex digits that change with any id or text.
+
+    Digests of the papers, a hundred bytes each, are sorted by id and hashed. Where millions of papers would not fit one
+    row, take ``buckets``: papers are dealt by the md5 of their id, each bucket is hashed so, and the buckets' digests in
+    order are hashed again. The number of buckets is part of what the fingerprint says.
+    """
     one = pool.select("paper_id", F.concat(F.hex(F.encode("paper_id", "utf-8")), F.lit("00"), F.upper(F.sha2("markdown", 256))).alias("h"))
-    all_ = one.agg(F.sort_array(F.collect_list(F.struct("paper_id", "h"))).alias("x"))
-    return all_.select(F.substring(F.sha2(F.unhex(F.array_join(F.transform("x", lambda r: r["h"]), "")), 256), 1, 16).alias("fingerprint"))
+    dealt = one.withColumn("bucket", F.conv(F.substring(F.md5("paper_id"), 1, 8), 16, 10).cast("long") % buckets)
+    listed = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("paper_id", "h"))).alias("x"))
+    told = listed.select("bucket", F.sha2(F.unhex(F.array_join(F.transform("x", lambda r: r["h"]), "")), 256).alias("d"))
+    whole = told.agg(F.sort_array(F.collect_list(F.struct("bucket", "d"))).alias("x"))
+    digest = F.col("x")[0]["d"] if buckets == 1 else F.sha2(F.array_join(F.transform("x", lambda r: r["d"]), ""), 256)
+    return whole.select(F.substring(digest, 1, 16).alias("fingerprint"))
 
 
 def section_unit(number: Column, title: Column) -> Column:

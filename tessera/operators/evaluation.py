@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import hashed_int
-from tessera.operators.retrieval import cutoff, score_lists
+from tessera.operators.retrieval import cutoff, score_lists, sized_broadcast
 
 #: Normal quantiles of a two-sided 5 % test and of 80 % power.
 Z_ALPHA, Z_POWER = 1.959964, 0.841621
@@ -60,7 +60,10 @@ def comparative_scores(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
 
 
 def clusters(samples: DataFrame, value: Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sums and counts of each cluster, numbered from 0 in order of its id: all that resampling needs."""
+    """Sums and counts of each cluster, numbered from 0 in order of its id: all that resampling needs.
+
+    Clusters are the papers of a set of evaluation items; a resample draws as many, so their number is what n_boot allows.
+    """
     c = samples.groupBy(*by, "cluster").agg(F.sum(value).alias("s"), F.count(value).alias("n")).filter("n > 0")
     return c.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy("cluster")) - 1)
 
@@ -115,17 +118,29 @@ def cooccurrence(items: DataFrame) -> DataFrame:
 
 
 def holdout(papers: DataFrame, share: float = 0.25, seed: str = "7") -> DataFrame:
-    """Whole papers go to test: the least hashes, round(n * share) of them, none of a single paper."""
-    order = papers.withColumn("h", hashed_int(F.lit(seed), F.col("paper_id").cast("string")))
-    n = papers.agg(F.count(F.lit(1)).alias("n"))
-    ranked = order.withColumn("r", F.row_number().over(Window.orderBy("h", "paper_id"))).join(F.broadcast(n))
-    test = (F.col("r") <= F.bround(F.col("n") * share, 0)) & (F.col("n") > 1)
-    return ranked.select("paper_id", F.when(test, "test").otherwise("dev").alias("split"))
+    """Whole papers go to test: the least hashes, round(n * share) of them, none of a single paper.
+
+    A histogram of the hashes' upper halves tells where the last of them is; only the papers of that one step are ranked.
+    """
+    hashed = papers.withColumn("h", hashed_int(F.lit(seed), F.col("paper_id").cast("string"))).withColumn("step", F.floor(F.col("h") / 65536))
+    steps = sorted(hashed.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["step"])
+    n = sum(r["n"] for r in steps)
+    wanted = round(n * share) if n > 1 else 0
+    last, left = -1, wanted
+    for r in steps:
+        last = r["step"]
+        if left <= r["n"]:
+            break
+        left -= r["n"]
+    here = hashed.filter(F.col("step") == last).withColumn("r", F.row_number().over(Window.partitionBy("step").orderBy("h", "paper_id")))
+    inside = here.select("paper_id", F.when(F.col("r") <= left, "test").otherwise("dev").alias("split"))
+    outside = hashed.filter(F.col("step") != last).select("paper_id", F.when(F.col("step") < last, "test").otherwise("dev").alias("split"))
+    return inside.unionByName(outside)
 
 
 def scopes(items: DataFrame, papers: DataFrame, n: int, seed: str = "7") -> DataFrame:
     """For each item its own paper and n - 1 others, by seeded hash; all papers where there are fewer."""
-    others = items.select("qid", F.col("paper_id").alias("gold")).join(F.broadcast(papers))
+    others = items.select("qid", F.col("paper_id").alias("gold")).join(sized_broadcast(papers))
     own = F.when(F.col("paper_id") == F.col("gold"), -1).otherwise(hashed_int(F.lit(seed), F.col("qid").cast("string"), F.col("paper_id").cast("string")))
     w = Window.partitionBy("qid").orderBy("h", "paper_id")
     return others.withColumn("h", own).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n).select("qid", "paper_id")

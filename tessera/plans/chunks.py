@@ -79,10 +79,11 @@ def caption_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_sections(pool(spark, sf_dir)).select("paper_id", "section_index", C.is_caption_noise(F.col("body")).alias("noise"))
 
 
-@query(f"WITH {KEPT} SELECT paper_id, section_index, md5(concat_ws('|', paper_id, section_index, coalesce(number, ''), title, 0)) AS chunk_id FROM kept")
+@query(f"WITH {KEPT} SELECT paper_id, section_index, part, md5(concat_ws('|', paper_id, section_index, coalesce(number, ''), title, part)) AS chunk_id FROM kept, unnest(range(3)) AS p(part)")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = C.indexable(C.split_sections(pool(spark, sf_dir)))
-    return s.select("paper_id", "section_index", C.chunk_id(F.col("paper_id").cast("string"), F.col("section_index"), F.col("number"), F.col("title"), F.lit(0)).alias("chunk_id"))
+    s = s.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    return s.select("paper_id", "section_index", "part", C.chunk_id(F.col("paper_id").cast("string"), F.col("section_index"), F.col("number"), F.col("title"), F.col("part")).alias("chunk_id"))
 
 
 @query(rf"""WITH {KEPT}, placed AS (
