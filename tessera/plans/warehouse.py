@@ -46,11 +46,11 @@ def customers_without_urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, "c_custkey", "left_semi").join(o.filter("o_orderpriority = '1-URGENT'"), "c_custkey", "left_anti")
 
 
-@query("(SELECT p_brand FROM part WHERE p_size > 25 INTERSECT SELECT p_brand FROM part WHERE p_retailprice > 1000) EXCEPT SELECT p_brand FROM part WHERE p_size = 50 AND p_retailprice < 910")
+@query("(SELECT p_brand FROM part WHERE p_size > 45 INTERSECT SELECT p_brand FROM part WHERE p_size < 20) EXCEPT SELECT p_brand FROM part WHERE p_size = 33")
 def brand_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     b = lambda where: p.filter(where).select("p_brand")
-    return b("p_size > 25").intersect(b("p_retailprice > 1000")).exceptAll(b("p_size = 50 AND p_retailprice < 910").distinct())
+    return b("p_size > 45").intersect(b("p_size < 20")).subtract(b("p_size = 33"))
 
 
 @query("""SELECT o_custkey, o_orderkey, o_totalprice, round(o_totalprice - lag(o_totalprice) OVER w, 2) AS change, ntile(4) OVER w AS quarter FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
