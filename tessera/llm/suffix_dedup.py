@@ -6,7 +6,8 @@ anchor, and equal strings have equal anchors at equal places. Then
 
 1. anchors are counted by hash, in buckets; hashes found in one document only are done with;
 2. documents with other anchors emit the bytes around each (all strings that hold it lie in there), once for
-   each task and context, with the smallest document that has it;
+   each task and context, with the smallest document that has it; around hot anchors, found in very many slices of
+   text, contexts differ at a passage's ends for every document, so there each string goes to a bucket of its own;
 3. around each anchor, 8-gram buckets are refined by sorting on pairs of bucket identifiers, a position's own and
    that of a later offset, to 16, 32 and 50 bytes, each time with the identifiers of the time before; the
    smallest document of each final bucket tells every other one what to remove.
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import drop_path, stored
 
 LENGTH, GRAM = 50, 32
 SIDE = LENGTH - GRAM
@@ -42,7 +43,13 @@ LOT, SLICE = 1 << 20, 4 << 20
 #: Rows of the table of copied texts up to which it is broadcast (30 bytes a row).
 BROADCAST_ROWS = 200_000
 LAST = (1 << 63) - 1
-ROWS = "bucket int, settled boolean, ids binary, tids binary, counts binary, data binary"
+#: Kinds of rows: entries to be looked at, what is settled and goes back, single strings of hot anchors, and their hashes.
+OPEN, SETTLED, STRINGS, HOT = range(4)
+ROWS = "bucket int, kind int, ids binary, tids binary, counts binary, data binary"
+#: Slices of text in which an anchor is found, beyond which it is hot; and the most that are treated so, as they are sent to all tasks.
+HOT_SLICES, HOT_MOST = 256, 1 << 20
+#: The document that hot anchors are noted under; no other has it, as ids are cast from integers of a table.
+NOBODY = -(1 << 63)
 FOUND = "ord long, tid long, data binary"
 
 
@@ -118,10 +125,10 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _packed(bucket: int, settled: bool, doc: np.ndarray, ids: np.ndarray, tids: np.ndarray, data: np.ndarray) -> tuple:
+def _packed(bucket: int, kind: int, doc: np.ndarray, ids: np.ndarray, tids: np.ndarray, data: np.ndarray) -> tuple:
     """A row: the documents, how many entries each has, and the entries; ``doc`` is sorted."""
     own, counts = np.unique(doc, return_counts=True)
-    return bucket, settled, ids[own].tobytes(), tids[own].tobytes(), counts.astype(np.int32).tobytes(), data.tobytes()
+    return bucket, kind, ids[own].tobytes(), tids[own].tobytes(), counts.astype(np.int32).tobytes(), data.tobytes()
 
 
 def _unpacked(rows: pd.DataFrame, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,12 +164,12 @@ def _emit_anchors(buckets: int):
                 keep = order[~shared[group] | new]
                 keep = keep[np.lexsort((doc[keep], bucket[keep]))]
                 for b, piece in _runs(bucket[keep], keep):
-                    rows.append(_packed(b, False, doc[piece], ids, tids, short[piece]))
+                    rows.append(_packed(b, OPEN, doc[piece], ids, tids, short[piece]))
                 known = np.sort(order[shared[group]])
                 spread = (tids[doc[known]] % buckets) if len(known) else known
                 known, spread = known[np.argsort(spread, kind="stable")], np.sort(spread)
                 for b, piece in _runs(spread, known):
-                    rows.append(_packed(b, True, doc[piece], ids, tids, short[piece]))
+                    rows.append(_packed(b, SETTLED, doc[piece], ids, tids, short[piece]))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
 
     return run
@@ -179,7 +186,7 @@ def _to_owners(doc: np.ndarray, data: np.ndarray, who: np.ndarray, groups: int)
     """Entries on their way back to their documents: a row for each group of documents, not for each document."""
     group = who[doc, 1] % groups
     order = np.lexsort((doc, group))
-    rows = [_packed(g, True, doc[piece], who[:, 0], who[:, 1], data[piece]) for g, piece in _runs(group[order], order)]
+    rows = [_packed(g, SETTLED, doc[piece], who[:, 0], who[:, 1], data[piece]) for g, piece in _runs(group[order], order)]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
 
 
@@ -187,19 +194,24 @@ def _by_document(dtype):
     """One group of documents: for each, all entries that came back."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        hot = b"".join(rows["data"][rows["kind"] == HOT])
+        rows = rows[rows["kind"] != HOT]
         doc, data, who = _unpacked(rows, dtype)
+        if not len(who):
+            return pd.DataFrame({"ord": [NOBODY], "tid": [0], "data": [hot]})
         keys, own = np.unique(who, axis=0, return_inverse=True)
         doc = own.ravel()[doc]
         order = np.argsort(doc, kind="stable")
-        out = [(keys[d, 0], keys[d, 1], data[piece].tobytes()) for d, piece in _runs(doc[order], order)]
+        out = [(keys[d, 0], keys[d, 1], data[piece].tobytes()) for d, piece in _runs(doc[order], order)] + [(NOBODY, 0, hot)] * bool(hot)
         return pd.DataFrame(out, columns=["ord", "tid", "data"]).astype({"ord": "int64", "tid": "int64"})
 
     return run
 
 
-def _repeated_anchors(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Step 1, one bucket: for each document, its anchor hashes that another document has."""
-    doc, h, who = _unpacked(rows[~rows["settled"]], np.uint32)
+def _repeated_anchors(rows: pd.DataFrame, buckets: int, hot_slices: int) -> pd.DataFrame:
+    """Step 1, one bucket: for each document, its anchor hashes that another document has; and which of them are hot."""
+    open_rows = rows[rows["kind"] == OPEN]
+    doc, h, who = _unpacked(open_rows, np.uint32)
     order = np.argsort(h, kind="stable")
     hs, ds = h[order], doc[order]
     new = np.r_[True, hs[1:] != hs[:-1]] if len(hs) else np.empty(0, bool)
@@ -207,12 +219,20 @@ def _repeated_anchors(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     shared = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
     np.logical_or.at(shared, group, ds != ds[np.flatnonzero(new)][group])
     open_ = order[shared[group]]
-    seen = _unpacked(rows[rows["settled"]], np.uint32)
-    return pd.concat([_to_owners(doc[open_], h[open_], who, buckets), _to_owners(*seen, buckets)], ignore_index=True)
+    seen = _unpacked(rows[rows["kind"] == SETTLED], np.uint32)
+    # An anchor that is shared within a slice came once from it, and else once from each of its documents there.
+    slices = np.repeat(np.arange(len(open_rows)), [len(x) // h.itemsize for x in open_rows["data"]])
+    both = np.unique(h.astype(np.uint64) << np.uint64(32) | slices.astype(np.uint64)) >> np.uint64(32)
+    known, often = np.unique(both, return_counts=True)
+    hot = np.stack([known[often > hot_slices], often[often > hot_slices].astype(np.uint64)], axis=1).astype(np.uint32)
+    who_hot = np.array([[NOBODY, 0]], np.int64)
+    told = _to_owners(np.zeros(len(hot), np.int64), hot.view(np.uint64).ravel(), who_hot, buckets)
+    return pd.concat([_to_owners(doc[open_], h[open_], who, buckets), _to_owners(*seen, buckets), told.assign(kind=HOT)], ignore_index=True)
 
 
 ENTRY = np.dtype([("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (CONTEXT,))])
 SPAN = np.dtype([("start", "<i4"), ("stop", "<i4")])
+STRING = np.dtype([("pos", "<i4"), ("bytes", "u1", (LENGTH,))])
 
 
 def _around(lot: tuple, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,7 +254,57 @@ def _around(lot: tuple, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return row[piece], h, entry
 
 
-def _emit_contexts(buckets: int):
+def _strings(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of each context at each offset, as void items, and which of them lie within the document."""
+    place = np.arange(SIDE + 1)
+    valid = (place >= SIDE - entry["left"][:, None].astype(int)) & (place <= entry["right"][:, None].astype(int))
+    wide = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(entry["bytes"], LENGTH, axis=1))
+    return wide.view(np.dtype((np.void, LENGTH)))[..., 0], valid
+
+
+def _spans_of(gone: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts whose strings at some offsets go: the entry and the span of each run of neighbouring strings."""
+    edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    i, a = np.nonzero(edge == 1)
+    _, b = np.nonzero(edge == -1)
+    spans = np.zeros(len(i), SPAN)
+    spans["start"], spans["stop"] = entry["pos"][i] - SIDE + a, entry["pos"][i] - SIDE + b - 1 + LENGTH
+    return i, spans
+
+
+def _hot_strings(doc: np.ndarray, entry: np.ndarray, ids: np.ndarray, tids: np.ndarray, buckets: int) -> list[tuple]:
+    """Contexts of hot anchors: each string goes to a bucket of its own hash, once from a slice, so that no bucket has all
+    that differ around one anchor. What a smaller document of the slice has is settled."""
+    rows: list[tuple] = []
+    for lot in np.array_split(np.arange(len(entry)), 1 + len(entry) // 20_000):
+        strings, valid = _strings(entry[lot])
+        i, k = np.nonzero(valid)
+        same, own = np.unique(strings[i, k], return_inverse=True)
+        own = own.ravel()
+        who = ids[doc[lot]][i]
+        first = np.full(len(same), LAST)
+        np.minimum.at(first, own, who)
+        gone = np.zeros(valid.shape, bool)
+        gone[i, k] = first[own] < who
+        at, spans = _spans_of(gone, entry[lot])
+        back = tids[doc[lot[at]]] % buckets
+        order = np.lexsort((doc[lot[at]], back))
+        rows += [_packed(b, SETTLED, doc[lot[at[p]]], ids, tids, spans[p]) for b, p in _runs(back[order], order)]
+        left = np.flatnonzero(first[own] == who)
+        out = np.zeros(len(left), STRING)
+        out["pos"] = entry["pos"][lot[i[left]]] - SIDE + k[left]
+        out["bytes"] = np.frombuffer(same[own[left]].tobytes(), np.uint8).reshape(-1, LENGTH)
+        eight = np.ascontiguousarray(out["bytes"][:, : LENGTH - LENGTH % 8]).view("<u8")
+        hashed = np.zeros(len(left), np.uint64)
+        for c in range(eight.shape[1]):
+            hashed = _mixed(hashed ^ eight[:, c])
+        bucket, d = _bucket(hashed, buckets), doc[lot[i[left]]]
+        order = np.lexsort((d, bucket))
+        rows += [_packed(b, STRINGS, d[p], ids, tids, out[p]) for b, p in _runs(bucket[order], order)]
+    return rows
+
+
+def _emit_contexts(buckets: int, hot: np.ndarray):
     """Step 2: the bytes around each repeated anchor, once for each context and slice, and what that settles already."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,6 +316,9 @@ def _emit_contexts(buckets: int):
                 found = [_around(lot, mine) for lot in _lots(part["text"])]
                 doc, h, entry = (np.concatenate(x) for x in zip(*found))
                 del found
+                warm = np.isin(h.astype(np.uint32), hot)
+                rows = _hot_strings(doc[warm], entry[warm], ids, tids, buckets)
+                doc, h, entry = doc[~warm], h[~warm], entry[~warm]
                 same = _classes(entry)
                 order = np.lexsort((ids[doc], same))
                 ss = same[order]
@@ -253,23 +326,22 @@ def _emit_contexts(buckets: int):
                 first = ids[doc[order[np.flatnonzero(new)]]][np.cumsum(new) - 1] if len(ss) else np.empty(0, np.int64)
                 later = order[ids[doc[order]] > first]
                 bucket = _bucket(h, buckets)
-                rows = []
                 keep = order[new]
                 keep = keep[np.lexsort((doc[keep], bucket[keep]))]
                 for b, piece in _runs(bucket[keep], keep):
-                    rows.append(_packed(b, False, doc[piece], ids, tids, entry[piece]))
+                    rows.append(_packed(b, OPEN, doc[piece], ids, tids, entry[piece]))
                 # Of one document, or of rows with one doc_id, every place of a context has to be told.
                 alike = order[~new & (ids[doc[order]] == first)]
                 alike = alike[np.lexsort((doc[alike], bucket[alike]))]
                 for b, piece in _runs(bucket[alike], alike):
-                    rows.append(_packed(b, False, doc[piece], ids, tids, entry[piece]))
+                    rows.append(_packed(b, OPEN, doc[piece], ids, tids, entry[piece]))
                 later = np.sort(later)
                 spans = np.zeros(len(later), SPAN)
                 spans["start"], spans["stop"] = entry["pos"][later] - entry["left"][later].astype(np.int32), entry["pos"][later] + GRAM + entry["right"][later]
                 spread = tids[doc[later]] % buckets
                 go = np.argsort(spread, kind="stable")
                 for b, piece in _runs(spread[go], go):
-                    rows.append(_packed(b, True, doc[later[piece]], ids, tids, spans[piece]))
+                    rows.append(_packed(b, SETTLED, doc[later[piece]], ids, tids, spans[piece]))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
 
     return run
@@ -303,8 +375,17 @@ def refined(bytes_: np.ndarray) -> np.ndarray:
 
 def _smaller_elsewhere(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Step 3, one bucket: for each document, the spans that a smaller one has too."""
-    doc, entry, who = _unpacked(rows[~rows["settled"]], ENTRY)
-    found = [_to_owners(*_unpacked(rows[rows["settled"]], SPAN), buckets)]
+    doc, entry, who = _unpacked(rows[rows["kind"] == OPEN], ENTRY)
+    found = [_to_owners(*_unpacked(rows[rows["kind"] == SETTLED], SPAN), buckets)]
+    own, string, holder = _unpacked(rows[rows["kind"] == STRINGS], STRING)
+    if len(own):
+        same = np.unique(np.ascontiguousarray(string["bytes"]).view(np.dtype((np.void, LENGTH))).ravel(), return_inverse=True)[1].ravel()
+        first = np.full(int(same.max()) + 1, LAST)
+        np.minimum.at(first, same, holder[own, 0])
+        late = np.flatnonzero(first[same] < holder[own, 0])
+        spans = np.zeros(len(late), SPAN)
+        spans["start"], spans["stop"] = string["pos"][late], string["pos"][late] + LENGTH
+        found.append(_to_owners(own[late], spans, holder, buckets))
     if len(doc):
         ids = who[doc, 0]
         same = _classes(entry)
@@ -329,12 +410,7 @@ def _smaller_elsewhere(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
             np.minimum.at(m, key[ok], np.broadcast_to(first[lot][:, None], ok.shape)[ok])
             least[lot] = np.where(ok, np.minimum(least[lot], m[key]), least[lot])
         gone = (least[same] < ids[:, None]) & valid[same]
-        # Neighbouring strings make one span.
-        edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        i, a = np.nonzero(edge == 1)
-        _, b = np.nonzero(edge == -1)
-        spans = np.zeros(len(i), SPAN)
-        spans["start"], spans["stop"] = entry["pos"][i] - SIDE + a, entry["pos"][i] - SIDE + b - 1 + LENGTH
+        i, spans = _spans_of(gone, entry)
         found.append(_to_owners(doc[i], spans, who, buckets))
     return pd.concat(found, ignore_index=True)
 
@@ -358,13 +434,28 @@ def _applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch[["ord", "n_bytes"]].reset_index(drop=True), got], axis=1)
 
 
+def _hottest(repeated: DataFrame) -> np.ndarray:
+    """Hashes of the hot anchors, the hottest of them if they are too many to be sent to all tasks."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = np.frombuffer(b"".join(batch["data"]), np.uint32).reshape(-1, 2)
+            yield pd.DataFrame({"h": pairs[:, 0].astype(np.int64), "n": pairs[:, 1].astype(np.int64)})
+
+    told = repeated.filter(F.col("ord") == NOBODY).select("data").mapInPandas(each, "h long, n long")
+    return told.orderBy(F.desc("n"), "h").limit(HOT_MOST).select("h").toArrow()["h"].to_numpy().astype(np.uint32)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return t.select("ord", "text", F.xxhash64("text").alias("tid"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each document."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_slices: int = HOT_SLICES) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of each document.
+
+    Anchors found in more than ``hot_slices`` slices are dealt string by string; the result is the same for any number.
+    """
     texts = _texts(docs, id_col, text_col)
     digest = F.sha2("text", 256)
     copied = texts.groupBy(digest.alias("digest")).agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -378,12 +469,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
     long_enough = own.filter(F.col("n_bytes") >= LENGTH)
     hashes = long_enough.select("ord", "tid", "text").mapInPandas(_emit_anchors(buckets), ROWS)
-    repeated = hashes.groupBy("bucket").applyInPandas(lambda rows: _repeated_anchors(rows, buckets), ROWS)
+    repeated = hashes.groupBy("bucket").applyInPandas(lambda rows: _repeated_anchors(rows, buckets, hot_slices), ROWS)
     repeated = stored(repeated.groupBy("bucket").applyInPandas(_by_document(np.uint32), FOUND), "suffix-anchors")
 
-    contexts = long_enough.select("ord", "tid", "text").join(repeated, ["ord", "tid"]).mapInPandas(_emit_contexts(buckets), ROWS)
+    hot = _hottest(repeated)
+    contexts = long_enough.select("ord", "tid", "text").join(repeated, ["ord", "tid"]).mapInPandas(_emit_contexts(buckets, hot), ROWS)
     spans = contexts.groupBy("bucket").applyInPandas(lambda rows: _smaller_elsewhere(rows, buckets), ROWS)
     spans = stored(spans.groupBy("bucket").applyInPandas(_by_document(SPAN), FOUND), "suffix-spans")
+    drop_path(docs.sparkSession, repeated.stored_at)
 
     touched = own.join(spans, ["ord", "tid"])
     cut = touched.select("ord", "n_bytes", "text", "data").mapInPandas(_applied, "ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
