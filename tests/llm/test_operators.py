@@ -150,6 +150,10 @@ def test_repeated_strings(spark):
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.dedup(frame(spark, rows)).collect())
     assert got == removed_by_brute_force(rows)
     assert suffix_dedup.dedup(frame(spark, rows).limit(0)).count() == 0
+    # The same with every repeated anchor taken for a hot one, and with those of more than three slices.
+    for slices in (0, 3):
+        hot = suffix_dedup.dedup(frame(spark, rows).repartition(6), hot_slices=slices).collect()
+        assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in hot) == removed_by_brute_force(rows)
 
 
 def jaccard_classes(rows):
