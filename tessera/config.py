@@ -132,6 +132,7 @@ class Config:
     pool_path: str = "data/pool"
     embedder: Model = field(default_factory=lambda: Model("hashing"))
     scorer: Model = field(default_factory=lambda: Model("overlap"))
+    model: Model = field(default_factory=lambda: Model("none", enabled=False))
     lexical: Lexical = field(default_factory=Lexical)
     faithfulness: Faithfulness = field(default_factory=Faithfulness)
     chunking: Chunking = field(default_factory=Chunking)
@@ -139,6 +140,7 @@ class Config:
     retrieval: Retrieval = field(default_factory=Retrieval)
     multi_query: MultiQuery = field(default_factory=MultiQuery)
     tagging: Tagging = field(default_factory=Tagging)
+    resamples: int = 2000
     papers: list[Paper] = field(default_factory=list)
 
 

@@ -49,6 +49,13 @@ class Searcher:
             hits = hits.join(scopes.select("qid", "paper_id"), ["qid", "paper_id"], "left_semi")
         return R.top(hits, depth, by)
 
+    def ranked(self, queries: DataFrame, scopes: DataFrame | None, depth: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+        """The dense rankings of (qid, text), as deep as asked."""
+        return self._dense(M.query_vectors(queries, self.embedder), scopes, depth, by)
+
+    def ranked_lexically(self, queries: DataFrame, scopes: DataFrame | None, depth: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+        return self._sparse(queries.select("qid", "text"), scopes, depth, by)
+
     def recall(self, queries: DataFrame, candidates: int = 20, max_k: int = 10, scopes: DataFrame | None = None, per_paper: bool = False, floor: int | None = None) -> DataFrame:
         """The pools before rerank: qid, paper_id, chunk_id, score, rank, source.
 

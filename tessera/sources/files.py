@@ -68,3 +68,21 @@ def finished_units(spark: SparkSession, path: str, header: str) -> DataFrame:
 def record_units(units: DataFrame, path: str, header: str) -> None:
     """Append finished units; the commit protocol leaves no half-written ones."""
     units.select(F.lit(header).alias("header"), "unit", "record").write.mode("append").parquet(path)
+
+
+CONFIRMATIONS = "items string, arm string, confirmed boolean, at timestamp"
+
+
+def confirmations(spark: SparkSession, path: str) -> DataFrame:
+    """What was confirmed before, and on which items."""
+    try:
+        return spark.read.schema(CONFIRMATIONS).json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], CONFIRMATIONS)
+        raise
+
+
+def confirm(spark: SparkSession, path: str, items: str, arm: str, confirmed: bool) -> None:
+    row = spark.createDataFrame([(items, arm, confirmed)], "items string, arm string, confirmed boolean")
+    row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(path)

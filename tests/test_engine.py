@@ -160,14 +160,14 @@ def test_report_of_arms(spark):
     """An arm that is better by a mile on thirty papers, and one that is the same."""
     rows = [(arm, q, q % 30, True, True, 1.0 if arm == "good" else 0.25) for arm in ("default", "good", "same") for q in range(90)]
     scored = spark.createDataFrame(rows, "arm string, qid int, cluster int, goldable boolean, in_pool boolean, rr double")
-    r = {x["arm"]: x for x in A.confirmed(A.report(scored, "default", 200)).collect()}
+    r = {x["arm"]: x for x in A.confirmed(A.report(scored, "default", 60)).collect()}
     assert r["good"]["mrr_delta_point"] == 0.75 and r["good"]["mrr_delta_detectable"] and r["good"]["confirmed"]
     assert not r["same"]["mrr_delta_detectable"] and not r["same"]["confirmed"] and r["default"]["mrr_delta_point"] is None
     assert r["good"]["weakest"] == 30 and r["good"]["warnings"] == ["saturated"]
-    assert tuple(A.candidate_points(A.report(scored, "default", 200)).first()) == (1, "good")
+    assert tuple(A.candidate_points(A.report(scored, "default", 60)).first()) == (1, "good")
     from tessera import reports
 
-    text = reports.screen(A.report(scored, "default", 200), "default")
+    text = reports.screen(A.report(scored, "default", 60), "default")
     assert text.splitlines()[2].startswith("default") and "better than default: good" in text
 
 
@@ -200,7 +200,7 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "pool").mkdir()
     for topic in TOPICS:
         (tmp_path / "pool" / f"{topic}.md").write_text(paper(topic, 4))
-    (tmp_path / "tessera.json").write_text(json.dumps({"index_path": "index", "pool_path": "pool", "lexical": {"enabled": True}}))
+    (tmp_path / "tessera.json").write_text(json.dumps({"index_path": "index", "pool_path": "pool", "lexical": {"enabled": True}, "resamples": 60}))
     items = [{"query": f"{TOPICS[t]} {i}", "paper_id": t, "section_number": str(i), "section_title": f"Part {t} {i}"} for t in TOPICS for i in (1, 2)]
     (tmp_path / "items.jsonl").write_text("\n".join(map(json.dumps, items)))
     say = lambda *a: cli.main([a[0], f"--config={tmp_path / 'tessera.json'}", *a[1:]], spark)
@@ -209,6 +209,18 @@ def test_command_line(spark, tmp_path):
     assert say("run", str(tmp_path / "items.jsonl")).startswith("success@20 1.000")
     text = say("screen", str(tmp_path / "items.jsonl"), "5,20")
     assert [x.split("  ")[0] for x in text.splitlines()[2:6]] == ["default", "candidates=5", "hybrid=on", "rerank=off"]
+    compared = [{"query": "tide and kiln 1", "sections": [{"paper_id": t, "number": "1", "title": f"Part {t} 1"} for t in ("tide", "kiln")]}]
+    (tmp_path / "two.jsonl").write_text("\n".join(map(json.dumps, compared)))
+    grid = say("sweep", str(tmp_path / "items.jsonl"), "64,512", "5").splitlines()
+    assert len(grid) == 6 and grid[0].split()[:3] == ["tokens", "candidates", "rerank"]
+    groups = say("per-paper", str(tmp_path / "items.jsonl"), "2", "4")
+    assert groups.splitlines()[2].startswith("off 20") and "matched 4" in groups and "confirmed: none" in groups and "mean pool: " in groups
+    both = say("comparative", str(tmp_path / "two.jsonl"), "4")
+    assert both.splitlines()[2].startswith("off 20") and "few" in both
+    first = say("confirm", str(tmp_path / "items.jsonl"), "5", str(tmp_path / "marker"))
+    assert "confirmed: no" in first and "note: these items" not in first and "looked at 1 times" in say("confirm", str(tmp_path / "items.jsonl"), "6", str(tmp_path / "marker"))
+    made = cli.main(["generate", f"--config={tmp_path / 'tessera.json'}", '--model={"kind": "tests.test_agent:Writer"}', str(tmp_path / "made")], spark)
+    assert "dev:" in made and "test:" in made and (tmp_path / "made" / "split=dev").exists()
     assert say("cells", "64,128").splitlines()[2].startswith("default") and say("remove", "tide") == "removed: tide"
     with pytest.raises(SystemExit):
         cli.main(["nothing"])
