@@ -2,6 +2,11 @@
 
 Every stage takes documents and returns documents: what it rejects is gone, what it rewrites is rewritten. The
 last one adds the mixing columns and keeps every document; a rate of 0 says that the mix has no use for it.
+
+Defined results: a null text is an empty one, which the quality rules reject; null or repeated ids are kept apart by
+their texts, so a row is judged by what it says; of repeated rows one stays; nulls in other columns stay as they are;
+texts are taken whole, whatever their length; columns beside those of documents are left out, whatever their names;
+labels with nulls are not used, and items without words leak nowhere; empty tables give empty results.
 """
 
 from __future__ import annotations
