@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Elements whose running sums are taken at a time.
 RUN = 256
+#: The setting that bounds batches to Python by their bytes, and what it is while tables are written.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -40,6 +45,25 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives freed memory back to the system at its end: workers live on, idle, beside others."""
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every system's library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: The paths that are written inside each open ``tidy``, the innermost last.
 _OPEN: list[list[str]] = []
 
@@ -50,7 +74,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = scratch(spark, what)
     if _OPEN:
         _OPEN[-1].append(path)
-    df.write.parquet(path)
+    # Python holds a batch several times over: small ones, whatever the length of texts.
+    usual = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

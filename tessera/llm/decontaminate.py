@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop, stored
+from tessera.llm.common import lean, stored, tidy
 
 #: Words in a passage of the matrix, in a block of the search, and in a part of a long item.
 PASSAGE, BLOCK, PART = 64, 16, 64
@@ -119,6 +119,7 @@ def _slices(sizes: np.ndarray, most: int = SLICE) -> Iterator[slice]:
 def _numbered(shared):
     """The texts as numbers of terms (int32, -1 for other words); a task's last row has its document frequencies."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = shared.value
         df, total = np.zeros(len(vocabulary), np.int64), 0
@@ -150,6 +151,7 @@ def _random(terms: int) -> np.ndarray:
 def _products(shared):
     """Rows of A'(A Omega), summed over a task's passages; a passage's weights are counts * idf, of length 1."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf = shared.value
         omega = _random(len(idf))
@@ -316,20 +318,23 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[tuple], dict[str,
 
 def _found(docs: DataFrame, name: str, benchmark: DataFrame) -> Iterator[DataFrame]:
     """name, item_id, common and cosine, written, for each block of items."""
+    spark = docs.sparkSession
     for names, split, vocabulary in _blocks(benchmark):
-        tokens = numbered(docs, name, vocabulary)
-        shared = docs.sparkSession.sparkContext.broadcast(_index(tokens, split, vocabulary))
-
-        def run(batches: Iterator[pd.DataFrame], names=names, shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for batch in batches:
-                hits = [(who, names[n], round(share, 6), round(cosine, 4)) for who, x in zip(batch["name"], batch["ids"]) for n, share, cosine in search_ids(np.frombuffer(x, np.int32), index)]
-                out = pd.DataFrame(hits, columns=["name", "item_id", "common", "cosine"])
-                yield out.astype({"name": object, "item_id": "Int64", "common": float, "cosine": float})
-
-        texts = tokens.filter("ids IS NOT NULL").select("name", "ids")
-        yield stored(texts.mapInPandas(run, "name string, item_id long, common double, cosine double"), "leaks")
-        drop(tokens)
+        with tidy(spark) as keep:
+            tokens = numbered(docs, name, vocabulary)
+            shared = spark.sparkContext.broadcast(_index(tokens, split, vocabulary))
+
+            @lean
+            def run(batches: Iterator[pd.DataFrame], names=names, shared=shared) -> Iterator[pd.DataFrame]:
+                index = shared.value
+                for batch in batches:
+                    hits = [(who, names[n], round(share, 6), round(cosine, 4)) for who, x in zip(batch["name"], batch["ids"]) for n, share, cosine in search_ids(np.frombuffer(x, np.int32), index)]
+                    out = pd.DataFrame(hits, columns=["name", "item_id", "common", "cosine"])
+                    yield out.astype({"name": object, "item_id": "Int64", "common": float, "cosine": float})
+
+            texts = tokens.filter("ids IS NOT NULL").select("name", "ids")
+            found = keep(stored(texts.mapInPandas(run, "name string, item_id long, common double, cosine double"), "leaks"))
+        yield found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

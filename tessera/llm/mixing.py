@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, stored
+from tessera.llm.common import let, stored, tidy
 
 DOMAINS = ("good", "poor", "toxic")
 #: Shares of all tokens; the mix has as many expected tokens as the corpus.
@@ -178,7 +178,8 @@ def with_members(docs: DataFrame, columns: tuple[str, ...], model: Model) -> Dat
 def mix(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_id",), targets: dict[str, float] = TARGETS) -> DataFrame:
     """``columns`` of ``docs``, ``n_tokens``, ``p_<domain>`` and ``rate``: expected copies of the document in the mix."""
     docs = docs.select(*dict.fromkeys(("doc_id", "text", *columns)))
-    model = fit(docs, labels)
+    with tidy(docs.sparkSession):
+        model = fit(docs, labels)
     members = stored(with_members(docs, columns, model), "mixing-members")
     steps = fit_rates(members, targets)
     return members.select(*columns, "n_tokens", *[f"p_{d}" for d in DOMAINS], F.round(rate(steps), 6).alias("rate"))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import lean, stored, tidy
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -45,7 +45,7 @@ FEW = 16
 #: Pairs for each holder of a difference beyond which its holders are compared with one of them first.
 CROWDED = 4
 #: Bytes and rows that Python works on at a time.
-SLICE, SLICE_ROWS = 1 << 20, 2048
+SLICE, SLICE_ROWS = 512 << 10, 1024
 _U = np.uint64
 
 
@@ -167,6 +167,7 @@ def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
     yield from (g for _, g in batch.groupby([rows, size], sort=False))
 
 
+@lean
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for part in _slices(batch):
@@ -182,6 +183,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": part["key"].array, "n": n, "bands": bands})[n > 0]
 
 
+@lean
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for part in _slices(batch):
@@ -402,7 +404,8 @@ def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``class_id`` of every row of ``docs``; the plan's steps are written to the shared folder."""
     words = _words(docs, id_col, text_col)
-    named = _grouped(words).select("key", "class_id", F.lit(True).alias("found"))
+    with tidy(docs.sparkSession) as keep:
+        named = keep(_grouped(words)).select("key", "class_id", F.lit(True).alias("found"))
     return words.select("doc_id", "key").join(_few(named), "key", "left").select("doc_id", F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
@@ -411,7 +414,9 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id
 
     What goes is told by id and text, so a row with another text under the same id is judged by its own class.
     """
-    named = _grouped(_words(docs, id_col, text_col)).select(F.col("key").alias("__key"), (F.col("key") == F.col("lead")).alias("__lead"), F.col("first").alias("__first"), F.col("n").alias("__n"))
+    with tidy(docs.sparkSession) as keep:
+        named = keep(_grouped(_words(docs, id_col, text_col)))
+    named = named.select(F.col("key").alias("__key"), (F.col("key") == F.col("lead")).alias("__lead"), F.col("first").alias("__first"), F.col("n").alias("__n"))
     rows = docs.select(*columns).withColumn("__key", F.unhex(F.md5(normal(F.col(text_col))))).join(_few(named), "__key", "left")
     kept = rows.filter(F.col("__lead").isNull() | (F.col("__lead") & F.col(id_col).cast("long").eqNullSafe(F.col("__first"))))
     once, again = kept.filter(F.coalesce("__n", F.lit(1)) == 1), kept.filter(F.col("__n") > 1)
