@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_path, stored
+from tessera.llm.common import drop_path, lean, release, stored
 
 LENGTH, GRAM = 50, 32
 SIDE = LENGTH - GRAM
@@ -143,6 +143,7 @@ def _unpacked(rows: pd.DataFrame, dtype) -> tuple[np.ndarray, np.ndarray, np.nda
 def _emit_anchors(buckets: int):
     """Step 1, map side: anchor hashes by bucket; those in several documents of a slice go once, their documents are settled."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in _slices(batch):
@@ -222,7 +223,7 @@ def _repeated_anchors(rows: pd.DataFrame, buckets: int, hot_slices: int) -> pd.D
     seen = _unpacked(rows[rows["kind"] == SETTLED], np.uint32)
     # An anchor that is shared within a slice came once from it, and else once from each of its documents there.
     slices = np.repeat(np.arange(len(open_rows)), [len(x) // h.itemsize for x in open_rows["data"]])
-    both = np.unique(h.astype(np.uint64) << np.uint64(32) | slices.astype(np.uint64)) >> np.uint64(32)
+    both = np.unique(h[open_].astype(np.uint64) << np.uint64(32) | slices[open_].astype(np.uint64)) >> np.uint64(32)
     known, often = np.unique(both, return_counts=True)
     hot = np.stack([known[often > hot_slices], often[often > hot_slices].astype(np.uint64)], axis=1).astype(np.uint32)
     who_hot = np.array([[NOBODY, 0]], np.int64)
@@ -307,6 +308,7 @@ def _hot_strings(doc: np.ndarray, entry: np.ndarray, ids: np.ndarray, tids: np.n
 def _emit_contexts(buckets: int, hot: np.ndarray):
     """Step 2: the bytes around each repeated anchor, once for each context and slice, and what that settles already."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in _slices(batch):
@@ -412,7 +414,10 @@ def _smaller_elsewhere(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
         gone = (least[same] < ids[:, None]) & valid[same]
         i, spans = _spans_of(gone, entry)
         found.append(_to_owners(doc[i], spans, who, buckets))
-    return pd.concat(found, ignore_index=True)
+    out = pd.concat(found, ignore_index=True)
+    del doc, found, own, string
+    release()
+    return out
 
 
 def _applied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
