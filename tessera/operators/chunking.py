@@ -139,16 +139,15 @@ def pack(parts: Column, max_tokens: int, overlap_tokens: int) -> Column:
 
     Sums up to each block are taken once; the fold over blocks keeps where the open chunk starts, and the ranges that are done.
     """
-    sizes = F.transform(parts, T.approx_tokens)
-    sums = F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
     ranges = "array<struct<a:int,b:int>>"
+    upto = lambda sizes: F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
 
     def packed(z: Column) -> Column:
-        upto = z["sums"]
+        sums = z["sums"]
 
         def step(s: Column, i: Column) -> Column:
-            full = (s["a"] < i) & (upto[i + 1] - upto[s["a"]] > max_tokens)
-            kept = F.size(F.filter(F.slice(upto, s["a"] + 1, i - s["a"]), lambda before: upto[i] - before <= overlap_tokens))
+            full = (s["a"] < i) & (sums[i + 1] - sums[s["a"]] > max_tokens)
+            kept = F.size(F.filter(F.slice(sums, s["a"] + 1, i - s["a"]), lambda before: sums[i] - before <= overlap_tokens))
             return F.when(
                 full, F.struct(F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), i.alias("b")))).alias("done"), (i - kept).alias("a"))
             ).otherwise(s)
@@ -158,7 +157,11 @@ def pack(parts: Column, max_tokens: int, overlap_tokens: int) -> Column:
         done = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), n.alias("b")))))
         return F.transform(done, lambda r: F.array_join(F.slice(z["parts"], r["a"] + 1, r["b"] - r["a"]), "\n\n"))
 
-    return F.when(F.size(parts) > 0, _let(F.struct(parts.alias("parts"), sums.alias("sums")), packed)).otherwise(F.array().cast("array<string>"))
+    def whole(blocks_: Column) -> Column:
+        sums = upto(F.transform(blocks_, T.approx_tokens))
+        return F.when(F.size(blocks_) > 0, _let(F.struct(blocks_.alias("parts"), sums.alias("sums")), packed)).otherwise(F.array().cast("array<string>"))
+
+    return _let(parts, whole)
 
 
 def chunk_id(paper: Column, index: Column, number: Column, title: Column, part: Column) -> Column:
@@ -170,8 +173,8 @@ def chunks(
 ) -> DataFrame:
     """The chunk table: breadcrumb and body, with identity and position."""
     s = indexable(breadcrumbs(split_sections(pool)), min_tokens, noise_ratio, extra_skip)
-    s = s.withColumn("subs", pack(blocks(F.col("body")), max_tokens, overlap_tokens)).withColumn("n_parts", F.size("subs"))
-    c = s.select("*", F.posexplode("subs").alias("part", "sub")).drop("subs")
+    parts = _let(pack(blocks(F.col("body")), max_tokens, overlap_tokens), lambda subs: F.transform(subs, lambda sub, i: F.struct(i.alias("part"), sub.alias("sub"), F.size(subs).alias("n_parts"))))
+    c = s.select("*", F.explode(parts).alias("c")).select(*s.columns, "c.part", "c.sub", "c.n_parts")
     return c.select(
         chunk_id(F.col("paper_id"), F.col("section_index"), F.col("number"), F.col("title"), F.col("part")).alias("chunk_id"),
         F.concat_ws("\n\n", "breadcrumb", "sub").alias("text"), F.col("sub").alias("body"), "paper_id", F.coalesce("paper_title", F.lit("")).alias("paper_title"),
