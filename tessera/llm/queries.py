@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, mixing, near_dedup, pii, quality_rules, secret_scan, suffix_dedup, token_counts, warc
+from tessera.llm import chat_format, decontaminate, exact_dedup, filter_audit, mixing, near_dedup, pii, quality_rules, secret_scan, suffix_dedup, token_counts, warc, whitening
 from tessera.llm.common import table
 
 #: The pseudonym key of the driver's queries; jobs set tessera.pii.key to one of their own.
@@ -203,3 +203,54 @@ def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query
+def op12_exact_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, sf_dir, "documents")).drop("row")
+
+
+ORACLES["op12_exact_classes"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+
+@query
+def op13_filter_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_lattice"] = r"""
+WITH RECURSIVE orders AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || l FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS u(l) WHERE NOT contains(filter_order, l)),
+steps AS (SELECT filter_order, s.step, filter_order[s.step] AS f, filter_order[1:s.step - 1] AS before FROM orders, unnest(range(1, 6)) AS s(step) WHERE length(filter_order) = 5),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+docs AS (SELECT coalesce(source, '') AS part, doc_id, coalesce(doc_id, 9223372036854775807) AS o, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(o) OVER (PARTITION BY t) AS first_id FROM docs),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN o > first_id THEN 'E' ELSE '' END AS failed
+  FROM words LEFT JOIN lab USING (doc_id)),
+seen AS (
+  SELECT part, filter_order, step, f, good, toxic, contains(failed, f) AS fails, failed = f AS alone,
+         len(list_intersect(string_split(before, ''), string_split(failed, ''))) > 0 AND before <> '' AND failed <> '' AS gone
+  FROM judged, steps),
+told AS (
+  SELECT part, filter_order, step, f, count(*) FILTER (NOT gone AND NOT fails) AS kept, count(*) FILTER (NOT gone AND fails) AS removed,
+         count(*) FILTER (gone AND fails) AS redundant, count(*) FILTER (alone) AS unique_fails,
+         count(*) FILTER (NOT gone AND fails AND good) AS good_lost, count(*) FILTER (NOT gone AND fails AND toxic) AS toxic_lost
+  FROM seen GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM told
+"""
