@@ -15,6 +15,7 @@ from tessera import reports
 from tessera.index import Index, ingest
 from tessera.operators import arms as A
 from tessera.operators import chunking as C
+from tessera.operators import documents as D
 from tessera.operators import evaluation as E
 from tessera.operators import retrieval as R
 from tessera.search import Searcher
@@ -117,7 +118,7 @@ def command_sweep(spark: SparkSession, config: K.Config, path: str, sizes: str =
     embedder = M.build(M.EMBEDDERS, config.embedder.kind, **config.embedder.settings)
     scorer = M.build(M.SCORERS, config.scorer.kind, **config.scorer.settings)
     for size in K.grid(sizes):
-        chunks = M.embedded(C.chunks(pool, size, min(config.chunking.overlap_tokens, size // 4), config.chunking.min_tokens, config.chunking.noise_ratio, tuple(config.chunking.extra_skip)), embedder).persist()
+        chunks = M.embedded(D.chunks(pool, size, min(config.chunking.overlap_tokens, size // 4), config.chunking.min_tokens, config.chunking.noise_ratio, tuple(config.chunking.extra_skip)), embedder).persist()
         arms = [A.Arm(f"{size:>6} {c:>10} {'on' if r else 'off':>6}", c, r) for c in K.grid(candidates) for r in (True, False)]
         rows += E.summary(_judged(config, Searcher(chunks, embedder, scorer), items, arms), ("arm",)).collect()
     cells = [[*r["arm"].split(), f"{r['success']:.3f}", f"{r['mrr']:.3f}", str(r["n_ungoldable"])] for r in sorted(rows, key=lambda r: (-r["mrr"], r["arm"]))]

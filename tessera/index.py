@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.models import Embedder, embedded
-from tessera.operators import chunking as C
+from tessera.operators import documents as D
 from tessera.operators import retrieval as R
 
 MANIFEST = "paper_id string, title string, n_chunks long, tags array<string>"
@@ -104,7 +104,7 @@ class Index:
         Returns their manifest rows (paper_id, title, n_chunks, tags).
         """
         pool = pool.select(F.col("paper_id").cast("string").alias("paper_id"), F.coalesce("markdown", F.lit("")).alias("markdown"))
-        new = embedded(C.chunks(pool, **self.chunking), self.embedder)
+        new = embedded(D.chunks(pool, **self.chunking), self.embedder)
         columns = self.chunks().schema.names
         self._replace("chunks", CHUNKS, new.select(*columns), pool)
         counts = self.chunks().groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_chunks"))

@@ -27,8 +27,14 @@ PUBLISHERS = ("nvidia",)
 MAX_TOKENS, OVERLAP_TOKENS, MIN_TOKENS, NOISE_RATIO = 512, 64, 24, 0.4
 
 
+#: The characters of ``T.WHITE`` one by one: trimming them needs no pattern.
+BLANK = "".join(chr(i) for i in range(0x3001) if re.match(f"[{T.WHITE}]", chr(i)))
+#: Papers of a fingerprint are dealt to so many.
+BUCKETS = 1024
+
+
 def stripped(x: Column) -> Column:
-    return F.regexp_replace(x, T.STRIP, "")
+    return F.btrim(x, F.lit(BLANK))
 
 
 def numbering(heading: Column) -> tuple[Column, Column]:
@@ -39,7 +45,7 @@ def numbering(heading: Column) -> tuple[Column, Column]:
 
 def split_sections(pool: DataFrame) -> DataFrame:
     """paper_id, section_index, heading, number, title, body; text before the first heading is a section too."""
-    parts = F.filter(F.split(T.without_comments(F.col("markdown")), HEADING), lambda p: stripped(p) != "")
+    parts = F.filter(F.split(T.without_comments(F.col("markdown")), HEADING), lambda p: p.rlike(f"[^{T.WHITE}]"))
     s = pool.select("paper_id", F.posexplode(parts).alias("section_index", "part"))
     line = F.substring_index("part", "\n", 1)
     body = F.when(F.col("part").contains("\n"), stripped(F.substring("part", F.char_length(line) + 2, F.char_length("part")))).otherwise("")
@@ -212,12 +218,12 @@ def repeated_images(pool: DataFrame) -> DataFrame:
     return refs.withColumn("keep", F.row_number().over(w) == 1)
 
 
-def fingerprint(pool: DataFrame, buckets: int = 1) -> DataFrame:
+def fingerprint(pool: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: 16 hex digits that change with any id or text.
 
-    Digests of the papers, a hundred bytes each, are sorted by id and hashed. Where millions of papers would not fit one
-    row, take ``buckets``: papers are dealt by the md5 of their id, each bucket is hashed so, and the buckets' digests in
-    order are hashed again. The number of buckets is part of what the fingerprint says.
+    Papers are dealt to ``buckets`` by the md5 of their id; the papers' digests, a hundred bytes each, are sorted by id and
+    hashed in each, and the buckets' digests in order are hashed again. With one bucket all are hashed at once, in one
+    task. The number of buckets is part of what the fingerprint says.
     """
     one = pool.select("paper_id", F.concat(F.hex(F.encode("paper_id", "utf-8")), F.lit("00"), F.upper(F.sha2("markdown", 256))).alias("h"))
     dealt = one.withColumn("bucket", F.conv(F.substring(F.md5("paper_id"), 1, 8), 16, 10).cast("long") % buckets)

@@ -1,5 +1,5 @@
-"""Named chunking queries. ``documents`` have no headings, so they run on a derived markdown: every eighth non-blank
-line opens a numbered section that is titled by the line's first five words."""
+"""Named chunking queries. ``documents`` have no headings, so they run on a derived markdown: every third non-blank line
+opens a section that is titled by the line's first five words, and numbered in turn n, n.1, n.1.1, nothing, n.2, n.2.1."""
 
 from __future__ import annotations
 
@@ -10,20 +10,28 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking as C
+from tessera.operators import documents as D
 from tessera.plans.catalogue import query, table
 
+#: What follows the number of each six sections in turn; null where a section has no number.
+BELOW = ("", ".1", ".1.1", None, ".2", ".2.1")
+EVERY, MOST, OVERLAP = 3, 120, 25
+
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     five = lambda x: F.array_join(F.slice(F.filter(F.split(x, " "), lambda w: w != ""), 1, 5), " ")
-    opened = lambda x, i: F.when(i % 8 == 0, F.concat(F.lit("## "), (F.floor(i / 8) + 1).cast("string"), F.lit(" "), five(x), F.lit("\n\n"), x)).otherwise(x)
+    below = F.array(*[F.lit(x) for x in BELOW])
+    number = lambda s: F.concat((F.floor(s / len(BELOW)) + 1).cast("string"), F.get(below, (s % len(BELOW)).cast("int")), F.lit(" "))
+    opened = lambda x, i: F.when(i % EVERY == 0, F.concat(F.lit("## "), F.coalesce(number(F.floor(i / EVERY)), F.lit("")), five(x), F.lit("\n\n"), x)).otherwise(x)
     return d.select(F.col("doc_id").alias("paper_id"), F.array_join(F.transform(lines, opened), "\n").alias("markdown"), "source", "text")
 
 
-POOL = r"""pool AS (
+POOL = rf"""pool AS (
   SELECT doc_id AS paper_id, source, text, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''),
-    lambda x, i: CASE WHEN (i - 1) % 8 = 0 THEN '## ' || ((i - 1) // 8 + 1) || ' ' || array_to_string(list_filter(string_split(x, ' '), lambda w: w <> '')[1:5], ' ') || chr(10) || chr(10) || x ELSE x END), chr(10)) AS markdown
+    lambda x, i: CASE WHEN (i - 1) % {EVERY} = 0 THEN '## ' || coalesce(((i - 1) // {EVERY * len(BELOW)} + 1) || ['', '.1', '.1.1', NULL, '.2', '.2.1'][(i - 1) // {EVERY} % {len(BELOW)} + 1] || ' ', '')
+      || array_to_string(list_filter(string_split(x, ' '), lambda w: w <> '')[1:5], ' ') || chr(10) || chr(10) || x ELSE x END), chr(10)) AS markdown
   FROM documents)"""
 #: White space, patterns and bounds as the operators have them, in the other engine's spelling.
 WHITE = re.sub(r"\\(x[0-9a-f]{2}|u[0-9a-f]{4})", lambda m: f"\\x{{{m[1][1:]}}}", f"[{T.WHITE}]")
@@ -51,11 +59,19 @@ def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_sections(pool(spark, sf_dir)).select("paper_id", "section_index", "number", "title", F.md5("body").alias("body_md5"))
 
 
-@query(f"""WITH {SECTIONS}, t AS (SELECT paper_id, heading AS paper_title FROM sections WHERE section_index = 0)
-SELECT paper_id, section_index, paper_title || CASE WHEN number IS NOT NULL THEN ' > ' || number || ' ' || title ELSE ' > ' || title END AS breadcrumb
-FROM sections JOIN t USING (paper_id)""")
+#: CTEs up to crumbs(paper_id, section_index, breadcrumb): the latest section so far of each ancestor's number.
+CRUMBS = """t AS (SELECT paper_id, heading AS paper_title FROM sections WHERE section_index = 0),
+asked AS (SELECT paper_id, section_index, u.k AS level, array_to_string(string_split(number, '.')[1:u.k], '.') AS ancestor FROM sections, unnest(range(1, len(string_split(number, '.')) + 1)) AS u(k) WHERE number IS NOT NULL),
+above AS (
+  SELECT a.paper_id, a.section_index, level, arg_max(s.number || ' ' || s.title, s.section_index) AS named
+  FROM asked a JOIN sections s ON s.paper_id = a.paper_id AND s.number = ancestor AND s.section_index <= a.section_index GROUP BY ALL),
+paths AS (SELECT paper_id, section_index, string_agg(named, ' > ' ORDER BY level) AS path FROM above GROUP BY ALL),
+crumbs AS (SELECT paper_id, section_index, paper_title, paper_title || ' > ' || coalesce(path, title) AS breadcrumb FROM sections JOIN t USING (paper_id) LEFT JOIN paths USING (paper_id, section_index))"""
+
+
+@query(f"WITH {SECTIONS}, {CRUMBS} SELECT paper_id, section_index, breadcrumb FROM crumbs")
 def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.breadcrumbs(C.split_sections(pool(spark, sf_dir))).select("paper_id", "section_index", "breadcrumb")
+    return D.split(pool(spark, sf_dir)).select("paper_id", "section_index", "breadcrumb")
 
 
 KEPT = rf"""{SECTIONS},
@@ -79,11 +95,40 @@ def caption_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_sections(pool(spark, sf_dir)).select("paper_id", "section_index", C.is_caption_noise(F.col("body")).alias("noise"))
 
 
-@query(f"WITH {KEPT} SELECT paper_id, section_index, part, md5(concat_ws('|', paper_id, section_index, coalesce(number, ''), title, part)) AS chunk_id FROM kept, unnest(range(3)) AS p(part)")
+#: CTEs up to packed(paper_id, section_index, a, b, part, n_parts): blocks a to b of every chunk. Blocks are cut where lines
+#: that aren't blank meet, and a recursion over the blocks of a section keeps where the open chunk starts.
+PACKED = rf"""WITH RECURSIVE {KEPT}, {CRUMBS},
+said_lines AS (SELECT paper_id, section_index, u.i AS i, ls[u.i] AS line FROM (SELECT paper_id, section_index, string_split(body, chr(10)) AS ls FROM kept), unnest(range(1, len(ls) + 1)) AS u(i)),
+marked AS (
+  SELECT *, regexp_matches(line, '{C.TABLE_ROW}') AS is_row, lag(i) OVER w AS i0, lag(regexp_matches(line, '{C.TABLE_ROW}')) OVER w AS row0
+  FROM said_lines WHERE regexp_replace(line, {STRIP}) <> '' WINDOW w AS (PARTITION BY paper_id, section_index ORDER BY i)),
+opens AS (SELECT paper_id, section_index, i, lead(i) OVER (PARTITION BY paper_id, section_index ORDER BY i) AS next FROM marked WHERE i0 IS NULL OR is_row <> row0 OR (NOT is_row AND i > i0 + 1)),
+cuts AS (SELECT o.paper_id, o.section_index, i, regexp_replace(array_to_string(string_split(body, chr(10))[i:coalesce(next - 1, 1000000000)], chr(10)), {STRIP}) AS block FROM opens o JOIN kept USING (paper_id, section_index)),
+sized AS (SELECT *, (floor(len(list_filter(string_split_regex(block, '{WHITE}+'), lambda w: w <> '')) * 1.33::DOUBLE) + 1)::INTEGER AS n FROM cuts),
+packs AS (
+  SELECT paper_id, section_index, list(block ORDER BY i) AS bs, list_concat([0], list(upto ORDER BY i)) AS s
+  FROM (SELECT *, (sum(n) OVER (PARTITION BY paper_id, section_index ORDER BY i))::INTEGER AS upto FROM sized) GROUP BY ALL),
+fold AS (
+  SELECT paper_id, section_index, s, 0 AS i, 0 AS a, NULL::INTEGER AS done FROM packs
+  UNION ALL
+  SELECT paper_id, section_index, s, i + 1, CASE WHEN full_ THEN i - len(list_filter(s[a + 1:i], lambda x: s[i + 1] - x <= {OVERLAP}))::INTEGER ELSE a END, CASE WHEN full_ THEN a END
+  FROM (SELECT *, a < i AND s[i + 2] - s[a + 1] > {MOST} AS full_ FROM fold WHERE i < len(s) - 1)),
+ranges AS (
+  SELECT paper_id, section_index, done AS a, i - 1 AS b FROM fold WHERE done IS NOT NULL
+  UNION ALL SELECT paper_id, section_index, a, i FROM fold WHERE i = len(s) - 1),
+packed AS (SELECT *, row_number() OVER (PARTITION BY paper_id, section_index ORDER BY b) - 1 AS part, count(*) OVER (PARTITION BY paper_id, section_index) AS n_parts FROM ranges),
+told AS (
+  SELECT p.paper_id, section_index, part, n_parts, number, title, paper_title, breadcrumb, array_to_string(bs[a + 1:b], chr(10) || chr(10)) AS body
+  FROM packed p JOIN packs USING (paper_id, section_index) JOIN kept USING (paper_id, section_index) JOIN crumbs USING (paper_id, section_index)),
+written AS (SELECT *, breadcrumb || chr(10) || chr(10) || body AS text, md5(concat_ws('|', paper_id, section_index, coalesce(number, ''), title, part)) AS chunk_id FROM told)"""
+
+
+@query(f"{PACKED} SELECT paper_id, section_index, part, chunk_id FROM written")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = C.indexable(C.split_sections(pool(spark, sf_dir)))
-    s = s.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
-    return s.select("paper_id", "section_index", "part", C.chunk_id(F.col("paper_id").cast("string"), F.col("section_index"), F.col("number"), F.col("title"), F.col("part")).alias("chunk_id"))
+    """The identity of every part that the packer makes, by the column expression."""
+    c = D.chunks(pool(spark, sf_dir), MOST, OVERLAP)
+    named = C.chunk_id(F.col("paper_id").cast("string"), F.col("section_index"), F.nullif("section_number", F.lit("")), F.col("section_title"), F.col("part"))
+    return c.select("paper_id", "section_index", F.col("part").cast("long").alias("part"), named.alias("chunk_id"))
 
 
 @query(rf"""WITH {KEPT}, placed AS (
@@ -95,19 +140,35 @@ def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("paper_id", "number", "title", "start", "end", F.md5("body").alias("body_md5"))
 
 
-@query(f"WITH {SECTIONS} SELECT paper_id, section_index, CASE WHEN number IS NOT NULL THEN len(string_split(number, '.')) ELSE 0 END::INTEGER AS depth FROM sections")
+@query(f"""WITH {SECTIONS}, o AS (SELECT paper_id, section_index, CASE WHEN number IS NOT NULL THEN len(string_split(number, '.')) END AS own FROM sections),
+n AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY section_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
+  first_value(own IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY section_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f FROM o)
+SELECT paper_id, section_index, coalesce(own, CASE WHEN p IS NULL THEN 0 WHEN f IS NULL THEN p WHEN f > p THEN f ELSE p + 1 END)::INTEGER AS depth FROM n""")
 def outline_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.outline_depth(C.split_sections(pool(spark, sf_dir))).select("paper_id", "section_index", "depth")
 
 
-@query()
+@query(f"""{PACKED} SELECT chunk_id, text, body, paper_id::VARCHAR AS paper_id, paper_title, coalesce(number, '') AS section_number, title AS section_title, section_index, breadcrumb,
+  part::INTEGER AS part, n_parts::INTEGER AS n_parts, (floor(len(list_filter(string_split_regex(text, '{WHITE}+'), lambda w: w <> '')) * 1.33::DOUBLE) + 1)::INTEGER AS approx_tokens FROM written""")
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: packing is a fold over blocks; unit tests hold it against hand-computed cases."""
-    return C.chunks(pool(spark, sf_dir).select(F.col("paper_id").cast("string").alias("paper_id"), "markdown"), max_tokens=120, overlap_tokens=25)
+    """The chunk table, by the table function: one scan, no exchange."""
+    return D.chunks(pool(spark, sf_dir).select(F.col("paper_id").cast("string").alias("paper_id"), "markdown"), MOST, OVERLAP)
+
+
+@query(f"{PACKED} SELECT source, count(*) AS n_chunks, max(n_parts)::INTEGER AS most_parts, count(DISTINCT chunk_id) AS n_ids FROM written JOIN pool USING (paper_id) GROUP BY source")
+def chunk_document_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packer called from SQL, beside the columns of its documents."""
+    D.register(spark)
+    pool(spark, sf_dir).createOrReplaceTempView("tessera_pool")
+    return spark.sql(f"""
+        SELECT source, count(*) AS n_chunks, max(n_parts) AS most_parts, count(DISTINCT chunk_id) AS n_ids
+        FROM tessera_pool, LATERAL chunk_document(CAST(paper_id AS string), markdown, {MOST}, {OVERLAP}, {C.MIN_TOKENS}, CAST({C.NOISE_RATIO} AS double), CAST(array() AS array<string>))
+        GROUP BY source""")
 
 
-@query("""WITH d AS (SELECT doc_id::VARCHAR AS p, hex(encode(doc_id::VARCHAR)) || '00' || upper(sha256(text)) AS h FROM documents)
-SELECT sha256(unhex(string_agg(h, '' ORDER BY p)))[1:16] AS fingerprint FROM d""")
+@query(f"""WITH d AS (SELECT doc_id::VARCHAR AS p, hex(encode(doc_id::VARCHAR)) || '00' || upper(sha256(text)) AS h FROM documents),
+b AS (SELECT ('0x' || substr(md5(p), 1, 8))::BIGINT % {C.BUCKETS} AS bucket, sha256(unhex(string_agg(h, '' ORDER BY p))) AS d FROM d GROUP BY bucket)
+SELECT sha256(string_agg(d, '' ORDER BY bucket))[1:16] AS fingerprint FROM b""")
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.col("text").alias("markdown"))
     return C.fingerprint(d)
