@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import retrieval as R
+from tessera.operators import vectors as V
 from tessera.plans.catalogue import query, table
 
 #: The query set of a search: every hundredth row, against all rows.
@@ -46,6 +47,14 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(R.dense_topk(*_vectors(spark, sf_dir), 20), "qid", "chunk_id", "label")
 
 
+@query(_dense_sql())
+def pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``dense_topk`` from inverted cells: exact, and what can't be among the best isn't multiplied."""
+    queries, chunks = _vectors(spark, sf_dir)
+    ranked, _ = V.topk(queries, V.fit(chunks), 20)
+    return _shown(ranked.join(chunks.select("chunk_id", "label"), "chunk_id"), "qid", "chunk_id", "label")
+
+
 @query(_dense_sql(where="label IN (1, 2, 3)"))
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, chunks = _vectors(spark, sf_dir)
