@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import blockmax as B
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
 from tessera.plans.catalogue import query, table
@@ -106,6 +107,20 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(R.bm25_topk(_items(spark, sf_dir), _lexical(spark, sf_dir), 10), "qid", "chunk_id")
 
 
+@query(_lexical_sql())
+def bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bm25_topk`` from postings in blocks with bounds."""
+    ranked, _ = B.topk(_items(spark, sf_dir), B.build(_lexical(spark, sf_dir)), 10)
+    return _shown(ranked, "qid", "chunk_id")
+
+
+@query(f"""WITH {LEXICAL} SELECT qid, sum(df)::BIGINT AS n_postings, true AS within FROM qt JOIN dfs USING (term) GROUP BY qid""")
+def bm25_block_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many postings an item's terms have, and whether no more were read to find its best ten."""
+    _, work = B.topk(_items(spark, sf_dir), B.build(_lexical(spark, sf_dir)), 10)
+    return work.select("qid", "n_postings", (F.col("n_read") <= F.col("n_postings")).alias("within"))
+
+
 @query(_lexical_sql("source IN ('src1', 'src2', 'src3')"))
 def bm25_topk_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _lexical(spark, sf_dir)
