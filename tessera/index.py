@@ -1,13 +1,23 @@
-"""The life of an index: a chunk table with vectors, its manifest, and the lexical tables made from it.
+"""The life of an index, as a log: immutable segments, and snapshots that say which of them count.
 
-Tables are parquet folders, dealt to buckets by a hash of the paper. A change rewrites the buckets of the papers that it
-touches and no others (dynamic partition overwrite), and appears by the commit protocol.
+An add or a removal writes one segment of its own (chunks with vectors, postings, document frequencies, and the papers that
+it touches) and reads nothing that was there before. It appears when the next snapshot is published, a small file that is
+created under its number or not at all; what crashes before that is never seen, and ``vacuum`` deletes it. A reader keeps the
+snapshot that it has read. The latest segment that names a paper holds it; rows of the paper in older ones are left out by an
+anti-join, until ``compact`` writes a run of segments anew without them.
+
+Lexical statistics need no rebuild: sizes are sums over the papers that count, and document frequencies the sums of the
+segments' own, less those of the papers that no longer count, which alone are looked up.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from contextlib import suppress
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,75 +25,133 @@ from tessera.functions import text as T
 from tessera.models import Embedder, embedded
 from tessera.operators import documents as D
 from tessera.operators import retrieval as R
+from tessera.scratch import delete, path_of
 
 MANIFEST = "paper_id string, title string, n_chunks long, tags array<string>"
+PAPERS = f"{MANIFEST}, n_tokens long, removed boolean, segment string"
 CHUNKS = (
     "chunk_id string, text string, body string, paper_id string, paper_title string, section_number string, section_title string, "
     "section_index int, breadcrumb string, part int, n_parts int, approx_tokens int, embedding array<float>"
 )
+POSTINGS = "chunk_id string, dl int, term string, tf long, paper_id string, segment string"
+TERMS = "term string, df long, segment string"
+SCHEMAS = {"chunks": f"{CHUNKS}, segment string", "papers": PAPERS, "postings": POSTINGS, "terms": TERMS}
+
+
+class Conflict(RuntimeError):
+    """Another writer has changed what this one builds on."""
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    version: int
+    segments: tuple[str, ...]
+    properties: dict
 
 
 class Index:
-    """Papers in, chunks out; ``path`` is a folder that driver and executors share."""
+    """Papers in, chunks out; ``path`` is a folder that driver and executors share. ``buckets`` is the number of files that a compaction deals papers to."""
 
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder, buckets: int = 64, reset: bool = False, **chunking):
         self.spark, self.path, self.embedder, self.buckets, self.chunking = spark, path.rstrip("/"), embedder, buckets, chunking
+        self._known: dict[int, DataFrame] = {}
         if reset:
             self.drop()
-        known = self._read("properties", "value string").collect()
-        if not known:
-            value = json.dumps({"embedder": embedder.name, "space": "cosine", "buckets": buckets})
-            spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/properties")
-        else:
-            said = json.loads(known[0]["value"])
-            if said["embedder"] != embedder.name:
-                raise ValueError(f"the index has vectors of {said['embedder']}, not of {embedder.name}: reset it, or use that one")
-            self.buckets = said["buckets"]
-
-    def _read(self, table: str, schema: str, bucket: bool = False) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return self.spark.createDataFrame([], schema + ", bucket int" * bucket)
-        dealt = ", bucket int" if table in ("chunks", "manifest") else ""
-        found = self.spark.read.schema(schema + dealt).parquet(f"{self.path}/{table}")
-        return found if bucket else found.drop("bucket")
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64("paper_id"), F.lit(self.buckets)).cast("int")
-
-    def _replace(self, table: str, schema: str, new: DataFrame | None, papers: DataFrame) -> None:
-        """The table with the papers' rows replaced: only their buckets are read and written; one that ends up empty goes."""
-        papers = papers.select("paper_id").distinct()
-        touched = papers.select(self._bucket().alias("bucket")).distinct()
-        rows = self._read(table, schema, bucket=True).join(R.sized_broadcast(touched), "bucket", "left_semi").join(papers, "paper_id", "left_anti")
-        if new is not None:
-            rows = rows.unionByName(new.withColumn("bucket", self._bucket()))
-        staged = f"{self.path}/staged-{table}"
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(staged)
-        done = self.spark.read.schema(schema + ", bucket int").parquet(staged)
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{table}")
-        for r in touched.join(done.select("bucket").distinct(), "bucket", "left_anti").collect():
-            self._delete(f"{table}/bucket={r['bucket']}")
-        self._delete(f"staged-{table}")
-
-    def _delete(self, what: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if self.version() is None:
+            # Where another writer opens it at the same time, theirs counts.
+            with suppress(Conflict):
+                self._write(Snapshot(0, (), {"embedder": embedder.name, "space": "cosine", "buckets": buckets}))
+        said = self.snapshot().properties
+        if said["embedder"] != embedder.name:
+            raise ValueError(f"the index has vectors of {said['embedder']}, not of {embedder.name}: reset it, or use that one")
+        self.buckets = said["buckets"]
 
-    def drop(self) -> None:
-        for table in ("chunks", "manifest", "properties", "terms", "postings", "corpus"):
-            self._delete(table)
+    # Snapshots.
+
+    def versions(self) -> list[int]:
+        fs, at = path_of(self.spark, f"{self.path}/snapshots")
+        return sorted(int(f.getPath().getName()[:-5]) for f in fs.listStatus(at) if f.getPath().getName().endswith(".json")) if fs.exists(at) else []
+
+    def version(self) -> int | None:
+        return max(self.versions(), default=None)
+
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        """The one of a version, else the latest."""
+        version = self.version() if version is None else version
+        fs, at = path_of(self.spark, f"{self.path}/snapshots/{version:012d}.json")
+        stream = fs.open(at)
+        try:
+            said = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return Snapshot(version, tuple(said["segments"]), said["properties"])
+
+    def _write(self, snapshot: Snapshot) -> None:
+        """Creates the snapshot under its number, whole, unless there is one: then it is a Conflict."""
+        sc = self.spark.sparkContext
+        jvm = sc._jvm
+        fs, draft = path_of(self.spark, f"{self.path}/snapshots/{uuid.uuid4().hex}.draft")
+        out = fs.create(draft, False)
+        out.write(json.dumps({"segments": snapshot.segments, "properties": snapshot.properties}).encode())
+        out.close()
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots/{snapshot.version:012d}.json")
+        try:
+            # A rename that never replaces what is there.
+            files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+            files.rename(fs.makeQualified(draft), fs.makeQualified(at), sc._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0))
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            if fs.exists(at):
+                raise Conflict(f"snapshot {snapshot.version} is another's") from e
+            raise
+
+    def _publish(self, segment: str) -> None:
+        """Appends the segment to whatever is the latest snapshot: what was published in between stays, before it."""
+        while True:
+            last = self.snapshot()
+            try:
+                return self._write(Snapshot(last.version + 1, (*last.segments, segment), last.properties))
+            except Conflict:
+                continue
+
+    # Reading.
+
+    def _read(self, table: str, segments: tuple[str, ...]) -> DataFrame:
+        if not segments:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.path}/segments/{s}/{table}" for s in segments])
+
+    def _log(self, segments: tuple[str, ...]) -> DataFrame:
+        """The segments' papers, each with the place of its segment and that of the latest one that names the paper."""
+        order = self.spark.createDataFrame(list(zip(segments, range(len(segments)))), "segment string, at int")
+        log = self._read("papers", segments).join(F.broadcast(order), "segment")
+        return log.join(log.groupBy("paper_id").agg(F.max("at").alias("latest")), "paper_id")
 
-    def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS)
+    def _dead(self, at: Snapshot) -> DataFrame | None:
+        """(paper_id, segment) whose rows no longer count; None where all do."""
+        if at.version not in self._known:
+            dead = self._log(at.segments).filter("at < latest AND n_chunks > 0").select("paper_id", "segment").distinct()
+            self._known = {at.version: None if len(at.segments) < 2 or dead.isEmpty() else dead}
+        return self._known[at.version]
 
-    def manifest(self) -> DataFrame:
-        return self._read("manifest", MANIFEST)
+    def _live(self, table: str, at: Snapshot) -> DataFrame:
+        rows, dead = self._read(table, at.segments), self._dead(at)
+        return rows if dead is None else rows.join(R.sized_broadcast(dead), ["paper_id", "segment"], "left_anti")
+
+    def _columns(self, schema: str) -> list[str]:
+        return [c.split()[0] for c in schema.split(", ")]
+
+    def chunks(self, version: int | None = None) -> DataFrame:
+        return self._live("chunks", self.snapshot(version)).select(*self._columns(CHUNKS))
+
+    def _papers(self, at: Snapshot) -> DataFrame:
+        return self._log(at.segments).filter("at = latest AND NOT removed")
+
+    def manifest(self, version: int | None = None) -> DataFrame:
+        return self._papers(self.snapshot(version)).select(*self._columns(MANIFEST))
 
     def count(self) -> int:
-        return self.chunks().count()
+        return self._papers(self.snapshot()).agg(F.sum("n_chunks")).first()[0] or 0
 
     def where(self, **equal) -> DataFrame:
         """Chunks of which all the columns have the given values; the conditions reach the scan."""
@@ -98,38 +166,97 @@ class Index:
     def by_ids(self, ids: DataFrame) -> DataFrame:
         return self.chunks().join(R.sized_broadcast(ids.select("chunk_id").distinct()), "chunk_id", "left_semi")
 
+    def lexical(self, k1: float = R.K1, b: float = R.B) -> R.LexicalIndex:
+        """The lexical tables of the latest snapshot, from the segments' own: no text is read."""
+        at = self.snapshot()
+        terms, dead = self._read("terms", at.segments).select("term", "df"), self._dead(at)
+        if dead is not None:
+            gone = self._read("postings", at.segments).join(R.sized_broadcast(dead), ["paper_id", "segment"], "left_semi")
+            terms = terms.unionByName(gone.groupBy("term").agg((-F.count(F.lit(1))).alias("df")))
+        known = terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0").withColumn("tokens", F.lit(None).cast("long"))
+        sizes = self._papers(at).agg(F.sum("n_chunks").alias("df"), F.sum("n_tokens").alias("tokens")).filter("df > 0")
+        vocab = known.unionByName(sizes.select(F.lit(None).cast("string").alias("term"), "df", "tokens"))
+        return R.LexicalIndex(self._live("postings", at).select("chunk_id", "dl", "term", "tf"), R.term_stats(vocab), R.corpus_stats(vocab))
+
+    # Writing.
+
+    def _segment(self, chunks: DataFrame, papers: DataFrame, sorted_by_paper: bool = False) -> str:
+        """Writes a segment, unseen until it is published: chunks once, and the other tables from what was written."""
+        name = uuid.uuid4().hex
+        at = f"{self.path}/segments/{name}"
+        marked = chunks.select(*self._columns(CHUNKS)).withColumn("segment", F.lit(name))
+        if sorted_by_paper:
+            marked = marked.repartition(self.buckets, "paper_id").sortWithinPartitions("paper_id", "section_index", "part")
+        marked.write.parquet(f"{at}/chunks")
+        own = self._read("chunks", (name,))
+        R.postings(own.select("chunk_id", "text")).join(own.select("chunk_id", "paper_id").distinct(), "chunk_id").withColumn("segment", F.lit(name)).select(*self._columns(POSTINGS)).write.parquet(f"{at}/postings")
+        posted = self._read("postings", (name,))
+        posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("segment", F.lit(name)).write.parquet(f"{at}/terms")
+        sizes = own.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.size(R.words(F.col("text")))).alias("n_tokens"))
+        full = papers.join(sizes, "paper_id", "left").withColumn("segment", F.lit(name))
+        none = F.lit(0).cast("long")
+        full.select("paper_id", "title", F.coalesce("n_chunks", none).alias("n_chunks"), "tags", F.coalesce("n_tokens", none).alias("n_tokens"), "removed", "segment").write.parquet(f"{at}/papers")
+        return name
+
     def add(self, pool: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-        """Chunk, embed and store the papers of (paper_id, markdown); what their older chunking left behind goes.
+        """Chunk, embed and store the papers of (paper_id, markdown); what their older chunking left behind no longer counts.
 
         Returns their manifest rows (paper_id, title, n_chunks, tags).
         """
         pool = pool.select(F.col("paper_id").cast("string").alias("paper_id"), F.coalesce("markdown", F.lit("")).alias("markdown"))
-        new = embedded(D.chunks(pool, **self.chunking), self.embedder)
-        columns = self.chunks().schema.names
-        self._replace("chunks", CHUNKS, new.select(*columns), pool)
-        counts = self.chunks().groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-        rows = pool.select("paper_id", T.title(F.col("markdown")).alias("title")).join(counts, "paper_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0).cast("long")))
-        rows = rows.join(tags, "paper_id", "left") if tags is not None else rows.withColumn("tags", F.lit(None).cast("array<string>"))
-        rows = rows.select("paper_id", "title", "n_chunks", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
-        self._replace("manifest", MANIFEST, rows, pool)
-        return self.manifest().join(pool.select("paper_id"), "paper_id", "left_semi")
+        papers = pool.select("paper_id", T.title(F.col("markdown")).alias("title"), F.lit(False).alias("removed"))
+        papers = papers.join(tags, "paper_id", "left") if tags is not None else papers.withColumn("tags", F.lit(None).cast("array<string>"))
+        papers = papers.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+        segment = self._segment(embedded(D.chunks(pool, **self.chunking), self.embedder), papers)
+        self._publish(segment)
+        return self._read("papers", (segment,)).select(*self._columns(MANIFEST))
 
     def remove(self, papers: DataFrame) -> None:
-        """All that the index has of the papers: the chunks first, then the manifest."""
-        self._replace("chunks", CHUNKS, None, papers)
-        self._replace("manifest", MANIFEST, None, papers)
+        """All that the index has of the papers: a segment that only says so."""
+        gone = papers.select(F.col("paper_id").cast("string").alias("paper_id")).distinct()
+        told = gone.select("paper_id", F.lit("").alias("title"), F.lit(True).alias("removed"), F.array().cast("array<string>").alias("tags"))
+        self._publish(self._segment(self.spark.createDataFrame([], CHUNKS), told))
 
-    def lexical(self, k1: float = R.K1, b: float = R.B) -> R.LexicalIndex:
-        """The lexical tables, made anew when the chunk table has another number of rows than they were made from."""
-        built = self._read("corpus", "n_docs long, avgdl double").collect()
-        now = self.count()
-        if (built[0]["n_docs"] if built else 0) != now or not built:
-            made = R.lexical_index(self.chunks())
-            for name in ("postings", "terms", "corpus"):
-                getattr(made, name).write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return R.LexicalIndex(
-            self._read("postings", "chunk_id string, dl int, term string, tf long"), self._read("terms", "term string, df long, idf double"), self._read("corpus", "n_docs long, avgdl double")
-        )
+    def compact(self, last: int | None = None) -> None:
+        """Writes the last so many segments, all by default, as one, without what no longer counts.
+
+        Segments that are published meanwhile stay, after it. A removal is kept where an older segment may hold the paper.
+        """
+        before = self.snapshot()
+        run = before.segments[-last:] if last else before.segments
+        if len(run) < 2:
+            return
+        chunks = self._live("chunks", before).filter(F.col("segment").isin(*run)) if set(run) != set(before.segments) else self._live("chunks", before)
+        log = self._log(before.segments).filter("at = latest").filter(F.col("segment").isin(*run))
+        if run == before.segments:
+            log = log.filter("NOT removed")
+        segment = self._segment(chunks, log.select("paper_id", "title", "removed", "tags"), sorted_by_paper=True)
+        while True:
+            now = self.snapshot()
+            start = next((i for i in range(len(now.segments)) if now.segments[i : i + len(run)] == run), None)
+            if start is None:
+                delete(self.spark, f"{self.path}/segments/{segment}")
+                raise Conflict("another compaction has replaced these segments")
+            merged = (*now.segments[:start], segment, *now.segments[start + len(run) :])
+            with suppress(Conflict):
+                return self._write(Snapshot(now.version + 1, merged, now.properties))
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Deletes all snapshots but the last ``keep``, and the segments that none of these has. Run it while nothing writes."""
+        versions = self.versions()
+        kept = {s for v in versions[-keep:] for s in self.snapshot(v).segments}
+        for v in versions[:-keep]:
+            delete(self.spark, f"{self.path}/snapshots/{v:012d}.json")
+        fs, at = path_of(self.spark, f"{self.path}/segments")
+        gone = [f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName() not in kept] if fs.exists(at) else []
+        for name in gone:
+            delete(self.spark, f"{self.path}/segments/{name}")
+        return gone
+
+    def drop(self) -> None:
+        self._known = {}
+        for table in ("snapshots", "segments"):
+            delete(self.spark, f"{self.path}/{table}")
 
 
 def ingest(index: Index, pool: DataFrame, fail_fast: bool = False) -> DataFrame:
