@@ -38,7 +38,7 @@ FILE_BYTES, SMALL = 128 << 20, 64 << 10
 #: Rows of the table of repeated payloads up to which it is broadcast (about 100 bytes a row); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 HEADER = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
-FOUND = "file string, at long, next long, page_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, right boolean"
+FOUND = "file string, at long, next long, page_id string, record_type string, refers_to string, named_digest string, payload_digest string, payload_bytes long, right boolean"
 
 
 def _repeated(pages: DataFrame) -> DataFrame:
@@ -94,7 +94,8 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, id
 def candidates(data: bytes) -> Iterator[tuple]:
     """Every place with the magic and a complete header: (offset, offset of what would follow, fields...).
 
-    ``right`` says whether the payload has the digest that the header names; chains don't use it.
+    The digest is that of the payload's bytes as they are read (null for revisits, which have none), and ``right`` says
+    whether it is the one that the header names; chains don't use it.
     """
     at = data.find(MAGIC)
     while at >= 0:
@@ -109,8 +110,8 @@ def candidates(data: bytes) -> Iterator[tuple]:
                     page = lambda k: fields.get(k, b"").decode("ascii", "replace") or None
                     named = fields.get(b"warc-payload-digest", b"").decode("ascii", "replace").removeprefix("sha256:")
                     kind = fields.get(b"warc-type", b"").decode("ascii", "replace")
-                    right = kind == "revisit" or hashlib.sha256(data[start:stop]).hexdigest() == named
-                    yield at, stop + 4, page(b"warc-page-id"), kind, page(b"warc-refers-to-page"), named, int(length), right
+                    read = None if kind == "revisit" else hashlib.sha256(data[start:stop]).hexdigest()
+                    yield at, stop + 4, page(b"warc-page-id"), kind, page(b"warc-refers-to-page"), named, read, int(length), read in (None, named)
         at = data.find(MAGIC, at + 1)
 
 
@@ -151,17 +152,23 @@ def reachable(found: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The verified records: page_id, record_type, refers_to, payload_digest, payload_bytes (null for revisits), right."""
+    """The records on the chains: page_id, record_type, refers_to, named_digest, and of responses payload_digest, payload_bytes and right, from the bytes read."""
     found = stored(scan(spark, path), "warc-found")
     return found.join(reachable(found), ["file", "at"], "left_semi").drop("next")
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Revisits with the length of the payload they refer to, found at that response, which must have the same digest."""
-    again = records.filter("record_type = 'revisit'").select("page_id", "refers_to", "payload_digest")
-    first = records.filter("record_type = 'response' AND payload_bytes >= 100").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    looked_up = again.join(first, ["refers_to", "payload_digest"], "left").select("page_id", F.lit("revisit").alias("record_type"), "refers_to", "payload_digest", "payload_bytes")
-    return records.filter("record_type = 'response'").select("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes").unionByName(looked_up)
+    """Revisits with length and digest of the payload they refer to, as read at the response that names the same digest.
+
+    ``right`` is false where the bytes don't have the digest that headers name, and for a revisit whose response isn't there.
+    """
+    again = records.filter("record_type = 'revisit'").select("page_id", "refers_to", "named_digest")
+    first = records.filter("record_type = 'response' AND payload_bytes >= 100").groupBy(F.col("page_id").alias("refers_to"), "named_digest").agg(
+        F.max("payload_bytes").alias("payload_bytes"), F.min("payload_digest").alias("payload_digest"), F.bool_and("right").alias("right")
+    )
+    columns = ("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "right")
+    looked_up = again.join(first, ["refers_to", "named_digest"], "left").withColumns({"record_type": F.lit("revisit"), "right": F.coalesce("right", F.lit(False))})
+    return records.filter("record_type = 'response'").select(*columns).unionByName(looked_up.select(*columns))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
