@@ -41,20 +41,26 @@ PAIR = re.compile(f"[{WHITE}]{{2}}")
 WHITES = re.compile(f"[{WHITE}]+")
 #: Of the pattern's contractions, those that are no piece without their last letter.
 LONG = ("'re", "'ve", "'ll")
-#: Entries of a worker's caches; a full one is emptied.
-CACHE = 600_000
+#: Entries of a worker's caches, and their bytes, roughly; a full one is emptied. Longer pieces, in code points, aren't kept.
+CACHE, CACHE_BYTES, LONGEST = 600_000, 128 << 20, 64
+#: What an entry takes besides its piece and a step for each of the piece's characters.
+ENTRY = 200
 
 
 class _Pieces(dict):
-    """What is known of pieces, found when it is first asked for; emptied when full."""
+    """What is known of pieces, found when it is first asked for; emptied when full. Pieces of unspaced text may be as long as it: they are found anew."""
 
     def __init__(self, find):
-        self.find = find
+        self.find, self.held = find, 0
 
     def __missing__(self, piece: str):
-        if len(self) >= CACHE:
-            self.clear()
-        n = self[piece] = self.find(piece)
+        n = self.find(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= CACHE or self.held >= CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[piece] = n
+            self.held += ENTRY + 5 * len(piece)
         return n
 
 
