@@ -34,6 +34,8 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
 SAMPLE, BUCKETS, FEATURES = 20_000, 1 << 18, 256
 STEPS, MOMENTUM, TOLERANCE = 60, 0.9, 3e-5
+#: Steps after which rates are written, so that no expression nests more of them.
+WRITTEN = 10
 #: Times by which a bucket must be more frequent in a domain than elsewhere; the best ``FEATURES`` of those are taken, at any number of labels.
 RATIO = 4.0
 
@@ -117,9 +119,9 @@ def _adder(d: int):
     return lambda acc, row: acc + row[d]
 
 
-def rate(steps: list[tuple[float, ...]]) -> Column:
+def rate(steps: list[tuple[float, ...]], start: Column | None = None) -> Column:
     """From columns p_<domain>: rates start at 1, and each step subtracts its weights times the posterior, not below 0."""
-    r = F.lit(1.0)
+    r = F.lit(1.0) if start is None else start
     for step in steps:
         r = F.greatest(F.lit(0.0), r - sum((F.col(f"p_{d}") * w for d, w in zip(DOMAINS[1:], step[1:])), F.col(f"p_{DOMAINS[0]}") * step[0]))
     return r
@@ -133,7 +135,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float]) -> list[tuple[float
     residuals; with these weights its steepest curvature is 1, so a step of size 1 never makes the sum larger. A step
     ends where rates are at least 0. Steps carry ``MOMENTUM`` of the one before along, and where that makes the sum
     larger, the step is taken anew without it. What is gathered are a few sums over domains for each step. The fit has
-    converged when a step takes off less than ``TOLERANCE`` of what the sum was at first; else it warns.
+    converged when a step takes off less than ``TOLERANCE`` of what the sum was at first, which it does in the end, as
+    the sum is never below 0; there is no other end to it. After ``STEPS`` it says once that it goes on.
     """
     k, names = len(DOMAINS), [f"p_{d}" for d in DOMAINS]
     curves = [F.sum(F.col("n_tokens") * F.col(a) * F.col(b)).alias(f"h{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)]
@@ -149,25 +152,36 @@ def fit_rates(members: DataFrame, targets: dict[str, float]) -> list[tuple[float
     losses: list[float] = []
     gradient = carried = np.zeros(k)
     plain = True
-    for _ in range(STEPS):
-        sums = [F.sum(F.col("n_tokens") * F.col(p) * F.col("r")).alias(p) for p in names]
-        now = members.select(*names, "n_tokens", rate(steps).alias("r")).agg(*sums).first()
-        gap = np.array([now[p] for p in names]) - goal
-        loss = float(gap @ weights @ gap)
-        if losses and loss > losses[-1] and not plain:
-            steps.pop()
-            step, plain = gradient, True
-        else:
-            if losses and losses[-1] - loss <= TOLERANCE * losses[0] + 1e-12 * total:
-                return steps
-            losses.append(loss)
-            gradient = weights @ gap
-            step, plain = gradient + MOMENTUM * carried, not carried.any()
-        carried = step
-        # Rounded, so that sums in another order give the same steps.
-        steps.append(tuple(float(f"{x:.9g}") for x in step))
-    warnings.warn(f"mixing rates have not converged in {STEPS} steps", stacklevel=2)
-    return steps
+    sums = [F.sum(F.col("n_tokens") * F.col(p) * F.col("r")).alias(p) for p in names]
+    with tidy(members.sparkSession):
+        at, done = members.select(*names, "n_tokens", F.lit(1.0).alias("start")), 0
+        while True:
+            now = at.select(*names, "n_tokens", rate(steps[done:], F.col("start")).alias("r")).agg(*sums).first()
+            gap = np.array([now[p] for p in names]) - goal
+            loss = float(gap @ weights @ gap)
+            if losses and loss > losses[-1] and not plain:
+                steps.pop()
+                step, plain = gradient, True
+            else:
+                if losses and losses[-1] - loss <= TOLERANCE * losses[0] + 1e-12 * total:
+                    return steps
+                losses.append(loss)
+                gradient = weights @ gap
+                step, plain = gradient + MOMENTUM * carried, not carried.any()
+            carried = step
+            # Rounded, so that sums in another order give the same steps.
+            steps.append(tuple(float(f"{x:.9g}") for x in step))
+            if len(steps) - done > WRITTEN:
+                # The last step may still be taken back; those before it stand.
+                at = stored(rated(at, steps[done:-1], names), "mixing-rates")
+                done = len(steps) - 1
+            if len(losses) == STEPS:
+                warnings.warn(f"mixing rates have not converged in {STEPS} steps; the fit goes on", stacklevel=2)
+
+
+def rated(members: DataFrame, steps: list[tuple[float, ...]], names: list[str]) -> DataFrame:
+    """``members`` with the rates that the steps lead to as where the next ones start."""
+    return members.select(*names, "n_tokens", rate(steps, F.col("start")).alias("start"))
 
 
 def with_members(docs: DataFrame, columns: tuple[str, ...], model: Model) -> DataFrame:
@@ -182,7 +196,12 @@ def mix(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_id"
         model = fit(docs, labels)
     members = stored(with_members(docs, columns, model), "mixing-members")
     steps = fit_rates(members, targets)
-    return members.select(*columns, "n_tokens", *[f"p_{d}" for d in DOMAINS], F.round(rate(steps), 6).alias("rate"))
+    # A rate's steps are one expression as long as there are few; more are written in between.
+    start = None
+    while len(steps) > STEPS:
+        members = stored(members.withColumn("__start", rate(steps[:STEPS], start)), "mixing-started")
+        steps, start = steps[STEPS:], F.col("__start")
+    return members.select(*columns, "n_tokens", *[f"p_{d}" for d in DOMAINS], F.round(rate(steps, start), 6).alias("rate"))
 
 
 def expected_totals(mixed: DataFrame) -> DataFrame:
