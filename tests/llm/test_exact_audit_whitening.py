@@ -188,3 +188,55 @@ def test_jacobi_is_accurate_for_graded_columns():
     sigma, v = whitening.jacobi(a)
     assert np.allclose(sigma, np.linalg.svd(a, compute_uv=False), rtol=1e-6) and np.allclose(v.T @ v, np.eye(9), atol=1e-13)
     assert whitening.jacobi(np.zeros((0, 3)))[0].max() == 0
+
+
+def test_a_changed_payload_is_reported(spark, tmp_path):
+    """One byte of an archive's payload is another: its page and the revisits of it have the digest of what was read, and aren't right."""
+    from tessera.llm import warc
+
+    same, other = "kept as it is " * 20, "to be changed " * 20
+    rows = [(1, "u", same), (2, "u", same), (3, "u", other), (4, "u", other), (5, "u", "short")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "a"))
+    for file in (tmp_path / "a").glob("part-*"):
+        data = file.read_bytes()
+        file.write_bytes(data.replace(b"to be changed ", b"to be changeD ", 1))
+    for crc in (tmp_path / "a").glob(".part-*.crc"):
+        crc.unlink()
+    got = {int(r["page_id"]): r for r in warc.resolved(warc.read_archives(spark, str(tmp_path / "a"))).collect()}
+    read = hashlib.sha256(other.replace("changed", "changeD", 1).encode()).hexdigest()
+    assert {i: r["right"] for i, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: True}
+    assert got[3]["payload_digest"] == got[4]["payload_digest"] == read and got[1]["payload_digest"] == hashlib.sha256(same.encode()).hexdigest()
+
+
+def test_caches_are_bounded_by_bytes():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm import token_counts
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, library = token_counts.PrefixCounter(path), Tokenizer.from_file(path)
+    random.seed(8)
+    texts = ["".join(random.choice("abcdefghij") for _ in range(random.choice([40, 70, 400]))) for _ in range(10_000)]
+    assert [counter.count(t) for t in texts[:2000]] == [len(e.ids) for e in library.encode_batch(texts[:2000], add_special_tokens=False)]
+    for t in texts:
+        counter.count(t)
+    assert max(map(len, counter.whole)) <= token_counts.LONGEST and counter.whole.held < token_counts.CACHE_BYTES
+    counter.whole.held = token_counts.CACHE_BYTES
+    counter.count("zq xj")
+    assert len(counter.whole) <= 2 and counter.whole.held < 1000
+
+
+def test_rates_go_on_until_they_have_converged(spark, monkeypatch):
+    """Steps beyond the number that is usual, and rates that are written in between, lead to the same rates as one expression."""
+    from tessera.llm import mixing
+
+    rng = np.random.default_rng(4)
+    rows = [(int(n), *map(float, p)) for n, p in zip(rng.integers(1, 900, 200), rng.dirichlet((6, 1, 0.6), 200))]
+    members = spark.createDataFrame(rows, "n_tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
+    whole = mixing.fit_rates(members, mixing.TARGETS)
+    monkeypatch.setattr(mixing, "WRITTEN", 2)
+    monkeypatch.setattr(mixing, "STEPS", 4)
+    with pytest.warns(UserWarning, match="goes on"):
+        parted = mixing.fit_rates(members, mixing.TARGETS)
+    assert np.allclose(parted, whole, rtol=1e-6, atol=1e-12) and len(parted) > 4
