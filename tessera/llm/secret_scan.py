@@ -37,8 +37,12 @@ SCOPE = 200
 SPANS = "array<struct<start:int,stop:int>>"
 
 
-def find(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Spans of the matches whose group is long enough, from the pieces between matches and the matches."""
+#: Plain strings of which a text has one wherever a kind matches; looking for them is much cheaper than matching.
+HINTS = {kind: (":", "=") for kind in ("assign", "ident", "weak")} | {"access": ("AKIA",), "endpoint": ("://",)}
+
+
+def find(text: Column, pattern: str, group: int, least: int, hints: tuple[str, ...] = ()) -> Column:
+    """Spans of the matches whose group is long enough, from the pieces between matches and the matches; texts without any hint have none."""
 
     def placed(p: Column) -> Column:
         # A match ends where all pieces and matches up to it end.
@@ -51,7 +55,8 @@ def find(text: Column, pattern: str, group: int, least: int) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"),
     )
-    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(F.array().cast(SPANS))
+    hinted = reduce(Column.__or__, [text.contains(h) for h in hints], F.lit(not hints))
+    return F.when(hinted & text.rlike(pattern), let(parts, placed)).otherwise(F.array().cast(SPANS))
 
 
 def _meets(x: Column, spans: Column, scope: int) -> Column:
@@ -87,7 +92,7 @@ def _apart(kind: str) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and, for each kind, the array of its reported spans."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    d = d.select("doc_id", *[find(F.col("t"), *rule).alias(kind) for kind, rule in (STRONG | WEAK).items()])
+    d = d.select("doc_id", *[find(F.col("t"), *rule, HINTS.get(kind, ())).alias(kind) for kind, rule in (STRONG | WEAK).items()])
     d = d.select("doc_id", *STRONG, *[_apart(k).alias(k) for k in WEAK])
     idents, secrets = ("access", "ident"), ("assign", "hex", "weak")
     return d.select("doc_id", *STRONG, _linked("ident", secrets).alias("ident"), _linked("weak", idents).alias("weak"), _linked("endpoint", idents, secrets).alias("endpoint"))
