@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as text functions mean it: ASCII's, the four separators, and Unicode's.
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 STRIP = rf"^[{WHITE}]+|[{WHITE}]+$"
+#: The same one by one: trimming them needs no pattern.
+BLANK = "".join(chr(i) for i in range(0x3001) if re.match(f"[{WHITE}]", chr(i)))
 SENTENCE_END = rf"(?<=[.!?])[{WHITE}]+"
 COMMENT = r"(?s)<!--.*?-->"
+#: An identifier's form, and where a sentence ends (above).
 ARXIV_ID = r"^\d{4}\.\d{4,5}$"
 #: Fixed value: a citation mark, one bracket for one or several refs.
 MARK = r"[\[【](r\d+(?:\s*,\s*r\d+)*)[\]】]"

@@ -27,14 +27,12 @@ PUBLISHERS = ("nvidia",)
 MAX_TOKENS, OVERLAP_TOKENS, MIN_TOKENS, NOISE_RATIO = 512, 64, 24, 0.4
 
 
-#: The characters of ``T.WHITE`` one by one: trimming them needs no pattern.
-BLANK = "".join(chr(i) for i in range(0x3001) if re.match(f"[{T.WHITE}]", chr(i)))
 #: Papers of a fingerprint are dealt to so many.
 BUCKETS = 1024
 
 
 def stripped(x: Column) -> Column:
-    return F.btrim(x, F.lit(BLANK))
+    return F.btrim(x, F.lit(T.BLANK))
 
 
 def numbering(heading: Column) -> tuple[Column, Column]:

@@ -21,7 +21,7 @@ from tessera.operators import chunking as C
 
 #: What ends a line for ``^`` and ``.`` of the column expressions' patterns.
 BREAKS = "\n\r\x85\u2028\u2029"
-SPACES = "".join(chr(i) for i in range(0x3001) if re.match(f"[{T.WHITE}]", chr(i)))
+SPACES = T.BLANK
 HEADING = re.compile(rf"(?:\A|(?<=[{BREAKS}]))(##[ \t]+)")
 COMMENT = re.compile(T.COMMENT)
 WORD = re.compile(f"[^{T.WHITE}]+")

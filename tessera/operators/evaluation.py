@@ -157,3 +157,55 @@ def macro_f1(pairs: DataFrame, labels: tuple[str, ...], by: tuple[str, ...] = ()
     either = F.count_if(F.col("gold") == F.col("label")) + F.count_if(F.col("pred") == F.col("label"))
     f1 = each.groupBy(*by, "label").agg(tp.alias("tp"), either.alias("__either")).withColumn("f1", F.when(F.col("__either") > 0, 2.0 * F.col("tp") / F.col("__either")).otherwise(0.0))
     return f1.groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
+
+
+def label_scores(pairs: DataFrame, labels: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """label, precision, recall, f1 and support of (gold, pred): counts by the nine pairs of labels first, so little is exploded."""
+    counted = pairs.groupBy(*by, "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    each = counted.select(*by, "gold", "pred", "n", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
+    total = lambda when: F.sum(F.when(when, F.col("n")).otherwise(F.lit(0).cast("long")))
+    gold, pred = F.col("gold") == F.col("label"), F.col("pred") == F.col("label")
+    c = each.groupBy(*by, "label").agg(total(gold & pred).alias("tp"), total(gold).alias("support"), total(pred).alias("said"))
+    return c.select(*by, "label", *_prf(F.col("tp"), F.col("support"), F.col("said")), "support")
+
+
+def _prf(tp: Column, support: Column, said: Column) -> tuple[Column, Column, Column]:
+    share = lambda whole: F.when(whole > 0, tp / whole).otherwise(F.lit(0.0))
+    both = support + said
+    return share(said).alias("precision"), share(support).alias("recall"), F.when(both > 0, 2.0 * tp / both).otherwise(F.lit(0.0)).alias("f1")
+
+
+def score_counts(scored: DataFrame, labels: tuple[str, str, str], places: int = 4) -> DataFrame:
+    """score, and for each label the number of pairs of (gold, score) at or below it (le_<label>), under it (lt_<label>) and in all.
+
+    Distinct scores of values from 0 to 1 are at most 10 ** places + 1, whatever the number of pairs: one sort of them gives all sums.
+    """
+    at = [F.count_if(F.col("gold") == x).alias(f"at_{x}") for x in labels]
+    each = scored.filter(F.col("score").isNotNull()).groupBy(F.round("score", places).alias("score")).agg(*at)
+    upto, whole = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
+    sums = [c for x in labels for c in (F.sum(f"at_{x}").over(upto).alias(f"le_{x}"), (F.sum(f"at_{x}").over(upto) - F.col(f"at_{x}")).alias(f"lt_{x}"), F.sum(f"at_{x}").over(whole).alias(f"all_{x}"))]
+    return each.select("score", *sums)
+
+
+def threshold_search(scored: DataFrame, labels: tuple[str, str, str], best: int = 5, places: int = 4) -> DataFrame:
+    """The ``best`` pairs of thresholds by macro F1: rank, cmax, emin, macro_f1, and each label's precision, recall and F1.
+
+    ``labels`` are those of scores up to cmax, between, and from emin on. Every pair cmax < emin of the distinct scores is
+    judged from running sums, not from the scores; ties go to the smaller cmax, then the smaller emin.
+    """
+    low, mid, high = labels
+    counts = score_counts(scored, labels, places)
+    # Bounded by ``places``: at most 10 ** places + 1 rows, also where it is broadcast.
+    c = counts.select(F.col("score").alias("cmax"), *[F.col(f"le_{x}").alias(f"c_{x}") for x in labels])
+    e = counts.select(F.col("score").alias("emin"), *[F.col(f"lt_{x}").alias(f"e_{x}") for x in labels], *[F.col(f"all_{x}") for x in labels])
+    both = c.join(F.broadcast(e), F.col("cmax") < F.col("emin"))
+    said = {
+        low: lambda x: F.col(f"c_{x}"),
+        mid: lambda x: F.col(f"e_{x}") - F.col(f"c_{x}"),
+        high: lambda x: F.col(f"all_{x}") - F.col(f"e_{x}"),
+    }
+    scores = [s.alias(f"{name}_{x}") for x in labels for name, s in zip(("precision", "recall", "f1"), _prf(said[x](x), F.col(f"all_{x}"), sum((said[x](y) for y in labels[1:]), said[x](low))))]
+    judged = both.select("cmax", "emin", *scores).withColumn("macro_f1", sum((F.col(f"f1_{x}") for x in labels[1:]), F.col(f"f1_{low}")) / len(labels))
+    order = [F.round("macro_f1", 9).desc(), F.col("cmax"), F.col("emin")]
+    first = judged.orderBy(*order).limit(best)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "cmax", "emin", "macro_f1", *[f"{m}_{x}" for x in labels for m in ("precision", "recall", "f1")])

@@ -218,3 +218,41 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = F.broadcast(spark.createDataFrame(GRID, "c double, e double"))
     pairs = _scored(spark, sf_dir).join(grid).select("c", "e", "gold", label_of(F.col("score"), F.col("c"), F.col("e")).alias("pred"))
     return E.macro_f1(pairs, LABELS, ("c", "e")).select("c", "e", F.round("macro_f1", 9).alias("macro_f1"))
+
+
+@query(f"""WITH s AS ({SCORED}), p AS (SELECT gold, {LABEL_SQL.format(c=0.05, e=0.3)} AS pred FROM s),
+c AS (SELECT label, count(*) FILTER (WHERE gold = label AND pred = label) AS tp, count(*) FILTER (WHERE gold = label) AS support, count(*) FILTER (WHERE pred = label) AS said
+  FROM p, (VALUES ('contradiction'), ('neutral'), ('entailment')) AS l(label) GROUP BY label)
+SELECT label, round(CASE WHEN said > 0 THEN tp::DOUBLE / said ELSE 0 END, 9) AS precision, round(CASE WHEN support > 0 THEN tp::DOUBLE / support ELSE 0 END, 9) AS recall,
+  round(CASE WHEN said + support > 0 THEN 2.0::DOUBLE * tp / (said + support) ELSE 0 END, 9) AS f1, support FROM c""")
+def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 of each label."""
+    from tessera.functions.text import label_of
+
+    told = E.label_scores(_scored(spark, sf_dir).select("gold", label_of(F.col("score")).alias("pred")), LABELS)
+    return told.select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def _search_sql() -> str:
+    """Every pair of distinct scores, each judged on the counts of all scores."""
+    short = {"contradiction": "a", "neutral": "b", "entailment": "d"}
+    total = ", ".join(f"sum(n) FILTER (WHERE gold = '{x}' AND {w}) AS {p}_{short[x]}" for x in LABELS for p, w in (("c", "score <= cmax"), ("m", "score > cmax AND score < emin"), ("e", "score >= emin")))
+    tp = {"contradiction": "c_a", "neutral": "m_b", "entailment": "e_d"}
+    said = {x: " + ".join(f"coalesce({p}_{s}, 0)" for s in "abd") for x, p in zip(LABELS, "cme")}
+    gold = {x: " + ".join(f"coalesce({p}_{short[x]}, 0)" for p in "cme") for x in LABELS}
+    rows = ", ".join(
+        f"coalesce(coalesce({tp[x]}, 0)::DOUBLE / nullif({said[x]}, 0), 0) AS precision_{x}, coalesce(coalesce({tp[x]}, 0)::DOUBLE / nullif({gold[x]}, 0), 0) AS recall_{x}, "
+        f"coalesce(2.0::DOUBLE * coalesce({tp[x]}, 0) / nullif({said[x]} + {gold[x]}, 0), 0) AS f1_{x}" for x in LABELS
+    )
+    shown = ", ".join(f"round({m}_{x}, 9) AS {m}_{x}" for x in LABELS for m in ("precision", "recall", "f1"))
+    return f"""WITH s AS (SELECT gold, round(score, 2) AS score, count(*) AS n FROM ({SCORED}) GROUP BY ALL), v AS (SELECT DISTINCT score AS v FROM s),
+t AS (SELECT cmax, emin, {total} FROM s, (SELECT x.v AS cmax, y.v AS emin FROM v x JOIN v y ON x.v < y.v) GROUP BY ALL),
+j AS (SELECT cmax, emin, {rows} FROM t), m AS (SELECT *, ({" + ".join(f"f1_{x}" for x in LABELS)}) / 3 AS macro_f1 FROM j)
+SELECT rank, cmax, emin, round(macro_f1, 9) AS macro_f1, {shown} FROM (SELECT *, (row_number() OVER (ORDER BY round(macro_f1, 9) DESC, cmax, emin))::INTEGER AS rank FROM m) WHERE rank <= 5"""
+
+
+@query(_search_sql())
+def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five of all pairs of thresholds, the lower under the upper one, over all distinct scores of two places."""
+    found = E.threshold_search(_scored(spark, sf_dir), LABELS, places=2)
+    return found.select("rank", "cmax", "emin", *[F.round(c, 9).alias(c) for c in found.columns[3:]])

@@ -56,3 +56,31 @@ def test_tags(spark):
     m = spark.createDataFrame([("a", ["moe", "rl"]), ("b", ["moe"])], "paper_id string, tags array<string>")
     assert [tuple(r) for r in L.tag_counts(m).collect()] == [("moe", 2), ("rl", 1)]
     assert [r["tag"] for r in L.discriminating_tags(m).collect()] == ["rl"]
+
+
+def test_threshold_search_is_exhaustive(spark):
+    """Every pair of distinct scores, each judged on all scores in plain Python; ties go to the smaller thresholds."""
+    import random
+
+    labels = ("contradiction", "neutral", "entailment")
+    draw = random.Random(6)
+    rows = [(g, round(min(1.0, max(0.0, draw.gauss(m, 0.2))), 1)) for g, m in zip(labels, (0.2, 0.4, 0.8)) for _ in range(30)] + [("neutral", None)]
+    pairs = [(g, s) for g, s in rows if s is not None]
+
+    def judged(c, e):
+        pred = [labels[0] if s <= c else labels[2] if s >= e else labels[1] for _, s in pairs]
+        out = []
+        for x in labels:
+            tp, said, gold = sum(p == x == g for p, (g, _) in zip(pred, pairs)), pred.count(x), sum(g == x for g, _ in pairs)
+            p, r = tp / said if said else 0.0, tp / gold if gold else 0.0
+            out += [p, r, 2 * p * r / (p + r) if p + r else 0.0]
+        return out
+
+    values = sorted({s for _, s in pairs})
+    every = [(c, e, judged(c, e)) for c in values for e in values if c < e]
+    every.sort(key=lambda x: (-round(sum(x[2][2::3]) / 3, 9), x[0], x[1]))
+    got = E.threshold_search(spark.createDataFrame(rows, "gold string, score double"), labels, best=7).collect()
+    assert [(r["rank"], r["cmax"], r["emin"]) for r in got] == [(k + 1, c, e) for k, (c, e, _) in enumerate(every[:7])]
+    for r, (_, _, want) in zip(got, every):
+        assert all(abs(a - b) < 1e-9 for a, b in zip([*r][4:], want))
+    assert E.threshold_search(spark.createDataFrame([], "gold string, score double"), labels).count() == 0
