@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: The tags that hide a model's thoughts, and what stands in their place.
 OPEN, CLOSE, PLACEHOLDER = "<think>", "</think>", "THINK_TAG"
@@ -109,36 +108,86 @@ class ThinkFilter:
 
 
 VISIBLE = "stream_id long, seq long, text string, thoughts string"
+#: State of a stream: what its filter holds back, and its thoughts, a row for each piece that had any. New fields may only be added at the end.
+HELD, THOUGHT = "held string, inside boolean", "piece string"
+#: The state store that typed state needs.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def visible_text(deltas: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """Streaming: (stream_id, seq, delta, last, ts) to (stream_id, seq, text, thoughts), with a filter's state for each stream.
+class VisibleText(StatefulProcessor):
+    """A filter for each stream. Thoughts are appended piece by piece, so a piece costs its own length, however long they get.
 
-    Pieces of a stream within a micro-batch are taken by seq. ``thoughts`` are those of the whole stream, on its last piece.
-    State goes with the last piece, or when the watermark says that a stream has been idle.
+    Without ``ttl_ms`` a timer in event time ends a stream that has been idle; with it, state expires so long after it was
+    last written, by the clock.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        ttl = {} if self.ttl_ms is None else {"ttlDurationMs": self.ttl_ms}
+        self.filter = handle.getValueState("filter", HELD, **ttl)
+        self.thoughts = handle.getListState("thoughts", THOUGHT, **ttl)
+
+    def _known(self) -> ThinkFilter:
+        return ThinkFilter(*self.filter.get()) if self.filter.exists() else ThinkFilter()
+
+    def _end(self) -> None:
+        self.filter.clear()
+        self.thoughts.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        f, latest = self._known(), 0
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            text = f.feed(r["delta"] or "")
+            latest = max(latest, int(r["ts"].timestamp() * 1000))
+            if not r["last"]:
+                yield Row(stream_id=key[0], seq=r["seq"], text=text, thoughts=None)
+                continue
+            text += f.finish()
+            before = "".join(x[0] for x in self.thoughts.get())
+            yield Row(stream_id=key[0], seq=r["seq"], text=text, thoughts=before + f.thoughts)
+            self._end()
             return
-        f = ThinkFilter(*state.get) if state.exists else ThinkFilter()
-        b = pd.concat(list(batches)).sort_values("seq")
-        ended, rows = False, []
-        for seq, delta, last in zip(b["seq"], b["delta"], b["last"]):
-            text = f.feed(delta or "")
-            if last:
-                text, ended = text + f.finish(), True
-            rows.append((key[0], seq, text, f.thoughts if last else None))
-        yield pd.DataFrame(rows, columns=["stream_id", "seq", "text", "thoughts"])
-        if ended:
-            state.remove()
-        else:
-            state.update((f.held, f.inside, f.thoughts))
-            state.setTimeoutTimestamp(int(b["ts"].max().timestamp() * 1000) + IDLE_MS)
-
-    timed = deltas.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", idle)
-    return timed.groupBy("stream_id").applyInPandasWithState(step, VISIBLE, "held string, inside boolean, thoughts string", "append", GroupStateTimeout.EventTimeTimeout)
+        self.filter.update((f.held, f.inside))
+        if f.thoughts:
+            self.thoughts.appendValue((f.thoughts,))
+        if self.ttl_ms is None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(latest + IDLE_MS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self._end()
+        return iter(())
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        """A stream that began elsewhere: (stream_id, held, inside, thoughts) of its filter."""
+        self.filter.update((initialState["held"] or "", bool(initialState["inside"])))
+        if initialState["thoughts"]:
+            self.thoughts.appendValue((initialState["thoughts"],))
+
+    def close(self) -> None:
+        pass
+
+
+def visible_text(deltas: DataFrame, idle: str = "1 hour", initial: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Streaming: (stream_id, seq, delta, last, ts) to (stream_id, seq, text, thoughts), with a filter's state for each stream.
+
+    Pieces of a stream within a micro-batch are taken by seq. ``thoughts`` are those of the whole stream, on its last piece;
+    what comes after that begins a stream anew. State goes with the last piece, or when the watermark says that a stream
+    has been idle (with ``ttl_ms``: when it has expired). ``initial`` is the state of streams that began elsewhere:
+    (stream_id, held, inside, thoughts). Sets the session's state store to one that holds typed state.
+    """
+    deltas.sparkSession.conf.set(*PROVIDER)
+    timed = deltas.withColumn("ts", F.col("ts").cast("timestamp"))
+    if ttl_ms is None:
+        timed = timed.withWatermark("ts", idle)
+    known = None if initial is None else initial.select("stream_id", "held", "inside", "thoughts").groupBy("stream_id")
+    return timed.groupBy("stream_id").transformWithState(VisibleText(ttl_ms), VISIBLE, "Append", "EventTime" if ttl_ms is None else "ProcessingTime", known)
 
 
 def visible_text_batch(deltas: DataFrame) -> DataFrame:
