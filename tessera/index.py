@@ -38,6 +38,10 @@ TERMS = "term string, df long, segment string"
 SCHEMAS = {"chunks": f"{CHUNKS}, segment string", "papers": PAPERS, "postings": POSTINGS, "terms": TERMS}
 
 
+#: Names of writes that a snapshot remembers, so that none is published twice.
+REMEMBERED = 256
+
+
 class Conflict(RuntimeError):
     """Another writer has changed what this one builds on."""
 
@@ -105,12 +109,19 @@ class Index:
                 raise Conflict(f"snapshot {snapshot.version} is another's") from e
             raise
 
-    def _publish(self, segment: str) -> None:
-        """Appends the segment to whatever is the latest snapshot: what was published in between stays, before it."""
+    def _publish(self, segment: str, once: str | None = None) -> None:
+        """Appends the segment to whatever is the latest snapshot: what was published in between stays, before it.
+
+        A write that is named by ``once`` is published together with its name, and not where the name is there already.
+        """
         while True:
             last = self.snapshot()
+            done = last.properties.get("done", [])
+            if once in done:
+                return
+            named = last.properties if once is None else last.properties | {"done": [*done, once][-REMEMBERED:]}
             try:
-                return self._write(Snapshot(last.version + 1, (*last.segments, segment), last.properties))
+                return self._write(Snapshot(last.version + 1, (*last.segments, segment), named))
             except Conflict:
                 continue
 
@@ -198,17 +209,20 @@ class Index:
         full.select("paper_id", "title", F.coalesce("n_chunks", none).alias("n_chunks"), "tags", F.coalesce("n_tokens", none).alias("n_tokens"), "removed", "segment").write.parquet(f"{at}/papers")
         return name
 
-    def add(self, pool: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    def add(self, pool: DataFrame, tags: DataFrame | None = None, once: str | None = None) -> DataFrame:
         """Chunk, embed and store the papers of (paper_id, markdown); what their older chunking left behind no longer counts.
 
-        Returns their manifest rows (paper_id, title, n_chunks, tags).
+        Returns their manifest rows (paper_id, title, n_chunks, tags). With ``once``, the name of this write, a second call
+        of the same name (after a crash, say) does nothing.
         """
+        if once is not None and once in self.snapshot().properties.get("done", []):
+            return self.manifest().join(pool.select(F.col("paper_id").cast("string").alias("paper_id")), "paper_id", "left_semi")
         pool = pool.select(F.col("paper_id").cast("string").alias("paper_id"), F.coalesce("markdown", F.lit("")).alias("markdown"))
         papers = pool.select("paper_id", T.title(F.col("markdown")).alias("title"), F.lit(False).alias("removed"))
         papers = papers.join(tags, "paper_id", "left") if tags is not None else papers.withColumn("tags", F.lit(None).cast("array<string>"))
         papers = papers.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
         segment = self._segment(embedded(D.chunks(pool, **self.chunking), self.embedder), papers)
-        self._publish(segment)
+        self._publish(segment, once)
         return self._read("papers", (segment,)).select(*self._columns(MANIFEST))
 
     def remove(self, papers: DataFrame) -> None:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import text as X
+
 
 class Embedder(Protocol):
     name: str
@@ -152,3 +154,31 @@ def variants(queries: DataFrame, model: LanguageModel, n: int = 3) -> DataFrame:
             yield pd.DataFrame(rows, columns=["qid", "pos", "text"])
 
     return queries.select("qid", F.col("text")).mapInPandas(run, T.StructType([queries.schema["qid"], T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType())]))
+
+
+TAGS = "paper_id string, tags array<string>"
+
+
+def tagged(pool: DataFrame, model: LanguageModel, known: list[str] | None = None, most: int = 6) -> DataFrame:
+    """(paper_id, tags) of (paper_id, markdown): up to ``most`` kebab-case tags by the model, none where it fails or says no list.
+
+    It reads a paper's title, abstract and headings, and is told the tags that are in use, so that it may choose those.
+    """
+    asked = pool.select(F.col("paper_id").cast("string").alias("paper_id"), X.tagging_excerpt(F.coalesce("markdown", F.lit(""))).alias("text"))
+    system = f"Give at most {most} short topic tags as a JSON array of strings." + (f" Prefer these where they fit: {', '.join(sorted(known))}." if known else "")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for paper, text in zip(b["paper_id"], b["text"]):
+                try:
+                    said = model.complete(system, text, 60 * most)
+                except Exception:
+                    said = ""
+                rows.append((paper, said))
+            yield pd.DataFrame(rows, columns=["paper_id", "said"])
+
+    said = asked.mapInPandas(run, "paper_id string, said string")
+    listed = F.from_json(X.first_json_array(F.col("said")), "array<string>")
+    tags = F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda t: X.kebab(F.coalesce(t, F.lit("")))), lambda t: t != "")
+    return said.select("paper_id", F.slice(F.array_distinct(tags), 1, most).alias("tags"))
