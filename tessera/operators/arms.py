@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking as C
+from tessera.operators import documents as D
 from tessera.operators import evaluation as E
 from tessera.operators import retrieval as R
 
@@ -132,8 +132,26 @@ def elbow_screen(ranked: DataFrame, gold: DataFrame, knobs: list[tuple[str, floa
 
 
 def chunk_cells(pool: DataFrame, cells: dict[str, dict]) -> DataFrame:
-    """The chunk tables of several settings, with an ``arm`` column: each its own index, none sees another's."""
-    return reduce(DataFrame.unionByName, [C.chunks(pool, **knobs).withColumn("arm", F.lit(arm)) for arm, knobs in cells.items()])
+    """The chunk tables of several settings, with an ``arm`` column: each its own index, none sees another's. One parse for all."""
+    return D.cells(pool, cells)
+
+
+def judge_cells(chunks: DataFrame, items: DataFrame, queries: DataFrame, candidates: int = 20, k: int = 10) -> DataFrame:
+    """(arm, qid, cluster, goldable, in_pool, rr) of cells: chunks (arm, chunk_id, paper_id, section_number, section_title, embedding), queries (qid, q).
+
+    Every cell is searched by itself: a query is ranked within (qid, arm), and its gold are that cell's chunks of the section
+    that the item was made from.
+    """
+    arms = chunks.select("arm").distinct()
+    ranked = R.dense_topk(queries, chunks.select("arm", "chunk_id", "embedding"), candidates, ("qid", "arm"), unit=False).select("arm", "qid", "chunk_id", "rank")
+    gold = gold_sections(items, chunks, "arm")
+    hits = ranked.join(gold.distinct(), ["arm", "qid", "chunk_id"], "left_semi").groupBy("arm", "qid").agg(F.min("rank").alias("best"))
+    told = gold.select("arm", "qid").distinct().withColumn("goldable", F.lit(True))
+    every = items.select("qid", F.col("paper_id").alias("cluster")).join(F.broadcast(arms)).join(told, ["arm", "qid"], "left").join(hits, ["arm", "qid"], "left")
+    return every.select(
+        "arm", "qid", "cluster", F.coalesce("goldable", F.lit(False)).alias("goldable"), F.col("best").isNotNull().alias("in_pool"),
+        F.when(F.col("best") <= k, 1.0 / F.col("best")).otherwise(0.0).alias("rr"),
+    )
 
 
 def cell_sizes(chunks: DataFrame, default: str) -> DataFrame:

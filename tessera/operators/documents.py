@@ -110,27 +110,53 @@ class SplitDocument:
         yield from sections(markdown or "")
 
 
-class ChunkDocument:
-    def eval(self, paper_id: str, markdown: str, max_tokens: int, overlap_tokens: int, min_tokens: int, noise_ratio: float, extra_skip: list[str]) -> Iterator[tuple]:
-        skip = _skip(tuple(extra_skip or ()))
-        for index, _, number, title, body, _, crumb, paper_title in sections(markdown or ""):
-            if not body or n_tokens(body) < min_tokens or any(p.search(title) for p in skip) or (number is None and is_noise(body, noise_ratio)):
+class _Parsed:
+    """A document's sections, their blocks and what is noise, each found once for any number of settings."""
+
+    def __init__(self, markdown: str):
+        self.sections = [(s, n_tokens(s[4])) for s in sections(markdown) if s[4]]
+        self.blocks: dict[int, list[str]] = {}
+
+    def chunks(self, paper_id: str, max_tokens: int, overlap_tokens: int, min_tokens: int, noise_ratio: float, extra_skip: tuple[str, ...]) -> Iterator[tuple]:
+        """Rows of CHUNK."""
+        skip = _skip(extra_skip)
+        for (index, _, number, title, body, _, crumb, paper_title), size in self.sections:
+            if size < min_tokens or any(p.search(title) for p in skip) or (number is None and is_noise(body, noise_ratio)):
                 continue
-            subs = packed(blocks(body), max_tokens, overlap_tokens)
+            if index not in self.blocks:
+                self.blocks[index] = blocks(body)
+            subs = packed(self.blocks[index], max_tokens, overlap_tokens)
             for part, sub in enumerate(subs):
                 text = f"{crumb}\n\n{sub}"
                 key = "|".join([*([] if paper_id is None else [paper_id]), str(index), number or "", title, str(part)])
                 yield hashlib.md5(key.encode()).hexdigest(), text, sub, paper_title, number or "", title, index, crumb, part, len(subs), n_tokens(text)
 
 
+class ChunkDocument:
+    def eval(self, paper_id: str, markdown: str, max_tokens: int, overlap_tokens: int, min_tokens: int, noise_ratio: float, extra_skip: list[str]) -> Iterator[tuple]:
+        yield from _Parsed(markdown or "").chunks(paper_id, max_tokens, overlap_tokens, min_tokens, noise_ratio, tuple(extra_skip or ()))
+
+
+class ChunkCells:
+    """The chunks of a document under several settings, from one parse of it; ``cells`` are structs of CELL."""
+
+    def eval(self, paper_id: str, markdown: str, cells: list) -> Iterator[tuple]:
+        parsed = _Parsed(markdown or "")
+        for arm, max_tokens, overlap_tokens, min_tokens, noise_ratio, extra_skip in cells:
+            for row in parsed.chunks(paper_id, max_tokens, overlap_tokens, min_tokens, noise_ratio, tuple(extra_skip or ())):
+                yield arm, *row
+
+
 split_document = F.udtf(SplitDocument, returnType=SECTION)
 chunk_document = F.udtf(ChunkDocument, returnType=CHUNK)
+chunk_cells = F.udtf(ChunkCells, returnType=f"arm string, {CHUNK}")
 
 
 def register(spark: SparkSession) -> None:
     """``split_document`` and ``chunk_document`` in SQL: ``SELECT c.* FROM pool, LATERAL chunk_document(paper_id, markdown, 512, 64, 24, 0.4D, array()) c``."""
     spark.udtf.register("split_document", split_document)
     spark.udtf.register("chunk_document", chunk_document)
+    spark.udtf.register("chunk_cells", chunk_cells)
 
 
 def _beside(pool: DataFrame, columns: list[str], called) -> DataFrame:
@@ -154,3 +180,14 @@ def chunks(
     called = chunk_document(F.col("__key").outer(), F.col("markdown").outer(), *settings)
     names = [c.split()[0] for c in CHUNK.split(", ")]
     return _beside(p, [*names[:3], "paper_id", *names[3:]], called)
+
+
+def cells(pool: DataFrame, settings: dict[str, dict]) -> DataFrame:
+    """The chunk tables of several settings (arguments of ``chunks``), with an ``arm`` column: a document is read and parsed once for all of them."""
+    extra = lambda k: F.array(*[F.lit(x) for x in k.get("extra_skip", ())]).cast("array<string>")
+    default = {"max_tokens": C.MAX_TOKENS, "overlap_tokens": C.OVERLAP_TOKENS, "min_tokens": C.MIN_TOKENS}
+    cell = lambda arm, k: F.struct(F.lit(arm).alias("arm"), *[F.lit(k.get(n, v)).alias(n) for n, v in default.items()], F.lit(float(k.get("noise_ratio", C.NOISE_RATIO))).alias("noise_ratio"), extra(k).alias("extra_skip"))
+    p = pool.select("paper_id", "markdown", F.col("paper_id").cast("string").alias("__key"))
+    called = chunk_cells(F.col("__key").outer(), F.col("markdown").outer(), F.array(*[cell(arm, k) for arm, k in settings.items()]))
+    names = [c.split()[0] for c in CHUNK.split(", ")]
+    return _beside(p, [*names[:3], "paper_id", *names[3:], "arm"], called)

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import models as M
+from tessera.functions import text as T
 from tessera.operators import arms as A
+from tessera.operators import chunking as C
+from tessera.operators import evaluation as E
 from tessera.operators import retrieval as R
 from tessera.plans.catalogue import query, table
+from tessera.plans.chunks import SECTIONS, WHITE, packed_sql, pool
+from tessera.plans.engine import DIMS, VECTORS
 from tessera.plans.evaluation import DENSE, DEPTH, LEX, K, _dense, _gold, _relevant
 from tessera.plans.retrieval import CANDIDATES, DOT, HYBRID, WORDS, _hybrid, _items, _lexical, _rankings, _vectors, elbow_ctes
 
@@ -127,14 +133,55 @@ def screen_comparative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.comparative_scores(pools, _gold(spark, sf_dir).withColumnRenamed("source", "paper_id"), arms, K)
 
 
-@query()
+CELLS = {"default": {}, "max_tokens=120": {"max_tokens": 120}, "overlap_tokens=0": {"overlap_tokens": 0}, "min_tokens=60": {"min_tokens": 60}}
+
+
+def _cell_sql(arm: str, max_tokens: int = C.MAX_TOKENS, overlap_tokens: int = C.OVERLAP_TOKENS, min_tokens: int = C.MIN_TOKENS, columns: str = "paper_id, number, title, chunk_id, text") -> str:
+    return f"SELECT '{arm}' AS arm, {columns} FROM ({packed_sql(max_tokens, overlap_tokens, min_tokens)} SELECT * FROM written)"
+
+
+CELL_CHUNKS = " UNION ALL ".join(_cell_sql(arm, **knobs) for arm, knobs in CELLS.items())
+
+
+@query(f"""WITH c AS ({CELL_CHUNKS}), n AS (SELECT arm, count(*) AS n_chunks, count(DISTINCT chunk_id) AS n_ids FROM c GROUP BY arm)
+SELECT arm, n_chunks, n_chunks - (SELECT n_chunks FROM n WHERE arm = 'default') AS change, n_chunks - n_ids AS collisions FROM n""")
 def screen_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: the number of chunks of each cell and its change; packing is a fold, which a test holds against a plain version."""
-    from tessera.plans.chunks import pool
+    """The number of chunks of each cell, its change, and chunks whose id another one has."""
+    papers = pool(spark, sf_dir).select(F.col("paper_id").cast("string").alias("paper_id"), "markdown")
+    return A.cell_sizes(A.chunk_cells(papers, CELLS).select("arm", "chunk_id"), "default")
+
+
+#: Items of the judged cells: the second section of every hundredth paper, asked for by its body's first twelve words.
+CELL_ITEMS = f"""items AS (
+  SELECT paper_id AS id, paper_id::VARCHAR AS paper_id, coalesce(number, '') AS number, title, array_to_string(list_filter(string_split_regex(body, '{WHITE}+'), lambda w: w <> '')[1:12], ' ') AS text
+  FROM (WITH {SECTIONS} SELECT * FROM sections) WHERE section_index = 1 AND paper_id % 100 = 0)"""
+
+
+def _judged_sql() -> str:
+    chunk = f"c AS ({CELL_CHUNKS}), docs AS (SELECT row_number() OVER (ORDER BY arm, chunk_id) AS id, * FROM c)"
+    return f"""WITH {CELL_ITEMS}, {chunk}, dv AS ({VECTORS.replace("<table>", "docs")}), iv AS ({VECTORS.replace("<table>", "items")}),
+dn AS (SELECT id, sum(n * n) AS s FROM dv GROUP BY id), qn AS (SELECT id, sum(n * n) AS s FROM iv GROUP BY id),
+x AS (SELECT iv.id AS qid, dv.id AS did, sum(iv.n * dv.n) AS s FROM iv JOIN dv USING (d) GROUP BY ALL),
+r AS (SELECT qid, arm, chunk_id, row_number() OVER (PARTITION BY qid, arm ORDER BY round(x.s::DOUBLE / sqrt((qn.s * dn.s)::DOUBLE), 9) DESC, chunk_id) AS rank FROM x JOIN qn ON qn.id = qid JOIN dn ON dn.id = did JOIN docs ON docs.id = did),
+g AS (SELECT items.id AS qid, arm, chunk_id FROM items JOIN docs ON docs.paper_id::VARCHAR = items.paper_id AND coalesce(docs.number, '') = items.number AND docs.title = items.title),
+b AS (SELECT g.qid, g.arm, min(rank) FILTER (WHERE rank <= 20) AS best FROM g LEFT JOIN r USING (qid, arm, chunk_id) GROUP BY ALL),
+e AS (SELECT items.id AS qid, a.arm, b.qid IS NOT NULL AS goldable, best FROM items CROSS JOIN (SELECT DISTINCT arm FROM c) a LEFT JOIN b ON b.qid = items.id AND b.arm = a.arm)
+SELECT arm, round(coalesce(avg((best IS NOT NULL)::INTEGER) FILTER (WHERE goldable), 0), 9) AS success,
+  round(coalesce(avg(CASE WHEN best <= 10 THEN 1.0::DOUBLE / best ELSE 0 END) FILTER (WHERE goldable AND best IS NOT NULL), 0), 9) AS mrr,
+  count(*) FILTER (WHERE goldable AND best IS NOT NULL) AS n_conditioned, count(*) FILTER (WHERE NOT goldable) AS n_ungoldable FROM e GROUP BY arm"""
+
 
-    cells = {"default": {}, "max_tokens=120": {"max_tokens": 120}, "overlap_tokens=0": {"overlap_tokens": 0}, "min_tokens=60": {"min_tokens": 60}}
+@query(_judged_sql())
+def judge_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Success and reciprocal ranks of each cell, every cell an index of its own, from one parse of the papers."""
     papers = pool(spark, sf_dir).select(F.col("paper_id").cast("string").alias("paper_id"), "markdown")
-    return A.cell_sizes(A.chunk_cells(papers, cells).select("arm", "chunk_id"), "default")
+    embedder = M.HashingEmbedder(DIMS)
+    second = C.split_sections(pool(spark, sf_dir).filter("paper_id % 100 = 0")).filter("section_index = 1")
+    twelve = F.array_join(F.slice(F.filter(F.split("body", f"[{T.WHITE}]+"), lambda w: w != ""), 1, 12), " ")
+    items = second.select(F.col("paper_id").alias("qid"), F.col("paper_id").cast("string").alias("paper_id"), F.coalesce("number", F.lit("")).alias("section_number"), F.col("title").alias("section_title"), twelve.alias("text"))
+    chunks = M.embedded(A.chunk_cells(papers, CELLS).select("arm", "chunk_id", "paper_id", "section_number", "section_title", "text"), embedder)
+    judged = E.summary(A.judge_cells(chunks, items, M.query_vectors(items, embedder)), ("arm",))
+    return judged.select("arm", F.round("success", 9).alias("success"), F.round("mrr", 9).alias("mrr"), "n_conditioned", "n_ungoldable")
 
 
 @query("""WITH p AS (SELECT o_custkey % 200 AS item_id, 'p' || (o_orderkey % 12) AS a FROM orders GROUP BY ALL), g AS (SELECT item_id, count(*) AS n FROM p GROUP BY item_id)

@@ -97,7 +97,9 @@ def caption_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: CTEs up to packed(paper_id, section_index, a, b, part, n_parts): blocks a to b of every chunk. Blocks are cut where lines
 #: that aren't blank meet, and a recursion over the blocks of a section keeps where the open chunk starts.
-PACKED = rf"""WITH RECURSIVE {KEPT}, {CRUMBS},
+def packed_sql(most: int, overlap: int, least: int = C.MIN_TOKENS) -> str:
+    kept = KEPT.replace(f"n >= {C.MIN_TOKENS} ", f"n >= {least} ")
+    return rf"""WITH RECURSIVE {kept}, {CRUMBS},
 said_lines AS (SELECT paper_id, section_index, u.i AS i, ls[u.i] AS line FROM (SELECT paper_id, section_index, string_split(body, chr(10)) AS ls FROM kept), unnest(range(1, len(ls) + 1)) AS u(i)),
 marked AS (
   SELECT *, regexp_matches(line, '{C.TABLE_ROW}') AS is_row, lag(i) OVER w AS i0, lag(regexp_matches(line, '{C.TABLE_ROW}')) OVER w AS row0
@@ -111,8 +113,8 @@ packs AS (
 fold AS (
   SELECT paper_id, section_index, s, 0 AS i, 0 AS a, NULL::INTEGER AS done FROM packs
   UNION ALL
-  SELECT paper_id, section_index, s, i + 1, CASE WHEN full_ THEN i - len(list_filter(s[a + 1:i], lambda x: s[i + 1] - x <= {OVERLAP}))::INTEGER ELSE a END, CASE WHEN full_ THEN a END
-  FROM (SELECT *, a < i AND s[i + 2] - s[a + 1] > {MOST} AS full_ FROM fold WHERE i < len(s) - 1)),
+  SELECT paper_id, section_index, s, i + 1, CASE WHEN full_ THEN i - len(list_filter(s[a + 1:i], lambda x: s[i + 1] - x <= {overlap}))::INTEGER ELSE a END, CASE WHEN full_ THEN a END
+  FROM (SELECT *, a < i AND s[i + 2] - s[a + 1] > {most} AS full_ FROM fold WHERE i < len(s) - 1)),
 ranges AS (
   SELECT paper_id, section_index, done AS a, i - 1 AS b FROM fold WHERE done IS NOT NULL
   UNION ALL SELECT paper_id, section_index, a, i FROM fold WHERE i = len(s) - 1),
@@ -123,6 +125,9 @@ told AS (
 written AS (SELECT *, breadcrumb || chr(10) || chr(10) || body AS text, md5(concat_ws('|', paper_id, section_index, coalesce(number, ''), title, part)) AS chunk_id FROM told)"""
 
 
+PACKED = packed_sql(MOST, OVERLAP)
+
+
 @query(f"{PACKED} SELECT paper_id, section_index, part, chunk_id FROM written")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity of every part that the packer makes, by the column expression."""

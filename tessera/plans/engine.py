@@ -10,7 +10,7 @@ from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.plans.catalogue import query, table
 from tessera.plans.chunks import WHITE
-from tessera.plans.retrieval import WORDS, elbow_ctes
+from tessera.plans.retrieval import HYBRID, WORDS, _rankings, elbow_ctes
 from tessera.search import Searcher
 
 DIMS = 32
@@ -125,19 +125,14 @@ def rerank_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scores_by_index(docs, results).select("qid", "index", "l_partkey", "score")
 
 
-@query("""WITH f AS (SELECT vec_id AS qid, label FROM embeddings WHERE vec_id % 100 = 0), d AS (
-  SELECT a.vec_id AS qid, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
-s AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY (chunk_id * 7919 + qid) % 1009, chunk_id) AS rank FROM (SELECT DISTINCT a.vec_id AS qid, b.vec_id AS chunk_id FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)),
-l AS (SELECT qid, 0 AS list_no, chunk_id, rank FROM d WHERE rank <= 30 UNION ALL SELECT qid, 1, chunk_id, rank FROM s WHERE rank <= 30 UNION ALL SELECT qid, 2, chunk_id, 31 - rank FROM d WHERE rank <= 30),
+@query(f"""WITH {HYBRID}, l AS (
+  SELECT qid, list_no, chunk_id, rank FROM rankings WHERE rank <= 30 UNION ALL SELECT qid, 2, chunk_id, 31 - rank FROM rankings WHERE list_no = 0 AND rank <= 30),
 x AS (SELECT qid, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min((list_no, rank)) AS seen FROM l GROUP BY ALL)
 SELECT qid, chunk_id, rank FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, seen) AS rank FROM x) WHERE rank <= 10""")
 def multi_query_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense list, a lexical one between (a hash stands for it), and a variant's: the snapshot's arm with all of them."""
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    chunks = e.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    dense = R.dense_topk(queries, chunks, 30).select("qid", "chunk_id", "rank")
-    hashed = chunks.select("chunk_id").join(F.broadcast(queries.select("qid"))).withColumn("score", -((F.col("chunk_id") * 7919 + F.col("qid")) % 1009).cast("double"))
+    """A dense list, the lexical one, and a variant's (the dense one turned round): the snapshot's arm with all of them."""
+    lists = _rankings(spark, sf_dir).filter("rank <= 30")
+    dense, sparse = (lists.filter(F.col("list_no") == i).select("qid", "chunk_id", "rank") for i in range(2))
     variant = dense.select("qid", F.lit(0).alias("list_no"), F.lit("dense").alias("source"), "chunk_id", (31 - F.col("rank")).alias("rank"))
-    lists = R.snapshot(dense, R.top(hashed, 30).select("qid", "chunk_id", "rank"), variant)
+    lists = R.snapshot(dense, sparse, variant)
     return R.arm_pool(lists, 10, sparse=True, variants=True).select("qid", "chunk_id", F.col("rank").cast("long").alias("rank"))

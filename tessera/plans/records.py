@@ -22,12 +22,12 @@ def recent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.sessions(turns)
 
 
-@query("""WITH n AS (SELECT conv_id AS chat_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn >= 4), l AS (SELECT conv_id AS chat_id, max(turn) AS last FROM conversations WHERE turn < 2 GROUP BY 1)
+@query("""WITH n AS (SELECT conv_id AS chat_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn >= 2), l AS (SELECT conv_id AS chat_id, max(turn) AS last FROM conversations WHERE turn < 2 GROUP BY 1)
 SELECT conv_id AS chat_id, turn, text FROM conversations WHERE turn < 2 UNION ALL SELECT chat_id, coalesce(last, -1) + k, text FROM n LEFT JOIN l USING (chat_id)""")
 def append_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     old = c.filter("turn < 2").select(F.col("conv_id").alias("chat_id"), F.col("turn").cast("long").alias("turn"), "text")
-    new = c.filter("turn >= 4").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("seq"), "text")
+    new = c.filter("turn >= 2").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("seq"), "text")
     return L.append_turns(old, new)
 
 
@@ -67,10 +67,10 @@ def match_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.valid_groups(groups, sections)
 
 
-@query("""WITH c AS (SELECT event_id AS pos, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'p' || event_id % 30 END AS paper_id, 'https://x/' || event_id % 13 AS url, 'r' || event_id AS ref FROM events WHERE event_id < 400)
+@query("""WITH c AS (SELECT event_id AS pos, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'p' || event_id % 30 END AS paper_id, 'https://x/' || event_id % 13 AS url, 'r' || event_id AS ref FROM events)
 SELECT CASE WHEN paper_id IS NULL THEN 'web' ELSE 'paper' END AS kind, coalesce(paper_id, url) AS source, min(pos) AS pos, string_agg(ref, ',' ORDER BY pos) AS refs FROM c GROUP BY ALL""")
 def grouped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id < 400")
+    e = table(spark, sf_dir, "events")
     c = e.select(F.col("event_id").alias("pos"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("p"), F.col("event_id") % 30)).alias("paper_id"), F.concat(F.lit("https://x/"), F.col("event_id") % 13).alias("url"), F.concat(F.lit("r"), F.col("event_id")).alias("ref"))
     return L.grouped_sources(c)
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera import models as M
 from tessera.index import Index
+from tessera.progress import Counted, Hook
 from tessera.scratch import exists
 
 STAGES = "paper_id string, stage string, digest string, done boolean, error string"
@@ -26,10 +27,13 @@ LANDED = "path string, modificationTime timestamp, length long, content binary"
 
 
 class Ingestion:
-    """``extract`` takes (paper_id, content) and gives (paper_id, markdown, error) with one of the two null, a row for each paper."""
+    """``extract`` takes (paper_id, content) and gives (paper_id, markdown, error) with one of the two null, a row for each paper.
 
-    def __init__(self, index: Index, path: str, extract: Callable[[DataFrame], DataFrame], tagger: M.LanguageModel | None = None, name: str = "ingestion"):
-        self.index, self.path, self.extract, self.tagger, self.name = index, path.rstrip("/"), extract, tagger, name
+    ``hook`` hears of each stage of each batch how many papers have been through it.
+    """
+
+    def __init__(self, index: Index, path: str, extract: Callable[[DataFrame], DataFrame], tagger: M.LanguageModel | None = None, name: str = "ingestion", hook: Hook | None = None):
+        self.index, self.path, self.extract, self.tagger, self.name, self.hook = index, path.rstrip("/"), extract, tagger, name, hook
         self.spark: SparkSession = index.spark
 
     def _table(self, name: str, schema: str) -> DataFrame:
@@ -56,7 +60,8 @@ class Ingestion:
         return self._missing(rows.select("paper_id", "digest", "markdown").join(last, ["paper_id", "digest"], "left_semi"), "index").dropDuplicates(["paper_id", "digest"])
 
     def _commit(self, rows: DataFrame, stage: str, batch: str, part: str | None = None) -> None:
-        self._write(rows.select("paper_id", F.lit(stage).alias("stage"), "digest", F.col("error").isNull().alias("done"), "error"), "stages", batch, part or stage)
+        told = rows.select("paper_id", F.lit(stage).alias("stage"), "digest", F.col("error").isNull().alias("done"), "error")
+        Counted(stage, self.hook).write(told, lambda df: self._write(df, "stages", batch, part or stage))
 
     def batch(self, landed: DataFrame, number: int | str) -> None:
         """One micro-batch of (paper_id, content): extraction of what is new, then tags and index of what was extracted in it."""

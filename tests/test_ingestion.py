@@ -66,7 +66,7 @@ def made(spark, tmp_path):
     (tmp_path / "marker").touch()
     read = Reading(tmp_path / "log")
     index = Index(spark, str(tmp_path / "index"), Refusing(tmp_path / "marker"), buckets=2)
-    return tmp_path, read, index, lambda: Ingestion(index, str(tmp_path / "state"), read, Tagger())
+    return tmp_path, read, index, lambda **more: Ingestion(index, str(tmp_path / "state"), read, Tagger(), **more)
 
 
 def put(tmp_path, **papers):
@@ -117,8 +117,9 @@ def test_a_crash_before_a_stage_is_noted(spark, made, monkeypatch, lost):
 def test_changed_content_replaces_a_paper(spark, made):
     tmp_path, read, index, ingestion = made
     put(tmp_path, a=paper("tide"))
-    ingestion().run(str(tmp_path / "in"))
-    (tmp_path / "in2").mkdir()
+    said = []
+    ingestion(hook=lambda *x: said.append(x[:2])).run(str(tmp_path / "in"))
+    assert said == [("extract", 1), ("tag", 1), ("index", 1)]
     (tmp_path / "in" / "sub").mkdir()
     (tmp_path / "in" / "sub" / "a.md").write_text(paper("tide", 1))
     before = index.count()
