@@ -10,6 +10,7 @@ from tessera.operators import chunking as C
 from tessera.operators import exports as X
 from tessera.operators import library as L
 from tessera.plans.catalogue import query, table
+from tessera.sources import records as V
 from tessera.plans.chunks import SECTIONS, pool
 from tessera.plans.texts import SENTENCES
 
@@ -180,3 +181,22 @@ def conversation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("long").alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"), F.lit(1500).cast("long").alias("latency_ms"), F.lit(None).cast("string").alias("vote"), F.lit(None).cast("string").alias("note"),
     )
     return X.conversations(turns)
+
+
+@query("""WITH n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE turn % 3 = 2) AS odd, max(text) FILTER (WHERE turn = 0) AS name FROM conversations GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS chat_id, CASE WHEN conv_id % 7 <> 3 THEN n END AS n_turns, CASE WHEN conv_id % 7 <> 3 THEN n - odd END AS n_answers,
+  CASE WHEN conv_id % 7 <> 3 THEN coalesce(nullif(left(name, 40), ''), 'New chat') END AS name, CASE WHEN conv_id % 7 = 3 THEN 'no record' END AS error FROM n""")
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats as JSON records, some of them cut off, read by paths: answers of another type in every third turn, and bad records beside good ones."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.when(F.col("turn") % 3 == 2, F.to_json(F.struct(F.array(F.lit(1)).alias("answer"), "turn"))).otherwise(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("answer"), "turn")))
+    chats = c.select("conv_id", "turn", "text", said.alias("said")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "said"))).alias("x"), F.max(F.when(F.col("turn") == 0, F.substring("text", 1, 40))).alias("name"))
+    head = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.coalesce("name", F.lit("")).alias("name")))
+    whole = F.concat(F.rtrim(head, F.lit("}")), F.lit(', "turns": ['), F.array_join(F.transform("x", lambda e: e["said"]), ","), F.lit("]}"))
+    texts = chats.select(F.col("conv_id").cast("string").alias("file"), F.lit(0).alias("pos"), F.when(F.col("conv_id") % 7 == 3, F.substring(whole, F.lit(1), F.char_length(whole) - 1)).otherwise(whole).alias("text"))
+    rows = V.parsed(texts)
+    turns = V.turns(rows).groupBy("chat_id").agg(F.count_if(~V.field(F.col("record"), "$.answer", "array<variant>").isNotNull()).alias("n_answers"))
+    good = V.sessions(rows).select(F.col("id").alias("chat_id"), F.col("n_turns").cast("long").alias("n_turns"), "name").join(turns, "chat_id").withColumn("error", F.lit(None).cast("string"))
+    none = lambda kind: F.lit(None).cast(kind)
+    bad = V.refused(rows).select(F.col("file").alias("chat_id"), none("long").alias("n_turns"), none("string").alias("name"), none("long").alias("n_answers"), "error")
+    return good.unionByName(bad).select("chat_id", "n_turns", "n_answers", "name", "error")
