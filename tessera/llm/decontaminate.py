@@ -9,7 +9,9 @@ words, of which it must have one, then as a whole, then passage by passage. Cand
 then read word by word: the longest common subsequence with the item, and its rarest terms (its answer, where the
 benchmark has such a column), must be there, so reworded copies are found and shared topics are not. Of passages that
 share as much with an item, the one with the best cosine of the projections stands for the leak; no passage is
-dropped for its cosine.
+dropped for its cosine. Latent search adds to these: a passage that is as near to an item as ``COSINE`` and has its rarest
+terms (or its answer) is read too, whatever words it lacks, and leaks with a smaller share in order, so that an item with
+its clauses moved or half of its words changed is found.
 
 A block has at most ``TERMS`` different terms, or a single item; its vocabulary and vectors are what is broadcast.
 Statistics, singular vectors and search cover all passages of all documents, whole.
@@ -42,6 +44,8 @@ SLICE, LONG, BROADCAST_ROWS = 256 << 10, 4 << 20, 300_000
 TERMS, LEAST = 200_000, 5
 #: Leaks: share of the item's words in order, and share of its rarest terms or of its answer.
 COMMON, RAREST, ANSWER = 0.6, 8, 0.5
+#: Latent candidates: the least cosine of a passage, and the least share in order of one that is so near.
+COSINE, REWORDED = 0.35, 0.3
 WORD = re.compile(r"\w+")
 
 
@@ -58,23 +62,33 @@ class Index:
     parts: list[tuple]  # (item number, word ids, unit projection, distinct ids of words and answer, how often the words have each, 1 for those of the answer)
 
     asked: tuple[np.ndarray, np.ndarray]  # for each term, where its parts begin and the parts that are asked for by it
+    telling: tuple[np.ndarray, np.ndarray]  # the same of the terms that a part is told by
 
     def possible(self, ids: np.ndarray) -> np.ndarray:
-        """Parts of which a text holds enough words, in any order, to have them in order: a bound that loses nothing."""
+        """Parts that a text may leak: it has enough of their words, in any order, to have them in order, or enough of the terms they are told by.
+
+        These are bounds that lose nothing.
+        """
         there = np.zeros(len(self.vocabulary) + 1, bool)
         there[ids] = True
         there[-1] = False
-        begin, parts = self.asked
         terms = np.flatnonzero(there)
-        n = begin[terms + 1] - begin[terms]
-        at = np.repeat(begin[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        good = []
-        for k in np.unique(parts[at]).tolist():
+
+        def met(lists: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+            begin, parts = lists
+            n = begin[terms + 1] - begin[terms]
+            return parts[np.repeat(begin[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+        good = set()
+        for k in np.unique(met(self.asked)).tolist():
             _, item, _, own, often, told = self.parts[k]
             have = there[own]
             if often @ have >= (COMMON if len(item) >= LEAST else 1.0) * len(item) - 1e-9 and told @ have >= ANSWER * told.sum():
-                good.append(k)
-        return np.array(good, np.int64)
+                good.add(k)
+        for k, n in zip(*np.unique(met(self.telling), return_counts=True)):
+            if len(self.parts[k][1]) >= LEAST and n >= ANSWER * self.parts[k][5].sum():
+                good.add(int(k))
+        return np.array(sorted(good), np.int64)
 
 
 def _asked(parts: list[tuple], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +100,16 @@ def _asked(parts: list[tuple], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         left = len(item) - np.cumsum(often[often > 0][rare])
         least = COMMON if len(item) >= LEAST else 1.0
         pairs += [(int(t), k) for t in mine[rare[: 1 + int(np.argmax(left < least * len(item) - 1e-9))]]]
+    return _by_term(pairs, len(idf))
+
+
+def _telling(parts: list[tuple], terms: int) -> tuple[np.ndarray, np.ndarray]:
+    return _by_term([(int(t), k) for k, (_, _, _, own, _, told) in enumerate(parts) for t in own[told > 0]], terms)
+
+
+def _by_term(pairs: list[tuple[int, int]], terms: int) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-    return np.searchsorted(pairs[:, 0], np.arange(len(idf) + 1)), pairs[:, 1]
+    return np.searchsorted(pairs[:, 0], np.arange(terms + 1)), pairs[:, 1]
 
 
 def _ids(text: str, vocabulary: dict[str, int]) -> np.ndarray:
@@ -226,7 +248,7 @@ def _index(tokens: DataFrame, split: list[tuple], vocabulary: dict[str, int]) ->
         counts[np.searchsorted(terms, own)] = often
         q = vectors[ids].sum(0)
         parts.append((number, ids, q / max(np.linalg.norm(q), 1e-12), terms, counts, np.isin(terms, told).astype(np.int64)))
-    return Index(vocabulary, vectors, parts, _asked(parts, idf))
+    return Index(vocabulary, vectors, parts, _asked(parts, idf), _telling(parts, len(idf)))
 
 
 def _vocabulary(split: list[tuple]) -> dict[str, int]:
@@ -260,6 +282,20 @@ def _side_by_side(item: np.ndarray, ids: np.ndarray) -> bool:
     return last > 0 and bool(np.all([ids[k : k + last] == x for k, x in enumerate(item.tolist())], axis=0).any())
 
 
+def _running_vectors(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Sums of the words' vectors up to each block's end, from none: a window's is a difference. Blocks are taken some at a time."""
+    blocks = -(-len(ids) // BLOCK)
+    sums = np.zeros((blocks + 1, vectors.shape[1]))
+    for begin in range(0, blocks, 1024):
+        part = ids[begin * BLOCK : (begin + 1024) * BLOCK]
+        at = np.flatnonzero(part >= 0)
+        if len(at):
+            block = at // BLOCK
+            cut = np.flatnonzero(np.r_[True, np.diff(block) > 0])
+            sums[begin + block[cut] + 1] = np.add.reduceat(vectors[part[at]].astype(float), cut, axis=0)
+    return np.cumsum(sums, axis=0)
+
+
 def search(text: str, index: Index) -> list[tuple]:
     """(item number, share of common words, cosine) of the leaks in one text, the best of each item."""
     return search_ids(_ids(text, index.vocabulary), index)
@@ -267,7 +303,7 @@ def search(text: str, index: Index) -> list[tuple]:
 
 def search_ids(ids: np.ndarray, index: Index) -> list[tuple]:
     blocks = -(-len(ids) // BLOCK)
-    slot = None
+    slot = sums = None
     best: dict[int, tuple[float, float]] = {}
     for part in index.possible(ids).tolist():
         number, item, unit, terms, counts, told = index.parts[part]
@@ -288,12 +324,16 @@ def search_ids(ids: np.ndarray, index: Index) -> list[tuple]:
         there[place[at], at // BLOCK + 1] = 1
         there = np.cumsum(there, axis=1)
         present = there[:, last] > there[:, first]
-        for i in np.flatnonzero((counts @ present / len(item) >= COMMON) & (told @ present / told.sum() >= ANSWER)).tolist():
+        if sums is None:
+            sums = _running_vectors(ids, index.vectors)
+        near = sums[last] - sums[first]
+        cosine = near @ unit / np.maximum(np.linalg.norm(near, axis=1), 1e-12)
+        latent = cosine >= COSINE
+        for i in np.flatnonzero(((counts @ present / len(item) >= COMMON) | latent) & (told @ present / told.sum() >= ANSWER)).tolist():
             window = ids[first[i] * BLOCK : last[i] * BLOCK]
             share = common_subsequence(item, window) / len(item)
-            if share >= COMMON and share >= best.get(number, (0.0, 0.0))[0]:
-                p = index.vectors[window[window >= 0]].sum(0)
-                found = (share, float(p @ unit / max(np.linalg.norm(p), 1e-12)))
+            if share >= (REWORDED if latent[i] else COMMON) and share >= best.get(number, (0.0, 0.0))[0]:
+                found = (share, float(cosine[i]))
                 best[number] = max(found, best.get(number, found))
     return [(number, *x) for number, x in best.items()]
 

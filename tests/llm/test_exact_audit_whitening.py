@@ -240,3 +240,78 @@ def test_rates_go_on_until_they_have_converged(spark, monkeypatch):
     with pytest.warns(UserWarning, match="goes on"):
         parted = mixing.fit_rates(members, mixing.TARGETS)
     assert np.allclose(parted, whole, rtol=1e-6, atol=1e-12) and len(parted) > 4
+
+
+def reworded(words, draw):
+    """Ways to say an item anew: clauses moved, and words replaced."""
+    half, third = len(words) // 2, len(words) // 3
+    replaced = lambda w, share: [f"zz{draw.randrange(999)}" if draw.random() < share else x for x in w]
+    return {"halves": words[half:] + words[:half], "thirds": words[2 * third :] + words[third : 2 * third] + words[:third], "moved and replaced": replaced(words[half:] + words[:half], 0.25)}
+
+
+def test_latent_candidates_add_reworded_items(spark):
+    from tessera.llm import decontaminate as D
+
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    items = [(r["item_id"], r["text"], None) for r in bench.orderBy("item_id").collect()]
+    index = D.build(docs, items)
+    draw = random.Random(3)
+    texts = [r["text"] for r in docs.filter(F.size(F.split("text", " ")).between(100, 400)).orderBy("doc_id").limit(60).collect()]
+    hosts = [D.words(t) for t in texts if not D.search(t, index)]
+    assert len(hosts) > 40
+    found, tried = Counter(), Counter()
+    for number, text, _ in items:
+        for kind, words in reworded(D.words(text), draw).items():
+            host = draw.choice(hosts)
+            at = draw.randrange(len(host) + 1)
+            hits = {x[0] for x in D.search(" ".join([*host[:at], *words, *host[at:]]), index)}
+            assert hits <= {number}
+            tried[kind] += 1
+            found[kind] += number in hits
+    assert all(found[k] >= 0.9 * tried[k] for k in tried), (found, tried)
+
+
+def test_leaks_against_free_windows(spark):
+    """Every window at every word, split, matched and ranked by code of its own: what the rule for plain passages asks for is found, and no found pair is without it."""
+    from tessera.llm import decontaminate as D
+
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
+    texts = {r["doc_id"]: split(r["text"]) for r in docs.collect()}
+    items = {r["item_id"]: split(r["text"]) for r in bench.collect()}
+    vocabulary = {w for x in items.values() for w in x}
+    df, n = Counter(), 0
+    for words in texts.values():
+        for k in range(0, len(words), 64):
+            df.update(set(words[k : k + 64]) & vocabulary)
+            n += 1
+    rare = {i: sorted(set(x), key=lambda w: (df[w], w))[:8] for i, x in items.items()}
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    def shares(item, words, size):
+        """The best share in order of windows that have half of the rarest terms, wherever they begin."""
+        wanted, best = Counter(items[item]), 0.0
+        for k in range(max(1, len(words) - size + 1)):
+            window = words[k : k + size]
+            there = set(window)
+            if sum(w in there for w in rare[item]) >= 4 and sum(c for w, c in wanted.items() if w in there) >= 0.3 * len(items[item]):
+                best = max(best, common(items[item], window) / len(items[item]))
+        return best
+
+    got = {(r["doc_id"], r["item_id"]): r["common"] for r in D.leaks(docs, bench).collect()}
+    hints = {(d, i) for d, words in texts.items() for i in items if sum(w in set(words) for w in rare[i]) >= 4}
+    assert set(got) <= hints
+    for d, i in hints:
+        size = -(-len(items[i]) // 16) * 16
+        share = shares(i, texts[d], size)
+        if share >= 0.6:
+            assert (d, i) in got
+        if (d, i) in got:
+            assert shares(i, texts[d], size + 32) >= got[d, i] - 1e-6

@@ -256,14 +256,17 @@ def test_every_planted_item_is_found(spark):
     for r in short[:6]:
         for n, text, _ in items:
             doc = planted(decontaminate.words(r["text"]), [w for w in decontaminate.words(text) if random.random() < 0.7])
-            want = False
+            share = 0.0
             for number, ids, _, terms, _, told in index.parts:
                 item, rare = [names[i] for i in ids.tolist()], {names[i] for i in terms[told == 1].tolist()}
                 wide = (-(-len(item) // 16) + 1) * 16
                 for k in range(0, max(1, len(doc) - wide + 16), 16) if number == n else ():
                     window = doc[k : k + wide]
-                    want |= 2 * len(rare & set(window)) >= len(rare) and length(item, window) >= 0.6 * len(item)
-            assert (n in {x[0] for x in decontaminate.search(" ".join(doc), index)}) == want, (n, r["doc_id"])
+                    if 2 * len(rare & set(window)) >= len(rare):
+                        share = max(share, length(item, window) / len(item))
+            # What has enough in order is found; of the rest only what latent search adds, with as much in order as that asks for.
+            found = n in {x[0] for x in decontaminate.search(" ".join(doc), index)}
+            assert found if share >= 0.6 else share >= decontaminate.REWORDED or not found, (n, r["doc_id"])
 
 
 def test_cards_beside_other_numbers_and_compact_phones(spark):
