@@ -22,6 +22,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -36,9 +37,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: The last code point of the short classes, and a search for any beyond them.
 LATIN = 0x24F
 BEYOND = re.compile(f"[^\\x00-{chr(LATIN)}]").search
-#: Two white characters: the first ends another piece when the text ends behind the second.
-PAIR = re.compile(f"[{WHITE}]{{2}}")
-WHITES = re.compile(f"[{WHITE}]+")
+#: Runs of white space that are two pieces, but in a prefix that ends behind them.
+RUNS = re.compile(f"[{WHITE}]{{2,}}")
 #: Of the pattern's contractions, those that are no piece without their last letter.
 LONG = ("'re", "'ve", "'ll")
 #: Entries of a worker's caches, and their bytes, roughly; a full one is emptied. Longer pieces, in code points, aren't kept.
@@ -109,6 +109,10 @@ class PrefixCounter:
         self.whole = _Pieces(lambda piece: self.prefixes(piece.encode())[-1])
         self.steps = _Pieces(self._steps)
         self.apart: dict[int, bool] = {}
+        #: Ids by token and the longest one's bytes; for beginnings of pieces, lists of which they are a part: tokens up to each place, and the last of them.
+        self.ids = {t: i for i, t in self.tokens.items()}
+        self.most = max(map(len, self.ids))
+        self.known: dict[bytes, tuple[list[int], list[int]]] = {}
 
     def stays(self, left: int, right: int) -> bool:
         """Whether two tokens, side by side, are encoded as themselves; ``left`` is -1 at a piece's start.
@@ -143,6 +147,8 @@ class PrefixCounter:
         of all tokens that end at an offset, just one stays apart from what is before it.
         """
         n = len(piece)
+        if n <= self.most * 4:
+            return self._short(piece)
         counts, last = [0] * (n + 1), [-1] * (n + 1)
         begins, apart = self.begins.get, self.apart.get
         for start in range(n):
@@ -158,6 +164,28 @@ class PrefixCounter:
                         counts[end], last[end] = more, token
         return counts
 
+    def _short(self, piece: bytes) -> list[int]:
+        """The same for a piece of usual length: what is known of its beginnings from other pieces is taken over."""
+        n, token_of, known, apart = len(piece), self.ids.get, self.known, self.apart.get
+        if len(known) >= CACHE:
+            known.clear()
+        met = n
+        while met and (state := known.get(piece[:met])) is None:
+            met -= 1
+        counts, last = (state[0][: met + 1], state[1][: met + 1]) if met else ([0], [-1])
+        state = counts, last
+        for end in range(met + 1, n + 1):
+            for start in range(max(0, end - self.most), end):
+                token = token_of(piece[start:end])
+                if token is not None:
+                    stays = apart(last[start] + 1 << 20 | token)
+                    if stays or stays is None and self.stays(last[start], token):
+                        counts.append(counts[start] + 1)
+                        last.append(token)
+                        break
+            known[piece[:end]] = state
+        return counts
+
     def pieces(self, text: str) -> list[str]:
         """The same for either pattern; the one with the short classes is several times as fast."""
         return (self.any if BEYOND(text) else self.latin).findall(text)
@@ -177,10 +205,15 @@ class PrefixCounter:
     def _steps(self, piece: str) -> bytes:
         """From each prefix of a piece to the next, how many tokens more or less; empty where a byte can't hold one."""
         counts = self.prefixes(piece.encode())
+        if len(piece) <= LONGEST and piece not in LONG:
+            if not piece.isascii():
+                counts = [counts[i] for i in accumulate((len(c.encode()) for c in piece), initial=0)]
+            return bytes([b - a & 255 for a, b in zip(counts, counts[1:])])
         if not piece.isascii():
             at = np.cumsum([0, *(len(c.encode()) for c in piece)])
             counts = [counts[i] for i in at.tolist()]
         if piece in LONG:
+            counts = [*counts]
             counts[2] = self.whole["'"] + self.whole[piece[1]]
         steps = np.diff(counts)
         return steps.astype(np.int8).tobytes() if len(steps) and np.abs(steps).max() < 128 else b""
@@ -191,7 +224,7 @@ class PrefixCounter:
 
     def table(self, text: str) -> bytes:
         """The steps from each prefix of the text to the next: int8, or int32 where there are four bytes for each code point."""
-        out, fixes, at = [], [], 0
+        out, fixes, at, plain = [], [], 0, True
         last = ""  # the last piece before a special string
         for part, special in self._segments(text):
             if special:
@@ -199,23 +232,26 @@ class PrefixCounter:
                 base = self.whole[last] if last else 0
                 counts = [0, *(self.count(last + part[:k]) - base for k in range(1, len(part))), 1]
                 out.append(np.diff(counts))
-                last = ""
+                last, plain = "", False
             else:
                 found = self.pieces(part)
                 steps = list(map(self.steps.__getitem__, found))
-                out += steps if all(steps) else [s or self._wide(p) for s, p in zip(steps, found)]
+                if not all(steps):
+                    steps, plain = [s or self._wide(p) for s, p in zip(steps, found)], False
+                out += steps
                 last = found[-1] if found else last
-                if PAIR.search(part):
-                    place = at
-                    for p, q in zip(found, found[1:]):
-                        place += len(p)
-                        if WHITES.match(q) and WHITES.fullmatch(p):
-                            # The prefix that ends behind this has all the white space in one piece.
-                            fixes.append((place, self.whole[p + q[0]] - self.whole[p] - self.whole[q[0]]))
+                for m in RUNS.finditer(part):
+                    if m.end() < len(part):
+                        # All but the last are a piece of their own; the prefix that ends behind the last has all in one.
+                        run = m[0]
+                        fixes.append((at + m.end() - 1, self.whole[run] - self.whole[run[:-1]] - self.whole[run[-1]]))
             at += len(part)
-        if not fixes and all(type(x) is bytes for x in out):
+        if plain and not fixes:
             return b"".join(out)
-        steps = np.concatenate([np.frombuffer(x, np.int8).astype(np.int64) if type(x) is bytes else x for x in out]) if out else np.empty(0, np.int64)
+        if plain:
+            steps = np.frombuffer(b"".join(out), np.int8).astype(np.int64)
+        else:
+            steps = np.concatenate([np.frombuffer(x, np.int8).astype(np.int64) if type(x) is bytes else x for x in out]) if out else np.empty(0, np.int64)
         for place, more in fixes:
             steps[place] += more
             if place + 1 < len(steps):
