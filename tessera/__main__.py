@@ -35,9 +35,9 @@ def searcher(config: K.Config, index: Index) -> Searcher:
     return Searcher(index.chunks(), index.embedder, scorer, lexical, rrf_k=config.lexical.rrf_k, multiplier=config.lexical.fetch_multiplier)
 
 
-def command_index(spark: SparkSession, config: K.Config, *_: str) -> str:
-    """Take in what the pool has and the index hasn't."""
-    bad = ingest(opened(spark, config), files.load_pool(spark, config.pool_path)).collect()
+def command_index(spark: SparkSession, config: K.Config, limit: str = "0") -> str:
+    """Take in what the pool has and the index hasn't, of the first so many papers by name."""
+    bad = ingest(opened(spark, config), files.load_pool(spark, config.pool_path, int(limit))).collect()
     index = opened(spark, config)
     return "\n".join([f"{index.manifest().count()} papers, {index.count()} chunks", *(f"left out: {r['paper_id']}: {r['error']}" for r in bad)])
 

@@ -211,6 +211,13 @@ def reanchored(text: Column, snippet: Column) -> Column:
     return out
 
 
+def reanchored_in(text: Column, snippet: Column, start: Column, end: Column) -> Column:
+    """The same inside a section only, from ``start`` to ``end`` (exclusive) in code points; anywhere where the section isn't known (null)."""
+    here = reanchored(F.substring(text, start + 1, end - start), snippet)
+    inside = F.when(here.isNotNull(), F.struct((here["start"] + start).cast("int").alias("start"), here["length"].alias("length")))
+    return F.when(start.isNull() | end.isNull(), reanchored(text, snippet)).otherwise(inside)
+
+
 def heading_slug(heading: Column) -> Column:
     """The anchor of a heading in rendered markdown: lower case, no marks, blanks as hyphens."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(heading, STRIP, "")), r"[^\p{L}\p{N}_ -]", ""), " ", "-")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib
+import json
 import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -71,13 +72,133 @@ class OverlapChecker:
         return [len(passage & claim) / len(claim) if claim else 0.0 for passage, claim in words]
 
 
+class PairScorer:
+    """A cross-encoder: ``predict`` takes (query, text) pairs and gives a score for each; pairs go to it in batches."""
+
+    def __init__(self, predict: Callable[[list[tuple[str, str]]], list[float]], batch: int = 32):
+        self.predict, self.batch = predict, batch
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        pairs = [(query, t) for t in texts]
+        return [float(x) for i in range(0, len(pairs), self.batch) for x in self.predict(pairs[i : i + self.batch])]
+
+
+def numbers_of(reply: str, n: int) -> list[float]:
+    """The first array of a reply as n numbers, as ``text.first_numbers`` says of columns: what is none is 0, and so is what is missing."""
+    found = re.search(r"\[[^\]]*\]", reply)
+    try:
+        said = json.loads(found[0]) if found else []
+    except ValueError:
+        said = []
+
+    def number(x) -> float:
+        try:
+            return float(x)
+        except (TypeError, ValueError):
+            return 0.0
+
+    return ([number(x) for x in said] + [0.0] * n)[:n]
+
+
+class ModelScorer:
+    """A language model that rates passages from 0 to 10, up to ``batch`` in a question; what it doesn't rate has 0, so the order before stays."""
+
+    def __init__(self, model: LanguageModel, most: int = 600, batch: int = 50):
+        self.model, self.most, self.batch = model, most, batch
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        out = []
+        for i in range(0, len(texts), self.batch):
+            part = texts[i : i + self.batch]
+            passages = "\n".join(f"({k + 1}) {' '.join(t.split())[: self.most]}" for k, t in enumerate(part))
+            asked = f"Question: {query}\n{passages}\nHow well does each passage answer the question, from 0 to 10? Reply with a JSON array of {len(part)} numbers in this order."
+            out += numbers_of(self.model.complete("You rate passages of papers.", asked, 40 + 8 * len(part)), len(part))
+        return out
+
+
+class ServiceScorer:
+    """A rerank service: ``client`` takes a query and texts and gives dicts with index and score, in any order; others than its texts' are passed over."""
+
+    def __init__(self, client: Callable[[str, list[str]], list[dict]]):
+        self.client = client
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        out = [0.0] * len(texts)
+        for r in self.client(query, texts) if texts else []:
+            if 0 <= r["index"] < len(texts):
+                out[r["index"]] = float(r.get("score", r.get("relevance_score", 0.0)))
+        return out
+
+
+class ServiceEmbedder:
+    """Vectors from a function of texts and of what they are (document or query), with a prefix for each, made unit vectors where asked."""
+
+    def __init__(self, name: str, client: Callable[[list[str], str], list[list[float]]], document_prefix: str = "", query_prefix: str = "", unit: bool = False, batch: int = 96):
+        self.name, self.client, self.prefixes, self.unit, self.batch = name, client, {"document": document_prefix, "query": query_prefix}, unit, batch
+
+    def _vectors(self, texts: list[str], kind: str) -> list[list[float]]:
+        said = [self.prefixes[kind] + t for t in texts]
+        out = [v for i in range(0, len(said), self.batch) for v in self.client(said[i : i + self.batch], kind)]
+        if len(out) != len(texts):
+            raise ValueError(f"{self.name}: {len(out)} vectors of {len(texts)} texts")
+        return [[x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v] for v in out] if self.unit else out
+
+    def documents(self, texts: list[str]) -> list[list[float]]:
+        return self._vectors(texts, "document")
+
+    def query(self, text: str) -> list[float]:
+        return self._vectors([text], "query")[0]
+
+
+#: Types of a schema's fields, and what of JSON they may be.
+JSON_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+
+
+def first_object(reply: str):
+    """The first JSON object or array of a reply that is whole, braces inside strings and all; None where there is none."""
+    for m in re.finditer(r"[{\[]", reply):
+        try:
+            return json.JSONDecoder().raw_decode(reply, m.start())[0]
+        except ValueError:
+            continue
+    return None
+
+
+def structured(model: LanguageModel, system: str, user: str, schema: dict[str, str], max_tokens: int = 1024, repairs: int = 2) -> dict:
+    """A reply with the schema's fields (name to a key of JSON_TYPES). A wrong one is sent back with what is wrong, up to ``repairs`` times; then it is an error."""
+    told = f"{system}\nReply with one JSON object: " + ", ".join(f'"{k}": {kind}' for k, kind in schema.items())
+    asked, wrong = user, ""
+    for _ in range(repairs + 1):
+        said = first_object(model.complete(told, asked, max_tokens))
+        if not isinstance(said, dict):
+            wrong = "there is no JSON object"
+        else:
+            bad = [k for k, kind in schema.items() if not isinstance(said.get(k), JSON_TYPES[kind]) or kind in ("integer", "number") and isinstance(said.get(k), bool)]
+            if not bad:
+                return {k: said[k] for k in schema}
+            wrong = "; ".join(f"{k} must be of type {schema[k]}" for k in bad)
+        asked = f"{user}\n\nYour last reply was no good: {wrong}."
+    raise ValueError(f"no reply of the schema: {wrong}")
+
+
 #: Kinds that can be asked for by name. Those of a package import it when they are built; none is a dependency.
-EMBEDDERS: dict[str, Callable[..., Embedder]] = {"hashing": lambda dims=32, **_: HashingEmbedder(dims)}
-SCORERS: dict[str, Callable[..., Scorer]] = {"overlap": lambda **_: OverlapScorer()}
+EMBEDDERS: dict[str, Callable[..., Embedder]] = {"hashing": lambda dims=32, **_: HashingEmbedder(dims), "service": lambda name, client, **more: ServiceEmbedder(name, named(client), **more)}
+SCORERS: dict[str, Callable[..., Scorer]] = {
+    "overlap": lambda **_: OverlapScorer(),
+    "pairs": lambda predict, **more: PairScorer(named(predict), **more),
+    "model": lambda model, **more: ModelScorer(build(LANGUAGE_MODELS, **model), **more),
+    "service": lambda client, **more: ServiceScorer(named(client), **more),
+}
 CHECKERS: dict[str, Callable[..., Checker]] = {"overlap": lambda **_: OverlapChecker()}
 LANGUAGE_MODELS: dict[str, Callable[..., LanguageModel]] = {}
 
 
+def named(what: str):
+    """The object that ``package.module:name`` says."""
+    module, _, name = what.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def build(registry: dict, kind: str, **settings):
     """The model of a kind; ``package.module:factory`` names one of one's own."""
     if kind in registry:

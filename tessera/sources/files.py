@@ -10,11 +10,22 @@ COMPARATIVE_SCHEMA = "query string, answer string, sections array<struct<paper_i
 LABELS = ("entailment", "neutral", "contradiction")
 
 
-def load_pool(spark: SparkSession, path: str) -> DataFrame:
-    """paper_id, markdown: one row for each .md file, but for display copies."""
+def load_pool(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """paper_id, markdown: one row for each .md file, but for display copies; the first ``most`` papers by name, or all."""
     files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     named = files.select(F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]+)\.md$", 1).alias("paper_id"), F.col("value").alias("markdown"))
-    return named.filter(~F.col("paper_id").endswith("_display"))
+    papers = named.filter(~F.col("paper_id").endswith("_display"))
+    return papers.orderBy("paper_id").limit(most) if most else papers
+
+
+def shown(spark: SparkSession, path: str, papers: DataFrame) -> DataFrame:
+    """paper_id, markdown of (paper_id): the copy that is made for display, where there is one, else the text; null without either."""
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    stem = F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]+)\.md$", 1)
+    both = files.select(stem.alias("stem"), F.col("value").alias("markdown"))
+    each = both.select(F.regexp_replace("stem", "_display$", "").alias("paper_id"), F.col("stem").endswith("_display").alias("display"), "markdown")
+    best = each.join(papers.select("paper_id").distinct(), "paper_id", "left_semi").groupBy("paper_id").agg(F.max_by("markdown", "display").alias("markdown"))
+    return papers.select("paper_id").join(best, "paper_id", "left")
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
