@@ -18,7 +18,7 @@ from tessera.operators import library as L
 from tessera.search import Searcher
 
 #: From how many papers on a comparison should be confirmed first, and what stands for a paper whose run failed.
-MANY_PAPERS, FAILED = 12, "_(search failed for this paper)_"
+MANY_PAPERS, FAILED = 12, "*Nothing could be looked up in this paper.*"
 SNIPPET = 500
 
 

@@ -41,7 +41,10 @@ class LanguageModel(Protocol):
 
 
 class HashingEmbedder:
-    """Bags of words: each word counts in the dimension that its md5 gives; the last one is 1, so no vector is zero."""
+    """Bags of words: each word counts in the dimension that its md5 gives; the last one is 1, so no vector is zero.
+
+    Fixed values: md5 read as one number, 31 dimensions of words, and the last.
+    """
 
     def __init__(self, dims: int = 32):
         self.dims, self.name = dims, f"hashing-{dims}"
