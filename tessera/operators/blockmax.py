@@ -3,8 +3,8 @@
 Rows are dealt to shards by a hash of their id and numbered in each, in the order of their ids. A block holds one term's
 postings of a run of numbers, with its greatest frequency and its least length; from these two the most that the block can
 add to a score follows for any statistics, so blocks outlive changes of the corpus. A query takes a shard's runs in the
-order of what its terms could add there at most, scores whole runs, and stops at the pivot: the first run whose bound the
-n-th score so far beats. What leaves a shard are n rows for each query, never all (query, row) scores.
+order of what its terms could add there at most, and stops at the pivot: the first run whose bound the n-th score so far
+beats. Inside a run only rows with a term that is needed to beat it are scored. What leaves a shard are n rows for each query, never all (query, row) scores.
 
 Scores, statistics and ties are those of ``retrieval.bm25_topk``. Shards are bounded by rows, so a task holds the asked
 terms' postings of one shard; queries go to the shards in blocks of a bounded number of terms.
@@ -95,12 +95,24 @@ def _scan(asked: dict[int, list[tuple[str, float]]], avgdl: float, n: int, k1: f
                 # The pivot: neither this run nor a later one can reach the n-th score, not even as a tie.
                 if most[r] <= 0 or (len(best) >= n and round(float(most[r]), PLACES) < round(float(best[-1]), PLACES)):
                     break
-                blocks = at[by_run[r]]
-                read += int(sizes[blocks].sum())
-                span = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in blocks])
-                each = np.repeat(weight[by_run[r]], sizes[blocks]) * part(flat["tfs"][span].astype(float), flat["dls"][span].astype(float))
+                # Rows that only have terms which together can't reach the n-th score aren't looked for; theirs are looked up for the others.
+                blocks, own = at[by_run[r]], weight[by_run[r]]
+                most_of = np.maximum(own * bound[blocks], 0)
+                order = np.argsort(most_of, kind="stable")
+                low = np.round(np.cumsum(most_of[order]), PLACES) < round(float(best[-1]), PLACES) if len(best) >= n else np.zeros(len(order), bool)
+                span = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in blocks[order[~low]]])
+                read += len(span)
+                each = np.repeat(own[order[~low]], sizes[blocks[order[~low]]]) * part(flat["tfs"][span].astype(float), flat["dls"][span].astype(float))
                 nos, inverse = np.unique(flat["nos"][span], return_inverse=True)
                 score = np.bincount(inverse, each, len(nos))
+                for i, w in zip(blocks[order[low]].tolist(), own[order[low]].tolist()):
+                    there = flat["nos"][cut[i] : cut[i + 1]]
+                    place = np.minimum(np.searchsorted(there, nos), len(there) - 1)
+                    hit = np.flatnonzero(there[place] == nos)
+                    read += min(len(nos), len(there))
+                    if len(hit):
+                        x = cut[i] + place[hit]
+                        score[hit] += w * part(flat["tfs"][x].astype(float), flat["dls"][x].astype(float))
                 keep = np.round(score, PLACES) > 0
                 nos, score = np.concatenate([best_no, nos[keep]]), np.concatenate([best, score[keep]])
                 top = np.lexsort((nos, -np.round(score, PLACES)))[:n]
