@@ -170,9 +170,13 @@ def answer_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", X.answer_markdown(F.concat("text", F.lit(" [r2, r10] and [r7]")), known).alias("markdown"))
 
 
-@query()
+@query(r"""WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'),
+t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, q.text AS question, a.text AS answer FROM q LEFT JOIN a USING (conv_id, turn)),
+i AS (SELECT *, regexp_replace(regexp_replace(replace(replace(question, '<', '&lt;'), '>', '&gt;'), '(?m)^(\s{0,3})([#>`~*+\-=_])', '\1\\\2', 'g'), '(?m)^(\s{0,3}\d+)([.)])(\s)', '\1\\\2\3', 'g') AS said FROM t),
+b AS (SELECT conv_id, n, concat_ws(chr(10) || chr(10), '## Turn ' || n, '**Q:** ' || said, nullif(answer, ''), '_1.5s_') AS text FROM i)
+SELECT conv_id AS chat_id, '# Conversation' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS markdown FROM b GROUP BY conv_id""")
 def conversation_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: whole conversations as documents; a test holds one against written text."""
+    """Whole conversations as documents: questions escaped, answers as they are."""
     c = table(spark, sf_dir, "conversations")
     q = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
