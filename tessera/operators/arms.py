@@ -79,31 +79,31 @@ def samples(scored: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def intervals(sampled: DataFrame, name: str, n_boot: int = 2000) -> DataFrame:
-    b = E.bootstrap(E.clusters(sampled.filter("eligible"), F.col("value"), ("arm",)), n_boot, by=("arm",))
-    return b.select("arm", *[F.col(c).alias(f"{name}_{c}") for c in ("point", "ci_lo", "ci_hi", "se", "n_clusters", "n_eligible")])
-
-
-def deltas(sampled: DataFrame, default: str, name: str, n_boot: int = 2000) -> DataFrame:
-    """Each other arm against the default, over the queries eligible in both: the paired interval, its least detectable
-    difference, and whether the difference is detectable."""
-    mine = sampled.filter((F.col("arm") != default) & F.col("eligible"))
-    base = sampled.filter((F.col("arm") == default) & F.col("eligible")).select("qid", F.col("value").alias("base"))
-    pairs = mine.join(base, "qid").select("arm", "cluster", (F.col("value") - F.col("base")).alias("value"))
-    b = E.bootstrap(E.clusters(pairs, F.col("value"), ("arm",)), n_boot, by=("arm",)).withColumn("mdd", E.mdd(F.col("se")))
-    shown = b.withColumn("detectable", E.detectable(F.col("point"), F.col("ci_lo"), F.col("ci_hi"), F.col("mdd")))
-    return shown.select("arm", *[F.col(c).alias(f"{name}_delta_{c}") for c in ("point", "ci_lo", "ci_hi", "mdd", "n_clusters", "detectable")])
+def _resampled(scored: DataFrame, default: str) -> DataFrame:
+    """(what, arm, cluster, value): each metric over its eligible queries, and each other arm's differences to the default over the queries eligible in both."""
+    parts = []
+    for name, sampled in samples(scored).items():
+        eligible = sampled.filter("eligible")
+        base = eligible.filter(F.col("arm") == default).select("qid", F.col("value").alias("base"))
+        pairs = eligible.filter(F.col("arm") != default).join(base, "qid")
+        parts.append(eligible.select(F.lit(name).alias("what"), "arm", "cluster", "value"))
+        parts.append(pairs.select(F.lit(f"{name}_delta").alias("what"), "arm", "cluster", (F.col("value") - F.col("base")).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def report(scored: DataFrame, default: str, n_boot: int = 2000) -> DataFrame:
-    """A row for each arm: metrics with their intervals, paired differences to the default, and what stands against them.
+    """A row for each arm: metrics with their intervals, paired differences to the default (the least detectable one, and
+    whether they are), and what stands against them. One bootstrap for all.
 
     ``weakest`` is the least number of clusters that any comparison of the report rests on.
     """
-    out = None
-    for name, sampled in samples(scored).items():
-        both = intervals(sampled, name, n_boot).join(deltas(sampled, default, name, n_boot), "arm", "left")
-        out = both if out is None else out.join(both, "arm", "full")
+    by = ("what", "arm")
+    b = E.bootstrap(E.clusters(_resampled(scored, default), F.col("value"), by), n_boot, by=by).withColumn("mdd", E.mdd(F.col("se")))
+    b = b.withColumn("detectable", E.detectable(F.col("point"), F.col("ci_lo"), F.col("ci_hi"), F.col("mdd")))
+    of_metric, of_delta = ("point", "ci_lo", "ci_hi", "se", "n_clusters", "n_eligible"), ("point", "ci_lo", "ci_hi", "mdd", "n_clusters", "detectable")
+    shown = {w: of_delta if w.endswith("_delta") else of_metric for name in ("success", "mrr") for w in (name, f"{name}_delta")}
+    value = lambda w, c: F.max(F.when(F.col("what") == w, F.col(c))).alias(f"{w}_{c}")
+    out = b.groupBy("arm").agg(*[value(w, c) for w, columns in shown.items() for c in columns])
     least = out.agg(F.min(F.least("success_delta_n_clusters", "mrr_delta_n_clusters")).alias("d"), F.min(F.when(F.col("arm") == default, F.col("success_n_clusters"))).alias("s"))
     out = out.join(F.broadcast(least.select(F.least("d", "s").alias("weakest"))))
     return out.withColumn("warnings", E.warnings(F.col("weakest"), F.col("success_point")))

@@ -16,6 +16,7 @@ from tessera.plans.chunks import SECTIONS, WHITE, packed_sql, pool
 from tessera.plans.engine import DIMS, VECTORS
 from tessera.plans.evaluation import DENSE, DEPTH, LEX, K, _dense, _gold, _relevant
 from tessera.plans.retrieval import CANDIDATES, DOT, HYBRID, WORDS, _hybrid, _items, _lexical, _rankings, _vectors, elbow_ctes
+from tessera.scratch import stored
 
 ARMS = [A.Arm("default", CANDIDATES, True), *A.one_at_a_time(A.Arm("default", CANDIDATES, True), [10, 20, 40], sparse=True)[1:]]
 ARM_SQL = "arms AS (SELECT * FROM (VALUES " + ", ".join(f"('{a.arm}', {a.candidates}, {a.rerank}, {a.sparse})" for a in ARMS) + ") AS t(arm, candidates, rerank, sparse))"
@@ -70,8 +71,8 @@ SELECT arm, round(o.point, 6) AS mrr, round(o.ci_lo, 6) AS ci_lo, round(o.ci_hi,
   round((1.959964 + 0.841621) * d.se, 6) AS mdd, (d.ci_lo > 0 OR d.ci_hi < 0) AND abs(d.point) >= (1.959964 + 0.841621) * d.se AS detectable, least(o.n, d.n) AS clusters FROM own o LEFT JOIN dif d USING (arm)""")
 def screen_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each arm's mean reciprocal rank with its interval, and its paired difference to the default."""
-    # A row for each arm and query, read by every interval and difference: kept, so that the rankings are made once.
-    r = A.report(_judged(spark, sf_dir).persist(), "default", 400)
+    # A row for each arm and query, read by every interval and difference: written, so that the rankings are made once.
+    r = A.report(stored(_judged(spark, sf_dir), "judged"), "default", 400)
     say = lambda c, name: F.round(c, 6).alias(name)
     return r.select(
         "arm", say("mrr_point", "mrr"), say("mrr_ci_lo", "ci_lo"), say("mrr_ci_hi", "ci_hi"), say("mrr_delta_point", "delta"), say("mrr_delta_ci_lo", "delta_lo"), say("mrr_delta_ci_hi", "delta_hi"),
