@@ -45,7 +45,7 @@ TERMS, LEAST = 200_000, 5
 #: Leaks: share of the item's words in order, and share of its rarest terms or of its answer.
 COMMON, RAREST, ANSWER = 0.6, 8, 0.5
 #: Latent candidates: the least cosine of a passage, and the least share in order of one that is so near.
-COSINE, REWORDED = 0.35, 0.3
+COSINE, REWORDED = 0.35, 0.4
 WORD = re.compile(r"\w+")
 
 

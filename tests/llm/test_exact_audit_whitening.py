@@ -268,7 +268,26 @@ def test_latent_candidates_add_reworded_items(spark):
             assert hits <= {number}
             tried[kind] += 1
             found[kind] += number in hits
-    assert all(found[k] >= 0.9 * tried[k] for k in tried), (found, tried)
+    # Words in no order at all have up to a third in order; what is asked for beyond that leaves some of the rest out.
+    least = {"halves": 0.95, "thirds": 0.5, "moved and replaced": 0.3}
+    assert all(found[k] >= least[k] * tried[k] for k in tried), (found, tried)
+
+
+def test_an_items_words_in_no_order_are_no_leak(spark):
+    """All words of an item, shuffled: shared vocabulary isn't a copy."""
+    from tessera.llm import decontaminate as D
+
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    items = [(r["item_id"], r["text"], None) for r in bench.orderBy("item_id").collect()]
+    index = D.build(docs, items)
+    draw, flagged, tried = random.Random(12), 0, 0
+    for number, text, _ in items:
+        for _ in range(5):
+            words = D.words(text)
+            draw.shuffle(words)
+            tried += 1
+            flagged += number in {x[0] for x in D.search(" ".join(["other"] * 40 + words + ["text"] * 40), index)}
+    assert flagged <= 0.1 * tried
 
 
 def test_leaks_against_free_windows(spark):
