@@ -133,9 +133,11 @@ def usage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE contains(text, sentence)) AS found, sum(length(sentence))::BIGINT AS chars FROM x GROUP BY doc_id""")
 def sentence_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences by their offsets: each is cut out of the text anew and compared."""
-    s = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(T.sentence_spans(F.col("text"))).alias("s"))
-    again = F.col("text").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(again == F.col("s.sentence")).alias("found"), F.sum(F.col("s.end") - F.col("s.start")).cast("long").alias("chars"))
+    # Judged inside the row, from one array of spans: a row for each sentence would carry the whole text.
+    again = lambda x: F.col("text").substr(x["start"] + 1, x["end"] - x["start"])
+    told = lambda s: F.struct(F.size(s).alias("n"), F.size(F.filter(s, lambda x: again(x) == x["sentence"])).alias("found"), F.aggregate(s, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("chars"))
+    each = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.transform(F.array(T.sentence_spans(F.col("text"))), told)))
+    return each.groupBy("doc_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("n", "found", "chars")]).filter("n > 0")
 
 
 @query(f"""WITH {SECTIONS}, u AS (SELECT paper_id, section_index, trim(coalesce(number, '') || ' ' || title) AS unit, title FROM sections)

@@ -139,3 +139,21 @@ def test_a_conversation_as_markdown(spark):
         "<details>\n<summary>Sources</summary>\n\n```\nFrom the web:\n\n[1] Page — https://h.example/x\na page\n```\n\n</details>\n\n_0.9s_\n\n"
         "## References\n\n[^t1-1]: **Page** — https://h.example/x\n\n[^t1-2]: **Paper** — Method, https://arxiv.org/abs/2401.00001\n\n[^t2-1]: **Page** — https://h.example/x"
     )
+
+
+def test_sentence_spans_of_a_long_text(spark):
+    """Some 6,000 sentences in a text: what is looked up for each sentence is worked out once, so this takes seconds."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as T
+
+    said = " " + "  ".join(f"Sentence {i} of many, é and 𝄞." for i in range(6000)) + "\n"
+    df = spark.createDataFrame([(said,), ("",), (" . ",), ("no end",)], "text string")
+    begin = time.time()
+    rows = df.select("text", T.sentence_spans(F.col("text")).alias("s")).collect()
+    assert time.time() - begin < 30
+    assert len(rows[0]["s"]) == 6000
+    for r in rows:
+        assert all(r["text"][s["start"] : s["end"]] == s["sentence"] and s["sentence"].strip() for s in r["s"])
