@@ -4,7 +4,8 @@ Sorting every suffix of a corpus costs many times its size in shuffles, so the s
 rule that loses nothing: of the ``GRAM``-grams in any ``LENGTH``-byte string the one with the least hash is an
 anchor, and equal strings have equal anchors at equal places. Then
 
-1. anchors are counted by hash, in buckets; hashes found in one document only are done with;
+1. anchors are counted by hash, in buckets; hashes found in one document only are done with; an anchor is sent as 4 bytes
+   and its document's number in its slice of text, so what is sent doesn't grow with the number of buckets;
 2. documents with other anchors emit the bytes around each (all strings that hold it lie in there), once for
    each task and context, with the smallest document that has it; around hot anchors, found in very many slices of
    text, contexts differ at a passage's ends for every document, so there each string goes to a bucket of its own;
@@ -46,11 +47,13 @@ LAST = (1 << 63) - 1
 #: Kinds of rows: entries to be looked at, what is settled and goes back, single strings of hot anchors, and their hashes.
 OPEN, SETTLED, STRINGS, HOT = range(4)
 ROWS = "bucket int, kind int, ids binary, tids binary, counts binary, data binary"
+#: Rows of step 1, of one slice of text: its name, its documents (only in the row of what is settled), and each entry's number among them.
+SLICES = "bucket int, kind int, slice binary, ids binary, tids binary, docs binary, data binary"
 #: Slices of text in which an anchor is found, beyond which it is hot; and the most that are treated so, as they are sent to all tasks.
 HOT_SLICES, HOT_MOST = 256, 1 << 20
-#: The document that hot anchors are noted under; no other has it, as ids are cast from integers of a table.
-NOBODY = -(1 << 63)
 FOUND = "ord long, tid long, data binary"
+#: The same of step 1; a row with ``hot`` has no document but hot anchors. A mark, as a filter of ord would also be put on one side of a join of texts.
+ANCHORS = FOUND + ", hot boolean"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -140,6 +143,20 @@ def _unpacked(rows: pd.DataFrame, dtype) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.repeat(np.arange(len(ids)), counts), np.frombuffer(b"".join(rows["data"]), dtype), np.stack([ids, tids], 1)
 
 
+def _columns(shape: str) -> list[str]:
+    return [c.split()[0] for c in shape.split(", ")]
+
+
+def _numbers(doc: np.ndarray) -> bytes:
+    """Ascending document numbers as the steps between them, in as few bytes each as the largest needs."""
+    steps = np.diff(doc, prepend=0)
+    return steps.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if steps.max(initial=0) <= np.iinfo(t).max)).tobytes()
+
+
+def _numbered(docs: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(docs, f"u{len(docs) // n}" if n else np.uint8), dtype=np.int64)
+
+
 def _emit_anchors(buckets: int):
     """Step 1, map side: anchor hashes by bucket; those in several documents of a slice go once, their documents are settled."""
 
@@ -148,6 +165,8 @@ def _emit_anchors(buckets: int):
         for batch in batches:
             for part in _slices(batch):
                 ids, tids = part["ord"].to_numpy(np.int64), part["tid"].to_numpy(np.int64)
+                # Slices of one name have the same documents, so their entries may meet.
+                name = hashlib.blake2b(ids.tobytes() + tids.tobytes(), digest_size=16).digest()
                 found = []
                 for data, starts, ends, row, _ in _lots(part["text"]):
                     at, h = anchors(data, starts, ends)
@@ -156,7 +175,7 @@ def _emit_anchors(buckets: int):
                 bucket, short = _bucket(h, buckets), h.astype(np.uint32)
                 order = np.lexsort((doc, h))
                 hs, ds = h[order], doc[order]
-                new = np.r_[True, hs[1:] != hs[:-1]]
+                new = np.r_[True, hs[1:] != hs[:-1]] if len(hs) else np.empty(0, bool)
                 group = np.cumsum(new) - 1
                 first = ds[np.flatnonzero(new)]
                 shared = np.zeros(len(first), bool)
@@ -165,17 +184,19 @@ def _emit_anchors(buckets: int):
                 keep = order[~shared[group] | new]
                 keep = keep[np.lexsort((doc[keep], bucket[keep]))]
                 for b, piece in _runs(bucket[keep], keep):
-                    rows.append(_packed(b, OPEN, doc[piece], ids, tids, short[piece]))
+                    rows.append((b, OPEN, name, b"", b"", _numbers(doc[piece]), short[piece].tobytes()))
                 known = np.sort(order[shared[group]])
-                spread = (tids[doc[known]] % buckets) if len(known) else known
-                known, spread = known[np.argsort(spread, kind="stable")], np.sort(spread)
-                for b, piece in _runs(spread, known):
-                    rows.append(_packed(b, SETTLED, doc[piece], ids, tids, short[piece]))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
+                rows.append((_home(name, buckets), SETTLED, name, ids.tobytes(), tids.tobytes(), _numbers(doc[known]), short[known].tobytes()))
+                yield pd.DataFrame(rows, columns=_columns(SLICES))
 
     return run
 
 
+def _home(name: bytes, groups: int) -> int:
+    """Where all that is known of a slice's documents meets."""
+    return int.from_bytes(name[:8], "little") % groups
+
+
 def _runs(sorted_keys: np.ndarray, values: np.ndarray):
     if len(sorted_keys):
         cut = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1], True])
@@ -188,47 +209,58 @@ def _to_owners(doc: np.ndarray, data: np.ndarray, who: np.ndarray, groups: int)
     group = who[doc, 1] % groups
     order = np.lexsort((doc, group))
     rows = [_packed(g, SETTLED, doc[piece], who[:, 0], who[:, 1], data[piece]) for g, piece in _runs(group[order], order)]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
-
+    return pd.DataFrame(rows, columns=_columns(ROWS))
 
-def _by_document(dtype):
-    """One group of documents: for each, all entries that came back."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        hot = b"".join(rows["data"][rows["kind"] == HOT])
-        rows = rows[rows["kind"] != HOT]
-        doc, data, who = _unpacked(rows, dtype)
-        if not len(who):
-            return pd.DataFrame({"ord": [NOBODY], "tid": [0], "data": [hot]})
-        keys, own = np.unique(who, axis=0, return_inverse=True)
-        doc = own.ravel()[doc]
-        order = np.argsort(doc, kind="stable")
-        out = [(keys[d, 0], keys[d, 1], data[piece].tobytes()) for d, piece in _runs(doc[order], order)] + [(NOBODY, 0, hot)] * bool(hot)
-        return pd.DataFrame(out, columns=["ord", "tid", "data"]).astype({"ord": "int64", "tid": "int64"})
-
-    return run
+def _by_document(rows: pd.DataFrame) -> pd.DataFrame:
+    """Step 3, one group of documents: for each, all spans that came back."""
+    doc, data, who = _unpacked(rows, SPAN)
+    keys, own = np.unique(who, axis=0, return_inverse=True)
+    doc = own.ravel()[doc]
+    order = np.argsort(doc, kind="stable")
+    out = [(keys[d, 0], keys[d, 1], data[piece].tobytes()) for d, piece in _runs(doc[order], order)]
+    return pd.DataFrame(out, columns=["ord", "tid", "data"]).astype({"ord": "int64", "tid": "int64"})
 
 
 def _repeated_anchors(rows: pd.DataFrame, buckets: int, hot_slices: int) -> pd.DataFrame:
-    """Step 1, one bucket: for each document, its anchor hashes that another document has; and which of them are hot."""
+    """Step 1, one bucket: for each slice, its anchor hashes that another document has, and whose; and which of them are hot."""
     open_rows = rows[rows["kind"] == OPEN]
-    doc, h, who = _unpacked(open_rows, np.uint32)
+    sizes = [len(x) // 4 for x in open_rows["data"]]
+    h = np.frombuffer(b"".join(open_rows["data"]), np.uint32)
+    slices = np.repeat(np.arange(len(open_rows)), sizes)
+    doc = np.concatenate([*[_numbered(d, n) for d, n in zip(open_rows["docs"], sizes)], np.empty(0, np.int64)])
     order = np.argsort(h, kind="stable")
-    hs, ds = h[order], doc[order]
+    hs, ds = h[order], (slices << 32 | doc)[order]
     new = np.r_[True, hs[1:] != hs[:-1]] if len(hs) else np.empty(0, bool)
     group = np.cumsum(new) - 1
     shared = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
     np.logical_or.at(shared, group, ds != ds[np.flatnonzero(new)][group])
-    open_ = order[shared[group]]
-    seen = _unpacked(rows[rows["kind"] == SETTLED], np.uint32)
+    # Entries lie by slice, and by document in each.
+    open_ = np.sort(order[shared[group]])
     # An anchor that is shared within a slice came once from it, and else once from each of its documents there.
-    slices = np.repeat(np.arange(len(open_rows)), [len(x) // h.itemsize for x in open_rows["data"]])
     both = np.unique(h[open_].astype(np.uint64) << np.uint64(32) | slices[open_].astype(np.uint64)) >> np.uint64(32)
     known, often = np.unique(both, return_counts=True)
     hot = np.stack([known[often > hot_slices], often[often > hot_slices].astype(np.uint64)], axis=1).astype(np.uint32)
-    who_hot = np.array([[NOBODY, 0]], np.int64)
-    told = _to_owners(np.zeros(len(hot), np.int64), hot.view(np.uint64).ravel(), who_hot, buckets)
-    return pd.concat([_to_owners(doc[open_], h[open_], who, buckets), _to_owners(*seen, buckets), told.assign(kind=HOT)], ignore_index=True)
+    names = open_rows["slice"].to_list()
+    told = [(_home(names[i], buckets), OPEN, names[i], b"", b"", _numbers(doc[piece]), h[piece].tobytes()) for i, piece in _runs(slices[open_], open_)]
+    told.append((0, HOT, b"", b"", b"", b"", hot.tobytes()))
+    return pd.concat([pd.DataFrame(told, columns=_columns(SLICES)), rows[rows["kind"] == SETTLED]], ignore_index=True)
+
+
+def _of_slices(rows: pd.DataFrame) -> pd.DataFrame:
+    """Step 1, the slices of one group: for each document, its anchor hashes that another document has."""
+    hot = b"".join(rows["data"][rows["kind"] == HOT])
+    out = [(0, 0, hot, True)] * bool(hot)
+    for _, mine in rows[rows["kind"] != HOT].groupby("slice", sort=False):
+        who = mine[mine["kind"] == SETTLED].iloc[0]
+        ids, tids = np.frombuffer(who["ids"], np.int64), np.frombuffer(who["tids"], np.int64)
+        doc = np.concatenate([_numbered(d, len(x) // 4) for d, x in zip(mine["docs"], mine["data"])])
+        h = np.frombuffer(b"".join(mine["data"]), np.uint32)
+        # Once each and in order, so that rows with the same text and doc_id have the same bytes.
+        both = np.unique(doc.astype(np.uint64) << np.uint64(32) | h.astype(np.uint64))
+        doc, h = (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32)
+        out += [(ids[d], tids[d], piece.tobytes(), False) for d, piece in _runs(doc, h)]
+    return pd.DataFrame(out, columns=_columns(ANCHORS)).astype({"ord": "int64", "tid": "int64", "hot": "bool"})
 
 
 ENTRY = np.dtype([("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (CONTEXT,))])
@@ -313,7 +345,7 @@ def _emit_contexts(buckets: int, hot: np.ndarray):
         for batch in batches:
             for part in _slices(batch):
                 ids, tids = part["ord"].to_numpy(np.int64), part["tid"].to_numpy(np.int64)
-                wanted = [np.frombuffer(x, np.uint32) for x in part["data"]]
+                wanted = [np.unique(np.frombuffer(b"".join(x), np.uint32)) for x in part["data"]]
                 mine = np.repeat(np.arange(len(wanted), dtype=np.uint64), [len(x) for x in wanted]) << np.uint64(32) | np.concatenate([*wanted, np.empty(0, np.uint32)]).astype(np.uint64)
                 found = [_around(lot, mine) for lot in _lots(part["text"])]
                 doc, h, entry = (np.concatenate(x) for x in zip(*found))
@@ -344,7 +376,7 @@ def _emit_contexts(buckets: int, hot: np.ndarray):
                 go = np.argsort(spread, kind="stable")
                 for b, piece in _runs(spread[go], go):
                     rows.append(_packed(b, SETTLED, doc[later[piece]], ids, tids, spans[piece]))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")])
+                yield pd.DataFrame(rows, columns=_columns(ROWS))
 
     return run
 
@@ -447,7 +479,7 @@ def _hottest(repeated: DataFrame) -> np.ndarray:
             pairs = np.frombuffer(b"".join(batch["data"]), np.uint32).reshape(-1, 2)
             yield pd.DataFrame({"h": pairs[:, 0].astype(np.int64), "n": pairs[:, 1].astype(np.int64)})
 
-    told = repeated.filter(F.col("ord") == NOBODY).select("data").mapInPandas(each, "h long, n long")
+    told = repeated.filter("hot").select("data").mapInPandas(each, "h long, n long")
     return told.orderBy(F.desc("n"), "h").limit(HOT_MOST).select("h").toArrow()["h"].to_numpy().astype(np.uint32)
 
 
@@ -472,19 +504,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_s
 
     total = texts.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
-    long_enough = own.filter(F.col("n_bytes") >= LENGTH)
-    hashes = long_enough.select("ord", "tid", "text").mapInPandas(_emit_anchors(buckets), ROWS)
-    repeated = hashes.groupBy("bucket").applyInPandas(lambda rows: _repeated_anchors(rows, buckets, hot_slices), ROWS)
-    repeated = stored(repeated.groupBy("bucket").applyInPandas(_by_document(np.uint32), FOUND), "suffix-anchors")
+    # The same columns in both joins of texts, so that Spark shuffles the texts once for both.
+    long_enough = own.filter(F.col("n_bytes") >= LENGTH).select("ord", "tid", "text")
+    hashes = long_enough.mapInPandas(_emit_anchors(buckets), SLICES)
+    repeated = hashes.groupBy("bucket").applyInPandas(lambda rows: _repeated_anchors(rows, buckets, hot_slices), SLICES)
+    repeated = stored(repeated.groupBy("bucket").applyInPandas(_of_slices, ANCHORS), "suffix-anchors")
 
     hot = _hottest(repeated)
-    contexts = long_enough.select("ord", "tid", "text").join(repeated, ["ord", "tid"]).mapInPandas(_emit_contexts(buckets, hot), ROWS)
+    # Rows with the same text and doc_id have an entry each.
+    each = repeated.filter("NOT hot").groupBy("ord", "tid").agg(F.collect_set("data").alias("data"))
+    contexts = long_enough.join(each, ["ord", "tid"]).select("ord", "tid", "text", "data").mapInPandas(_emit_contexts(buckets, hot), ROWS)
     spans = contexts.groupBy("bucket").applyInPandas(lambda rows: _smaller_elsewhere(rows, buckets), ROWS)
-    spans = stored(spans.groupBy("bucket").applyInPandas(_by_document(SPAN), FOUND), "suffix-spans")
-    drop_path(docs.sparkSession, repeated.stored_at)
+    spans = spans.groupBy("bucket").applyInPandas(_by_document, FOUND)
 
-    touched = own.join(spans, ["ord", "tid"])
-    cut = touched.select("ord", "n_bytes", "text", "data").mapInPandas(_applied, "ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    touched = long_enough.join(spans, ["ord", "tid"])
+    touched = touched.select("ord", F.octet_length("text").cast("long").alias("n_bytes"), "text", "data")
+    cut = touched.mapInPandas(_applied, "ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     whole = own.select("ord", "tid", "n_bytes", F.sha2("text", 256).alias("kept_sha256")).join(spans.select("ord", "tid"), ["ord", "tid"], "left_anti")
     whole = whole.select("ord", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256")
     gone = F.col("n_bytes") >= LENGTH
@@ -493,4 +528,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_s
         F.sha2(F.when(gone, "").otherwise(F.col("text")), 256).alias("kept_sha256"),
     )
     every = cut.unionByName(whole).unionByName(copies)
-    return every.select(F.when(F.col("ord") != LAST, F.col("ord")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    every = every.select(F.when(F.col("ord") != LAST, F.col("ord")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    done = stored(every, "suffix-repeats")
+    for before in (copied, repeated):
+        drop_path(docs.sparkSession, before.stored_at)
+    return done

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,29 @@ def test_repeated_strings(spark):
         assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in hot) == removed_by_brute_force(rows)
 
 
+def test_what_a_slice_sends_does_not_grow_with_the_buckets():
+    """Anchors of a slice of text over 16 and 512 buckets: the same entries, about as many bytes, and no document named in each."""
+    draw = random.Random(7)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(300)) for _ in range(400)]
+    batch = pd.DataFrame({"ord": range(400), "tid": [draw.randrange(1 << 62) for _ in range(400)], "text": texts})
+    sent = {n: pd.concat(suffix_dedup._emit_anchors(n)(iter([batch]))) for n in (16, 512)}
+    size = {n: sum(len(x) for row in rows.drop(columns=["bucket", "kind"]).itertuples(index=False) for x in row) for n, rows in sent.items()}
+    entries = {n: sum(len(x) for x in rows["data"]) // 4 for n, rows in sent.items()}
+    assert entries[16] == entries[512] > 50_000
+    assert size[512] < 1.2 * size[16] and size[512] < 6 * entries[512] + 50_000
+    numbers = np.sort(np.array([draw.randrange(n) for n in (1, 5, 300, 70_000) for _ in range(4)]))
+    assert (suffix_dedup._numbered(suffix_dedup._numbers(numbers), len(numbers)) == numbers).all()
+    assert suffix_dedup._numbered(b"", 0).tolist() == []
+
+
+def test_rows_with_one_text_and_doc_id(spark):
+    """Each of them is a row of its own in the result, whichever slices they come from."""
+    said = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, said + " end")] * 30 + [(1, said), (2, said + " other"), (2, said + " other")]
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.dedup(frame(spark, rows).repartition(5)).collect())
+    assert got == removed_by_brute_force(rows)
+
+
 def jaccard_classes(rows):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
