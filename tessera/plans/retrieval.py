@@ -9,6 +9,7 @@ from tessera.operators import blockmax as B
 from tessera.operators import retrieval as R
 from tessera.operators import vectors as V
 from tessera.plans.catalogue import query, table
+from tessera.scratch import stored
 
 #: The query set of a search: every hundredth row, against all rows.
 ASKED = "{id} % 100 = 0"
@@ -135,22 +136,24 @@ CANDIDATES, MULTIPLIER = 20, 3
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and chunks; the corpus is joined once, dealt to all cores, and written, as both rankings read it several times."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
-    chunks = d.join(e, "chunk_id")
+    joined = d.join(R.sized_broadcast(e), "chunk_id").repartition(2 * spark.sparkContext.defaultParallelism, "chunk_id")
+    chunks = stored(joined, "hybrid")
     eight = F.array_join(F.slice(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""), 1, 8), " ")
     queries = chunks.filter(ASKED.format(id="chunk_id")).select(F.col("chunk_id").alias("qid"), eight.alias("text"), F.col("embedding").alias("q"))
     return queries, chunks
 
 
-def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense and lexical lists of all queries, as deep as any arm needs them."""
-    queries, chunks = _hybrid(spark, sf_dir)
+def _rankings(spark: SparkSession, sf_dir: str, corpus: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Dense and lexical lists of all queries, as deep as any arm needs them: written, as arms and pools read them several times."""
+    queries, chunks = corpus or _hybrid(spark, sf_dir)
     depth = CANDIDATES * MULTIPLIER
     dense = R.dense_topk(queries.select("qid", "q"), chunks.select("chunk_id", "embedding"), depth)
     sparse = R.bm25_topk(queries.select("qid", "text"), chunks.select("chunk_id", "text"), depth)
     columns = lambda df, i, s: df.select("qid", F.lit(i).alias("list_no"), F.lit(s).alias("source"), "rank", "chunk_id")
-    return columns(dense, 0, "dense").unionByName(columns(sparse, 1, "sparse"))
+    return stored(columns(dense, 0, "dense").unionByName(columns(sparse, 1, "sparse")), "lists")
 
 
 HYBRID = f"""{bm25_ctes(HYBRID_CORPUS, HYBRID_QUERIES)},
@@ -243,7 +246,7 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.functions.text import tokens
 
     queries, chunks = _hybrid(spark, sf_dir)
-    pool = R.materialise(_rankings(spark, sf_dir), CANDIDATES, MULTIPLIER).select("qid", "chunk_id", "rank", "score")
+    pool = R.materialise(_rankings(spark, sf_dir, (queries, chunks)), CANDIDATES, MULTIPLIER).select("qid", "chunk_id", "rank", "score")
     q = queries.select("qid", tokens(F.col("text")).alias("a"))
     full = pool.join(q, "qid").join(chunks.select("chunk_id", tokens(F.col("text")).alias("b")), "chunk_id")
     ranked = R.rerank(full, F.size(F.array_intersect("a", "b")).cast("double"))
