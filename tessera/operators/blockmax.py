@@ -6,8 +6,9 @@ add to a score follows for any statistics, so blocks outlive changes of the corp
 order of what its terms could add there at most, and stops at the pivot: the first run whose bound the n-th score so far
 beats. Inside a run only rows with a term that is needed to beat it are scored. What leaves a shard are n rows for each query, never all (query, row) scores.
 
-Scores, statistics and ties are those of ``retrieval.bm25_topk``. Shards are bounded by rows, so a task holds the asked
-terms' postings of one shard; queries go to the shards in blocks of a bounded number of terms.
+Scores, statistics and ties are those of ``retrieval.bm25_topk``. Shards are bounded by rows and by bytes of text, so a task
+holds the asked terms' postings of one shard; queries go to the shards in blocks of a bounded number of terms. Texts are
+shuffled once, to their shards, and are split into words and grouped there.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from tessera.scratch import stored
 
 #: Rows of a shard about, numbers of a block's run, and distinct (query, term) pairs that are sent to the shards at once.
 SHARD, RUN, TERMS = 65_536, 256, 200_000
+#: Bytes of a shard's texts about: in Python its postings take several times as much.
+SHARD_BYTES = 4 << 20
 PLACES = 9
 
 
 @dataclass
 class Blocks:
-    """rows (shard, no, chunk_id, dl), blocks (shard, term, run, most_tf, least_dl, nos, tfs, dls), and the corpus' statistics."""
+    """rows (shard, no, chunk_id), blocks (shard, term, run, most_tf, least_dl, nos, tfs, dls), and the corpus' statistics."""
 
     rows: DataFrame
     blocks: DataFrame
@@ -41,19 +44,22 @@ class Blocks:
 def build(chunks: DataFrame, path: str | None = None, shard: int = SHARD, run: int = RUN) -> Blocks:
     """Blocks of (chunk_id, text), stored (under ``path``): texts are split into words once, and words are counted inside the row."""
     at = (lambda name: f"{path}/{name}") if path else (lambda name: None)
-    shards = max(1, -(-chunks.count() // shard))
-    told = chunks.select("chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), F.array_sort(R.words(F.col("text"))).alias("t"))
+    size = chunks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    shards = max(1, -(-size["n"] // shard), -(-(size["bytes"] or 0) // SHARD_BYTES))
+    told = chunks.select("chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), "text")
+    # A partition for each shard about; all that follows is within a shard, and needs no other shuffle.
     number = (F.row_number().over(Window.partitionBy("shard").orderBy("chunk_id")) - 1).alias("no")
-    numbered = stored(told.select("shard", number, "chunk_id", F.size("t").alias("dl"), "t"), "numbered")
-    rows = stored(numbered.drop("t"), "rows", at("rows"))
-    entries = numbered.select("shard", "no", "dl", F.explode(R.counted_terms(F.col("t"))).alias("e")).select("shard", "no", "dl", "e.term", "e.tf")
+    rows = stored(told.select("shard", "chunk_id").repartition(shards, "shard").select("shard", number, "chunk_id"), "rows", at("rows"))
+    numbered = told.repartition(shards, "shard").select("shard", number, "text")
+    entries = numbered.select("shard", "no", F.explode(R.counted_terms(F.array_sort(R.words(F.col("text"))))).alias("e")).select("shard", "no", "e.dl", "e.term", "e.tf")
     grouped = entries.groupBy("shard", "term", F.floor(F.col("no") / run).cast("int").alias("run")).agg(
-        F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.sort_array(F.collect_list(F.struct("no", "tf", "dl"))).alias("p")
+        F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.sort_array(F.collect_list(F.struct(F.col("no"), F.col("tf").cast("int").alias("tf"), F.col("dl")))).alias("p")
     )
     blocks = grouped.select("shard", "term", "run", "most_tf", "least_dl", *[F.col(f"p.{f}").cast("array<int>").alias(f"{f}s") for f in ("no", "tf", "dl")])
-    blocks = stored(blocks.repartition("shard").sortWithinPartitions("shard", "term", "run"), "blocks", at("blocks"))
-    vocab = stored(blocks.groupBy("term").agg(F.sum(F.size("nos")).alias("df"), F.lit(None).cast("long").alias("tokens")).unionByName(
-        rows.agg(F.lit(None).cast("string").alias("term"), F.count(F.lit(1)).alias("df"), F.sum("dl").alias("tokens"))), "vocabulary", at("vocabulary"))
+    blocks = stored(blocks.sortWithinPartitions("shard", "term", "run"), "blocks", at("blocks"))
+    tokens = blocks.agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)).alias("tokens"))
+    about = rows.agg(F.lit(None).cast("string").alias("term"), F.count(F.lit(1)).alias("df")).join(F.broadcast(tokens))
+    vocab = stored(blocks.groupBy("term").agg(F.sum(F.size("nos")).alias("df"), F.lit(None).cast("long").alias("tokens")).unionByName(about), "vocabulary", at("vocabulary"))
     return Blocks(rows, blocks, R.term_stats(vocab), R.corpus_stats(vocab))
 
 

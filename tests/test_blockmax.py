@@ -57,3 +57,23 @@ def test_nothing_to_rank(spark):
     assert B.topk(queries.limit(0), B.build(chunks), 3)[0].count() == 0
     assert B.topk(queries, B.build(chunks.limit(0)), 3)[0].count() == 0
     assert B.topk(queries, B.build(chunks.filter("text IS NULL")), 3)[0].count() == 0
+
+
+def test_shards_are_bounded_by_bytes_and_texts_are_shuffled_once(spark, monkeypatch):
+    """Long rows make more shards, of which a task holds one; words and postings are grouped where the texts are."""
+    plans, write = {}, B.stored
+
+    def stored(df, what, path=None):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, what, path)
+
+    monkeypatch.setattr(B, "stored", stored)
+    monkeypatch.setattr(B, "SHARD_BYTES", 2000)
+    docs = corpus(120, 9)
+    chunks = spark.createDataFrame(list(docs.items()), "chunk_id string, text string")
+    index = B.build(chunks, run=4)
+    assert plans["blocks"].count("Exchange hashpartitioning") == 1
+    bytes_ = sum(len(t) for t in docs.values())
+    assert index.rows.select("shard").distinct().count() > bytes_ / 2000 / 2
+    queries = spark.createDataFrame(list(ASKED.items()), "qid int, text string")
+    assert told(B.topk(queries, index, 6)[0]) == expected(docs, ASKED, 6)
