@@ -6,9 +6,10 @@ anchor, and equal strings have equal anchors at equal places. Then
 
 1. anchors are counted by hash, in buckets; hashes found in one document only are done with; an anchor is sent as 4 bytes
    and its document's number in its slice of text, so what is sent doesn't grow with the number of buckets;
-2. documents with other anchors emit the bytes around each (all strings that hold it lie in there), once for
-   each task and context, with the smallest document that has it; around hot anchors, found in very many slices of
-   text, contexts differ at a passage's ends for every document, so there each string goes to a bucket of its own;
+2. documents with other anchors emit the bytes around each, once for each task and context, with the smallest document
+   that has it: all strings whose first least gram it is lie in there, so each string goes to one anchor only; around
+   hot anchors, found in very many slices of text, contexts differ at a passage's ends for every document, so there
+   each string goes to a bucket of its own;
 3. around each anchor, 8-gram buckets are refined by sorting on pairs of bucket identifiers, a position's own and
    that of a later offset, to 16, 32 and 50 bytes, each time with the identifiers of the time before; the
    smallest document of each final bucket tells every other one what to remove.
@@ -29,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_path, lean, release, stored
 
-LENGTH, GRAM = 50, 32
+LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM
 CONTEXT = GRAM + 2 * SIDE
 #: Text bytes for each bucket: bounds what a task of steps 1 and 3 holds.
@@ -46,6 +48,8 @@ BROADCAST_ROWS = 200_000
 LAST = (1 << 63) - 1
 #: Kinds of rows: entries to be looked at, what is settled and goes back, single strings of hot anchors, and their hashes.
 OPEN, SETTLED, STRINGS, HOT = range(4)
+#: Kinds whose entries are bytes of texts, which are sent compressed.
+TEXTS = OPEN, STRINGS
 ROWS = "bucket int, kind int, ids binary, tids binary, counts binary, data binary"
 #: Rows of step 1, of one slice of text: its name, its documents (only in the row of what is settled), and each entry's number among them.
 SLICES = "bucket int, kind int, slice binary, ids binary, tids binary, docs binary, data binary"
@@ -71,15 +75,14 @@ def _running(best, x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and 64-bit hashes of the anchors in ``data``, which holds documents back to back."""
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets and 64-bit hashes of the anchors in ``data``, which holds documents back to back, and the order of all grams."""
     n = len(data)
     if n < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32)
     eight = _mixed(np.ndarray(n - 7, "<u8", np.ascontiguousarray(data), strides=(1,)).copy())
     grams = n - GRAM + 1
-    h = eight[:grams] + eight[8 : grams + 8] * np.uint64(3) + eight[16 : grams + 16] * np.uint64(5) + eight[24 : grams + 24] * np.uint64(7)
-    h = _mixed(h)
+    h = _mixed(eight[:grams] + eight[8 : grams + 8] * np.uint64(3) + eight[16 : grams + 16] * np.uint64(5))
     order = (h >> np.uint64(33)).astype(np.int32)
     least = _running(np.minimum, order, SIDE + 1)
     # A string that would cross a document's end is none.
@@ -91,7 +94,20 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     padded = np.full(grams + SIDE, -1, np.int32)
     padded[SIDE : SIDE + len(least)] = least
     at = np.flatnonzero(_running(np.maximum, padded, SIDE + 1)[:grams] == order)
-    return at, h[at]
+    return at, h[at], order
+
+
+def _reach(at: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes before and after each anchor the strings go whose first least gram it is; SIDE at most."""
+    edge = np.full(SIDE, np.iinfo(np.int32).max, np.int32)
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, order, edge]), 2 * SIDE + 1)
+    left, right = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    for k in range(0, len(at), 1 << 16):
+        some = near[at[k : k + (1 << 16)]]
+        own = some[:, SIDE : SIDE + 1]
+        for out, ends in ((left, some[:, SIDE - 1 :: -1] <= own), (right, some[:, SIDE + 1 :] < own)):
+            out[k : k + (1 << 16)] = np.where(ends.any(axis=1), ends.argmax(axis=1), SIDE)
+    return left, right
 
 
 def _lots(texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -131,7 +147,8 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 def _packed(bucket: int, kind: int, doc: np.ndarray, ids: np.ndarray, tids: np.ndarray, data: np.ndarray) -> tuple:
     """A row: the documents, how many entries each has, and the entries; ``doc`` is sorted."""
     own, counts = np.unique(doc, return_counts=True)
-    return bucket, kind, ids[own].tobytes(), tids[own].tobytes(), counts.astype(np.int32).tobytes(), data.tobytes()
+    sent = pa.compress(data.tobytes(), "zstd", asbytes=True) if kind in TEXTS else data.tobytes()
+    return bucket, kind, ids[own].tobytes(), tids[own].tobytes(), counts.astype(np.int32).tobytes(), sent
 
 
 def _unpacked(rows: pd.DataFrame, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +157,9 @@ def _unpacked(rows: pd.DataFrame, dtype) -> tuple[np.ndarray, np.ndarray, np.nda
         return np.empty(0, np.int64), np.empty(0, dtype), np.empty((0, 2), np.int64)
     ids, tids = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("ids", "tids"))
     counts = np.frombuffer(b"".join(rows["counts"]), np.int32)
-    return np.repeat(np.arange(len(ids)), counts), np.frombuffer(b"".join(rows["data"]), dtype), np.stack([ids, tids], 1)
+    size = [int(np.frombuffer(c, np.int32).sum()) * np.dtype(dtype).itemsize for c in rows["counts"]]
+    data = (pa.decompress(d, n, "zstd", asbytes=True) if kind in TEXTS else d for d, n, kind in zip(rows["data"], size, rows["kind"]))
+    return np.repeat(np.arange(len(ids)), counts), np.frombuffer(b"".join(data), dtype), np.stack([ids, tids], 1)
 
 
 def _columns(shape: str) -> list[str]:
@@ -169,7 +188,7 @@ def _emit_anchors(buckets: int):
                 name = hashlib.blake2b(ids.tobytes() + tids.tobytes(), digest_size=16).digest()
                 found = []
                 for data, starts, ends, row, _ in _lots(part["text"]):
-                    at, h = anchors(data, starts, ends)
+                    at, h, _ = anchors(data, starts, ends)
                     found.append((row[np.searchsorted(ends, at, "right")], h))
                 doc, h = (np.concatenate(x) for x in zip(*found))
                 bucket, short = _bucket(h, buckets), h.astype(np.uint32)
@@ -271,14 +290,17 @@ STRING = np.dtype([("pos", "<i4"), ("bytes", "u1", (LENGTH,))])
 def _around(lot: tuple, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hash and context of the anchors of one lot that are among ``mine`` (row, short hash)."""
     data, starts, ends, row, base = lot
-    at, h = anchors(data, starts, ends)
+    at, h, order = anchors(data, starts, ends)
     piece = np.searchsorted(ends, at, "right")
     hit = np.isin(row[piece].astype(np.uint64) << np.uint64(32) | h.astype(np.uint32).astype(np.uint64), mine)
     at, h, piece = at[hit], h[hit], piece[hit]
+    left, right = _reach(at, order)
+    left, right = np.minimum(left, at - starts[piece]), np.minimum(right, ends[piece] - at - GRAM)
+    # An anchor that is the first in none of its strings (the same gram stands before it) has nothing to send.
+    some = left + right >= SIDE
+    at, h, piece, left, right = at[some], h[some], piece[some], left[some], right[some]
     entry = np.zeros(len(at), ENTRY)
-    entry["pos"] = at - starts[piece] + base[piece]
-    entry["left"] = np.minimum(SIDE, at - starts[piece])
-    entry["right"] = np.minimum(SIDE, ends[piece] - at - GRAM)
+    entry["pos"], entry["left"], entry["right"] = at - starts[piece] + base[piece], left, right
     if len(at):
         padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
         place = np.arange(CONTEXT) - SIDE

@@ -173,6 +173,24 @@ def test_what_a_slice_sends_does_not_grow_with_the_buckets():
     assert suffix_dedup._numbered(b"", 0).tolist() == []
 
 
+def test_a_repeated_string_is_sent_with_one_anchor_only():
+    """Contexts of a text that is repeated throughout: each of its strings lies in one of them, and they are sent in few bytes."""
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=draw.randrange(2, 9))) for _ in range(2000)]
+    texts = [" ".join(draw.choice(vocabulary) for _ in range(300)) for _ in range(40)] + ["ab" * 100, "x" * 49]
+    lots = list(suffix_dedup._lots(texts))
+    mine = np.unique(np.concatenate([row[np.searchsorted(ends, at, "right")].astype(np.uint64) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)) for data, starts, ends, row, _ in lots for at, h, *_ in [suffix_dedup.anchors(data, starts, ends)]]))
+    strings = []
+    for lot in lots:
+        doc, _, entry = suffix_dedup._around(lot, mine)
+        strings += [(d, start) for d, e in zip(doc.tolist(), entry) for start in range(int(e["pos"]) - int(e["left"]), int(e["pos"]) + suffix_dedup.GRAM + int(e["right"]) - 49)]
+    assert sorted(strings) == [(d, i) for d, t in enumerate(texts) for i in range(len(t) - 49)]
+    n = [len({s for s, _ in strings}), sum(len(t) for t in texts)]
+    batch = pd.DataFrame({"ord": range(n[0]), "tid": range(n[0]), "text": texts[: n[0]], "data": [[(mine[mine >> np.uint64(32) == d] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()] for d in range(n[0])]})
+    sent = pd.concat(suffix_dedup._emit_contexts(16, np.empty(0, np.uint32))(iter([batch])))
+    assert sum(len(x) for x in sent["data"]) < 4 * n[1]
+
+
 def test_rows_with_one_text_and_doc_id(spark):
     """Each of them is a row of its own in the result, whichever slices they come from."""
     said = " ".join(f"word{i}" for i in range(60))
