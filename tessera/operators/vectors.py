@@ -29,6 +29,8 @@ SAMPLE, CELLS, TILE, BLOCK = 20_000, 4096, 4096, 512
 #: A query's first visits, and how many times more it makes in each round.
 FIRST, PACE = 2, 8
 PLACES = 9
+#: Vectors met with all centroids at a time, and bytes of a round's visits up to which they are broadcast.
+STEP, SENT = 1024, 8 << 20
 #: Slack for rounding, of angles and of scores.
 SLACK = 1e-7
 
@@ -68,7 +70,7 @@ def centroids_of(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
         return np.eye(1, sample.shape[1])
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
     for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
+        near = np.concatenate([(x[i : i + STEP] @ c.T).argmax(axis=1) for i in range(0, len(x), STEP)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -93,10 +95,10 @@ def fit(chunks: DataFrame, path: str | None = None, key: str = "chunk_id", vecto
     centroids = centroids_of(data, max(1, min(CELLS, math.isqrt(n), len(data) // 4)))
 
     def assign(batches):
-        for b in batches:
+        for b in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
             v = _matrix(b.column("v"), dims)
             norms, angles = _angles(v, centroids)
-            cell = angles.argmin(axis=1) if len(v) else np.zeros(0, int)
+            cell = angles.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(norms), pa.array(angles[np.arange(len(v)), cell])], ["id", "v", "cell", "norm", "angle"]
             )
@@ -213,8 +215,11 @@ def topk(queries: DataFrame, cells: Cells, n: int) -> tuple[DataFrame, float]:
     begin, end, multiplied = 0, FIRST, 0
     while begin < k:
         tau = best.groupBy("qi").agg(F.when(F.count(F.lit(1)) >= n, F.min("score")).alias("tau"))
-
-        due = asked.join(tau, "qi", "left").groupBy("block", "part").applyInArrow(_visits(bare, begin, end), "cell int, qis array<long>, qs array<double>, taus array<double>, own array<double>")
+        # A number of partitions of its own, as the few bytes of all blocks would be coalesced to one task.
+        due = asked.join(tau, "qi", "left").repartition(blocks, "block", "part").groupBy("block", "part").applyInArrow(_visits(bare, begin, end), "cell int, qis array<long>, qs array<double>, taus array<double>, own array<double>")
+        # A round's visits carry their queries: far more than the planner guesses from the queries' own size, which it would broadcast.
+        most = n_queries * (min(end, k) - begin) * (8 * dims + 24)
+        due = F.broadcast(due) if most <= SENT else due.hint("merge")
         seen = Observation()
         # A row without a query says how many pairs were multiplied.
         found = due.join(cells.tiles.select("cell", "ids", "vectors", "norms", "angles"), "cell").select("qis", "qs", "taus", "own", "ids", "vectors", "norms", "angles").mapInArrow(_multiply(dims, n), shape)

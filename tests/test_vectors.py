@@ -67,6 +67,25 @@ def test_more_asked_than_there_is(spark):
     assert V.topk(q, V.fit(chunks.withColumn("embedding", F.lit(None).cast("array<double>"))), 9)[0].count() == 0
 
 
+def test_only_few_visits_are_broadcast(spark, monkeypatch):
+    """Visits over the bound go by a shuffle, whatever the planner takes their size for; the rows are the same."""
+    monkeypatch.setattr(V, "SENT", 20_000)
+    plans, write = [], V.stored
+
+    def seen(df, what, *path):
+        if what == "best":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, what, *path)
+
+    monkeypatch.setattr(V, "stored", seen)
+    x = np.random.default_rng(5).normal(size=(600, 8))
+    rows, queries = list(enumerate(x)), [(i, x[i]) for i in range(0, 600, 10)]
+    q, chunks = frames(spark, queries, rows)
+    assert found(V.topk(q, V.fit(chunks.repartition(4)), 5)[0]) == exact(queries, rows, 5)
+    assert len(plans) > 1 and "BroadcastHashJoin [cell" in plans[0]
+    assert all("SortMergeJoin [cell" in p for p in plans[1:])
+
+
 @pytest.mark.parametrize("k", [1, 3, 50])
 def test_centroids_are_unit_vectors_of_distinct_rows(k):
     x = np.vstack([np.eye(4), np.zeros((2, 4)), np.eye(4)])
